@@ -38,13 +38,8 @@ def salvage_tags(text: Column, expected: Column) -> Column:
             F.coalesce(F.from_json(part, "array<string>"), F.array().cast("array<string>"))
         ),
     )
-    empty = F.array().cast("array<string>")
-    return F.when(expected <= 0, F.array().cast("array<array<string>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(expected, F.lit(1)) - 1),
-            lambda i: F.coalesce(F.get(inner, i), empty),
-        )
-    )
+    padding = F.array_repeat(F.array().cast("array<string>"), expected)
+    return F.slice(F.concat(inner, padding), F.lit(1), expected)
 
 
 def parse_tags(reply: Column, expected: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlens.functions.text import fold_subject
 from threadlens.schemas import KEY
+from threadlens.session import spread
 
 # Fixed values -----------------------------------------------------------
 LIST_BELOW = 100
@@ -128,10 +129,21 @@ def match_subjects(cited: DataFrame, found: DataFrame) -> DataFrame:
     equal = asked.join(
         have.select("session_id", F.col("h").alias("w"), "at"), ["session_id", "w"]
     )
-    inside = _contained(asked, "w", have, "h").select("session_id", "w", "at")
-    around = _contained(have, "h", asked, "w").select("session_id", "w", "at")
+    ids = lambda df, col: df.withColumn("id", F.md5(col)).withColumnRenamed(col, "text")
+    w, h = ids(asked, "w"), ids(have, "h")
+    inside = _contained(w, h).select("session_id", F.col("short_id").alias("w_id"),
+                                     F.col("long_id").alias("h_id"))
+    around = _contained(h, w).select("session_id", F.col("long_id").alias("w_id"),
+                                     F.col("short_id").alias("h_id"))
+    near = (
+        inside.unionByName(around)
+        .join(w.select("session_id", F.col("id").alias("w_id"), F.col("text").alias("w")),
+              ["session_id", "w_id"])
+        .join(h.select("session_id", F.col("id").alias("h_id"), "at"), ["session_id", "h_id"])
+        .select("session_id", "w", "at")
+    )
     best = (
-        equal.unionByName(inside).unionByName(around)
+        equal.unionByName(near)
         .groupBy("session_id", "w").agg(F.min("at").alias("at"))
     )
     return wanted.join(best, ["session_id", "w"], "left").select(
@@ -139,38 +151,53 @@ def match_subjects(cited: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _windows(col: str):
-    text, n = F.col(col), MIN_CONTAINED
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: text.substr(i, F.lit(n))))
+def _windows(texts: DataFrame, name: str) -> DataFrame:
+    """(session_id, name, window): distinct hashes of all 12-character windows."""
+    n = MIN_CONTAINED
+    # The characters are a column of their own, so they are split once per text.
+    chars = spread(texts, "session_id", "id").select("session_id", F.col("id").alias(name), F.split("text", "").alias("chars"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("chars") - n + 1, F.lit(1)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("chars", i, n)))
+    return chars.select("session_id", name, F.explode(F.array_distinct(hashes)).alias("window"))
 
 
-def _contained(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
-    """Pairs where ``s`` (12 characters or more) occurs inside a longer ``l``."""
-    shorts = short.filter(F.length(s) >= MIN_CONTAINED)
-    longs = long.filter(F.length(l) > MIN_CONTAINED)
-    long_windows = longs.select(
-        "session_id", *[c for c in longs.columns if c != "session_id"],
-        F.explode(_windows(l)).alias("window"),
-    )
-    short_windows = shorts.select("session_id", s, F.explode(_windows(s)).alias("window"))
-    wanted = short_windows.select("session_id", "window").distinct()
+def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
+    """(session_id, short_id, long_id) where a short text occurs in a longer one.
+
+    Both sides are ``(session_id, id, text)``. Window rows carry ids only;
+    texts come back for the candidate pairs.
+    """
+    shorts = shorts.filter(F.length("text") >= MIN_CONTAINED)
+    longs = longs.filter(F.length("text") > MIN_CONTAINED)
+    # Texts no partner of the session can be longer or shorter than drop out.
+    longest = longs.groupBy("session_id").agg(F.max(F.length("text")).alias("bound"))
+    shortest = shorts.groupBy("session_id").agg(F.min(F.length("text")).alias("bound"))
+    shorts = shorts.join(longest, "session_id").filter(F.length("text") < F.col("bound"))
+    longs = longs.join(shortest, "session_id").filter(F.length("text") > F.col("bound"))
+    key = ["session_id", "window"]
+    short_windows = _windows(shorts, "short_id")
+    long_windows = _windows(longs, "long_id")
     counts = (
-        long_windows.join(wanted, ["session_id", "window"], "left_semi")
-        .groupBy("session_id", "window").agg(F.count("*").alias("df"))
+        long_windows.join(short_windows.select(*key), key, "left_semi")
+        .groupBy(*key).agg(F.count("*").alias("df"))
     )
     anchors = (
-        short_windows.join(counts, ["session_id", "window"], "left")
-        .groupBy("session_id", s)
+        short_windows.join(counts, key, "left")
+        .groupBy("session_id", "short_id")
         .agg(
             F.min_by("window", F.struct("df", "window")).alias("window"),
             F.bool_or(F.col("df").isNull()).alias("missing"),
         )
         .filter(~F.col("missing")).drop("missing")
     )
-    extra = [c for c in short.columns if c not in ("session_id", s)]
-    if extra:
-        anchors = anchors.join(shorts, ["session_id", s])
-    return long_windows.join(anchors, ["session_id", "window"]).filter(
-        (F.length(s) < F.length(l)) & F.contains(F.col(l), F.col(s))
+    text = lambda df, side: df.select(
+        "session_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side)
+    )
+    return (
+        long_windows.join(anchors, key)
+        .select("session_id", "short_id", "long_id")
+        .join(text(shorts, "short"), ["session_id", "short_id"])
+        .join(text(longs, "long"), ["session_id", "long_id"])
+        .filter((F.length("short") < F.length("long")) & F.contains("long", "short"))
+        .select("session_id", "short_id", "long_id")
     )

@@ -103,13 +103,15 @@ def request_lines(
     cut = F.when(
         F.col("body_scan_status") == "truncated", f" (first {limit} characters)"
     ).otherwise("")
-    sections = F.array(
-        F.struct(F.lit(0).alias("section"), F.concat(F.lit("# thread "), F.col("pos").cast("string"))
-                 .alias("line")),
-        F.struct(F.lit(1), F.concat(F.lit("subject: "), F.coalesce("subject", F.lit("")))),
-        F.struct(F.lit(3), F.concat(F.lit("started: "), F.coalesce("date", F.lit("")))),
-        F.struct(F.lit(4), F.concat(F.lit("text"), cut, F.lit(": "), "body_text")),
-    )
+    texts = {
+        0: F.concat(F.lit("# thread "), F.col("pos").cast("string")),
+        1: F.concat(F.lit("subject: "), F.coalesce("subject", F.lit(""))),
+        3: F.concat(F.lit("started: "), F.coalesce("date", F.lit(""))),
+        4: F.concat(F.lit("text"), cut, F.lit(": "), "body_text"),
+    }
+    sections = F.array(*[
+        F.struct(F.lit(n).alias("section"), line.alias("line")) for n, line in texts.items()
+    ])
     head = inputs.join(place, KEY).select(*KEY, F.explode(sections).alias("s")).select(
         *KEY, "s.section", F.lit("").alias("at"), "s.line"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlens.operators import index, threads as th
 from threadlens.schemas import KEY
+from threadlens.session import scratch
 from threadlens.sources import adapters
 
 EXCLUDED = ["junkemail", "drafts"]
@@ -102,10 +103,24 @@ DOC_SQL = f"""
 """
 
 
+_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def doc_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(threads, participants, terms, positions) over whole documents."""
+    """(threads, participants, terms, positions) over whole documents.
+
+    The index is a stored table, as a running archive has it: built once per
+    application and input, then read by every search.
+    """
     threads, people = adapters.doc_threads(spark, sf)
-    return threads, people, index.terms(threads, people), index.positions(threads, people)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        paths = (scratch(spark, "terms"), scratch(spark, "positions"))
+        index.write(index.terms(threads, people), paths[0])
+        index.write(index.positions(threads, people), paths[1])
+        _STORED[key] = paths
+    terms, positions = (spark.read.parquet(p) for p in _STORED[key])
+    return threads, people, terms, positions
 
 
 def saved_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,15 +131,13 @@ def saved_queries(spark: SparkSession, sf: str) -> DataFrame:
     """
     base = adapters.mapped(spark, sf, "saved_queries")
     text = F.col("text")
-    ways = F.array(
-        F.struct(F.lit(0).alias("way"), F.lit("or").alias("search_mode"),
-                 F.array_join(F.regexp_extract_all(text, F.lit("[a-zA-Z]{10,}"), F.lit(0)), " ")
-                 .alias("q")),
-        F.struct(F.lit(1), F.lit("and"), text),
-        F.struct(F.lit(2), F.lit("and"),
-                 F.replace(F.replace(F.replace(text, F.lit(". "), F.lit("\n")), F.lit(" "), F.lit("-")),
-                           F.lit("\n"), F.lit(" "))),
-    )
+    long_words = F.array_join(F.regexp_extract_all(text, F.lit("[a-zA-Z]{7,}"), F.lit(0)), " ")
+    sentences = F.replace(text, F.lit(". "), F.lit("\n"))
+    phrases = F.replace(F.replace(sentences, F.lit(" "), F.lit("-")), F.lit("\n"), F.lit(" "))
+    ways = F.array(*[
+        F.struct(F.lit(n).alias("way"), F.lit(mode).alias("search_mode"), q.alias("q"))
+        for n, (mode, q) in enumerate((("or", long_words), ("and", text), ("and", phrases)))
+    ])
     i = F.col("item_id")
     return base.select("*", F.explode(ways).alias("w")).select(
         "user_id", "session_id", "round", (i * 3 + F.col("w.way")).alias("query_id"), "w.q",
@@ -143,7 +156,7 @@ QUERY_SQL = f"""
     base AS (SELECT * FROM {{saved_queries}}),
     ways AS (
         SELECT *, 0 AS way, 'or' AS search_mode,
-               array_to_string(regexp_extract_all(text, '[a-zA-Z]{{10,}}'), ' ') AS q FROM base
+               array_to_string(regexp_extract_all(text, '[a-zA-Z]{{7,}}'), ' ') AS q FROM base
         UNION ALL SELECT *, 1, 'and', text FROM base
         UNION ALL SELECT *, 2, 'and',
                replace(replace(replace(text, '. ', chr(10)), ' ', '-'), chr(10), ' ') FROM base),
@@ -173,7 +186,10 @@ QUERY_SQL = f"""
         GROUP BY ALL),
     matched AS (
         SELECT h.query_id, h.user_id, h.thread_id FROM hit_words h JOIN qn USING (query_id)
-        WHERE search_mode = 'or' OR hits = n)
+        WHERE search_mode = 'or' OR hits = n),
+    blank AS (
+        SELECT q.query_id, d.user_id, d.thread_id FROM qs q JOIN doc_flat d USING (user_id)
+        WHERE q.query_id NOT IN (SELECT query_id FROM qw))
 """
 
 FILTER_SQL = """

@@ -45,7 +45,8 @@ def phrase(words: str) -> str:
 """)
 def build_index(spark, sf):
     """Vocabulary of the whole documents with thread, occurrence and place counts."""
-    _, _, terms, positions = doc_index(spark, sf)
+    threads, people = adapters.doc_threads(spark, sf)
+    terms, positions = index.terms(threads, people), index.positions(threads, people)
     places = positions.groupBy("token").agg(
         F.count("*").alias("n_places"), F.sum("pos").alias("pos_sum")
     )
@@ -218,7 +219,7 @@ _CHAT_QUERIES = """
     tok AS (SELECT user_id, thread_id, {sql_tokens('txt')} AS toks FROM chat_text),
     hits AS (
         SELECT q.query_id, t.*, q.sort_by FROM qs q JOIN chat t ON t.user_id = q.user_id
-        JOIN tok USING (user_id, thread_id)
+        JOIN tok ON tok.user_id = t.user_id AND tok.thread_id = t.thread_id
         WHERE (q.word_1 IS NULL
                OR (q.mode = 'and' AND list_contains(toks, q.word_1)
                    AND (q.word_2 IS NULL OR list_contains(toks, q.word_2)))
@@ -267,11 +268,13 @@ def f_date_swap(spark, sf):
 @query("search_total", f"""
     WITH {DOC_SQL}, {QUERY_SQL},
     hits AS (
-        SELECT q.query_id, t.*, q.sort_by FROM matched m JOIN dt t USING (user_id, thread_id)
-        JOIN (SELECT * REPLACE (CASE WHEN date_to IS NULL THEN date_from ELSE least(date_from, date_to) END
-                                AS date_from,
-                                CASE WHEN date_from IS NULL THEN date_to ELSE greatest(date_from, date_to) END
-                                AS date_to) FROM qs) q ON q.query_id = m.query_id
+        SELECT q.query_id, t.*, q.sort_by
+        FROM (SELECT * FROM matched UNION ALL SELECT * FROM blank) m
+        JOIN dt t USING (user_id, thread_id)
+        JOIN (SELECT * REPLACE (
+                  CASE WHEN date_from > date_to THEN date_to ELSE date_from END AS date_from,
+                  CASE WHEN date_from > date_to THEN date_from ELSE date_to END AS date_to)
+              FROM qs) q ON q.query_id = m.query_id
         WHERE {FILTER_SQL}),
     ranked AS (
         SELECT *, count(*) OVER (PARTITION BY query_id) AS total,
@@ -356,8 +359,8 @@ def p_search_preview(spark, sf):
 
 
 @query("highlight_tags", f"""
-    SELECT doc_id, array_to_string(list_filter(list_distinct({sql_tokens('text')}),
-        lambda t: contains(t, 'ion') OR contains(t, 'ß') OR contains(t, 'wh')), ' ') AS marked
+    SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct({sql_tokens('text')}),
+        lambda t: contains(t, 'ion') OR contains(t, 'ß') OR contains(t, 'wh'))), ' ') AS marked
     FROM documents
 """)
 def highlight_tags(spark, sf):
@@ -468,7 +471,7 @@ def fold_subject(spark, sf):
 @query("match_subjects", f"""
     WITH cited AS (
         SELECT CAST(item_id % 4 AS BIGINT) AS session_id, item_id AS cite_id, 'whole' AS way,
-               '“' || upper(text) || '”' AS cited FROM benchmark
+               '“' || text || '”' AS cited FROM benchmark
         UNION ALL SELECT CAST(item_id % 4 AS BIGINT), item_id + 1000000, 'part',
                string_split(text, '. ')[1] FROM benchmark
         UNION ALL SELECT CAST(item_id % 4 AS BIGINT), item_id + 2000000, 'none', 'Re: no' FROM benchmark),
@@ -491,7 +494,7 @@ def match_subjects(spark, sf):
     d = adapters.table(spark, sf, "documents")
     i, session = F.col("item_id"), (F.col("item_id") % 4).alias("session_id")
     cited = (
-        b.select(session, i.alias("cite_id"), F.concat(F.lit("“"), F.upper("text"), F.lit("”")).alias("cited"))
+        b.select(session, i.alias("cite_id"), F.concat(F.lit("“"), "text", F.lit("”")).alias("cited"))
         .unionByName(b.select(session, (i + 1000000).alias("cite_id"),
                               F.substring_index("text", ". ", 1).alias("cited")))
         .unionByName(b.select(session, (i + 2000000).alias("cite_id"), F.lit("Re: no").alias("cited")))

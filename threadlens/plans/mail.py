@@ -73,33 +73,25 @@ def normalise_graph(spark, sf):
 def normalise_gmail(spark, sf):
     m = adapters.mapped(spark, sf, "chat_messages")
     url64 = lambda c: F.rtrim(F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
-    no_data = F.lit(None).cast("string")
-    part = lambda mime, name, data, aid: F.struct(
-        F.lit(mime).alias("mimeType"), name.alias("filename"),
-        F.struct(data.alias("data"), aid.alias("attachmentId"), F.lit(9).alias("size")).alias("body"),
+    part = lambda mime, name, data, aid: F.concat(
+        F.lit(f'{{"mimeType":"{mime}","filename":"{name}","body":{{"size":9'),
+        F.coalesce(F.concat(F.lit(',"data":"'), data, F.lit('"')), F.lit("")),
+        F.coalesce(F.concat(F.lit(',"attachmentId":"'), aid, F.lit('"')), F.lit("")), F.lit("}}"),
     )
-    plain = part("text/plain", F.lit(""), url64(F.lit("plain only")), no_data)
-    html = part("Text/HTML", F.lit(""), url64(F.col("body")), no_data)
-    file = part(
-        "application/pdf", F.lit("scan.pdf"), no_data, F.when(F.col("has_attachments"), "att-1")
-    )
-    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    plain = part("text/plain", "", url64(F.lit("plain only")), none)
+    html = part("Text/HTML", "", url64(F.col("body")), none)
+    file = part("application/pdf", "scan.pdf", none, F.when(F.col("has_attachments"), "att-1"))
+    pair = lambda name, value: F.concat(F.lit(f'{{"name":"{name}","value":"'), value, F.lit('"}'))
     to = F.when(F.col("to_2") == "", F.concat(F.lit("Team <"), "to_1", F.lit(">"))).otherwise(
-        F.concat(F.lit('"Team, all" <'), "to_1", F.lit(">, "), "to_2")
+        F.concat(F.lit('\\"Team, all\\" <'), "to_1", F.lit(">, "), "to_2")
     )
-    inner = F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(plain, html).alias("parts"))
-    payload = F.struct(
-        F.lit("multipart/mixed").alias("mimeType"),
-        F.array(
-            pair("SUBJECT", F.col("subject")),
-            pair("from", F.concat(F.lit("Sender <"), "from_addr", F.lit(">"))), pair("To", to),
-        ).alias("headers"),
-        F.array(F.to_json(inner), F.to_json(file)).alias("parts"),
+    text = F.concat(
+        F.lit('{"mimeType":"multipart/mixed","headers":['), pair("SUBJECT", F.col("subject")), F.lit(","),
+        pair("from", F.concat(F.lit("Sender <"), "from_addr", F.lit(">"))), F.lit(","), pair("To", to),
+        F.lit('],"parts":[{"mimeType":"multipart/alternative","parts":['), plain, F.lit(","), html,
+        F.lit("]},"), file, F.lit("]}"),
     )
-    # Parts are objects of two shapes, so the list is put together as text.
-    text = F.replace(F.replace(F.replace(F.to_json(payload), F.lit('"{'), F.lit("{")),
-                               F.lit('}"'), F.lit("}")), F.lit('\\"'), F.lit('"'))
-    text = F.regexp_replace(text, r'"Team, all"', r'\\\\"Team, all\\\\"')
     hour = (F.col("arrival_seq") + 1) * 3600000 + 1699920000000
     raw = m.select("user_id", "arrival_seq", F.concat(
         F.lit('{"id":"'), "message_id", F.lit('","threadId":"'), "thread_id",

@@ -254,15 +254,15 @@ _ACCESS_SQL = f"""
                max(substring(CAST(ts AS VARCHAR), 1, 19)) AS requested_at FROM events GROUP BY ALL),
     ruled AS (
         SELECT 'c' || CAST(user_id AS VARCHAR) AS user_id, max_by(event_type, event_id) AS what,
-               max_by(substring(CAST(ts AS VARCHAR), 1, 19), event_id) AS at
+               max_by(substring(CAST(ts AS VARCHAR), 1, 19), event_id) AS ruled_at
         FROM events WHERE event_type IN ('view', 'click', 'error')
           AND ts <= TIMESTAMP '{_ACCESS_NOW}' GROUP BY ALL),
     access AS (
         SELECT a.user_id, requested_at,
                CASE what WHEN 'view' THEN 'approved' WHEN 'click' THEN 'denied' WHEN 'error' THEN 'denied'
                     ELSE 'pending' END AS status,
-               at AS decided_at,
-               CASE WHEN what = 'click' THEN strftime(CAST(at AS TIMESTAMP) + INTERVAL 720 MINUTE,
+               ruled_at AS decided_at,
+               CASE WHEN what = 'click' THEN strftime(CAST(ruled_at AS TIMESTAMP) + INTERVAL 720 MINUTE,
                     '%Y-%m-%d %H:%M:%S') END AS denied_until
         FROM asked a LEFT JOIN ruled USING (user_id))
 """
@@ -356,11 +356,11 @@ def record_usage(spark, sf):
 
 @query("usage_by_user", f"""
     WITH {_DAILY}, t AS ({_TOTALS} FROM daily GROUP BY user_id)
-    SELECT t.*, u.email, round({_COST}, 6) AS cost FROM t JOIN {{users}} u USING (user_id)
+    SELECT t.*, u.email, round({_COST}, 9) AS cost FROM t JOIN {{users}} u USING (user_id)
 """)
 def usage_by_user(spark, sf):
     u = usage.usage_by_user(_daily(spark, sf), adapters.mapped(spark, sf, "users"))
-    return u.withColumn("cost", F.round("cost", 6))
+    return u.withColumn("cost", F.round("cost", 9))
 
 
 @query("j_usage_users", f"""
@@ -379,20 +379,20 @@ def usage_since(spark, sf):
 
 @query("estimate_cost", """
     SELECT event_id, round((event_id * 1000 / 1e6 + floor(value) * 100 / 1e6 * 5)
-        * (1 - 0.5 * CASE WHEN event_id % 5 = 0 THEN 0 ELSE (event_id % 3) / (event_id % 5) END), 6) AS cost
+        * (1 - 0.5 * CASE WHEN event_id % 5 = 0 THEN 0 ELSE (event_id % 3) / (event_id % 5) END), 9) AS cost
     FROM events
 """)
 def estimate_cost(spark, sf):
     k = F.col("event_id")
     c = values.cost(k % 5, k % 3, k * 1000, F.floor("value") * 100)
-    return adapters.table(spark, sf, "events").select("event_id", F.round(c, 6).alias("cost"))
+    return adapters.table(spark, sf, "events").select("event_id", F.round(c, 9).alias("cost"))
 
 
 @query("spend_limit", f"""
     WITH {_DAILY}, t AS ({_TOTALS} FROM daily WHERE day >= '2024-01-10' GROUP BY user_id),
     s AS (SELECT u.user_id, u.email, CASE WHEN t.user_id IS NULL THEN 0.0 ELSE {_COST} END AS spent
           FROM {{users}} u LEFT JOIN t USING (user_id))
-    SELECT user_id, email, round(spent, 6) AS spent,
+    SELECT user_id, email, round(spent, 9) AS spent,
            spent >= 0.5 AND lower(email) <> 'customer#000000001@customer.example' AS over_limit FROM s
 """)
 def spend_limit(spark, sf):
@@ -400,7 +400,7 @@ def spend_limit(spark, sf):
         _daily(spark, sf), adapters.mapped(spark, sf, "users"), "2024-01-10", 0.5,
         ["CUSTOMER#000000001@customer.example"],
     )
-    return s.withColumn("spent", F.round("spent", 6))
+    return s.withColumn("spent", F.round("spent", 9))
 
 
 @query("month_start", """

@@ -51,3 +51,13 @@ def materialise(df, name: str):
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys: str):
+    """Hash ``df`` over the session's shuffle partitions before costly expansions.
+
+    For steps that turn a few bytes of input into much work, where partitions
+    sized by bytes would be too few.
+    """
+    conf = df.sparkSession.conf
+    return df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys)

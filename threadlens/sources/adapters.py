@@ -50,7 +50,10 @@ MAPPINGS = {
                    || CAST(l_partkey AS STRING) AS body,
                'https://mail.example/o/' || CAST(l_orderkey AS STRING) AS web_link,
                CASE WHEN l_partkey % 10 = 0 THEN 'junkemail' ELSE 'inbox' END AS container_id,
-               CAST(l_partkey AS BIGINT) * 1000000 + CAST(l_suppkey AS BIGINT) AS arrival_seq
+               (CAST(l_partkey AS BIGINT) * 1000000 + CAST(l_suppkey AS BIGINT)) * 10000
+                   + (CAST(substring(CAST(l_shipdate AS STRING), 1, 4) AS BIGINT) - 1990) * 372
+                   + CAST(substring(CAST(l_shipdate AS STRING), 6, 2) AS BIGINT) * 31
+                   + CAST(substring(CAST(l_shipdate AS STRING), 9, 2) AS BIGINT) AS arrival_seq
         FROM {lineitem}
     """,
     # one thread per document, the whole text searchable

@@ -48,9 +48,11 @@ def history_to_changes(raw: DataFrame) -> DataFrame:
     touches = F.concat(*[
         F.coalesce(f"h.{k}", none) for k in ("messagesAdded", "labelsAdded", "labelsRemoved")
     ])
-    touched = h.select("user_id", "seq", F.explode(touches)["message"]["threadId"].alias("thread_id"))
-    deleted = h.select(
-        "user_id", "seq", F.explode("h.messagesDeleted")["message"]["id"].alias("removed_message_id")
+    touched = h.select("user_id", "seq", F.explode(touches).alias("t")).select(
+        "user_id", "seq", F.col("t.message.threadId").alias("thread_id")
+    )
+    deleted = h.select("user_id", "seq", F.explode("h.messagesDeleted").alias("d")).select(
+        "user_id", "seq", F.col("d.message.id").alias("removed_message_id")
     )
     rows = touched.withColumn("removed_message_id", F.lit(None).cast("string")).unionByName(
         deleted.withColumn("thread_id", F.lit(None).cast("string"))

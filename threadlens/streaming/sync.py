@@ -15,21 +15,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from threadlens.operators import attachments as att
 from threadlens.operators import mutate, threads as th
 from threadlens.operators.tagging import set_tags
 from threadlens.schemas import ATTACHMENTS, CHANGES, KEY, PARTICIPANTS, THREAD_MESSAGES, THREADS
+from threadlens.session import materialise
 from threadlens.sources.changes import read_changes
 
 CHILDREN = {
     "thread_messages": THREAD_MESSAGES, "participants": PARTICIPANTS, "attachments": ATTACHMENTS,
 }
-BUCKETS = 64
-
-
 @dataclass
 class Mailbox:
     """Where a sync reads: messages, and optionally attachments with texts."""
@@ -45,77 +43,94 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _bucket():
-    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
-
-
 def _log(spark: SparkSession, root: str, table: str, ddl: str, before: int | None) -> DataFrame:
     path = f"{root}/{table}"
-    schema = f"{ddl}, deleted boolean, content_batch bigint, batch bigint, bucket int"
+    schema = T.StructType.fromDDL(f"{ddl}, deleted boolean, content_batch bigint, batch bigint")
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(path)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def current(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The threads table: newest row per key, deleted keys left out."""
-    return _current_rows(spark, root, before).drop("content_batch")
-
-
-def _current_rows(spark: SparkSession, root: str, before: int | None) -> DataFrame:
+def _rows(
+    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
+) -> DataFrame:
+    """Newest thread rows. ``keys`` thins the log before rows are grouped."""
     rows = _log(spark, root, "threads", THREADS, before)
-    rest = [c for c in rows.columns if c not in (*KEY, "batch", "bucket")]
-    latest = rows.groupBy("bucket", *KEY).agg(F.max_by(F.struct(*rest), "batch").alias("t"))
+    if keys is not None:
+        rows = rows.join(keys.select(*KEY), KEY, "left_semi")
+    rest = [c for c in rows.columns if c not in (*KEY, "batch")]
+    latest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("t"))
     return latest.filter(~F.col("t.deleted")).select(*KEY, "t.*").drop("deleted")
 
 
-def current_child(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
-    """A child table: the rows of the batch that last rebuilt each thread."""
-    rows = _log(spark, root, table, CHILDREN[table], before).drop("content_batch")
-    newest = _current_rows(spark, root, before).select(*KEY, F.col("content_batch").alias("batch"))
-    return rows.join(newest, [*KEY, "batch"], "left_semi").drop("deleted", "batch", "bucket")
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The threads table: newest row per key, deleted keys left out."""
+    return _rows(spark, root).drop("content_batch")
+
+
+def current_child(
+    spark: SparkSession, root: str, table: str, before: int | None = None, only=None
+) -> DataFrame:
+    """A child table: the rows of the batch that last rebuilt each thread.
+
+    ``only`` thins the child rows first; just their threads are looked up then.
+    """
+    rows = _log(spark, root, table, CHILDREN[table], before).drop("deleted", "content_batch")
+    keys = None
+    if only is not None:
+        rows = only(rows)
+        keys = rows.select(*KEY).distinct()
+    newest = _rows(spark, root, before, keys).select(*KEY, F.col("content_batch").alias("batch"))
+    return rows.join(newest, [*KEY, "batch"], "left_semi").drop("batch")
 
 
 def _append(df: DataFrame, root: str, table: str, ddl: str, batch: int) -> None:
-    columns = df.sparkSession.createDataFrame(
-        [], f"{ddl}, deleted boolean, content_batch bigint"
-    ).schema.fields
+    fields = T.StructType.fromDDL(f"{ddl}, deleted boolean, content_batch bigint").fields
+    given = {"deleted": F.lit(False), "content_batch": F.lit(batch)}
     df.select(*[
-        F.col(f.name).cast(f.dataType) if f.name in df.columns
-        else F.lit(None).cast(f.dataType).alias(f.name) for f in columns
-    ]).withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{root}/{table}/batch={batch}"
-    )
+        (F.col(f.name) if f.name in df.columns else given.get(f.name, F.lit(None)))
+        .cast(f.dataType).alias(f.name)
+        for f in fields
+    ]).write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
 
 
 def apply_batch(
     changes: DataFrame, batch: int, root: str, mailbox: Mailbox, synced_at: str
 ) -> None:
-    """One micro-batch: touched threads rebuilt, compared, stored."""
+    """One micro-batch: touched threads rebuilt, compared, stored.
+
+    What several steps read (touched keys, their mail, the changed threads) is
+    written to the shared folder once.
+    """
     spark = changes.sparkSession
-    old = current(spark, root, before=batch)
-    touched = th.touched(changes, current_child(spark, root, "thread_messages", before=batch))
-    mail = th.drop_containers(mailbox.messages(spark), list(mailbox.excluded)).join(
-        touched.select(*KEY), KEY, "left_semi"
+    removed = changes.filter("removed_message_id is not null").select(
+        "user_id", F.col("removed_message_id").alias("message_id")
+    )
+    holders = current_child(
+        spark, root, "thread_messages", batch,
+        only=lambda rows: rows.join(removed, ["user_id", "message_id"], "left_semi"),
     )
+    touched = materialise(th.touched(changes, holders), "touched")
+    mail = materialise(
+        th.drop_containers(mailbox.messages(spark), list(mailbox.excluded)).join(
+            touched.select(*KEY), KEY, "left_semi"
+        ), "mail",
+    )
+    known = materialise(_rows(spark, root, batch, touched), "known")
     rebuilt = th.build_threads(mail)
-    known = old.join(touched.select(*KEY), KEY, "left_semi")
-    changed = th.changed_threads(known, rebuilt, touched.filter("forced"))
+    changed = materialise(th.changed_threads(known, rebuilt, touched.filter("forced")), "changed")
     keys = changed.select(*KEY)
-    gone = touched.select(*KEY).join(rebuilt.select(*KEY), KEY, "left_anti").join(
-        known.select(*KEY), KEY, "left_semi"
-    )
+    gone = known.select(*KEY).join(mail.select(*KEY), KEY, "left_anti")
     kept_mail = mail.join(keys, KEY, "left_semi")
-    content = th.thread_content(kept_mail).drop("body_text")
     child = th.thread_messages(kept_mail)
-    rows = changed.join(content, KEY, "left")
+    rows = changed.join(th.thread_content(kept_mail).drop("body_text"), KEY, "left")
     if mailbox.meta is not None:
-        files = att.storage_columns(
-            att.attach(child, mailbox.meta(spark), mailbox.texts(spark))
+        files = materialise(
+            att.storage_columns(att.attach(child, mailbox.meta(spark), mailbox.texts(spark))), "files"
         )
         rows = rows.join(att.per_thread(files), KEY, "left")
-        _append(files.withColumn("deleted", F.lit(False)), root, "attachments", ATTACHMENTS, batch)
+        _append(files, root, "attachments", ATTACHMENTS, batch)
     else:
         rows = rows.withColumns({
             "max_attachment_size": F.lit(None).cast("bigint"),
@@ -126,13 +141,11 @@ def apply_batch(
         "manually_reviewed": F.lit(False), "tags_truncated": F.lit(False),
         "last_synced": F.lit(synced_at),
     })
-    merged = mutate.store_untagged(known, rows).join(keys, KEY, "left_semi")
-    out = merged.withColumn("deleted", F.lit(False)).unionByName(
-        gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True
-    ).withColumn("content_batch", F.lit(batch))
-    _append(child.withColumn("deleted", F.lit(False)), root, "thread_messages", THREAD_MESSAGES, batch)
-    _append(th.participants(kept_mail).withColumn("deleted", F.lit(False)), root, "participants",
-            PARTICIPANTS, batch)
+    old = known.drop("content_batch").join(keys, KEY, "left_semi")
+    stored = mutate.store_untagged(old, rows).withColumn("deleted", F.lit(False))
+    out = stored.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+    _append(child, root, "thread_messages", THREAD_MESSAGES, batch)
+    _append(th.participants(kept_mail), root, "participants", PARTICIPANTS, batch)
     # The thread rows go last: they make the batch visible.
     _append(out, root, "threads", THREADS, batch)
 
@@ -140,8 +153,7 @@ def apply_batch(
 def append_tags(spark: SparkSession, root: str, tags: DataFrame, batch: int) -> None:
     """Store tagger results as a batch of their own (ids above all sync batches)."""
     keys = tags.select(*KEY)
-    rows = _current_rows(spark, root, None).join(keys, KEY, "left_semi")
-    _append(set_tags(rows, tags).withColumn("deleted", F.lit(False)), root, "threads", THREADS, batch)
+    _append(set_tags(_rows(spark, root, keys=keys), tags), root, "threads", THREADS, batch)
 
 
 def start_sync(
@@ -153,11 +165,7 @@ def start_sync(
     offset = _next_batch(spark, root, checkpoint)
 
     def store(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.persist()
-        try:
-            apply_batch(batch_df, offset + batch_id, root, mailbox, synced_at)
-        finally:
-            batch_df.unpersist()
+        apply_batch(batch_df, offset + batch_id, root, mailbox, synced_at)
 
     writer = feed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
@@ -205,5 +213,4 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
     last = _log(spark, root, "threads", THREADS, None).agg(F.max("batch")).first()[0] or 0
     for name in [*CHILDREN, "threads"]:
         df, ddl = tables[name]
-        base = df.withColumns({"deleted": F.lit(False), "content_batch": F.lit(last)})
-        _append(base, target, name, ddl, last)
+        _append(df, target, name, ddl, last)
