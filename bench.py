@@ -36,7 +36,8 @@ def main() -> None:
 
     spark = (
         builder("bench").master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g").getOrCreate()
+        .config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
 

@@ -67,7 +67,7 @@ def main():
     names = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = builder("check").master("local[8]").config("spark.sql.shuffle.partitions", "8").config(
-        "spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
+        "spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con = database(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()

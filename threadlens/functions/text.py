@@ -11,7 +11,7 @@ TEXT_CAP = 5000
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 MARKUP = r"<[^>]+>"
 TOKEN_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
-COMBINING = r"[\x{0300}-\x{0331}]"
+COMBINING = "".join(map(chr, range(0x0300, 0x0332)))
 # ------------------------------------------------------------------------
 
 
@@ -55,18 +55,18 @@ def cap(col: Column, limit: int = TEXT_CAP) -> Column:
 
 def fold(col: Column) -> Column:
     """Lower case without Latin diacritics, as the index compares words."""
-    lowered = F.lower(F.translate(col, "İ", "I"))
-    return F.translate(F.regexp_replace(lowered, COMBINING, ""), _MARKED, _PLAIN)
+    # translate drops the characters that have no counterpart: combining marks
+    return F.translate(F.lower(F.translate(col, "İ", "I")), _MARKED + COMBINING, _PLAIN)
 
 
 def tokens(col: Column) -> Column:
     """Folded runs of letters and digits, in order."""
-    return F.filter(F.split(fold(col), TOKEN_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(fold(col), TOKEN_BREAK), "")
 
 
 def words(col: Column) -> Column:
     """Whitespace-separated words of a typed query."""
-    return F.filter(F.split(col, f"{WHITESPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(col, f"{WHITESPACE}+"), "")
 
 
 def fold_subject(col: Column) -> Column:

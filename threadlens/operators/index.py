@@ -3,7 +3,9 @@
 ``terms`` holds distinct ``(user_id, thread_id, token)`` rows and answers
 word searches; ``positions`` holds every occurrence and is read only for
 phrases. Positions run over AI tags, own tags, subject and the sorted
-participants, in that order.
+participants, in that order; they are negative up to the end of the subject
+and count from zero through the participants, so either part is numbered
+without knowing the other.
 """
 
 from __future__ import annotations
@@ -59,20 +61,15 @@ def _address_offsets(participants: DataFrame) -> DataFrame:
 
 def positions(threads: DataFrame, participants: DataFrame) -> DataFrame:
     """Every token occurrence with its place in the thread's indexed text."""
-    head = _head(threads)
-    rows = head.select(*KEY, F.posexplode("tokens").alias("pos", "token")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    head = _head(threads).select(
+        *KEY, F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token")
+    ).select(*KEY, (F.col("i") - F.col("n")).cast("bigint").alias("pos"), "token")
     people = (
         _address_offsets(participants)
-        .join(head.select(*KEY, F.size("tokens").alias("n_head")), KEY, "left")
-        .select(
-            *KEY, F.posexplode("tokens").alias("i", "token"),
-            (F.coalesce("n_head", F.lit(0)) + F.col("offset")).alias("from"),
-        )
-        .select(*KEY, (F.col("from") + F.col("i")).cast("bigint").alias("pos"), "token")
+        .select(*KEY, "offset", F.posexplode("tokens").alias("i", "token"))
+        .select(*KEY, (F.col("offset") + F.col("i")).cast("bigint").alias("pos"), "token")
     )
-    return rows.unionByName(people)
+    return head.unionByName(people)
 
 
 def refresh(

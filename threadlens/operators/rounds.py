@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlens.functions.text import fold_subject
 from threadlens.schemas import KEY
-from threadlens.session import spread
+from threadlens.session import materialise, spread
 
 # Fixed values -----------------------------------------------------------
 LIST_BELOW = 100
@@ -175,20 +175,21 @@ def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
     shorts = shorts.join(longest, "session_id").filter(F.length("text") < F.col("bound"))
     longs = longs.join(shortest, "session_id").filter(F.length("text") > F.col("bound"))
     key = ["session_id", "window"]
-    short_windows = _windows(shorts, "short_id")
+    # Stored, so their sizes are known and small ones are broadcast to the windows.
+    short_windows = materialise(_windows(shorts, "short_id"), "windows")
     long_windows = _windows(longs, "long_id")
     counts = (
         long_windows.join(short_windows.select(*key), key, "left_semi")
         .groupBy(*key).agg(F.count("*").alias("df"))
     )
-    anchors = (
+    anchors = materialise(
         short_windows.join(counts, key, "left")
         .groupBy("session_id", "short_id")
         .agg(
             F.min_by("window", F.struct("df", "window")).alias("window"),
             F.bool_or(F.col("df").isNull()).alias("missing"),
         )
-        .filter(~F.col("missing")).drop("missing")
+        .filter(~F.col("missing")).drop("missing"), "anchors",
     )
     text = lambda df, side: df.select(
         "session_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side)

@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlens.functions.text import ascii_lower, tokens, words
 from threadlens.schemas import KEY
+from threadlens.session import materialise
 
 # Fixed values -----------------------------------------------------------
 DEFAULT_LIMIT = 200
+# Bounds of this library: tokens pushed down as literals, rows broadcast
+LITERALS = 500
+SMALL = 100_000
 # ------------------------------------------------------------------------
 
 UNIT = ["query_id", "unit"]
@@ -47,17 +51,40 @@ def _units(queries: DataFrame) -> DataFrame:
     )
 
 
-def _units_with_all_tokens(terms: DataFrame, units: DataFrame) -> DataFrame:
+class _Index:
+    """The index thinned to the tokens of one set of units.
+
+    Units come from queries, which are normally few. Their tokens are counted
+    first: few enough become literals that the Parquet scan prunes with, and
+    the unit tables are broadcast only below ``SMALL`` rows.
+    """
+
+    def __init__(self, terms: DataFrame, positions: DataFrame, units: DataFrame):
+        self.units = materialise(units, "units")
+        self.needed = self.units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
+        listed = self.needed.select("token").distinct().limit(LITERALS + 1).collect()
+        self.small = self.units.select(F.explode("tokens")).limit(SMALL + 1).count() <= SMALL
+        if len(listed) <= LITERALS:
+            wanted = F.col("token").isin([r["token"] for r in listed])
+            self.terms, self.positions = terms.filter(wanted), positions.filter(wanted)
+        else:
+            tokens_of = self.hint(self.needed.select("user_id", "token").distinct())
+            on = ["user_id", "token"]
+            self.terms = terms.join(tokens_of, on, "left_semi")
+            self.positions = positions.join(tokens_of, on, "left_semi")
+
+    def hint(self, df: DataFrame) -> DataFrame:
+        """Broadcast a table that has at most one row per token of a unit."""
+        return F.broadcast(df) if self.small else df
+
+
+def _units_with_all_tokens(ix: _Index) -> DataFrame:
     """(query_id, unit, user_id, thread_id) where every token of the unit occurs."""
-    needed = units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
-    wanted = needed.select("user_id", "token").distinct()
-    counts = (
-        terms.join(wanted, ["user_id", "token"], "left_semi")
-        .groupBy("user_id", "token").agg(F.count("*").alias("df"))
-    )
-    weighed = needed.join(counts, ["user_id", "token"], "left")
+    terms, needed = ix.terms, ix.needed
+    counts = terms.groupBy("user_id", "token").agg(F.count("*").alias("df"))
     plans = (
-        weighed.groupBy(*UNIT, "user_id")
+        ix.hint(needed).join(counts, ["user_id", "token"], "left")
+        .groupBy(*UNIT, "user_id")
         .agg(
             F.min_by("token", F.struct("df", "token")).alias("anchor"),
             F.count("*").alias("n_tokens"),
@@ -66,14 +93,14 @@ def _units_with_all_tokens(terms: DataFrame, units: DataFrame) -> DataFrame:
         .filter(~F.col("missing"))
     )
     found = terms.join(
-        plans.select(*UNIT, "user_id", F.col("anchor").alias("token"), "n_tokens"),
+        ix.hint(plans.select(*UNIT, "user_id", F.col("anchor").alias("token"), "n_tokens")),
         ["user_id", "token"],
     ).select(*UNIT, *KEY, "n_tokens", "token")
     single = found.filter(F.col("n_tokens") == 1).select(*UNIT, *KEY)
     rest = (
         found.filter(F.col("n_tokens") > 1)
         .withColumnRenamed("token", "anchor")
-        .join(needed.select(*UNIT, "token"), UNIT)
+        .join(ix.hint(needed.select(*UNIT, "token")), UNIT)
         .filter(F.col("token") != F.col("anchor"))
         .join(terms, [*KEY, "token"])
         .groupBy(*UNIT, *KEY, "n_tokens").agg(F.count("*").alias("n_found"))
@@ -83,17 +110,20 @@ def _units_with_all_tokens(terms: DataFrame, units: DataFrame) -> DataFrame:
     return single.unionByName(rest)
 
 
-def _with_phrases(found: DataFrame, units: DataFrame, positions: DataFrame) -> DataFrame:
+def _with_phrases(found: DataFrame, ix: _Index) -> DataFrame:
     """Keep units whose multi-token words occur as adjacent tokens."""
-    phrases = units.filter(F.size("tokens") > 1)
-    per_unit = phrases.groupBy(*UNIT).agg(F.count("*").alias("n_phrases"))
+    phrases = ix.units.filter(F.size("tokens") > 1)
+    if phrases.isEmpty():
+        return found
+    found = materialise(found, "candidates")
+    per_unit = ix.hint(phrases.groupBy(*UNIT).agg(F.count("*").alias("n_phrases")))
     plain = found.join(per_unit, UNIT, "left_anti")
     steps = phrases.select(
         *UNIT, "word_no", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token")
     )
     whole = (
-        found.join(steps, UNIT)
-        .join(positions, [*KEY, "token"])
+        found.join(ix.hint(steps), UNIT)
+        .join(ix.positions, [*KEY, "token"])
         .groupBy(*UNIT, *KEY, "word_no", "n", (F.col("pos") - F.col("i")).alias("start"))
         .agg(F.count("*").alias("hits"))
         .filter(F.col("hits") == F.col("n"))
@@ -106,10 +136,14 @@ def _with_phrases(found: DataFrame, units: DataFrame, positions: DataFrame) -> D
 
 
 def match(terms: DataFrame, positions: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, user_id, thread_id) of all hits; blank queries have none."""
-    units = _units(queries)
-    found = _with_phrases(_units_with_all_tokens(terms, units), units, positions)
-    return found.select("query_id", *KEY).distinct()
+    """(query_id, user_id, thread_id) of all hits; blank queries have none.
+
+    The hits are stored once in the shared folder: pages, totals and merges
+    read them, and their known size lets joins to the thread table choose well.
+    """
+    ix = _Index(terms, positions, _units(queries))
+    found = _with_phrases(_units_with_all_tokens(ix), ix)
+    return materialise(found.select("query_id", *KEY).distinct(), "hits")
 
 
 # Filters ------------------------------------------------------------------

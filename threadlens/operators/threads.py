@@ -95,50 +95,41 @@ def first_last(messages: DataFrame) -> DataFrame:
     )
 
 
-def bounded_join(pieces: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """Per key: the pieces joined by blanks in order, cut to ``limit``.
+def thread_content(messages: DataFrame, limit: int = TEXT_CAP) -> DataFrame:
+    """Body text, total characters and scan status of each thread.
 
-    A slice of a key can only contribute pieces that start before ``limit``
-    within the slice, so at most ``SALTS * limit`` pieces reach the last group.
+    Bodies are cut per message, joined by blanks in order, and cut again. A
+    salt slice of a thread can only contribute pieces that start before the
+    cap within the slice, so a bounded list per slice reaches the last group,
+    together with the slice's sums.
     """
-    before = F.sum(F.length("piece") + 1).over(
-        Window.partitionBy(*keys, "salt").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    near = (
-        pieces.filter(F.col("piece") != "")
-        .withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-        .withColumn("before", F.coalesce(before, F.lit(0)))
-        .filter(F.col("before") < limit)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "piece")))
-    return near.groupBy(*keys).agg(
-        F.substring(F.array_join(F.transform(ordered, lambda p: p["piece"]), " "), 1, limit)
-        .alias("joined")
-    )
-
-
-def thread_content(messages: DataFrame, limit: int = TEXT_CAP) -> DataFrame:
-    """Body text, total characters and scan status of each thread."""
     kept = first_copies(_dated(messages).select(*KEY, "message_id", "arrival_seq", "date", "body"))
     bodies = kept.withColumn("b", message_text(F.col("body"), limit)).select(
         *KEY, *ORDER, F.col("b.text").alias("piece"), F.col("b.chars").alias("chars"),
         F.col("b.truncated").alias("truncated"),
+        F.pmod(F.xxhash64("message_id"), F.lit(SALTS)).alias("salt"),
     )
     filled = F.col("piece") != ""
-    joined_length: Column = F.sum(F.length("piece")) + F.greatest(
-        F.count_if(filled) - 1, F.lit(0)
-    )
-    totals = bodies.groupBy(*KEY).agg(
+    width: Column = F.when(filled, F.length("piece") + 1).otherwise(0)
+    before = F.coalesce(
+        F.sum(width).over(
+            Window.partitionBy(*KEY, "salt").orderBy(*ORDER)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        ), F.lit(0),
+    )
+    near = F.when(filled & (F.col("before") < limit), F.struct(*ORDER, "piece"))
+    slices = bodies.withColumn("before", before).groupBy(*KEY, "salt").agg(
+        F.sum("chars").alias("chars"), F.bool_or("truncated").alias("truncated"),
+        F.sum(width).alias("width"), F.collect_list(near).alias("pieces"),
+    )
+    ordered = F.array_sort(F.flatten(F.collect_list("pieces")))
+    return slices.groupBy(*KEY).agg(
+        F.substring(F.array_join(F.transform(ordered, lambda p: p["piece"]), " "), 1, limit)
+        .alias("body_text"),
         F.sum("chars").alias("body_char_count"),
-        F.when(F.bool_or("truncated") | (joined_length > limit), "truncated")
+        F.when(F.bool_or("truncated") | (F.sum("width") - 1 > limit), "truncated")
         .otherwise("ok").alias("body_scan_status"),
     )
-    text = bounded_join(bodies, KEY, ORDER, limit)
-    return totals.join(text, KEY, "left").select(
-        *KEY, F.coalesce("joined", F.lit("")).alias("body_text"), "body_char_count",
-        "body_scan_status",
-    )
 
 
 def changed_threads(current: DataFrame, rebuilt: DataFrame, forced: DataFrame) -> DataFrame:

@@ -91,12 +91,13 @@ DOC_SQL = f"""
     dt AS (SELECT * FROM {{doc_threads}}),
     doc_text AS (
         SELECT user_id, thread_id,
-               CASE WHEN is_tagged = 1 THEN lang || ' ' || source || ' ' ELSE '' END || subject
-                   || ' ' || least(address_1, address_2) || ' ' || greatest(address_1, address_2)
-                   AS txt
+               CASE WHEN is_tagged = 1 THEN lang || ' ' || source || ' ' ELSE '' END || subject AS head,
+               least(address_1, address_2) || ' ' || greatest(address_1, address_2) AS people
         FROM dt),
     doc_tokens AS (
-        SELECT user_id, thread_id, {sql_tokens('txt')} AS toks FROM doc_text),
+        SELECT user_id, thread_id, list_concat(h, p) AS toks, len(h) AS n_head FROM (
+            SELECT user_id, thread_id, {sql_tokens('head')} AS h, {sql_tokens('people')} AS p
+            FROM doc_text)),
     doc_flat AS (
         SELECT user_id, thread_id, list_distinct(toks) AS toks,
                ' ' || array_to_string(toks, ' ') || ' ' AS flat FROM doc_tokens)

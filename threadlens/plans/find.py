@@ -39,7 +39,7 @@ def phrase(words: str) -> str:
     WITH {DOC_SQL}
     SELECT token, count(DISTINCT (user_id, thread_id)) AS n_threads, count(*) AS n_places,
            CAST(sum(pos) AS BIGINT) AS pos_sum
-    FROM (SELECT user_id, thread_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos
+    FROM (SELECT user_id, thread_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 - n_head AS pos
           FROM doc_tokens)
     GROUP BY token
 """)

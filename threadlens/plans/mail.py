@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from threadlens.functions import text as tx, values
 from threadlens.operators import attachments as att, search, threads as th
 from threadlens.plans.common import (
-    CHAT_SQL, EXCLUDED, chat_threads, header_sql, kept_messages, kept_sql, sql_strip_html,
+    CHAT_SQL, EXCLUDED, chat_threads, header_sql, kept_messages, kept_sql, sql_strip_html, WS_SQL,
 )
 from threadlens.plans.registry import query
 from threadlens.schemas import KEY
@@ -609,7 +609,14 @@ def f_attachment_pairs(spark, sf):
     return att.attachment_pairs(child, meta)
 
 
-@query("extract_text")
+@query("extract_text", f"""
+    SELECT doc_id, t AS text, length(t) AS chars FROM (
+        SELECT doc_id, regexp_replace(substring(array_to_string(list_filter(
+            string_split(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), chr(10)),
+            lambda x: NOT regexp_full_match(x, '{WS_SQL}*')), chr(10)), 1, 50000),
+            '^{WS_SQL}+|{WS_SQL}+$', '', 'g') AS t
+        FROM documents)
+""")
 def extract_text(spark, sf):
     """Minimal word-processor files made of the documents, read back in Python."""
     d = adapters.table(spark, sf, "documents")

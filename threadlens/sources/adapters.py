@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from threadlens.session import spread_if_small
+
 MAPPINGS = {
     # messages of chat conversations
     "chat_messages": """
@@ -176,8 +178,12 @@ _INPUTS = {
 }
 
 
+_SPREAD = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_partkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_small(df, _SPREAD[name]) if name in _SPREAD else df
 
 
 def mapped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
