@@ -44,7 +44,7 @@ def archive(spark):
     ], [("u", "car", "bob@mail.com"), ("u", "car", "ann@mail.com"), ("u", "card", "bank@zoo.org")])
 
 
-@pytest.mark.parametrize("q, mode, found", [
+WORDS = [
     ("car", "and", ["car"]), ("civic", "and", ["car"]), ("car civic", "and", ["car"]),
     ("car card", "and", []), ("car card", "or", ["car", "card"]), ("CAFE", "and", ["café"]),
     ("café", "and", ["café"]), ("izmir", "and", ["café"]), ("strasse", "and", []), ("straße", "and", ["café"]),
@@ -54,9 +54,15 @@ def archive(spark):
     ("mine", "and", ["own"]), ("bob@mail.com", "and", ["car"]), ("mail.com/bob", "and", ["car"]),
     ("mail.bob", "and", []), ("ann@mail.com car", "and", ["car"]), ("td-bank nosuch", "or", ["border", "card"]),
     ("tissue-bank", "and", ["card"]),
-])
-def test_words(spark, archive, q, mode, found):
-    assert [t for _, t in hits(spark, archive, ask(spark, q, mode))] == found
+]
+
+
+def test_words(spark, archive):
+    """All typed queries in one job."""
+    queries = [ask(spark, q, mode, qid=i) for i, (q, mode, _) in enumerate(WORDS)]
+    got = hits(spark, archive, *queries)
+    for i, (q, mode, found) in enumerate(WORDS):
+        assert [t for k, t in got if k == i] == found, (q, mode)
 
 
 def test_tenants_do_not_mix_and_queries_share_a_job(spark, archive):
@@ -134,7 +140,7 @@ def test_filters_and_totals(spark):
 
 def test_page_plan_limits_before_the_shuffle(spark):
     t = spark.createDataFrame([thread(f"t{i}") for i in range(20)], THREAD).withColumns(
-        {"query_id": F.lit(1), "sort_by": F.lit("date_desc")})
+        {"query_id": F.col("n_messages"), "sort_by": F.col("last_synced")})
     plan = search.pages_per_query(t, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "TakeOrderedAndProject" in search.page(t)._jdf.queryExecution().executedPlan().toString()
