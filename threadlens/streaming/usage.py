@@ -35,6 +35,9 @@ def usage_stream(events: DataFrame, late: str = "2 days") -> DataFrame:
 class _Heartbeat(StatefulProcessor):
     """Keeps the last status of a user and reports it stale when it goes silent."""
 
+    def __init__(self, stale_after: int):
+        self.stale_after = stale_after
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("status", "status string, deadline bigint")
@@ -54,7 +57,7 @@ class _Heartbeat(StatefulProcessor):
                 self.handle.deleteTimer(old)
         deadline = -1
         if status in ACTIVE_STATUSES:
-            deadline = timerValues.getCurrentProcessingTimeInMs() + STALE_AFTER_SECONDS * 1000
+            deadline = timerValues.getCurrentProcessingTimeInMs() + self.stale_after * 1000
             self.handle.registerTimer(deadline)
         self.state.update((status, deadline))
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "stale": [False]})
@@ -68,10 +71,12 @@ class _Heartbeat(StatefulProcessor):
         pass
 
 
-def heartbeat_stream(state_events: DataFrame) -> DataFrame:
+def heartbeat_stream(
+    state_events: DataFrame, stale_after: int = STALE_AFTER_SECONDS
+) -> DataFrame:
     """Status changes, and a stale row when an active user goes silent."""
     return state_events.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=_Heartbeat(),
+        statefulProcessor=_Heartbeat(stale_after),
         outputStructType="user_id string, status string, stale boolean",
         outputMode="Update", timeMode="processingTime",
     )
