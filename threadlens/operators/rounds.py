@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlens.functions.text import fold_subject
 from threadlens.schemas import KEY
-from threadlens.session import materialise, spread
+from threadlens.session import materialise, spread_if_small
 
 # Fixed values -----------------------------------------------------------
 LIST_BELOW = 100
@@ -125,12 +125,13 @@ def match_subjects(cited: DataFrame, found: DataFrame) -> DataFrame:
                 F.struct("found_pos", "thread_id").alias("at"))
         .groupBy("session_id", "h").agg(F.min("at").alias("at"))
     )
-    asked = wanted.select("session_id", "w").distinct()
-    equal = asked.join(
-        have.select("session_id", F.col("h").alias("w"), "at"), ["session_id", "w"]
-    )
     ids = lambda df, col: df.withColumn("id", F.md5(col)).withColumnRenamed(col, "text")
-    w, h = ids(asked, "w"), ids(have, "h")
+    # Both sides are read several times below, so they are stored once.
+    w = materialise(ids(wanted.select("session_id", "w").distinct(), "w"), "cited")
+    h = materialise(ids(have, "h"), "subjects")
+    equal = w.join(h.select("session_id", "id", "text", "at"), ["session_id", "id", "text"]).select(
+        "session_id", F.col("text").alias("w"), "at"
+    )
     inside = _contained(w, h).select("session_id", F.col("short_id").alias("w_id"),
                                      F.col("long_id").alias("h_id"))
     around = _contained(h, w).select("session_id", F.col("long_id").alias("w_id"),
@@ -152,13 +153,22 @@ def match_subjects(cited: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame, name: str) -> DataFrame:
-    """(session_id, name, window): distinct hashes of all 12-character windows."""
-    n = MIN_CONTAINED
-    # The characters are a column of their own, so they are split once per text.
-    chars = spread(texts, "session_id", "id").select("session_id", F.col("id").alias(name), F.split("text", "").alias("chars"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("chars") - n + 1, F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("chars", i, n)))
-    return chars.select("session_id", name, F.explode(F.array_distinct(hashes)).alias("window"))
+    """(session_id, name, window): hashes of all 12-character windows.
+
+    Texts are cut into overlapping chunks first: a position inside a short
+    chunk is found quickly, one inside a long text is not.
+    """
+    n, chunk = MIN_CONTAINED, 256
+    texts = spread_if_small(texts, "session_id", "id").select("session_id", F.col("id").alias(name), "text")
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(chunk))
+    chunks = texts.select("session_id", name, "text", F.explode(starts).alias("at")).select(
+        "session_id", name, F.col("text").substr(F.col("at"), F.lit(chunk + n - 1)).alias("chunk")
+    ).filter(F.length("chunk") >= n)
+    places = F.sequence(F.lit(1), F.length("chunk") - n + 1)
+    return chunks.select("session_id", name, "chunk", F.explode(places).alias("at")).select(
+        "session_id", name,
+        F.xxhash64(F.col("chunk").substr(F.col("at"), F.lit(n))).alias("window"),
+    )
 
 
 def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
@@ -196,7 +206,7 @@ def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
     )
     return (
         long_windows.join(anchors, key)
-        .select("session_id", "short_id", "long_id")
+        .select("session_id", "short_id", "long_id").distinct()
         .join(text(shorts, "short"), ["session_id", "short_id"])
         .join(text(longs, "long"), ["session_id", "long_id"])
         .filter((F.length("short") < F.length("long")) & F.contains("long", "short"))

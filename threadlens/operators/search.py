@@ -138,12 +138,21 @@ def _with_phrases(found: DataFrame, ix: _Index) -> DataFrame:
 def match(terms: DataFrame, positions: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, user_id, thread_id) of all hits; blank queries have none.
 
-    The hits are stored once in the shared folder: pages, totals and merges
-    read them, and their known size lets joins to the thread table choose well.
+    Queries asked more than once are looked up once. The hits are stored in the
+    shared folder: pages, totals and merges read them, and their known size
+    lets joins to the thread table choose well.
     """
-    ix = _Index(terms, positions, _units(queries))
+    asked = queries.select(
+        "query_id", "user_id", F.coalesce("q", F.lit("")).alias("q"),
+        F.coalesce("search_mode", F.lit("and")).alias("search_mode"),
+    )
+    text = ["user_id", "q", "search_mode"]
+    first = asked.groupBy(*text).agg(F.min("query_id").alias("first_id"))
+    ix = _Index(terms, positions, _units(first.withColumnRenamed("first_id", "query_id")))
     found = _with_phrases(_units_with_all_tokens(ix), ix)
-    return materialise(found.select("query_id", *KEY).distinct(), "hits")
+    once = found.select(F.col("query_id").alias("first_id"), *KEY).distinct()
+    copies = asked.join(first, text).select("query_id", "first_id")
+    return materialise(once.join(ix.hint(copies), "first_id").select("query_id", *KEY), "hits")
 
 
 # Filters ------------------------------------------------------------------
@@ -266,63 +275,66 @@ def multi_query(
     return apply_filters(match(terms, positions, asked), threads, asked)
 
 
-def search_substring(
-    threads: DataFrame, participants: DataFrame, query: str, mode: str = "and"
-) -> DataFrame:
-    """Keys of threads whose fields contain the words anywhere (A-Z folded).
-
-    One scan for a typed query; every character stands for itself.
-    """
-    typed = query.split()
-    if not typed:
-        return threads.select(*KEY)
+def _substring_flags(threads: DataFrame, participants: DataFrame, typed: list[str]) -> DataFrame:
+    """Keys with one flag per word: does any field contain it (A-Z folded)?"""
 
     def contains(field: Column, word: str) -> Column:
         return F.contains(ascii_lower(field), ascii_lower(F.lit(word)))
 
-    def listed(tags: Column) -> Column:
-        quoted = F.transform(F.coalesce(tags, F.array()), lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+    def listed(tags: str) -> Column:
+        quoted = F.transform(
+            F.coalesce(tags, F.array()), lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+        )
         return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
-    flags = [f"w{i}" for i in range(len(typed))]
-    fields = [F.coalesce("subject", F.lit("")), listed(F.col("ai_tags")), listed(F.col("user_tags"))]
-    head = threads.select(
-        *KEY,
-        *[
-            (contains(fields[0], w) | contains(fields[1], w) | contains(fields[2], w)).alias(f)
-            for f, w in zip(flags, typed)
-        ],
-    )
+    subject, ai, own = F.coalesce("subject", F.lit("")), listed("ai_tags"), listed("user_tags")
     address = F.concat(F.lit('"'), "address", F.lit('"'))
+    head = threads.select(*KEY, *[
+        (contains(subject, w) | contains(ai, w) | contains(own, w)).alias(f"w{i}")
+        for i, w in enumerate(typed)
+    ])
     people = participants.select(
-        *KEY, *[contains(address, w).alias(f) for f, w in zip(flags, typed)]
+        *KEY, *[contains(address, w).alias(f"w{i}") for i, w in enumerate(typed)]
     )
-    hit = F.lit(mode != "or")
-    for f in flags:
-        hit = (hit | F.col(f)) if mode == "or" else (hit & F.col(f))
-    return (
-        head.unionByName(people).groupBy(*KEY)
-        .agg(*[F.bool_or(f).alias(f) for f in flags])
-        .filter(hit).select(*KEY)
+    return head.unionByName(people).groupBy(*KEY).agg(
+        *[F.bool_or(f"w{i}").alias(f"w{i}") for i in range(len(typed))]
     )
 
 
+def search_substring(
+    threads: DataFrame, participants: DataFrame, query: str, mode: str = "and"
+) -> DataFrame:
+    """Keys of threads whose fields contain the words anywhere.
+
+    One scan for a typed query; every character stands for itself.
+    """
+    typed = query.split()
+    if not typed:
+        return threads.select(*KEY)
+    flags = [F.col(f"w{i}") for i in range(len(typed))]
+    hit = flags[0]
+    for flag in flags[1:]:
+        hit = hit | flag if mode == "or" else hit & flag
+    return _substring_flags(threads, participants, typed).filter(hit).select(*KEY)
+
+
 def precision_report(
     threads: DataFrame, participants: DataFrame, terms: DataFrame, typed: list[str]
 ) -> DataFrame:
-    """Per word: threads found by substring and by token."""
-    out = None
-    for word in typed:
-        loose = search_substring(threads, participants, word).agg(
-            F.lit(word).alias("word"), F.count("*").alias("by_substring"), F.lit(0).alias("by_token")
-        )
-        exact = terms.filter(F.col("token") == F.get(tokens(F.lit(word)), F.lit(0))).agg(
-            F.lit(word).alias("word"), F.lit(0).alias("by_substring"), F.count("*").alias("by_token")
-        )
-        both = loose.unionByName(exact)
-        out = both if out is None else out.unionByName(both)
-    return out.groupBy("word").agg(
-        F.sum("by_substring").alias("by_substring"), F.sum("by_token").alias("by_token")
+    """Per word: threads found by substring and by token, one scan each."""
+    flags = _substring_flags(threads, participants, typed)
+    loose = flags.agg(F.array(*[
+        F.struct(F.lit(w).alias("word"), F.count_if(f"w{i}").alias("by_substring"))
+        for i, w in enumerate(typed)
+    ]).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    folded = F.get(tokens(F.col("word")), F.lit(0))
+    counts = (
+        terms.filter(F.col("token").isin([F.get(tokens(F.lit(w)), F.lit(0)) for w in typed]))
+        .groupBy("token")
+        .agg(F.count("*").alias("by_token"))
+    )
+    return loose.join(counts, folded == F.col("token"), "left").select(
+        "word", "by_substring", F.coalesce("by_token", F.lit(0).cast("bigint")).alias("by_token")
     )
 
 

@@ -9,6 +9,7 @@ from threadlens.functions.tags import (
 )
 from threadlens.functions.text import TEXT_CAP, tokens
 from threadlens.schemas import KEY
+from threadlens.session import materialise
 
 # Fixed values -----------------------------------------------------------
 GROUP_SIZE = 10
@@ -22,7 +23,7 @@ def untagged(threads: DataFrame) -> DataFrame:
     return threads.filter(F.col("ai_tags").isNull() | (F.size("ai_tags") == 0))
 
 
-def tag_groups(pending: DataFrame, size: int = GROUP_SIZE, slices: int = 64) -> DataFrame:
+def tag_groups(pending: DataFrame, size: int = GROUP_SIZE, slices: int = 256) -> DataFrame:
     """Chunks of ``size`` threads per user: ``group_id`` = g0, g1, … and ``pos``.
 
     Numbering is per ``(user, slice of thread ids)`` plus the count of the
@@ -267,9 +268,11 @@ def retag(
     """Tag every untagged thread whose messages still exist: keys, tags, truncated."""
     tagger = tagger or frequent_token_tagger
     empty = untagged(threads)
-    alive = content_of(messages.join(empty.select(*KEY), KEY, "left_semi"))
+    alive = materialise(
+        content_of(messages.join(empty.select(*KEY), KEY, "left_semi")), "content"
+    )
     pending = empty.join(alive.select(*KEY), KEY, "left_semi")
-    groups = tag_groups(pending.select(*KEY))
+    groups = materialise(tag_groups(pending.select(*KEY)), "groups")
     people = participants.join(pending.select(*KEY), KEY, "left_semi")
     lines = request_lines(groups, tag_inputs(pending, alive), people)
     replies = tagger(lines).select(

@@ -89,6 +89,8 @@ def folder_tree(folders: DataFrame, excluded: DataFrame) -> DataFrame:
     ``folders(user_id, folder_id, parent_id, name)``; roots have no parent.
     """
     spark = folders.sparkSession
+    # The default row bound of recursive queries would refuse large archives.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     allowed = folders.join(
         excluded.select("user_id", "folder_id").distinct(), ["user_id", "folder_id"], "left_anti"
     )
