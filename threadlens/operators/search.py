@@ -152,7 +152,7 @@ def match(terms: DataFrame, positions: DataFrame, queries: DataFrame) -> DataFra
     found = _with_phrases(_units_with_all_tokens(ix), ix)
     once = found.select(F.col("query_id").alias("first_id"), *KEY).distinct()
     copies = asked.join(first, text).select("query_id", "first_id")
-    return materialise(once.join(ix.hint(copies), "first_id").select("query_id", *KEY), "hits")
+    return materialise(once.join(copies, "first_id").select("query_id", *KEY), "hits")
 
 
 # Filters ------------------------------------------------------------------
