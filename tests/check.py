@@ -33,7 +33,7 @@ def cell(v):
     if v is None or v != v:
         return "∅"
     if isinstance(v, float):
-        return f"{v:.6g}"
+        return repr(v + 0.0)
     return str(v)
 
 

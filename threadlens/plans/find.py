@@ -22,7 +22,9 @@ def typed(spark, rows: list[tuple]):
 
 def doc_hits(spark, sf, rows):
     _, _, terms, positions = doc_index(spark, sf)
-    return search.match(terms, positions, typed(spark, rows)).select("query_id", *KEY)
+    return search.match(terms, positions, typed(spark, rows)).select(
+        F.col("query_id").cast("int").alias("query_id"), *KEY
+    )
 
 
 def has(word: str) -> str:
@@ -186,10 +188,10 @@ def search_substring(spark, sf):
     WITH {DOC_SQL},
     w AS (SELECT unnest(['the', 'ion', 'src1', 'with']) AS word)
     SELECT word,
-           count_if(contains(lower(t.subject), word)
+           count(nullif(contains(lower(t.subject), word)
                OR (t.is_tagged = 1 AND (contains('["' || t.lang || '", "' || t.source || '"]', word)))
-               OR contains(t.address_1, word) OR contains(t.address_2, word)) AS by_substring,
-           count_if(list_contains(d.toks, word)) AS by_token
+               OR contains(t.address_1, word) OR contains(t.address_2, word), false)) AS by_substring,
+           count(nullif(list_contains(d.toks, word), false)) AS by_token
     FROM w, dt t JOIN doc_flat d USING (user_id, thread_id) GROUP BY word
 """)
 def search_precision(spark, sf):
@@ -251,7 +253,8 @@ def search_filtered(spark, sf):
     found = search.search_threads(
         threads, index.terms(threads, people), index.positions(threads, people), queries, limit=5
     )
-    return found.select("query_id", *KEY, "subject", "date_first", "date_last", "total",
+    return found.select(F.col("query_id").cast("int").alias("query_id"), *KEY, "subject", "date_first",
+                        "date_last", "total",
                         F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -420,7 +423,7 @@ def new_in_round(spark, sf):
 
 @query("round_summary", f"""
     WITH {MULTI_SQL},
-    asked AS (SELECT session_id, round, count(*) AS asked, count_if(query_id % 11 = 4) AS failed
+    asked AS (SELECT session_id, round, count(*) AS asked, count(nullif(query_id % 11 = 4, false)) AS failed
               FROM qs GROUP BY ALL),
     found AS (SELECT m.session_id, m.round, count(*) AS found,
                      string_agg(t.subject || ' | ' || substring(t.date_first, 1, 10), chr(10)

@@ -457,8 +457,8 @@ def union_changes(spark, sf):
 
 @query("archive_composition", f"""
     WITH {header_sql('line_messages')}
-    SELECT count(*) AS threads, count_if(has_attachments) AS with_attachments,
-           count_if(n_messages > 1) AS with_replies FROM head
+    SELECT count(*) AS threads, count(nullif(has_attachments, false)) AS with_attachments,
+           count(nullif(n_messages > 1, false)) AS with_replies FROM head
 """)
 def archive_composition(spark, sf):
     return th.composition(th.build_threads(kept_messages(spark, sf, "line_messages")))
@@ -646,7 +646,7 @@ def extract_text(spark, sf):
             yield b.assign(content=out)
 
     packed = files.mapInPandas(pack, files.schema)
-    return att.extract_text(packed).select("doc_id", "text", F.length("text").alias("chars"))
+    return att.extract_text(packed).select("doc_id", "text", F.length("text").cast("bigint").alias("chars"))
 
 
 # Export, import, snapshots -----------------------------------------------------------
@@ -670,7 +670,7 @@ def export_threads(spark, sf):
 
 @query("snapshot", f"""
     WITH {CHAT_SQL}
-    SELECT count(*) AS threads, count_if(len(ai_tags) > 0) AS tagged,
+    SELECT count(*) AS threads, count(nullif(len(ai_tags) > 0, false)) AS tagged,
            (SELECT count(*) FROM customer) AS users, true AS verified FROM chat
 """)
 def snapshot(spark, sf):

@@ -207,7 +207,7 @@ def j_legacy_claim(spark, sf):
 
 @query("claim_counts", f"""
     WITH {_TWO_TENANTS}
-    SELECT count_if(thread_id NOT IN (SELECT thread_id FROM both_have)) AS moved,
+    SELECT count(nullif(thread_id NOT IN (SELECT thread_id FROM both_have), false)) AS moved,
            (SELECT count(*) FROM both_have) AS duplicates
     FROM two WHERE user_id = 'old'
 """)
@@ -434,7 +434,7 @@ def untagged_by_user(spark, sf):
 
 
 @query("j_untagged_users", f"""
-    SELECT count(*) AS users, count_if(email = user_id) AS unknown, sum(untagged)::BIGINT AS untagged
+    SELECT count(*) AS users, count(nullif(email = user_id, false)) AS unknown, sum(untagged)::BIGINT AS untagged
     FROM ({_UNTAGGED})
 """)
 def j_untagged_users(spark, sf):
@@ -446,7 +446,7 @@ def j_untagged_users(spark, sf):
 
 
 @query("count_threads", """
-    SELECT user_id, count(*) AS threads, count_if(tag_1 = '') AS untagged FROM {order_threads} GROUP BY ALL
+    SELECT user_id, count(*) AS threads, count(nullif(tag_1 = '', false)) AS untagged FROM {order_threads} GROUP BY ALL
 """)
 def count_threads(spark, sf):
     return usage.counts(_order_tags(spark, sf))
@@ -454,7 +454,7 @@ def count_threads(spark, sf):
 
 @query("describe_counts", f"""
     WITH {CHAT_SQL}
-    SELECT count(*) AS threads, count_if(len(ai_tags) > 0) AS tagged,
+    SELECT count(*) AS threads, count(nullif(len(ai_tags) > 0, false)) AS tagged,
            (SELECT count(*) FROM customer) AS users FROM chat
 """)
 def describe_counts(spark, sf):

@@ -55,7 +55,7 @@ def _docs_as_tags(spark, sf):
 
 @query("tag_cleanup_stats", f"""
     WITH {_TAGGED_DOCS}
-    SELECT count(*) AS scanned, count_if(old <> new) AS changed,
+    SELECT count(*) AS scanned, count(nullif(old <> new, false)) AS changed,
            CAST(sum(CASE WHEN old <> new THEN len(old) - len(new) ELSE 0 END) AS BIGINT) AS removed
     FROM cleaned
 """)
@@ -135,7 +135,7 @@ def _doc_groups(spark, sf):
 
 
 @query("w_tag_groups", """
-    SELECT user_id, group_id, count(*) AS n, count(*) AS positions, 0 AS first_pos,
+    SELECT user_id, group_id, count(*) AS n, count(*) AS positions, CAST(0 AS BIGINT) AS first_pos,
            count(*) - 1 AS last_pos
     FROM (SELECT user_id, 'g' || CAST((row_number() OVER (PARTITION BY user_id ORDER BY thread_id) - 1) // 10
                  AS VARCHAR) AS group_id FROM {doc_threads})
