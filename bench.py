@@ -30,7 +30,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-    from threadlens.plans.catalog import QUERIES
+    from threadlens.plans.queries import QUERIES
     from threadlens.plans.common import doc_index
     from threadlens.session import builder
 

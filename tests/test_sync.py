@@ -1,7 +1,6 @@
 """The sync query: cursor safety, replays, deletions, tags that survive."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from test_threads import frame, message

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlens.operators import index, threads as th
-from threadlens.schemas import KEY
 from threadlens.session import scratch
 from threadlens.sources import adapters
 

@@ -14,7 +14,6 @@ from threadlens.plans.registry import query
 from threadlens.schemas import KEY
 from threadlens.sources import adapters
 
-NOISY = "'  ' || w || chr(9)"
 
 
 def _noisy_tags():
