@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, database
+from threadlens.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +14,9 @@ def con():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    n, problem = compare(spark, con, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    n, problem = compare(spark, con, QUERIES[name], ORACLES.get(name), SF)
     assert problem is None, problem
 
 
