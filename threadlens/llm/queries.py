@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import packing, rules
 
-MODULES = (rules,)
+MODULES = (rules, packing)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
