@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, rules, tokenfile
+from . import decontaminate, langid, packing, rules, tokenfile
 
-MODULES = (rules, packing, tokenfile)
+MODULES = (rules, packing, tokenfile, langid, decontaminate)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
