@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, pii, rules, tokenfile
+from . import decontaminate, langid, ngram_join, packing, pii, rules, tokenfile
 
-MODULES = (rules, packing, tokenfile, langid, decontaminate, pii)
+MODULES = (rules, packing, tokenfile, langid, decontaminate, pii, ngram_join)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
