@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
 #: Pieces remembered by a worker before it starts anew, and the longest one that is remembered.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 1_200_000, 64
 
 _beside_a_space = re.compile(r" \s|[^\S ] ")
+_other_spaces = re.compile(r"[^\S \n]")
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -51,7 +53,9 @@ class Encoder:
     @staticmethod
     def _spaced(text: str) -> list[str]:
         # A space beside other white space belongs to it: such a text stays whole.
-        if "\0" in text or _beside_a_space.search(text):
+        if "\0" in text or "  " in text or " \n" in text or "\n " in text:
+            return [text]
+        if _other_spaces.search(text) and _beside_a_space.search(text):
             return [text]
         return text.replace(" ", "\0 ").split("\0")
 
@@ -63,7 +67,7 @@ class Encoder:
         new = [w for w in set().union(*cut) if w not in known]
         long: dict[str, bytes] = {}
         for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (known if len(w) <= LONGEST else long)[w] = np.array(e.ids, "<u4").tobytes()
+            (known if len(w) <= LONGEST else long)[w] = array("I", e.ids).tobytes()
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         if not long:
             return [b"".join(map(known.__getitem__, words)) + tail for words in cut]
