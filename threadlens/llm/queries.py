@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, ngram_join, packing, pii, rules, tokenfile
+from . import bytecnn, decontaminate, langid, ngram_join, packing, pii, reshard, rules, tokenfile, warc
 
-MODULES = (rules, packing, tokenfile, langid, decontaminate, pii, ngram_join)
+MODULES = (rules, packing, tokenfile, langid, decontaminate, pii, ngram_join, reshard, warc, bytecnn)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
