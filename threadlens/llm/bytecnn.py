@@ -30,6 +30,8 @@ WIDTH, FILTERS, CHUNK = 4, 16, 512
 STRIDE = CHUNK - WIDTH + 1
 #: Chunks of a text that training sees, and the rows it sees at most.
 CHUNKS, MOST_ROWS = 4, 4000
+#: Steps that training takes at least, for small samples.
+LEAST_STEPS = 300
 #: Bytes of text whose responses are in memory at once.
 RUN_BYTES = 1 << 20
 
@@ -53,11 +55,14 @@ class Network:
         """Tables of the sums for two bytes, so that a window costs two look-ups."""
         return [(self.filters[w][:, None] + self.filters[w + 1][None]).reshape(65536, FILTERS) for w in range(0, WIDTH, 2)]
 
-    def pooled(self, texts: list[bytes], pairs: list[np.ndarray]) -> np.ndarray:
-        """The mean of the chunks' pooled vectors for each text; the texts fit in memory together."""
-        gap = b"\0" * (WIDTH - 1)
+    def pooled(self, texts: list[bytes], pairs: list[np.ndarray], after: bytes = b"") -> np.ndarray:
+        """The mean of the chunks' pooled vectors for each text; the texts fit in memory together.
+
+        ``after`` is what follows a piece in its text, zeros at the end of one.
+        """
+        gap = after.ljust(WIDTH - 1, b"\0")[:WIDTH - 1]
         lengths = np.array([len(t) for t in texts])
-        data = np.frombuffer(gap.join([*texts, b""]) + gap, np.uint8)
+        data = np.frombuffer(gap.join([*texts, b""]) + b"\0" * (WIDTH - 1), np.uint8)
         begins = np.concatenate([[0], np.cumsum(lengths + WIDTH - 1)[:-1]])
         two = data[:-1].astype(np.intp) << 8 | data[1:]
         n = int((lengths + WIDTH - 1).sum()) - (WIDTH - 1)
@@ -85,10 +90,9 @@ class Network:
             if len(t) > RUN_BYTES:
                 step, parts, weights = RUN_BYTES // STRIDE * STRIDE, [], []
                 for a in range(0, len(t), step):
-                    piece = t[a:a + step + WIDTH - 1]
-                    own = min(step, len(t) - a)
-                    parts.append(self.pooled([piece[:own + WIDTH - 1]], pairs)[0] if own else 0)
-                    weights.append(-(-own // STRIDE))
+                    piece = t[a:a + step]
+                    parts.append(self.pooled([piece], pairs, t[a + step:a + step + WIDTH - 1])[0])
+                    weights.append(-(-len(piece) // STRIDE))
                 out[k] = np.average(parts, axis=0, weights=weights)
                 continue
             if group and size + len(t) > RUN_BYTES:
@@ -121,6 +125,7 @@ def trained(bags: list[list[bytes]], labels: np.ndarray, epochs: int = 14, batch
         rows[k, :len(c)] = np.frombuffer(c, np.uint8)
         valid[k] = len(c)
     begins = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(bags)))
     params[3][0] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     places = np.arange(CHUNK)
     for epoch in range(epochs):

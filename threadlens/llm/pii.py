@@ -258,7 +258,7 @@ def redacted(docs: DataFrame, take: list[int], text: str = "text") -> DataFrame:
 
 def masked(text: str, chosen: frozenset[int]) -> str:
     base = base_spans(text)
-    spans = sorted([*base, *[s[:3] for s in candidates(text, base) if s[3] in chosen]])
+    spans = sorted([*base, *[s[:3] for s in candidates(text, base) if s[3] in chosen]], key=lambda s: (s[0], -s[1]))
     out, at = [], 0
     for start, end, kind in spans:
         if start >= at:
