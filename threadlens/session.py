@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,18 +27,24 @@ def builder(app: str = "threadlens") -> SparkSession.Builder:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder every executor can reach.
+    """A fresh path in the run folder, which driver and executors share."""
+    return os.path.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    session may do without it.
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables.
+
+    The cluster names the root in ``spark.checkpoint.dir``; where that is unset,
+    the warehouse is the root.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="threadlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, "threadlens", f"{name}-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(root, "threadlens", spark.sparkContext.applicationId)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Remove the run folder, once no result that reads from it is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name: str):
