@@ -1,6 +1,7 @@
 """The sync query: cursor safety, replays, deletions, tags that survive."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from test_threads import frame, message
@@ -28,8 +29,10 @@ class Box:
         data = [("u", "inbox", t, r, i) for i, (t, r) in enumerate(changes)]
         self.spark.createDataFrame(data, CHANGES).coalesce(1).write.mode("append").parquet(self.feed)
 
-    def run(self, at="now", checkpoint=None):
-        sync.start_sync(self.spark, self.feed, self.root, checkpoint or self.cursor, self.mailbox, at).awaitTermination()
+    def run(self, at="now", checkpoint=None, index=False):
+        sync.start_sync(
+            self.spark, self.feed, self.root, checkpoint or self.cursor, self.mailbox, at, index=index
+        ).awaitTermination()
 
     def stored(self, *columns):
         return rows(sync.current(self.spark, self.root), *columns)
@@ -70,14 +73,70 @@ def test_tags_survive_and_new_mail_updates(box, spark):
     box.report(("t1", None))
     box.run("one")
     keys = "user_id string, thread_id string, tags array<string>, truncated boolean"
-    sync.append_tags(spark, box.root, spark.createDataFrame([("u", "t1", ["paid"], False)], keys), 1)
+    sync.append_tags(spark, box.root, spark.createDataFrame([("u", "t1", ["paid"], False)], keys))
     box.messages += [message("b", "t1", date="2020-02-02", from_addr="new@x", seq=2)]
     box.report(("t1", None))
-    box.run("two", checkpoint=scratch(spark, "cursor2"))
+    box.run("two")
     assert box.stored("subject", "date_last", "n_messages", "ai_tags") == [("old", "2020-02-02", 2, ["paid"])]
     child = sync.current_child(spark, box.root, "thread_messages")
     assert rows(child, "message_id") == [("a",), ("b",)]
     assert ("new@x",) in rows(sync.current_child(spark, box.root, "participants"), "address")
+    # A second and a third round on the same checkpoint, one with a repeated call.
+    again = spark.createDataFrame([("u", "t1", ["paid", "twice"], False)], keys)
+    for _ in range(2):
+        assert sync.append_tags(spark, box.root, again, 1) == 1
+    box.messages += [message("c", "t1", date="2020-03-03", seq=3), message("d", "t2", seq=4)]
+    box.report(("t1", None), ("t2", None))
+    box.run("three")
+    assert box.stored("thread_id", "n_messages", "ai_tags") == [("t1", 3, ["paid", "twice"]), ("t2", 1, [])]
+
+
+def test_tags_end_with_their_thread(box, spark):
+    box.messages = [message("a", "t1")]
+    box.report(("t1", None))
+    box.run("one")
+    keys = "user_id string, thread_id string, tags array<string>, truncated boolean"
+    sync.append_tags(spark, box.root, spark.createDataFrame([("u", "t1", ["paid"], False)], keys))
+    box.messages = []
+    box.report((None, "a"))
+    box.run("two")
+    assert box.stored("thread_id") == []
+    box.messages = [message("b", "t1")]
+    box.report(("t1", None))
+    box.run("three")
+    assert box.stored("thread_id", "ai_tags") == [("t1", [])]
+
+
+def test_index_follows_syncs_and_tags(box, spark):
+    def found(token):
+        return rows(sync.postings(spark, box.root, "terms").filter(F.col("token") == token), "thread_id")
+
+    box.mailbox.excluded = ()
+    box.messages = [message("a", "t1", subject="alpha"), message("b", "t2", subject="beta", seq=2)]
+    box.report(("t1", None), ("t2", None))
+    box.run("one", index=True)
+    assert found("alpha") == [("t1",)] and found("beta") == [("t2",)]
+    keys = "user_id string, thread_id string, tags array<string>, truncated boolean"
+    sync.append_tags(spark, box.root, spark.createDataFrame([("u", "t1", ["paid"], False)], keys), index=True)
+    assert found("paid") == [("t1",)] and found("alpha") == [("t1",)]
+    box.messages = box.messages[:1] + [message("c", "t1", date="2030-01-01", from_addr="gamma@x", seq=3)]
+    box.report(("t1", None), (None, "b"))
+    box.run("two", index=True)
+    assert found("beta") == [] and found("gamma") == [("t1",)] and found("paid") == [("t1",)]
+    assert sync.postings(spark, box.root, "positions").filter("token = 'paid'").count() == 1
+
+
+def test_a_batch_reads_only_its_buckets(box, spark):
+    stored = scratch(spark, "box")
+    sync.store_mailbox(frame(spark, *[message(str(k), f"t{k}", seq=k) for k in range(60)]), stored)
+    box.mailbox = sync.Mailbox(lambda s: s.read.parquet(stored))
+    box.report(*[(f"t{k}", None) for k in range(60)])
+    box.run("one")
+    assert len(box.stored("thread_id")) == 60
+    log = sync._log(spark, box.root, "threads", sync.THREADS, None, [3])
+    scan = log._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1].split("]")[0]
+    assert {r[0].split("bucket=")[1][0] for r in log.select(F.input_file_name()).collect()} <= {"3"}
 
 
 def test_removed_message_forces_and_deletes(box, spark):
@@ -107,10 +166,10 @@ def test_replayed_batch_leaves_the_same_rows(box, spark):
 def test_attachments_reach_the_thread_row(box, spark):
     box.messages = [message("a", "t1", has_attachments=True)]
     box.mailbox.meta = lambda s: s.createDataFrame(
-        [("a", "1", "x.pdf", "", 7)],
-        "message_id string, attachment_id string, name string, content_type string, size bigint")
+        [("u", "a", "1", "x.pdf", "", 7), ("other", "a", "2", "y.pdf", "", 99)],
+        "user_id string, message_id string, attachment_id string, name string, content_type string, size bigint")
     box.mailbox.texts = lambda s: s.createDataFrame(
-        [], "message_id string, attachment_id string, text string")
+        [], "user_id string, message_id string, attachment_id string, text string")
     box.report(("t1", None))
     box.run()
     assert box.stored("max_attachment_size", "attachments_incomplete") == [(7, True)]
@@ -136,7 +195,7 @@ def test_sync_then_tag(box, spark):
     threads = sync.current(spark, box.root)
     people = sync.current_child(spark, box.root, "participants")
     tags = tagging.retag(threads, box.read(spark), people, thread_content)
-    sync.append_tags(spark, box.root, tags, 1)
+    sync.append_tags(spark, box.root, tags)
     assert box.stored("ai_tags")[0][0][0] == "invoice"
     assert tagging.untagged(sync.current(spark, box.root)).count() == 0
 
@@ -150,10 +209,16 @@ def test_usage_stream_counts_by_event_day(spark):
         t(user_id, ts, day, batched, input_tokens, output_tokens, cache_read_tokens)""")
     e.write.parquet(folder)
     stream = spark.readStream.schema(USAGE_EVENTS).parquet(folder)
-    q = usage.usage_stream(stream).writeStream.outputMode("complete").format("memory").queryName("usage_days")
-    q.option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert rows(spark.table("usage_days"), "day", "batched", "requests", "input_tokens") == [
+    root, cursor = scratch(spark, "counters"), scratch(spark, "cp")
+    usage.start_usage(stream, root, cursor).awaitTermination()
+    assert rows(usage.usage_counters(spark, root), "day", "batched", "requests", "input_tokens") == [
         ("2024-01-31", True, 1, 1), ("2024-02-01", False, 2, 101), ("2024-02-01", True, 1, 10)]
+    # Usage that is reported months late still counts.
+    late = spark.sql("SELECT 'u' user_id, timestamp'2023-06-01 00:00:00' ts, '' day, true batched, 5L input_tokens, null output_tokens, 1L cache_read_tokens")
+    late.selectExpr("user_id", "ts", "day", "batched", "input_tokens", "CAST(output_tokens AS BIGINT) output_tokens", "cache_read_tokens").write.mode("append").parquet(folder)
+    usage.start_usage(stream, root, cursor).awaitTermination()
+    assert ("2023-06-01", True, 1, 5, 0) in rows(
+        usage.usage_counters(spark, root), "day", "batched", "requests", "input_tokens", "output_tokens")
 
 
 def test_heartbeat_goes_stale_in_silence(spark):

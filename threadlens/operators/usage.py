@@ -11,8 +11,11 @@ DAY_KEY = ["user_id", "day", "batched"]
 
 
 def usage_daily(events: DataFrame) -> DataFrame:
-    """Counters per user, day and kind of request; works on a stream too."""
+    """Counters per user, day and kind of request."""
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    if "ts" in events.columns:  # events that do not name their day
+        own = F.date_format("ts", "yyyy-MM-dd")
+        events = events.withColumn("day", F.coalesce(F.nullif("day", F.lit("")), own))
     return events.groupBy(*DAY_KEY).agg(
         F.count("*").alias("requests"),
         F.sum(zero("input_tokens")).alias("input_tokens"),

@@ -2,9 +2,20 @@
 
 Change rows arrive as a stream; its checkpoint is the cursor of every source.
 A micro-batch rebuilds the touched threads from the mailbox and appends their
-new rows to a log under ``<root>/<table>/batch=<id>``. The batch folder is
-overwritten, so a replayed batch leaves the same rows. If anything fails the
-batch raises and the checkpoint does not move.
+new rows to a log under ``<root>/<table>/batch=<id>/bucket=<k>``. The batch
+folder is overwritten, so a replayed batch leaves the same rows. If anything
+fails the batch raises and the checkpoint does not move.
+
+Buckets are hash ranges of ``(user_id, thread_id)``. A batch collects the numbers
+of its buckets (at most ``BUCKETS``) and reads only their folders.
+
+Tags are a log of their own (``tags/seq=<n>``) that no sync writes, so syncs and
+taggers never take each other's numbers. A tag row names the last batch that its
+tagger saw; it counts for the thread as long as the thread was not deleted and
+created anew after that batch.
+
+With ``index`` a sync also keeps the token index (``terms``, ``positions``) of the
+threads that it or :func:`append_tags` changed, by the same kind of log.
 
 The current table is the newest row per thread (:func:`current`), so a batch
 costs what it changes; :func:`compact` folds the log into a new base.
@@ -15,12 +26,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from threadlens.operators import attachments as att
+from threadlens.operators import index as ix
 from threadlens.operators import mutate, threads as th
-from threadlens.operators.tagging import set_tags
+from threadlens.operators.tagging import last_rows
 from threadlens.schemas import ATTACHMENTS, CHANGES, KEY, PARTICIPANTS, THREAD_MESSAGES, THREADS
 from threadlens.session import materialise
 from threadlens.sources.changes import read_changes
@@ -28,9 +40,28 @@ from threadlens.sources.changes import read_changes
 CHILDREN = {
     "thread_messages": THREAD_MESSAGES, "participants": PARTICIPANTS, "attachments": ATTACHMENTS,
 }
+POSTINGS = {
+    "terms": "user_id string, thread_id string, token string",
+    "positions": "user_id string, thread_id string, pos bigint, token string",
+}
+HOLDERS = "user_id string, message_id string, thread_id string"
+TAGS = "user_id string, thread_id string, tags array<string>, truncated boolean, as_of bigint"
+BUCKETS = 16
+#: Room for the tag changes between two batches in the order of index entries.
+TURNS = 1 << 31
+
+
+def bucket(*columns: str) -> Column:
+    """The bucket of a thread, or of other keys."""
+    return F.pmod(F.xxhash64(*(columns or KEY)), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Mailbox:
-    """Where a sync reads: messages, and optionally attachments with texts."""
+    """Where a sync reads: messages, and optionally attachments with texts.
+
+    Messages stored by :func:`store_mailbox` are read by bucket.
+    """
 
     messages: Callable[[SparkSession], DataFrame]
     excluded: tuple[str, ...] = ()
@@ -38,25 +69,43 @@ class Mailbox:
     texts: Callable[[SparkSession], DataFrame] | None = None
 
 
+def store_mailbox(messages: DataFrame, path: str) -> None:
+    """Messages in bucket folders, so that a sync scans those of its threads."""
+    messages.withColumn("bucket", bucket()).repartition(BUCKETS, "bucket").write.partitionBy(
+        "bucket").mode("append").parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _log(spark: SparkSession, root: str, table: str, ddl: str, before: int | None) -> DataFrame:
+def _numbers(keys: DataFrame, *columns: str) -> list[int]:
+    """The buckets of some keys, at most ``BUCKETS`` numbers."""
+    return [r[0] for r in keys.select(bucket(*columns)).distinct().collect()]
+
+
+def _log(
+    spark: SparkSession, root: str, table: str, ddl: str, before: int | None,
+    buckets: list[int] | None = None, number: str = "batch",
+) -> DataFrame:
     path = f"{root}/{table}"
-    schema = T.StructType.fromDDL(f"{ddl}, deleted boolean, content_batch bigint, batch bigint")
+    kept = "" if number != "batch" else ", deleted boolean, content_batch bigint, created_batch bigint"
+    schema = T.StructType.fromDDL(f"{ddl}{kept}, {number} bigint, bucket int")
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+    if buckets is not None:
+        rows = rows.filter(F.col("bucket").isin(buckets))
+    return (rows if before is None else rows.filter(F.col(number) < before)).drop("bucket")
 
 
 def _rows(
-    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None
+    spark: SparkSession, root: str, before: int | None = None, keys: DataFrame | None = None,
+    buckets: list[int] | None = None,
 ) -> DataFrame:
-    """Newest thread rows. ``keys`` thins the log before rows are grouped."""
-    rows = _log(spark, root, "threads", THREADS, before)
+    """Newest thread rows. ``keys`` and ``buckets`` thin the log before rows are grouped."""
+    rows = _log(spark, root, "threads", THREADS, before, buckets)
     if keys is not None:
         rows = rows.join(keys.select(*KEY), KEY, "left_semi")
     rest = [c for c in rows.columns if c not in (*KEY, "batch")]
@@ -64,39 +113,61 @@ def _rows(
     return latest.filter(~F.col("t.deleted")).select(*KEY, "t.*").drop("deleted")
 
 
+def _tagged(spark: SparkSession, root: str, rows: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+    """Thread rows with their newest tags."""
+    log = _log(spark, root, "tags", TAGS, None, buckets, "seq")
+    newest = last_rows(log, KEY, "seq")
+    hit = F.coalesce(F.col("as_of") >= F.col("created_batch"), F.lit(False))
+    return rows.join(newest, KEY, "left").withColumns({
+        "ai_tags": F.when(hit, F.col("tags")).otherwise(F.col("ai_tags")),
+        "tags_truncated": F.when(hit, F.col("truncated")).otherwise(F.col("tags_truncated")),
+    }).drop("tags", "truncated", "as_of")
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The threads table: newest row per key, deleted keys left out."""
-    return _rows(spark, root).drop("content_batch")
+    """The threads table: newest row per key with its tags, deleted keys left out."""
+    return _tagged(spark, root, _rows(spark, root)).drop("content_batch", "created_batch")
 
 
 def current_child(
-    spark: SparkSession, root: str, table: str, before: int | None = None, only=None
+    spark: SparkSession, root: str, table: str, before: int | None = None, keys: DataFrame | None = None,
+    buckets: list[int] | None = None,
 ) -> DataFrame:
-    """A child table: the rows of the batch that last rebuilt each thread.
-
-    ``only`` thins the child rows first; just their threads are looked up then.
-    """
-    rows = _log(spark, root, table, CHILDREN[table], before).drop("deleted", "content_batch")
-    keys = None
-    if only is not None:
-        rows = only(rows)
-        keys = rows.select(*KEY).distinct()
-    newest = _rows(spark, root, before, keys).select(*KEY, F.col("content_batch").alias("batch"))
+    """A child table: the rows of the batch that last rebuilt each thread."""
+    rows = _log(spark, root, table, CHILDREN[table], before, buckets).drop(
+        "deleted", "content_batch", "created_batch")
+    if keys is not None:
+        rows = rows.join(keys.select(*KEY), KEY, "left_semi")
+    newest = _rows(spark, root, before, keys, buckets).select(*KEY, F.col("content_batch").alias("batch"))
     return rows.join(newest, [*KEY, "batch"], "left_semi").drop("batch")
 
 
-def _append(df: DataFrame, root: str, table: str, ddl: str, batch: int) -> None:
-    fields = T.StructType.fromDDL(f"{ddl}, deleted boolean, content_batch bigint").fields
-    given = {"deleted": F.lit(False), "content_batch": F.lit(batch)}
-    df.select(*[
+def _append(df: DataFrame, root: str, table: str, ddl: str, batch: int, number: str = "batch") -> None:
+    kept = "" if number != "batch" else ", deleted boolean, content_batch bigint, created_batch bigint"
+    fields = T.StructType.fromDDL(f"{ddl}{kept}").fields
+    given = {"deleted": F.lit(False), "content_batch": F.lit(batch), "created_batch": F.lit(batch)}
+    place = bucket("user_id", "message_id") if table == "holders" else bucket()
+    rows = df.select(*[
         (F.col(f.name) if f.name in df.columns else given.get(f.name, F.lit(None)))
         .cast(f.dataType).alias(f.name)
         for f in fields
-    ]).write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
+    ], place.alias("bucket"))
+    rows.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{root}/{table}/{number}={batch}")
+
+
+def _holders(spark: SparkSession, root: str, removed: DataFrame, batch: int) -> DataFrame:
+    """The current child rows of removed messages, found through their bucketed message ids."""
+    found = _log(
+        spark, root, "holders", HOLDERS, batch, _numbers(removed, "user_id", "message_id"), "at"
+    ).join(removed, ["user_id", "message_id"], "left_semi").select(*KEY).distinct()
+    keys = materialise(found, "holders")
+    rows = current_child(spark, root, "thread_messages", batch, keys, _numbers(keys))
+    return rows.join(removed, ["user_id", "message_id"], "left_semi")
 
 
 def apply_batch(
-    changes: DataFrame, batch: int, root: str, mailbox: Mailbox, synced_at: str
+    changes: DataFrame, batch: int, root: str, mailbox: Mailbox, synced_at: str, index: bool = False
 ) -> None:
     """One micro-batch: touched threads rebuilt, compared, stored.
 
@@ -106,24 +177,22 @@ def apply_batch(
     spark = changes.sparkSession
     removed = changes.filter("removed_message_id is not null").select(
         "user_id", F.col("removed_message_id").alias("message_id")
-    )
-    holders = current_child(
-        spark, root, "thread_messages", batch,
-        only=lambda rows: rows.join(removed, ["user_id", "message_id"], "left_semi"),
-    )
-    touched = materialise(th.touched(changes, holders), "touched")
+    ).distinct()
+    touched = materialise(th.touched(changes, _holders(spark, root, removed, batch)), "touched")
+    buckets = _numbers(touched)
+    source = mailbox.messages(spark)
+    if "bucket" in source.columns:
+        source = source.filter(F.col("bucket").isin(buckets)).drop("bucket")
     mail = materialise(
-        th.drop_containers(mailbox.messages(spark), list(mailbox.excluded)).join(
-            touched.select(*KEY), KEY, "left_semi"
-        ), "mail",
+        th.drop_containers(source, list(mailbox.excluded)).join(touched.select(*KEY), KEY, "left_semi"), "mail",
     )
-    known = materialise(_rows(spark, root, batch, touched), "known")
+    known = materialise(_rows(spark, root, batch, touched, buckets), "known")
     rebuilt = th.build_threads(mail)
     changed = materialise(th.changed_threads(known, rebuilt, touched.filter("forced")), "changed")
     keys = changed.select(*KEY)
     gone = known.select(*KEY).join(mail.select(*KEY), KEY, "left_anti")
     kept_mail = mail.join(keys, KEY, "left_semi")
-    child = th.thread_messages(kept_mail)
+    child = materialise(th.thread_messages(kept_mail), "child")
     rows = changed.join(th.thread_content(kept_mail).drop("body_text"), KEY, "left")
     if mailbox.meta is not None:
         files = materialise(
@@ -142,30 +211,69 @@ def apply_batch(
         "last_synced": F.lit(synced_at),
     })
     old = known.drop("content_batch").join(keys, KEY, "left_semi")
-    stored = mutate.store_untagged(old, rows).withColumn("deleted", F.lit(False))
+    stored = mutate.store_untagged(old, rows).withColumns({
+        "deleted": F.lit(False), "created_batch": F.coalesce("created_batch", F.lit(batch))})
     out = stored.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+    _append(child.select("user_id", "message_id", "thread_id"), root, "holders", HOLDERS, batch, "at")
     _append(child, root, "thread_messages", THREAD_MESSAGES, batch)
     _append(th.participants(kept_mail), root, "participants", PARTICIPANTS, batch)
     # The thread rows go last: they make the batch visible.
     _append(out, root, "threads", THREADS, batch)
+    if index:
+        _index(spark, root, keys.unionByName(gone), batch * TURNS)
 
 
-def append_tags(spark: SparkSession, root: str, tags: DataFrame, batch: int) -> None:
-    """Store tagger results as a batch of their own (ids above all sync batches)."""
-    keys = tags.select(*KEY)
-    _append(set_tags(_rows(spark, root, keys=keys), tags), root, "threads", THREADS, batch)
+def _last_batch(spark: SparkSession, root: str) -> int:
+    last = _log(spark, root, "threads", THREADS, None).agg(F.max("batch")).first()[0]
+    return -1 if last is None else last
+
+
+def append_tags(
+    spark: SparkSession, root: str, tags: DataFrame, seq: int | None = None, index: bool = False
+) -> int:
+    """Store tagger results; returns their number, under which a failed call can be repeated."""
+    if seq is None:
+        last = _log(spark, root, "tags", TAGS, None, None, "seq").agg(F.max("seq")).first()[0]
+        seq = 0 if last is None else last + 1
+    as_of = _last_batch(spark, root)
+    kept = tags.select(*KEY, "tags", "truncated", *[c for c in ("seq",) if c in tags.columns])
+    rows = materialise(last_rows(kept, KEY, "seq").withColumn("as_of", F.lit(as_of)), "tags")
+    _append(rows, root, "tags", TAGS, seq, "seq")
+    if index:
+        _index(spark, root, rows, as_of * TURNS + seq + 1)
+    return seq
+
+
+def _index(spark: SparkSession, root: str, changed: DataFrame, turn: int) -> None:
+    """Postings of the changed threads as they are now; their older ones no longer count."""
+    changed = materialise(changed.select(*KEY).distinct(), "reindexed")
+    buckets = _numbers(changed)
+    threads = materialise(_tagged(spark, root, _rows(spark, root, None, changed, buckets), buckets), "reindexed")
+    people = current_child(spark, root, "participants", None, changed, buckets)
+    for name, build in (("terms", ix.terms), ("positions", ix.positions)):
+        _append(build(threads, people), root, name, POSTINGS[name], turn, "turn")
+    _append(changed, root, "indexed", "user_id string, thread_id string", turn, "turn")
+
+
+def postings(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``terms`` or ``positions`` of all threads as last indexed."""
+    newest = _log(spark, root, "indexed", "user_id string, thread_id string", None, None, "turn").groupBy(
+        *KEY).agg(F.max("turn").alias("turn"))
+    rows = _log(spark, root, name, POSTINGS[name], None, None, "turn")
+    return rows.join(newest, [*KEY, "turn"], "left_semi").drop("turn")
 
 
 def start_sync(
     spark: SparkSession, changes_path: str, root: str, checkpoint: str, mailbox: Mailbox,
     synced_at: str = "", available_now: bool = True, files_per_batch: int | None = None,
+    index: bool = False,
 ) -> StreamingQuery:
     """Start the sync query. A new ``checkpoint`` forgets all cursors and keeps the tables."""
     feed = read_changes_stream(spark, changes_path, files_per_batch)
     offset = _next_batch(spark, root, checkpoint)
 
     def store(batch_df: DataFrame, batch_id: int) -> None:
-        apply_batch(batch_df, offset + batch_id, root, mailbox, synced_at)
+        apply_batch(batch_df, offset + batch_id, root, mailbox, synced_at, index)
 
     writer = feed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
@@ -193,8 +301,7 @@ def _next_batch(spark: SparkSession, root: str, checkpoint: str) -> int:
     row = known.filter(F.col("checkpoint") == checkpoint).agg(F.min("start")).first()
     if row[0] is not None:
         return row[0]
-    last = _log(spark, root, "threads", THREADS, None).agg(F.max("batch")).first()[0]
-    start = 0 if last is None else last + 1
+    start = _last_batch(spark, root) + 1
     spark.createDataFrame([(checkpoint, start)], "checkpoint string, start bigint").coalesce(
         1
     ).write.mode("append").parquet(path)
@@ -208,9 +315,16 @@ def stop_sync(query: StreamingQuery) -> None:
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
     """Fold the log into ``target`` as one base batch; switch readers to it after."""
-    tables = {"threads": (current(spark, root), THREADS)}
-    tables |= {t: (current_child(spark, root, t), ddl) for t, ddl in CHILDREN.items()}
-    last = _log(spark, root, "threads", THREADS, None).agg(F.max("batch")).first()[0] or 0
-    for name in [*CHILDREN, "threads"]:
-        df, ddl = tables[name]
-        _append(df, target, name, ddl, last)
+    last = max(0, _last_batch(spark, root))
+    for name, ddl in CHILDREN.items():
+        _append(current_child(spark, root, name), target, name, ddl, last)
+    held = current_child(spark, root, "thread_messages").select("user_id", "message_id", "thread_id")
+    _append(held, target, "holders", HOLDERS, last, "at")
+    tags = last_rows(_log(spark, root, "tags", TAGS, None, None, "seq"), KEY, "seq")
+    _append(tags, target, "tags", TAGS, 0, "seq")
+    if _exists(spark, f"{root}/indexed"):
+        turn = last * TURNS
+        for name, ddl in POSTINGS.items():
+            _append(postings(spark, root, name), target, name, ddl, turn, "turn")
+        _append(current(spark, root).select(*KEY), target, "indexed", "user_id string, thread_id string", turn, "turn")
+    _append(_rows(spark, root).drop("content_batch"), target, "threads", THREADS, last)

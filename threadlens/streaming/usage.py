@@ -5,30 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from threadlens.operators.state import ACTIVE_STATUSES, STALE_AFTER_SECONDS
+from threadlens.operators.usage import DAY_KEY, usage_daily
 
 
-def usage_stream(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Counters per user, UTC day and kind of request.
+def store_usage(events: DataFrame, batch: int, root: str) -> None:
+    """The counters of one micro-batch, under its id: a replay writes the same folder."""
+    usage_daily(events).write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
-    The watermark only bounds the state: a day is closed ``late`` after it
-    was last seen.
+
+def start_usage(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Count a stream of usage events.
+
+    Every micro-batch stores partial counters, which add up. Nothing is kept in
+    memory between batches and an event counts however late it arrives.
     """
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("user_id", F.window("ts", "1 day").alias("w"), "batched")
-        .agg(
-            F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("cache_read_tokens").alias("cache_read_tokens"),
-        )
-        .select(
-            "user_id", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "batched", "requests",
-            "input_tokens", "output_tokens", "cache_read_tokens",
-        )
+    writer = events.writeStream.foreachBatch(lambda rows, batch: store_usage(rows, batch, root))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def usage_counters(spark: SparkSession, root: str) -> DataFrame:
+    """The sums of all stored counters."""
+    rows = spark.read.parquet(root)
+    return rows.groupBy(*DAY_KEY).agg(
+        *[F.sum(c).alias(c) for c in ("requests", "input_tokens", "output_tokens", "cache_read_tokens")]
     )
 
 
