@@ -62,8 +62,28 @@ def test_mime_deeper_than_one_stretch(spark):
         tree = part(f"multipart/{i}", parts=[part("image/x"), tree])
     parts = mime(spark, tree, depth=4)
     assert parts.count() == 19 and rows(pr.mime_body(parts), "body") == [("deep",)]
-    with pytest.raises(Exception, match="too deep"):
-        mime(spark, tree, depth=2).collect()
+    # Any depth, a stretch at a time.
+    parts = mime(spark, tree, depth=2)
+    assert parts.count() == 19 and rows(pr.mime_body(parts), "body") == [("deep",)]
+
+
+def test_odd_bytes_become_replacement_characters(spark):
+    latin = base64.urlsafe_b64encode("caf\u00e9".encode("latin-1")).decode()
+    assert rows(pr.mime_body(mime(spark, part("text/plain", latin))), "body") == [("caf\ufffd",)]
+
+
+def test_unreadable_payloads_are_put_aside(spark):
+    good = json.dumps({"id": "m1", "subject": "S"})
+    df = spark.createDataFrame([("u", good, 0), ("u", good[:-4], 1), ("u", None, 2), ("v", "[1, 2", 3), ("v", "{}", 4)],
+                               "user_id string, payload string, arrival_seq bigint")
+    assert rows(pr.normalise_graph(df), "message_id") == [("m1",)]
+    assert rows(pr.quarantine(df, pr.GRAPH_MESSAGE, "user_id", "arrival_seq"), "user_id", "arrival_seq", "error") == [
+        ("u", 1, "malformed payload"), ("u", 2, "no payload"), ("v", 3, "malformed payload")]
+    pages = spark.createDataFrame(
+        [("u", "a", json.dumps({"value": [{"id": "1", "conversationId": "c"}]}), 1), ("v", "b", '{"value": [', 2)],
+        "user_id string, source_id string, payload string, seq bigint")
+    assert rows(changes.delta_to_changes(pages), "user_id", "thread_id") == [("u", "c")]
+    assert rows(pr.quarantine(pages, changes.DELTA_PAGE, "source_id"), "source_id") == [("b",)]
 
 
 def test_gmail_message(spark):
@@ -84,16 +104,16 @@ def test_gmail_message(spark):
 
 def test_decode(spark):
     df = spark.createDataFrame(
-        [("m", str(i), v) for i, v in enumerate([enc("ab?>"), base64.b64encode(b"ab?>").decode(), "", None, "%%%"])],
-        "message_id string, attachment_id string, encoded string")
+        [("u", "m", str(i), v) for i, v in enumerate([enc("ab?>"), base64.b64encode(b"ab?>").decode(), "", None, "%%%"])],
+        "user_id string, message_id string, attachment_id string, encoded string")
     assert rows(pr.decode_content(df), "attachment_id", F.decode("content", "UTF-8")) == [("0", "ab?>"), ("1", "ab?>")]
 
 
 def test_attachment_payloads(spark):
-    df = spark.createDataFrame([("m", json.dumps({"value": [
+    df = spark.createDataFrame([("u", "m", json.dumps({"value": [
         {"id": "1", "name": None, "contentType": "Application/PDF"}, {"name": "no id"}, {"id": "2", "size": 5}]}))],
-        "message_id string, payload string")
-    assert rows(pr.normalise_attachments(df)) == [("m", "1", "", "application/pdf", 0), ("m", "2", "", "", 5)]
+        "user_id string, message_id string, payload string")
+    assert rows(pr.normalise_attachments(df)) == [("u", "m", "1", "", "application/pdf", 0), ("u", "m", "2", "", "", 5)]
 
 
 def test_change_feeds(spark):

@@ -170,6 +170,44 @@ def mime_attachments(spark, sf):
     return providers.mime_attachments(providers.mime_parts(_part_tree(spark, sf))).drop("user_id")
 
 
+def _broken(payload):
+    """Every eleventh payload cut short, every thirteenth missing."""
+    k = F.col("doc_id")
+    return F.when(k % 11 == 3, F.substring("payload", 1, 20)).when(k % 13 == 5, F.lit(None)).otherwise(payload)
+
+
+@query("quarantine_mail", """
+    SELECT CASE WHEN doc_id % 11 = 3 THEN 'malformed payload' WHEN doc_id % 13 = 5 THEN 'no payload' ELSE 'read' END AS error,
+           count(*) AS messages FROM documents GROUP BY ALL
+""")
+def quarantine_mail(spark, sf):
+    """Mail of which some payloads are broken: what is read and what is put aside."""
+    raw = _part_tree(spark, sf).withColumn("doc_id", F.col("message_id").cast("long")).withColumn(
+        "payload", _broken(F.col("payload")))
+    good = providers.mime_parts(raw).filter(F.size("visit") == 0).select(F.lit("read").alias("error"))
+    bad = providers.quarantine(raw, providers.PART_TREE, "user_id", "message_id").select("error")
+    return good.unionByName(bad).groupBy("error").agg(F.count("*").alias("messages"))
+
+
+@query("quarantine_changes", """
+    SELECT CASE WHEN seq % 7 = 2 THEN 'malformed payload' ELSE 'read' END AS error, count(*) AS n
+    FROM {changes} GROUP BY ALL
+""")
+def quarantine_changes(spark, sf):
+    """Delta pages of which some are broken: what is read, and the sources whose cursor must stay."""
+    c = adapters.mapped(spark, sf, "changes")
+    item = F.to_json(F.struct(F.array(F.struct(
+        F.coalesce("removed_message_id", F.concat(F.lit("m"), "seq")).alias("id"),
+        F.col("thread_id").alias("conversationId"),
+        F.when(F.col("removed_message_id").isNotNull(), F.struct(F.lit("deleted").alias("reason"))).alias("@removed"),
+    )).alias("value")))
+    raw = c.select("user_id", "source_id", "seq", F.when(
+        F.col("seq") % 7 == 2, F.concat(F.lit("{"), F.substring(item, 5, 30))).otherwise(item).alias("payload"))
+    good = changes.delta_to_changes(raw).select(F.lit("read").alias("error"))
+    bad = providers.quarantine(raw, changes.DELTA_PAGE, "user_id", "source_id", "seq").select("error")
+    return good.unionByName(bad).groupBy("error").agg(F.count("*").alias("n"))
+
+
 @query("header_value", """
     SELECT CAST(doc_id AS VARCHAR) AS message_id, 'Document ' || CAST(doc_id AS VARCHAR) AS subject,
            '' AS reply_to
@@ -186,7 +224,7 @@ def header_value(spark, sf):
 
 
 @query("normalise_attachments", """
-    SELECT message_id, attachment_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE name END AS name,
+    SELECT user_id, message_id, attachment_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE name END AS name,
            lower(content_type) AS content_type, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE size END AS size
     FROM {doc_attachments} WHERE doc_id % 6 <> 0
 """)
@@ -198,7 +236,7 @@ def normalise_attachments(spark, sf):
         F.col("content_type").alias("contentType"),
         F.when(F.col("doc_id") % 11 != 0, F.col("size")).alias("size"),
     )
-    raw = a.select("message_id", F.to_json(F.struct(F.array(item).alias("value"))).alias("payload"))
+    raw = a.select("user_id", "message_id", F.to_json(F.struct(F.array(item).alias("value"))).alias("payload"))
     return providers.normalise_attachments(raw)
 
 
@@ -215,7 +253,7 @@ def decode_content(spark, sf):
         .when(F.col("doc_id") % 2 == 0, F.rtrim(F.translate(plain, "+/", "-_"), F.lit("=")))
         .otherwise(plain)
     )
-    raw = d.select(F.lit("m").alias("message_id"), F.col("doc_id").cast("string").alias("attachment_id"),
+    raw = d.select(F.lit("u").alias("user_id"), F.lit("m").alias("message_id"), F.col("doc_id").cast("string").alias("attachment_id"),
                    encoded.alias("encoded"))
     return providers.decode_content(raw).select(
         "message_id", "attachment_id", F.decode("content", "UTF-8").alias("text"),
@@ -275,14 +313,6 @@ def full_resync(spark, sf):
     return changes.full_changes(m, F.col("container_id") != "junkemail").drop("removed_message_id")
 
 
-@query("clear_cursors", """
-    SELECT user_id, max(arrival_seq) AS seq FROM {line_messages} GROUP BY ALL
-""")
-def clear_cursors(spark, sf):
-    """Without cursors a sync starts over from each mailbox's high-water mark."""
-    return changes.high_water(adapters.messages(spark, sf, "line_messages"))
-
-
 @query("folder_tree", """
     WITH RECURSIVE folders AS (
         SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS folder_id, NULL AS parent_id, r_name AS name FROM region
@@ -530,8 +560,8 @@ def _attachments(spark, sf):
     child = a.select(*KEY, "message_id").distinct().withColumn(
         "has_attachments", F.substring("message_id", -1, 1) != "3"
     )
-    meta = a.select("message_id", "attachment_id", "name", "content_type", "size")
-    return child, meta, a.select("message_id", "attachment_id", F.col("extracted").alias("text"))
+    meta = a.select("user_id", "message_id", "attachment_id", "name", "content_type", "size")
+    return child, meta, a.select("user_id", "message_id", "attachment_id", F.col("extracted").alias("text"))
 
 
 _ATTACH_SQL = """
@@ -560,21 +590,22 @@ def scan_status(spark, sf):
 
 
 @query("j_message_attachments", f"""
-    WITH {_ATTACH_SQL} SELECT message_id, attachment_id, name, scan_status FROM att
+    WITH {_ATTACH_SQL} SELECT user_id, message_id, attachment_id, name, scan_status FROM att
 """)
 def j_message_attachments(spark, sf):
-    return att.attach(*_attachments(spark, sf)).select("message_id", "attachment_id", "name", "scan_status")
+    return att.attach(*_attachments(spark, sf)).select(
+        "user_id", "message_id", "attachment_id", "name", "scan_status")
 
 
 @query("j_attachment_content", f"""
     WITH {_ATTACH_SQL}
-    SELECT scan_status, count(*) AS files,
+    SELECT user_id, scan_status, count(*) AS files,
            CAST(sum(CASE WHEN scan_status IN ('ok', 'truncated') THEN length(extracted) ELSE 0 END)
                AS BIGINT) AS chars
     FROM att GROUP BY ALL
 """)
 def j_attachment_content(spark, sf):
-    return att.attach(*_attachments(spark, sf)).groupBy("scan_status").agg(
+    return att.attach(*_attachments(spark, sf)).groupBy("user_id", "scan_status").agg(
         F.count("*").alias("files"), F.sum("actual_char_count").alias("chars")
     )
 
@@ -601,7 +632,7 @@ def attachment_columns(spark, sf):
 
 
 @query("f_attachment_pairs", """
-    SELECT message_id, attachment_id FROM {doc_attachments}
+    SELECT user_id, message_id, attachment_id FROM {doc_attachments}
     WHERE right(message_id, 1) <> '3' AND (lower(name) LIKE '%.pdf' OR lower(name) LIKE '%.docx')
 """)
 def f_attachment_pairs(spark, sf):

@@ -78,9 +78,9 @@ MAPPINGS = {
                doc_id AS doc_id
         FROM {documents}
     """,
-    # attachments: a source is the thread, so threads are long
+    # attachments: a source is the thread, so threads are long; two tenants share message ids
     "doc_attachments": """
-        SELECT 'u0' AS user_id, source AS thread_id,
+        SELECT 'u' || CAST(CAST(floor(doc_id / 10) AS BIGINT) % 2 AS STRING) AS user_id, source AS thread_id,
                source || '-' || CAST(doc_id % 10 AS STRING) AS message_id,
                'a' || CAST(doc_id AS STRING) AS attachment_id,
                'File ' || CAST(doc_id AS STRING)

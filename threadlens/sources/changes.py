@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlens.schemas import CHANGES
+from threadlens.session import materialise
+from threadlens.sources.providers import readable
 
 # Fixed values -----------------------------------------------------------
 DELTA_PAGE = """
@@ -28,7 +30,7 @@ def delta_to_changes(raw: DataFrame) -> DataFrame:
     """``raw(user_id, source_id, payload, seq)``: folder delta pages to change rows."""
     item = raw.select(
         "user_id", "source_id", "seq",
-        F.explode(F.from_json("payload", DELTA_PAGE)["value"]).alias("i"),
+        F.explode(readable(F.col("payload"), DELTA_PAGE)["value"]).alias("i"),
     )
     removed = F.col("i.@removed").isNotNull()
     return item.filter(F.coalesce("i.id", F.lit("")) != "").select(
@@ -43,7 +45,7 @@ def history_to_changes(raw: DataFrame) -> DataFrame:
 
     Added messages and label changes touch a thread, deletions name a message.
     """
-    h = raw.select("user_id", "seq", F.explode(F.from_json("payload", HISTORY_PAGE)["history"]).alias("h"))
+    h = raw.select("user_id", "seq", F.explode(readable(F.col("payload"), HISTORY_PAGE)["history"]).alias("h"))
     none = F.array().cast(_TOUCH)
     touches = F.concat(*[
         F.coalesce(f"h.{k}", none) for k in ("messagesAdded", "labelsAdded", "labelsRemoved")
@@ -86,23 +88,18 @@ def high_water(messages: DataFrame) -> DataFrame:
 def folder_tree(folders: DataFrame, excluded: DataFrame) -> DataFrame:
     """Folders reachable from the roots without passing an excluded folder.
 
-    ``folders(user_id, folder_id, parent_id, name)``; roots have no parent.
+    ``folders(user_id, folder_id, parent_id, name)``; roots have no parent. One
+    join per level, as deep as the folders go.
     """
-    spark = folders.sparkSession
-    # The default row bound of recursive queries would refuse large archives.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    allowed = folders.join(
-        excluded.select("user_id", "folder_id").distinct(), ["user_id", "folder_id"], "left_anti"
-    )
-    return spark.sql(
-        """
-        WITH RECURSIVE walk (user_id, folder_id, name, depth) AS (
-            SELECT user_id, folder_id, name, 0 FROM {allowed} WHERE parent_id IS NULL
-            UNION ALL
-            SELECT f.user_id, f.folder_id, f.name, w.depth + 1
-            FROM walk w JOIN {allowed} f ON f.parent_id = w.folder_id AND f.user_id = w.user_id
-        )
-        SELECT user_id, folder_id, name, depth FROM walk
-        """,
-        allowed=allowed,
-    )
+    keys = ["user_id", "folder_id"]
+    allowed = materialise(folders.join(excluded.select(*keys).distinct(), keys, "left_anti"), "folders")
+    level = allowed.filter("parent_id IS NULL").select(*keys, "name", F.lit(0).alias("depth"))
+    out = None
+    while True:
+        level = materialise(level, "level")
+        if level.isEmpty() and out is not None:
+            return out
+        out = level if out is None else out.unionByName(level)
+        above = level.select("user_id", F.col("folder_id").alias("parent_id"), F.col("depth").alias("above"))
+        level = allowed.join(above, ["user_id", "parent_id"]).select(
+            *keys, "name", (F.col("above") + 1).alias("depth"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadlens.session import materialise
+
 # Fixed values -----------------------------------------------------------
 EXCLUDED_LABELS = ["SPAM", "TRASH", "DRAFT"]
 GRAPH_MESSAGE = """
@@ -21,6 +23,7 @@ GRAPH_MESSAGE = """
 GRAPH_ATTACHMENTS = """
     value array<struct<id: string, name: string, contentType: string, size: bigint>>
 """
+PART_TREE = "mimeType string, filename string, headers array<struct<name: string, value: string>>, parts string"
 MIME_DEPTH = 8
 ADDRESS = r"<([^<>]*)>"
 LINK = "https://mail.google.com/mail/"
@@ -43,8 +46,11 @@ def _part_type(depth: int) -> str:
 
 
 def normalise_graph(raw: DataFrame) -> DataFrame:
-    """Flat JSON messages to the message shape; rows without an id are dropped."""
-    m = raw.select("user_id", "arrival_seq", F.from_json("payload", GRAPH_MESSAGE).alias("m"))
+    """Flat JSON messages to the message shape; rows without an id are dropped.
+
+    Unreadable payloads are in :func:`quarantine` with ``GRAPH_MESSAGE``.
+    """
+    m = raw.select("user_id", "arrival_seq", readable(F.col("payload"), GRAPH_MESSAGE).alias("m"))
     to = F.transform(
         F.coalesce("m.toRecipients", F.array()), lambda r: r["emailAddress"]["address"]
     )
@@ -64,12 +70,12 @@ def normalise_graph(raw: DataFrame) -> DataFrame:
 
 
 def normalise_attachments(raw: DataFrame) -> DataFrame:
-    """``raw(message_id, payload)``: attachment lists to metadata rows."""
+    """``raw(user_id, message_id, payload)``: attachment lists to metadata rows."""
     items = raw.select(
-        "message_id", F.explode(F.from_json("payload", GRAPH_ATTACHMENTS)["value"]).alias("a")
+        "user_id", "message_id", F.explode(readable(F.col("payload"), GRAPH_ATTACHMENTS)["value"]).alias("a")
     )
     return items.filter(_or_empty(F.col("a.id")) != "").select(
-        "message_id", F.col("a.id").alias("attachment_id"), _or_empty(F.col("a.name")).alias("name"),
+        "user_id", "message_id", F.col("a.id").alias("attachment_id"), _or_empty(F.col("a.name")).alias("name"),
         F.lower(_or_empty(F.col("a.contentType"))).alias("content_type"),
         F.coalesce("a.size", F.lit(0).cast("bigint")).alias("size"),
     )
@@ -83,9 +89,9 @@ def decode_b64(col: Column) -> Column:
 
 
 def decode_content(raw: DataFrame) -> DataFrame:
-    """``raw(message_id, attachment_id, encoded)`` to bytes; bad pairs are dropped."""
+    """``raw(user_id, message_id, attachment_id, encoded)`` to bytes; bad pairs are dropped."""
     return raw.select(
-        "message_id", "attachment_id", decode_b64(F.col("encoded")).alias("content")
+        "user_id", "message_id", "attachment_id", decode_b64(F.col("encoded")).alias("content")
     ).filter(F.col("content").isNotNull() & (F.octet_length("content") > 0))
 
 
@@ -95,6 +101,28 @@ def header(headers: Column, name: str) -> Column:
     return _or_empty(F.get(hits, F.lit(0))["value"])
 
 
+def quarantine(raw: DataFrame, schema: str, *keys: str) -> DataFrame:
+    """Rows whose ``payload`` cannot be read as ``schema``: ``keys``, the payload and an error.
+
+    The parsers leave such rows out. A caller stores them and does not move the
+    cursor of their source, so that the range is asked for again.
+    """
+    return raw.filter(unreadable(F.col("payload"), schema)).select(
+        *keys, "payload", F.when(F.col("payload").isNull(), "no payload").otherwise("malformed payload").alias("error")
+    )
+
+
+def readable(payload: Column, schema: str) -> Column:
+    """The parsed payload; null for text that is no JSON object of this shape."""
+    marked = f"{schema[:-1]}, _unread: string>" if schema.startswith("struct<") else f"{schema}, _unread string"
+    parsed = F.from_json(payload, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    return F.when(parsed["_unread"].isNull(), parsed)
+
+
+def unreadable(payload: Column, schema: str) -> Column:
+    return readable(payload, schema).isNull()
+
+
 def _flattened(part: Column, visit: Column, depth: int) -> Column:
     """array of the part and everything below it, ``depth`` levels deep."""
     more = part["parts"]
@@ -112,48 +140,40 @@ def _flattened(part: Column, visit: Column, depth: int) -> Column:
     return F.concat(here, F.coalesce(F.flatten(below), F.slice(here, 1, 0)))
 
 
-def mime_parts(raw: DataFrame, depth: int = MIME_DEPTH, stretches: int = 3) -> DataFrame:
+def mime_parts(raw: DataFrame, depth: int = MIME_DEPTH) -> DataFrame:
     """All parts of each message, root included, with their visiting order.
 
     ``raw(user_id, message_id, payload)`` with the part tree as JSON text. The
     last sibling is visited first, after its parent and before its earlier
     siblings. ``visit`` is the path from the root, an array that sorts in that
-    order. A tree is flattened inside its row; one deeper than ``depth`` goes
-    on from the JSON below, and past ``depth * stretches`` levels the job fails
-    rather than lose parts.
+    order. A tree is flattened ``depth`` levels at a time inside its row and goes
+    on from the JSON below, as deep as it is. Unreadable trees are in
+    :func:`quarantine` with ``PART_TREE``.
     """
     todo = raw.select(
         "user_id", "message_id", F.array().cast("array<int>").alias("visit"),
-        F.from_json("payload", _part_type(depth)).alias("part"),
+        readable(F.col("payload"), _part_type(depth)).alias("part"),
     )
     out = None
-    for stretch in range(stretches):
-        flat = todo.filter(F.col("part").isNotNull()).select(
+    while True:
+        flat = materialise(todo.filter(F.col("part").isNotNull()).select(
             "user_id", "message_id",
             F.explode(_flattened(F.col("part"), F.col("visit"), depth)).alias("p"),
-        ).select("user_id", "message_id", "p.*")
-        if stretch == stretches - 1:
-            flat = flat.withColumn(
-                "deeper",
-                F.when(F.col("deeper").isNotNull(), F.raise_error(F.lit("part tree too deep"))),
-            ).filter(F.col("deeper").isNull())
+        ).select("user_id", "message_id", "p.*"), "parts")
         out = flat.drop("deeper") if out is None else out.unionByName(flat.drop("deeper"))
-        todo = (
-            flat.filter(F.col("deeper").isNotNull())
-            .select(
-                "user_id", "message_id", F.col("visit").alias("above"),
-                F.posexplode(F.from_json("deeper", f"array<{_part_type(depth)}>")).alias("i", "part"),
-            )
-            .select(
-                "user_id", "message_id", F.concat("above", F.array(-F.col("i"))).alias("visit"), "part"
-            )
-        )
-    return out
+        below = flat.filter(F.col("deeper").isNotNull())
+        if below.isEmpty():
+            return out
+        todo = below.select(
+            "user_id", "message_id", F.col("visit").alias("above"),
+            F.posexplode(F.from_json("deeper", f"array<{_part_type(depth)}>")).alias("i", "part"),
+        ).select("user_id", "message_id", F.concat("above", F.array(-F.col("i"))).alias("visit"), "part")
 
 
 def mime_body(parts: DataFrame) -> DataFrame:
     """Best body per message: first HTML part, else first other text part."""
-    text = F.decode(decode_b64(F.col("body.data")), "UTF-8")
+    # Bytes that are not UTF-8 become replacement characters.
+    text = F.make_valid_utf8(decode_b64(F.col("body.data")).cast("string"))
     mime = F.lower(_or_empty(F.col("mimeType")))
     bodies = (
         parts.filter(_or_empty(F.col("filename")) == "")
@@ -199,7 +219,7 @@ def normalise_gmail(raw: DataFrame, accounts: DataFrame, depth: int = MIME_DEPTH
     one row per user; users without a row get the general link.
     """
     top = "id string, threadId string, labelIds array<string>, internalDate string, payload string"
-    m = raw.select("user_id", "arrival_seq", F.from_json("payload", top).alias("m")).filter(
+    m = raw.select("user_id", "arrival_seq", readable(F.col("payload"), top).alias("m")).filter(
         _or_empty(F.col("m.id")) != ""
     ).select(
         "user_id", "arrival_seq", F.col("m.id").alias("message_id"), "m.threadId", "m.labelIds",

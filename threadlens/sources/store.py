@@ -162,7 +162,7 @@ def read_export(
     good = raw.filter(
         F.col("_corrupt_record").isNull() & (F.col("format") == EXPORT_FORMAT)
         & (F.coalesce("thread_id", F.lit("")) != "")
-    ).withColumn("row_no", F.monotonically_increasing_id())
+    ).withColumn("row_no", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
     fills = {
         f.name: F.coalesce(f.name, _default(f.dataType.simpleString(), f.name))
         for f in good.schema.fields
