@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from check import compare, database
+from check import TABLES, compare, database
 from threadlens.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -22,8 +22,10 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns and df.count() >= 0
+    assert df.columns == QUERIES["search_filtered"](spark, SF).columns and df.count() > 0
 
 
 def test_every_query_reads_the_tables():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    for name, sql in ORACLES.items():
+        assert any(f"/{t}" in sql or f" {t}" in sql or f"({t}" in sql for t in TABLES), name

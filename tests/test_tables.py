@@ -33,7 +33,7 @@ def test_import_rules(spark):
     assert rows(inc, "subject", "ai_tags", "user_tags") == [("2", ["first"], ["theirs"])]
     assert rows(mutate.import_merge(cur, inc), "user_id", "thread_id", "subject", "user_tags") == [
         ("u", "gone", "s", ["o"]), ("u", "k", "2", ["theirs"]), ("v", "k", "s", ["o"])]
-    assert rows(mutate.import_merge(cur, inc, replace=True), "user_id", "thread_id") == [("u", "k"), ("v", "k")]
+    assert rows(mutate.import_merge(cur, inc, replace="u"), "user_id", "thread_id") == [("u", "k"), ("v", "k")]
 
 
 def test_claim(spark):

@@ -54,14 +54,14 @@ def test_groups_are_full_and_cover_everything(spark):
     assert rows(tagging.route(t)) == [("u", 137, "batch"), ("v", 1, "direct")]
 
 
-def test_requests_keep_large_groups_as_lines(spark):
+def test_requests_hold_every_line(spark):
     lines = spark.createDataFrame(
         [("u", "g0", 0, "t", 0, "", "# thread 0"), ("u", "g0", 0, "t", 2, "b", "person: b"),
          ("u", "g0", 0, "t", 2, "a", "person: a"), ("u", "g1", 0, "s", 0, "", "# thread 0" * 9)],
         "user_id string, group_id string, pos bigint, thread_id string, section int, at string, line string")
-    got = tagging.build_requests(lines, max_chars=50)
+    got = tagging.build_requests(lines)
     assert rows(got, "group_id", "n_lines", "request") == [
-        ("g0", 3, "# thread 0\nperson: a\nperson: b"), ("g1", 1, None)]
+        ("g0", 3, "# thread 0\nperson: a\nperson: b"), ("g1", 1, "# thread 0" * 9)]
 
 
 def test_request_wording_by_status(spark):
@@ -98,6 +98,19 @@ def test_edit_tags(spark):
         ("s", ["x"], False), ("t", ["keep", "new"], True)]
 
 
+def test_repeated_edits_and_tags_keep_one_thread(spark):
+    t = spark.createDataFrame([("u", "t", ["a"], False)],
+                              "user_id string, thread_id string, user_tags array<string>, manually_reviewed boolean")
+    e = spark.createDataFrame(
+        [("u", "t", ["b"], [], 1), ("u", "t", ["c"], ["a", "b"], 2), ("u", "t", ["b", "c"], [], 3)],
+        "user_id string, thread_id string, add array<string>, remove array<string>, seq int")
+    assert rows(tagging.edit_tags(t, e), "user_tags") == [(["c", "b"],)]
+    tags = spark.createDataFrame([("u", "t", ["new"], True, 2), ("u", "t", ["old"], False, 1)],
+                                 "user_id string, thread_id string, tags array<string>, truncated boolean, seq int")
+    t = t.selectExpr("user_id", "thread_id", "user_tags AS ai_tags", "false AS tags_truncated")
+    assert rows(tagging.set_tags(t, tags), "ai_tags", "tags_truncated") == [(["new"], True)]
+
+
 def test_set_tags_allows_empty(spark):
     t = spark.createDataFrame([("u", "t", ["a"], False), ("u", "s", ["b"], False)],
                               "user_id string, thread_id string, ai_tags array<string>, tags_truncated boolean")

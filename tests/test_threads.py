@@ -95,12 +95,14 @@ def test_changed_threads(spark):
 
 def test_scan_status_cases(spark):
     meta = spark.createDataFrame(
-        [("m", "1", "a.xlsx", "", 1), ("m", "2", "a.pdf", "", 1), ("m", "3", "A.DOCX", "", 1),
-         ("m", "4", "b.docx", "", 1), ("m", "5", "c.pdf", "", None), ("off", "6", "d.pdf", "", 1)],
-        "message_id string, attachment_id string, name string, content_type string, size bigint")
+        [("u", "m", "1", "a.xlsx", "", 1), ("u", "m", "2", "a.pdf", "", 1), ("u", "m", "3", "A.DOCX", "", 1),
+         ("u", "m", "4", "b.docx", "", 1), ("u", "m", "5", "c.pdf", "", None), ("u", "off", "6", "d.pdf", "", 1),
+         ("other", "m", "7", "theirs.pdf", "", 99)],
+        "user_id string, message_id string, attachment_id string, name string, content_type string, size bigint")
     texts = spark.createDataFrame(
-        [("m", "1", "x"), ("m", "3", "hello world"), ("m", "4", "y" * 5500), ("m", "5", "")],
-        "message_id string, attachment_id string, text string")
+        [("u", "m", "1", "x"), ("u", "m", "3", "hello world"), ("u", "m", "4", "y" * 5500), ("u", "m", "5", ""),
+         ("other", "m", "2", "not mine")],
+        "user_id string, message_id string, attachment_id string, text string")
     child = spark.createDataFrame([("u", "t", "m", True), ("u", "t", "off", False)],
                                   "user_id string, thread_id string, message_id string, has_attachments boolean")
     got = att.attach(child, meta, texts)

@@ -26,12 +26,13 @@ def is_readable(name: Column) -> Column:
 
 
 def attachment_pairs(child_messages: DataFrame, meta: DataFrame) -> DataFrame:
-    """(message_id, attachment_id) worth fetching: flagged message, readable name."""
-    flagged = child_messages.filter("has_attachments").select("message_id").distinct()
+    """(user_id, message_id, attachment_id) worth fetching: flagged message, readable name."""
+    message = ["user_id", "message_id"]
+    flagged = child_messages.filter("has_attachments").select(*message).distinct()
     return (
         meta.filter(is_readable(F.col("name")))
-        .join(flagged, "message_id", "left_semi")
-        .select("message_id", "attachment_id").distinct()
+        .join(flagged, message, "left_semi")
+        .select(*message, "attachment_id").distinct()
     )
 
 
@@ -100,14 +101,15 @@ def attach(
 ) -> DataFrame:
     """Attachments of flagged messages with text (capped), length and status.
 
-    ``texts(message_id, attachment_id, text)`` is a left join: what could not
-    be fetched or read is ``failed``.
+    ``meta`` and ``texts(user_id, message_id, attachment_id, text)`` are joined
+    within a tenant. What could not be fetched or read is ``failed``.
     """
+    message = ["user_id", "message_id"]
     flagged = child_messages.filter("has_attachments").select(*KEY, "message_id")
     name = F.coalesce("name", F.lit(""))
     rows = (
-        flagged.join(meta, "message_id")
-        .join(texts.select("message_id", "attachment_id", "text"), ["message_id", "attachment_id"], "left")
+        flagged.join(meta, message)
+        .join(texts.select(*message, "attachment_id", "text"), [*message, "attachment_id"], "left")
         .withColumn("scan_status", scan_status(name, F.col("text"), limit))
     )
     readable = F.col("scan_status").isin("ok", "truncated")

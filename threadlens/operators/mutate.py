@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from threadlens.operators.tagging import last_rows
 from threadlens.schemas import KEY
 
 # The columns a conflict overwrites -------------------------
@@ -15,20 +16,25 @@ SYNC_UPDATES = [
 IMPORT_UPDATES = [
     *SYNC_UPDATES, "subject", "date_first", "user_tags", "manually_reviewed",
 ]
-ADOPTED_TENANT = "__unclaimed__"
 COOLDOWN_STATUS = "denied"
 # ------------------------------------------------------------------------
+#: The placeholder tenant of this library.
+ADOPTED_TENANT = "__unclaimed__"
 
 
 def merge(
     current: DataFrame, incoming: DataFrame, keys: list[str], updates: list[str],
-    keep_if_empty: tuple[str, ...] = (),
+    keep_if_empty: tuple[str, ...] = (), order: str | None = None,
 ) -> DataFrame:
     """Insert new keys; on conflict overwrite ``updates``.
 
+    A key comes once in ``incoming``, or its last row by ``order`` counts.
+
     ``keep_if_empty`` names lists that only a non-empty incoming list replaces.
     Columns the incoming side lacks keep their old value, null for new rows.
     """
+    if order is not None:
+        incoming = last_rows(incoming, keys, order)
     new = incoming.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in incoming.columns if c not in keys],
         F.lit(True).alias("_new"),
@@ -79,14 +85,18 @@ def collapse_import(rows: DataFrame, order: str = "row_no") -> DataFrame:
     )
 
 
-def import_merge(current: DataFrame, incoming: DataFrame, replace: bool = False) -> DataFrame:
-    """Load exported threads; ``replace`` first drops the tenants' own rows."""
-    if replace:
-        tenants = incoming.select("user_id").distinct()
-        current = current.join(tenants, "user_id", "left_anti")
+def import_merge(current: DataFrame, incoming: DataFrame, replace: str | None = None) -> DataFrame:
+    """Load exported threads; ``replace`` names a tenant whose own rows go first, even for an empty file."""
+    if replace is not None:
+        current = current.filter(F.col("user_id") != replace)
     return merge(current, incoming, KEY, IMPORT_UPDATES, ("ai_tags",))
 
 
+def import_file(current: DataFrame, exported: DataFrame, replace: str | None = None) -> DataFrame:
+    """Rows of an export file as read, with repeated threads folded, merged into the table."""
+    return import_merge(current, collapse_import(exported), replace)
+
+
 def delete(table: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose thread is not in ``keys``; fits every child table too."""
     return table.join(keys.select(*KEY).distinct(), KEY, "left_anti")
@@ -132,17 +142,18 @@ def claim(threads: DataFrame, src: str, dst: str, drop_duplicates: bool = False)
     Adds ``claimed`` (moved / duplicate / null). Duplicates stay with ``src``
     unless dropped.
     """
+    from_src = F.coalesce(F.col("user_id") == src, F.lit(False))
     held = threads.filter(F.col("user_id") == dst).select("thread_id", F.lit(True).alias("_held"))
-    from_src = F.col("user_id") == src
-    out = threads.join(held, "thread_id", "left").withColumn(
-        "claimed",
-        F.when(from_src & F.col("_held").isNull(), "moved").when(from_src, "duplicate"),
+    # Only the two tenants are joined; all other rows pass as they are.
+    own = threads.filter(from_src).join(held, "thread_id", "left").withColumn(
+        "claimed", F.when(F.col("_held").isNull(), "moved").otherwise("duplicate")
     )
     if drop_duplicates:
-        out = out.filter(F.coalesce("claimed", F.lit("")) != "duplicate")
-    return out.withColumn(
+        own = own.filter(F.col("claimed") != "duplicate")
+    own = own.withColumn(
         "user_id", F.when(F.col("claimed") == "moved", dst).otherwise(F.col("user_id"))
     ).select(*threads.columns, "claimed")
+    return threads.filter(~from_src).withColumn("claimed", F.lit(None).cast("string")).unionByName(own)
 
 
 def claim_counts(threads: DataFrame, src: str, dst: str) -> DataFrame:
@@ -167,19 +178,22 @@ def tenant_summary(threads: DataFrame, tenant: str) -> tuple[DataFrame, DataFram
 
 def access_requests(current: DataFrame, attempts: DataFrame, order: str = "seq") -> DataFrame:
     """Record sign-in attempts: new users are pending, decisions are kept."""
+    names = [c for c in ("email", "display_name") if c in attempts.columns]
     latest = attempts.groupBy("user_id").agg(
-        F.max_by("email", order).alias("email"), F.max_by("now", order).alias("requested_at"),
+        *[F.max_by(c, order).alias(c) for c in names], F.max_by("now", order).alias("requested_at"),
         F.lit("pending").alias("status"),
     )
-    return merge(current, latest, ["user_id"], ["email", "requested_at"])
+    return merge(current, latest, ["user_id"], [*names, "requested_at"])
 
 
 def decide(requests: DataFrame, decisions: DataFrame, cooldown_minutes: int = 60) -> DataFrame:
     """Apply ``decisions(user_id, decision, decided)``: approve, deny, revoke.
 
+    Of several decisions about a user the last by ``decided`` counts.
     Only a denial sets ``denied_until``; a revocation can be asked again at once.
     """
-    given = decisions.select("user_id", "decision", F.col("decided").alias("_at"))
+    latest = decisions.groupBy("user_id").agg(F.max(F.struct("decided", "decision")).alias("d"))
+    given = latest.select("user_id", "d.decision", F.col("d.decided").alias("_at"))
     status = F.when(F.col("decision") == "approve", "approved").otherwise("denied")
     until = F.when(
         F.col("decision") == "deny",

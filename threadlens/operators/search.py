@@ -9,6 +9,8 @@ position, only inside threads that already hold all their tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlens.functions.text import ascii_lower, tokens, words
@@ -229,16 +231,12 @@ def pages_per_query(
     The rank bound is applied before rows are shuffled by query, so a query
     that matches nearly everything sends ``limit`` rows per task.
     """
-    parts = []
-    unknown = ~F.coalesce(sort_col, F.lit("")).isin("date_asc", "date_desc")
-    for name, rows in (
-        ("date_asc", F.col(sort_col) == "date_asc"), ("date_desc", F.col(sort_col) == "date_desc"),
-        ("last_synced", unknown),
-    ):
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*sort_keys(name)))
-        part = hits.filter(rows).withColumn("rank", rank)
-        parts.append(part if limit is None else part.filter(F.col("rank") <= limit))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    order = F.coalesce(sort_col, F.lit(""))
+    up = F.when(order == "date_asc", F.col("date_first"))
+    down = F.when(order == "date_desc", F.col("date_last")).when(order != "date_asc", F.col("last_synced"))
+    window = Window.partitionBy("query_id").orderBy(up.asc(), down.desc(), F.col("thread_id").asc())
+    ranked = hits.withColumn("rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def matched_or_all(
@@ -296,7 +294,9 @@ def _substring_flags(threads: DataFrame, participants: DataFrame, typed: list[st
     people = participants.select(
         *KEY, *[contains(address, w).alias(f"w{i}") for i, w in enumerate(typed)]
     )
-    return head.unionByName(people).groupBy(*KEY).agg(
+    some = reduce(lambda a, b: a | b, [F.coalesce(f"w{i}", F.lit(False)) for i in range(len(typed))])
+    # Rows without any of the words say nothing about their thread.
+    return head.unionByName(people).filter(some).groupBy(*KEY).agg(
         *[F.bool_or(f"w{i}").alias(f"w{i}") for i in range(len(typed))]
     )
 
@@ -340,27 +340,15 @@ def precision_report(
 
 # Result shapes ----------------------------------------------------------------
 
-def people_of(participants: DataFrame, hits: DataFrame, most: int = 10_000) -> DataFrame:
-    """``participants_str`` of the threads on a result page.
-
-    Threads with more than ``most`` addresses get null: theirs are read from
-    the participants table, row by row, instead of one string.
-    """
+def people_of(participants: DataFrame, hits: DataFrame) -> DataFrame:
+    """``participants_str`` of the threads on a result page, all addresses in order."""
     keys = hits.select(*KEY).distinct()
-    listed = participants.join(keys, KEY, "left_semi").distinct()
-    counts = listed.groupBy(*KEY).agg(F.count("*").alias("n_participants"))
     joined = (
-        listed.join(counts.filter(F.col("n_participants") <= most), KEY, "left_semi")
-        .groupBy(*KEY)
+        participants.join(keys, KEY, "left_semi").distinct().groupBy(*KEY)
         .agg(F.array_join(F.array_sort(F.collect_list("address")), ", ").alias("participants_str"))
     )
-    return (
-        keys.join(counts, KEY, "left").join(joined, KEY, "left")
-        .select(
-            *KEY,
-            F.when(F.col("n_participants").isNull(), "")
-            .otherwise(F.col("participants_str")).alias("participants_str"),
-        )
+    return keys.join(joined, KEY, "left").select(
+        *KEY, F.coalesce("participants_str", F.lit("")).alias("participants_str")
     )
 
 

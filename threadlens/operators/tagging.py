@@ -127,23 +127,17 @@ def request_lines(
     return rows.join(place, KEY).select(*GROUP, "pos", "thread_id", "section", "at", "line")
 
 
-def build_requests(lines: DataFrame, max_chars: int = 8_000_000) -> DataFrame:
-    """One request text per group of at most ``max_chars``.
+def build_requests(lines: DataFrame) -> DataFrame:
+    """One request text per group of ten threads, with its size.
 
-    Larger groups are not gathered into a string (``request`` is null); their
-    lines are the request. ``chars`` tells which is which.
+    A tagger that takes rows reads :func:`request_lines` instead.
     """
-    sizes = lines.groupBy(*GROUP).agg(
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "section", "at", "line")))
+    return lines.groupBy(*GROUP).agg(
         F.sum(F.length("line") + 1).alias("chars"), F.count("*").alias("n_lines"),
         F.count_distinct("pos").alias("n_threads"),
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("request"),
     )
-    small = sizes.filter(F.col("chars") <= max_chars).select(*GROUP)
-    text = (
-        lines.join(small, GROUP, "left_semi").groupBy(*GROUP)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "section", "at", "line"))).alias("ls"))
-        .select(*GROUP, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("request"))
-    )
-    return sizes.join(text, GROUP, "left")
 
 
 def frequent_token_tagger(lines: DataFrame, top: int = 12) -> DataFrame:
@@ -198,9 +192,21 @@ def remainder(batches: DataFrame, tagged: DataFrame) -> DataFrame:
     return batches.join(tagged.select(*KEY), KEY, "left_anti")
 
 
-def set_tags(threads: DataFrame, tags: DataFrame) -> DataFrame:
-    """Overwrite tags and flag where given; an empty list is allowed."""
-    given = tags.select(
+def last_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each key with the greatest ``order``; equal ones are settled by their content."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    first = [F.col(order)] if order in rows.columns else []
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("_last"))
+    return best.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def set_tags(threads: DataFrame, tags: DataFrame, order: str = "seq") -> DataFrame:
+    """Overwrite tags and flag where given; an empty list is allowed.
+
+    Of several rows for a thread the one with the greatest ``order`` counts.
+    """
+    kept = tags.select(*KEY, "tags", "truncated", *[c for c in (order,) if c in tags.columns])
+    given = last_rows(kept, KEY, order).select(
         *KEY, F.col("tags").alias("new_tags"), F.col("truncated").alias("new_truncated"),
         F.lit(True).alias("given"),
     )
@@ -211,9 +217,10 @@ def set_tags(threads: DataFrame, tags: DataFrame) -> DataFrame:
     }).drop("new_tags", "new_truncated", "given")
 
 
-def edit_tags(threads: DataFrame, edits: DataFrame) -> DataFrame:
+def edit_tags(threads: DataFrame, edits: DataFrame, order: str = "seq") -> DataFrame:
     """Apply ``edits(user_id, thread_id, add, remove)`` to own tags.
 
+    Several edits of a thread are applied one after the other, by ``order``.
     Requests with more than twenty tags are refused as a whole; tags are cut at
     sixty characters. Edits of unknown threads have no effect.
     """
@@ -222,19 +229,24 @@ def edit_tags(threads: DataFrame, edits: DataFrame) -> DataFrame:
     valid = edits.withColumns({"add": cut(F.col("add")), "remove": cut(F.col("remove"))}).filter(
         F.size("add") + F.size("remove") <= EDIT_LIMIT
     )
+    first = F.col(order) if order in edits.columns else F.lit(0)
     given = valid.select(
-        *KEY, clean_tags(F.col("add"), EDIT_LIMIT).alias("plus"),
-        clean_tags(F.col("remove"), EDIT_LIMIT).alias("minus"), F.lit(True).alias("edited"),
-    )
+        *KEY, F.struct(
+            first.alias("at"), clean_tags(F.col("add"), EDIT_LIMIT).alias("plus"),
+            clean_tags(F.col("remove"), EDIT_LIMIT).alias("minus"),
+        ).alias("edit"),
+    ).groupBy(*KEY).agg(F.array_sort(F.collect_list("edit")).alias("edits"))
+
+    def step(tags, edit):
+        left = F.filter(tags, lambda t: ~F.array_contains(edit["minus"], F.lower(t)))
+        return F.concat(left, F.filter(edit["plus"], lambda t: ~F.exists(left, lambda x: F.lower(x) == t)))
+
     own = F.coalesce("user_tags", empty)
-    left = F.filter(own, lambda t: ~F.array_contains(F.col("minus"), F.lower(t)))
-    folded = F.transform(left, lambda t: F.lower(t))
-    added = F.filter(F.col("plus"), lambda t: ~F.array_contains(folded, t))
-    hit = F.coalesce("edited", F.lit(False))
+    hit = F.col("edits").isNotNull()
     return threads.join(given, KEY, "left").withColumns({
-        "user_tags": F.when(hit, F.concat(left, added)).otherwise(own),
+        "user_tags": F.when(hit, F.aggregate("edits", own, step)).otherwise(own),
         "manually_reviewed": F.when(hit, F.lit(True)).otherwise(F.col("manually_reviewed")),
-    }).drop("plus", "minus", "edited")
+    }).drop("edits")
 
 
 def cleanup(threads: DataFrame) -> DataFrame:

@@ -24,12 +24,16 @@ def drop_containers(messages: DataFrame, excluded: list[str]) -> DataFrame:
 
 
 def first_copies(messages: DataFrame) -> DataFrame:
-    """One row per message id of a thread: the first to arrive."""
-    rest = [c for c in messages.columns if c not in (*KEY, "message_id")]
+    """One row per message id of a thread: the first to arrive.
+
+    Copies without an arrival number come last; equal numbers are settled by
+    the content, so a retried task keeps the same copy.
+    """
+    rest = [c for c in messages.columns if c not in (*KEY, "message_id", "arrival_seq")]
+    copy = F.struct(F.col("arrival_seq").isNull().alias("late"), "arrival_seq", *rest)
     return (
-        messages.groupBy(*KEY, "message_id")
-        .agg(F.min_by(F.struct(*rest), "arrival_seq").alias("m"))
-        .select(*KEY, "message_id", "m.*")
+        messages.groupBy(*KEY, "message_id").agg(F.min(copy).alias("m"))
+        .select(*KEY, "message_id", *[F.col(f"m.{c}").alias(c) for c in ("arrival_seq", *rest)])
     )
 
 
@@ -103,12 +107,11 @@ def thread_content(messages: DataFrame, limit: int = TEXT_CAP) -> DataFrame:
     cap within the slice, so a bounded list per slice reaches the last group,
     together with the slice's sums.
     """
-    kept = first_copies(_dated(messages).select(*KEY, "message_id", "arrival_seq", "date", "body"))
-    bodies = kept.withColumn("b", message_text(F.col("body"), limit)).select(
+    cut = _dated(messages).withColumn("b", message_text(F.col("body"), limit)).select(
         *KEY, *ORDER, F.col("b.text").alias("piece"), F.col("b.chars").alias("chars"),
         F.col("b.truncated").alias("truncated"),
-        F.pmod(F.xxhash64("message_id"), F.lit(SALTS)).alias("salt"),
     )
+    bodies = first_copies(cut).withColumn("salt", F.pmod(F.xxhash64("message_id"), F.lit(SALTS)))
     filled = F.col("piece") != ""
     width: Column = F.when(filled, F.length("piece") + 1).otherwise(0)
     before = F.coalesce(

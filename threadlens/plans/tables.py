@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import values
 from threadlens.operators import mutate, state, usage
-from threadlens.plans.common import CHAT_SQL, EXCLUDED, chat_threads, header_sql
+from threadlens.plans.common import CHAT_SQL, EXCLUDED, chat_threads, header_sql, sql_tokens
 from threadlens.plans.registry import query
-from threadlens.schemas import CHANGES, KEY
+from threadlens.schemas import CHANGES, KEY, THREADS
 from threadlens.session import scratch
-from threadlens.sources import adapters
+from threadlens.sources import adapters, store
 from threadlens.streaming import sync, usage as usage_streams
 
 SHOW = ["user_id", "thread_id", "subject", "date_first", "date_last", "tags", "own_tags", "reviewed"]
@@ -80,14 +80,23 @@ def import_merge(spark, sf):
 
 
 @query("import_threads", """
-    SELECT user_id, thread_id, CASE WHEN k = 0 THEN subject ELSE 'new ' || subject END AS subject
-    FROM (SELECT *, o_orderkey % 3 AS k FROM {order_threads})
-    WHERE k <> 0 OR user_id NOT IN (
-        SELECT user_id FROM {order_threads} WHERE o_orderkey % 3 <> 0)
+    SELECT user_id, thread_id, subject FROM {order_threads} WHERE o_orderkey % 3 <> 2 AND user_id <> 'c1'
+    UNION ALL
+    SELECT 'c1', thread_id, 'new ' || subject FROM {order_threads} WHERE o_orderkey % 3 <> 0
 """)
 def import_threads(spark, sf):
-    """Import in replace mode: tenants in the file lose the rows they had."""
-    return mutate.import_merge(*_orders(spark, sf), replace=True).select(*KEY, "subject")
+    """A file with repeated threads, read and imported in replace mode: the tenant loses the rows it had."""
+    current, incoming = _orders(spark, sf)
+    path = scratch(spark, "import")
+    stale = incoming.withColumn("subject", F.lit("stale"))
+    lines = stale.withColumn("at", F.lit(0)).unionByName(incoming.withColumn("at", F.lit(1)))
+    whole = {c.split()[0]: c.split()[1] for c in THREADS.replace("\n", " ").split(", ") if c.strip()}
+    filled = lines.select(*[
+        (F.col(c) if c in lines.columns else F.lit(None).cast(kind)).alias(c) for c, kind in whole.items()
+    ], "at", F.lit(None).cast("boolean").alias("attachments_scanned"))
+    store.export_threads({"threads": filled.coalesce(1).sortWithinPartitions("at").drop("at")}, path)
+    rows = store.read_export(spark, path, "c1")
+    return mutate.import_file(current, rows, "c1").select(*KEY, "subject")
 
 
 @query("w_last_nonempty", """
@@ -282,9 +291,8 @@ def _access(spark, sf):
     ruled = e.filter(F.col("event_type").isin("view", "click", "error") & (stamp < _ACCESS_NOW)).select(
         user, word.alias("decision"), stamp.alias("decided"), "event_id"
     )
-    decisions = ruled.groupBy("user_id").agg(
-        F.max_by("decision", "event_id").alias("decision"), F.max_by("decided", "event_id").alias("decided")
-    )
+    # Every decision, in any order; the last one of a user counts.
+    decisions = ruled.drop("event_id")
     return mutate.decide(mutate.access_requests(none, attempts), decisions, cooldown_minutes=720)
 
 
@@ -580,25 +588,14 @@ def w_keep_newest(spark, sf):
 
 @query("usage_stream", f"WITH {_DAILY} SELECT * FROM daily")
 def usage_stream(spark, sf):
-    """The daily counters, kept by a streaming query over the events."""
+    """The daily counters, kept by a streaming query over the events in shuffled order."""
     folder = scratch(spark, "usage-in")
     events = adapters.mapped(spark, sf, "usage_events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(4).write.parquet(folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    counters = usage_streams.usage_stream(stream, late="60 days")
     out = scratch(spark, "usage-out")
-
-    def store(rows, batch_id):
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    writer = counters.writeStream.outputMode("update").foreachBatch(store)
-    writer.option("checkpointLocation", scratch(spark, "usage-cp")).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    rows = spark.read.parquet(out)
-    key = usage.DAY_KEY
-    rest = [c for c in rows.columns if c not in (*key, "batch")]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
+    usage_streams.start_usage(stream, out, scratch(spark, "usage-cp")).awaitTermination()
+    return usage_streams.usage_counters(spark, out)
 
 
 @query("change_stream", f"""
@@ -609,19 +606,104 @@ def usage_stream(spark, sf):
     FROM head h JOIN named USING (user_id, thread_id)
 """)
 def change_stream(spark, sf):
-    """Change events drive a sync in four micro-batches; the table it leaves."""
-    folder = scratch(spark, "changes")
-    feed = adapters.mapped(spark, sf, "changes").selectExpr(
+    """Change events drive a sync in two micro-batches; the table it leaves."""
+    root, run = _sync(spark, sf)
+    run(_feed(spark, sf))
+    return sync.current(spark, root).select(*_SYNCED)
+
+
+_SYNCED = [*KEY, "subject", "date_first", "date_last", "n_messages", "has_attachments"]
+
+
+def _feed(spark, sf):
+    return adapters.mapped(spark, sf, "changes").selectExpr(
         *[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in CHANGES.split(",")]
     )
-    feed.repartition(4, "seq").write.parquet(folder)
-    root = scratch(spark, "archive")
-    mailbox = sync.Mailbox(
-        lambda s: adapters.messages(s, sf, "line_messages"), excluded=tuple(EXCLUDED)
-    )
-    sync.start_sync(
-        spark, folder, root, scratch(spark, "cursor"), mailbox, "2024-02-01", files_per_batch=2
-    ).awaitTermination()
-    return sync.current(spark, root).select(
-        *KEY, "subject", "date_first", "date_last", "n_messages", "has_attachments"
-    )
+
+
+def _sync(spark, sf):
+    """An empty archive, and a function that reports changes and syncs them on one checkpoint."""
+    folder, root, box, cursor = (scratch(spark, n) for n in ("changes", "archive", "mailbox", "cursor"))
+    sync.store_mailbox(adapters.messages(spark, sf, "line_messages"), box)
+    mailbox = sync.Mailbox(lambda s: s.read.parquet(box), excluded=tuple(EXCLUDED))
+
+    def run(feed, checkpoint=cursor, files=4, index=False):
+        if feed is not None:
+            feed.repartition(files, "seq").write.mode("append").parquet(folder)
+        sync.start_sync(
+            spark, folder, root, checkpoint, mailbox, "2024-02-01", files_per_batch=2, index=index
+        ).awaitTermination()
+
+    return root, run
+
+
+_NAMED_SQL = f"""
+    {header_sql('line_messages')},
+    named AS (
+        SELECT user_id, thread_id, min(seq) AS first_seq FROM {{changes}} WHERE thread_id IS NOT NULL GROUP BY ALL)
+"""
+
+
+def _half_tags(spark, sf, root, k):
+    """Tags for every thread that is stored, in two versions of which the later counts."""
+    rows = sync.current(spark, root).select(*KEY)
+    both = F.array(F.lit(0), F.lit(1))
+    return rows.select(
+        *KEY, F.explode(both).alias("seq"), F.lit(False).alias("truncated"),
+    ).withColumn("tags", F.when(F.col("seq") == 1, F.array(F.lit(f"round {k}"))).otherwise(F.array(F.lit("stale"))))
+
+
+@query("change_stream_tagged", f"""
+    WITH {header_sql('line_messages')}
+    SELECT h.user_id, h.thread_id, h.n_messages,
+           CASE WHEN first_seq % 2 = 0 THEN 'round 1' ELSE '' END AS tags
+    FROM head h JOIN (
+        SELECT user_id, thread_id, min(seq % 2) AS first_seq FROM {{changes}} WHERE thread_id IS NOT NULL GROUP BY ALL
+    ) USING (user_id, thread_id)
+""")
+def change_stream_tagged(spark, sf):
+    """Sync half of the changes, tag what is there, sync the rest on the same checkpoint."""
+    root, run = _sync(spark, sf)
+    feed = _feed(spark, sf)
+    run(feed.filter("seq % 2 = 0"), files=2)
+    sync.append_tags(spark, root, _half_tags(spark, sf, root, 1))
+    run(feed.filter("seq % 2 = 1"), files=2)
+    return sync.current(spark, root).select(*KEY, "n_messages", F.array_join("ai_tags", "|").alias("tags"))
+
+
+@query("index_sync", f"""
+    WITH {_NAMED_SQL},
+    text AS (
+        SELECT user_id, thread_id, h.subject || ' synced' || CASE WHEN p.a IS NULL THEN '' ELSE ' ' || p.a END AS txt
+        FROM head h JOIN named USING (user_id, thread_id) LEFT JOIN (
+            SELECT user_id, thread_id, string_agg(DISTINCT a, ' ') AS a
+            FROM (SELECT user_id, thread_id, unnest([from_addr, to_1, to_2]) AS a FROM kept)
+            WHERE a <> '' GROUP BY ALL) p USING (user_id, thread_id))
+    SELECT token, count(*) AS n_threads FROM (
+        SELECT unnest(list_distinct({sql_tokens('txt')})) AS token FROM text) GROUP BY token
+""")
+def index_sync(spark, sf):
+    """The token index that syncs and a tagger keep, after the last of them."""
+    root, run = _sync(spark, sf)
+    feed = _feed(spark, sf)
+    run(feed.filter("seq % 2 = 0"), files=2, index=True)
+    run(feed.filter("seq % 2 = 1"), files=2, index=True)
+    tags = sync.current(spark, root).select(
+        *KEY, F.array(F.lit("synced")).alias("tags"), F.lit(False).alias("truncated"))
+    sync.append_tags(spark, root, tags, index=True)
+    return sync.postings(spark, root, "terms").groupBy("token").agg(F.count("*").alias("n_threads"))
+
+
+@query("clear_cursors", f"""
+    WITH {_NAMED_SQL}
+    SELECT h.user_id, h.thread_id, h.n_messages, true AS kept
+    FROM head h JOIN named USING (user_id, thread_id)
+""")
+def clear_cursors(spark, sf):
+    """A sync that starts over on a new checkpoint leaves the table as it was."""
+    root, run = _sync(spark, sf)
+    run(_feed(spark, sf))
+    before = sync.current(spark, root).select(*KEY, F.col("n_messages").alias("n"), F.lit(True).alias("kept"))
+    run(None, checkpoint=scratch(spark, "cursor"))
+    return sync.current(spark, root).join(before, KEY, "full").select(
+        *KEY, "n_messages", F.coalesce(F.col("kept") & (F.col("n") == F.col("n_messages")), F.lit(False)).alias("kept"))

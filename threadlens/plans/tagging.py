@@ -76,7 +76,7 @@ def _replies(spark, sf):
     """Replies of three lists per document, some fenced, cut off or short."""
     d = adapters.table(spark, sf, "documents")
     k = F.col("doc_id")
-    words = F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 3)
+    words = F.array_distinct(tx.tokens(F.col("text")))
     whole = F.to_json(F.array(words, F.array(F.lit("Invoice "), F.lit(" invoice"), "lang"),
                               F.array(F.col("source"))))
     reply = (
@@ -91,7 +91,7 @@ def _replies(spark, sf):
 
 _REPLY_SQL = f"""
     r AS (SELECT doc_id, doc_id % 5 AS k, lang, source, {sql_tokens('text')} AS toks FROM documents),
-    f AS (SELECT *, list_filter(toks, lambda w, i: list_position(toks, w) = i)[1:3] AS firsts FROM r),
+    f AS (SELECT *, list_filter(toks, lambda w, i: list_position(toks, w) = i)[1:60] AS firsts FROM r),
     p AS (
         SELECT doc_id, unnest([0, 1, 2]) AS pos,
                unnest([CASE WHEN k = 4 THEN [] ELSE firsts END,
@@ -286,7 +286,7 @@ def build_request(spark, sf):
     """Size of every user's request texts; one text per group of ten threads."""
     r = tagging.build_requests(_chat_lines(spark, sf))
     whole = F.length("request") + 1 == F.col("chars")
-    return r.filter(whole).groupBy("user_id").agg(
+    return r.withColumn("n_threads", F.when(whole, F.col("n_threads"))).groupBy("user_id").agg(
         F.sum("n_threads").alias("n_threads"), F.sum("n_lines").alias("n_lines"),
         F.sum("chars").alias("chars"), F.count("*").alias("n_groups"),
     )
