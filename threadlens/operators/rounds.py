@@ -187,11 +187,10 @@ def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
     key = ["session_id", "window"]
     # Stored, so their sizes are known and small ones are broadcast to the windows.
     short_windows = materialise(_windows(shorts, "short_id"), "windows")
-    long_windows = _windows(longs, "long_id")
-    counts = (
-        long_windows.join(short_windows.select(*key), key, "left_semi")
-        .groupBy(*key).agg(F.count("*").alias("df"))
-    )
+    # Windows that no short text has are gone before anything is stored or counted.
+    shared = materialise(
+        _windows(longs, "long_id").join(short_windows.select(*key).distinct(), key, "left_semi"), "shared")
+    counts = shared.groupBy(*key).agg(F.count("*").alias("df"))
     anchors = materialise(
         short_windows.join(counts, key, "left")
         .groupBy("session_id", "short_id")
@@ -205,7 +204,7 @@ def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
         "session_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side)
     )
     return (
-        long_windows.join(anchors, key)
+        shared.join(anchors, key)
         .select("session_id", "short_id", "long_id").distinct()
         .join(text(shorts, "short"), ["session_id", "short_id"])
         .join(text(longs, "long"), ["session_id", "long_id"])

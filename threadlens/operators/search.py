@@ -56,20 +56,27 @@ def _units(queries: DataFrame) -> DataFrame:
 class _Index:
     """The index thinned to the tokens of one set of units.
 
-    Units come from queries, which are normally few. Their tokens are counted
-    first: few enough become literals that the Parquet scan prunes with, and
-    the unit tables are broadcast only below ``SMALL`` rows.
+    Units come from queries, which are normally few. One look at them tells: few
+    stay with the driver, and their tokens and tenants become literals that the
+    Parquet scan prunes with. Others are stored, and broadcast only below
+    ``SMALL`` rows.
     """
 
     def __init__(self, terms: DataFrame, positions: DataFrame, units: DataFrame):
-        self.units = materialise(units, "units")
-        self.needed = self.units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
-        listed = self.needed.select("token").distinct().limit(LITERALS + 1).collect()
-        self.small = self.units.select(F.explode("tokens")).limit(SMALL + 1).count() <= SMALL
-        if len(listed) <= LITERALS:
-            wanted = F.col("token").isin([r["token"] for r in listed])
+        few = units.limit(LITERALS + 1).collect()
+        tokens_of_few = {t for r in few for t in r["tokens"]}
+        if len(few) <= LITERALS and len(tokens_of_few) <= LITERALS:
+            self.units = units.sparkSession.createDataFrame(few, units.schema)
+            self.small, self.phrases = True, any(len(r["tokens"]) > 1 for r in few)
+            self.needed = self.units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
+            wanted = F.col("token").isin(sorted(tokens_of_few)) & F.col("user_id").isin(
+                sorted({r["user_id"] for r in few if r["user_id"] is not None}))
             self.terms, self.positions = terms.filter(wanted), positions.filter(wanted)
         else:
+            self.units = materialise(units, "units")
+            self.needed = self.units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
+            n, widest = self.units.agg(F.sum(F.size("tokens")), F.max(F.size("tokens"))).first()
+            self.small, self.phrases = n <= SMALL, widest > 1
             tokens_of = self.hint(self.needed.select("user_id", "token").distinct())
             on = ["user_id", "token"]
             self.terms = terms.join(tokens_of, on, "left_semi")
@@ -114,9 +121,9 @@ def _units_with_all_tokens(ix: _Index) -> DataFrame:
 
 def _with_phrases(found: DataFrame, ix: _Index) -> DataFrame:
     """Keep units whose multi-token words occur as adjacent tokens."""
-    phrases = ix.units.filter(F.size("tokens") > 1)
-    if phrases.isEmpty():
+    if not ix.phrases:
         return found
+    phrases = ix.units.filter(F.size("tokens") > 1)
     found = materialise(found, "candidates")
     per_unit = ix.hint(phrases.groupBy(*UNIT).agg(F.count("*").alias("n_phrases")))
     plain = found.join(per_unit, UNIT, "left_anti")

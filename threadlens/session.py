@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Files and texts reach Python in batches of bounded size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # Searches push their tokens to the index scan as one IN list.
     "spark.sql.parquet.pushdown.inFilterThreshold": "500",
 }
