@@ -16,13 +16,13 @@ import time
 
 HEADLINE = [
     "build_threads", "w_dedupe_first", "participants", "j_thread_messages", "thread_content",
-    "strip_html", "build_index", "search_and", "search_or", "search_phrase", "search_substring",
+    "strip_html", "build_index", "search_and", "search_or", "search_phrase", "search_nearly_all", "search_substring",
     "search_total", "multi_query", "merge_results", "round_summary", "match_subjects",
     "upsert_threads", "import_merge", "j_changed_threads", "j_legacy_claim", "usage_by_user",
     "spend_limit", "kv_latest", "batch_ledger", "clean_tags", "parse_tags", "retag_empty",
     "w_tag_groups", "scan_status", "change_stream",
 ]
-LATENCY_RUNS = 10
+LATENCY_RUNS = 30
 
 
 def main() -> None:

@@ -114,6 +114,16 @@ def search_or(spark, sf):
     return doc_hits(spark, sf, [(1, "u0", "src4 shanin nosuchtoken", "or"), (2, "u2", "und", "or")])
 
 
+@query("search_nearly_all", f"""
+    WITH {DOC_SQL}
+    SELECT 1 AS query_id, user_id, thread_id FROM doc_flat
+    WHERE user_id = 'u0' AND ({has('the')} OR {has('de')} OR {has('die')} OR {has('of')} OR {has('la')})
+""")
+def search_nearly_all(spark, sf):
+    """Any of the commonest words: the widest search a tenant can type."""
+    return doc_hits(spark, sf, [(1, "u0", "the de die of la", "or")])
+
+
 @query("search_literal", f"""
     WITH {DOC_SQL}
     SELECT 1 AS query_id, user_id, thread_id FROM doc_flat
