@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     first = ngram_join.linked(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id")
     ids = stored(first.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    once = docs.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    # Most ids are kept: too many to broadcast, at any size.
+    once = docs.hint("merge").join(ids.where("rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     repeated = docs.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
