@@ -17,7 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Pieces remembered by a worker before it starts anew, and the longest one that is remembered.
-REMEMBERED, LONGEST = 1_200_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 
 _beside_a_space = re.compile(r" \s|[^\S ] ")
 _other_spaces = re.compile(r"[^\S \n]")

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by a worker before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 # Odd multipliers, one a place: equal words at other places give another sum.
 _PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD6E8FEB86659FD93 * (k + 1))) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(16)]
