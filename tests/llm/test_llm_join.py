@@ -79,6 +79,25 @@ def test_large_clusters_in_blocks(spark, monkeypatch, frequent, block):
     assert got(spark, rows) == brute(rows)
 
 
+def test_a_group_above_a_block_is_dealt_out(spark, monkeypatch):
+    """One prefix and size for all, alone in its cluster or not: the same links, and no task holds the group."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    most, tasks = [], ngram_join._tasks
+
+    def watched(*args):
+        out = tasks(*args)
+        most.append(max(r["count"] for r in out.groupBy("pack", "item").count().collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_tasks", watched)
+    passage = prose(94, 5)
+    alike = [passage + " " + prose(10, 1000 + k) for k in range(150)]
+    for texts in (alike, alike + [passage + " " + prose(5, 2000 + k) for k in range(20)]):
+        rows = list(enumerate(texts))
+        assert got(spark, rows) == brute(rows)
+    assert max(most) <= 4 * 16
+
+
 def test_threshold_is_exact():
     """8 of 10 shingles in common link, 7 of 9 do not."""
     a = np.arange(9, dtype=np.uint64)

@@ -19,7 +19,8 @@ intersections.
    shingles of its own can have no partner and is done. That ends most texts.
 4. Groups that share prefix shingles are clustered. A small cluster is joined
    within one task; a large one is dealt into blocks, and pairs of blocks that
-   share a prefix shingle become tasks of bounded size.
+   share a prefix shingle become tasks of bounded size. A large group is dealt
+   out by set, so it lies in many blocks.
 5. Links are counted in place (matrix products of the members' shingles) and only
    spanning edges leave a task, so near copies by the thousand cost no rows. The
    links' connected components are the result.
@@ -48,6 +49,8 @@ from .words import shingles, split
 FREQUENT = 64
 #: Sets of one block of a large cluster.
 BLOCK = 512
+#: A group of more than one of so many parts of a block is dealt out by set.
+PIECES = 8
 #: Columns of one matrix product.
 COLUMNS = 4096
 _KEPT_BITS = 48
@@ -332,26 +335,37 @@ def _verified(rows: pa.Table) -> pa.Table:
 
 
 def _tasks(groups: DataFrame, sets: DataFrame, n_packs: int) -> DataFrame:
-    """The sets of every task: small clusters packed together, pairs of blocks of large ones."""
+    """The sets of every task: small clusters packed together, pairs of blocks of large ones.
+
+    Clusters and blocks are found on one row a group (``gid``, ``prefix`` and the
+    number of its sets, ``held``); the sets join the result once.
+    """
     tokens = groups.select("gid", F.explode("prefix").alias("token"))
     hubs = tokens.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("c"))
     shared = stored(tokens.join(hubs.where("c > 1"), "token").select("gid", "hub", "token"), "prefixes")
     # A group of several sets is a cluster even if no other group shares its prefix.
     cluster = components(shared.select(F.col("gid").alias("a"), F.col("hub").alias("b")).distinct())
-    placed = sets.join(cluster.withColumnRenamed("node", "gid"), "gid", "left").withColumn("cluster", F.coalesce("label", "gid")).drop("label")
-    counts = placed.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    placed = placed.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("gid"), blocks))
+    whole = stored(groups.select("gid", "held").join(cluster.withColumnRenamed("node", "gid"), "gid", "left").select(
+        "gid", "held", F.coalesce("label", "gid").alias("cluster")), "groups")
+    counts = stored(whole.groupBy("cluster").agg(F.sum("held").alias("members")).where("members > 1"), "clusters")
+    # A group above the size of a piece is dealt out by set, so that no block holds it whole.
+    whole = stored(whole.join(counts, "cluster").select(
+        "gid", "cluster", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"),
+        F.ceil(F.col("held") / max(1, BLOCK // PIECES)).cast("long").alias("pieces")), "blocks")
+    block = F.pmod(F.xxhash64("gid", "piece"), "blocks").alias("block")
+    placed = sets.join(whole, "gid").withColumn("piece", F.pmod(F.xxhash64("sid"), "pieces"))
     columns = ["item", "side", "n", "gid", "sid", "k", "copies", "tokens"]
-    small = placed.where(blocks == 1).withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(n_packs))).withColumns(
+    small = placed.where("blocks = 1").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(n_packs))).withColumns(
         {"item": F.col("cluster"), "side": F.lit(0)}).select("pack", *columns)
-    large = placed.where(blocks > 1)
-    held = large.select("gid", "cluster", "block").distinct().join(shared.select("gid", "token"), "gid").select(
-        "cluster", "token", "block").distinct()
-    # Every block with itself (a group may hold several sets), and pairs that share a prefix shingle.
+    large = placed.where("blocks > 1").withColumn("block", block)
+    dealt = whole.where("blocks > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select(
+        "gid", "cluster", block).distinct()
+    # Every block with itself, and pairs that share a group or a prefix shingle.
+    held = dealt.join(shared.select("gid", "token"), "gid").select("cluster", "token", "block").union(
+        dealt.select("cluster", "gid", "block")).distinct()
     other = held.withColumnRenamed("block", "other")
     pairs = held.join(other, ["cluster", "token"]).where("block < other").select("cluster", "block", "other").union(
-        large.select("cluster", "block", F.col("block").alias("other"))).distinct()
+        dealt.select("cluster", "block", F.col("block").alias("other"))).distinct()
     pairs = pairs.withColumn("item", F.xxhash64("cluster", "block", "other"))
     ends = pairs.select("cluster", "block", "item", F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side")).union(
         pairs.where("block <> other").select("cluster", F.col("other").alias("block"), "item", F.lit(2)))
@@ -377,7 +391,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "copies")
     sets = rows.where("tokens IS NOT NULL").select("n", "sid", "gid", F.size("prefix").alias("k"), "tokens").join(
         per_set.select("sid", "copies"), "sid")
-    groups = rows.where("tokens IS NOT NULL").select("gid", "prefix").dropDuplicates(["gid"])
+    groups = rows.where("tokens IS NOT NULL").groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("held"))
     tasks = _tasks(groups, sets, 8 * n_targets)
     links = stored(tasks.groupBy("pack").applyInArrow(_verified, _LINKS), "links")
 
