@@ -5,8 +5,8 @@ before the next one reads it:
 
 1. language ID: texts without a letter and ambiguous ones go, ``lang`` becomes the
    predicted language;
-2. n-gram Jaccard join: of each group of linked documents the smallest id stays
-   (rows without an id stay);
+2. n-gram Jaccard join: of each group of linked rows one stays, that of the
+   smallest id (one without an id only where none has any);
 3. benchmark decontamination: texts that overlap with a benchmark item go;
 4. PII: found spans are replaced by their kind, ``n_chars`` follows;
 5. packing: the ids of what is left, as sequences of binary lengths.
@@ -32,14 +32,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones."""
-    docs = docs.select(*COLUMNS)
-    first = ngram_join.linked(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id")
-    ids = stored(first.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    # Most ids are kept: too many to broadcast, at any size.
-    once = docs.hint("merge").join(ids.where("rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    repeated = docs.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One row of each group of linked ones: of the smallest id, rows without an id last."""
+    # Rows of one key are equal in every column; nulls are told apart, which the hash skips.
+    key = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    docs = docs.select(*COLUMNS, key.alias("_key"))
+    classes = ngram_join.linked(docs, "_key").groupBy(F.col("doc_id").alias("_key")).agg(
+        F.min("component_id").alias("class"), F.count(F.when(F.col("n_shingles") > 0, 1)).alias("rows"))
+    ids = docs.groupBy("_key").agg(F.min("doc_id").alias("id"))
+    first = ids.join(classes, "_key").groupBy("class").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "rows")).alias("first"))
+    kept = stored(first.select("first._key", "first.rows"), "kept")
+    # Most rows are kept: too many keys to broadcast, at any size. Wordless rows are not linked and all stay.
+    once = docs.hint("merge").join(kept.where("rows < 2").select("_key").hint("merge"), "_key", "left_semi")
+    repeated = docs.join(kept.where("rows > 1").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(repeated).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from data import DOCS
+from data import DOCS, prose
 from test_llm_join import brute
 from test_llm_text import brute_spans
 from tokenizers import Tokenizer
@@ -67,6 +67,17 @@ def test_odd_rows_pass_every_stage(spark):
     assert kept.count(5) == 1 and 6 not in kept and 4 in kept
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows without an id are copies like others, and a repeated id does not keep another row of that id."""
+    a, b, c, d = (prose(60, k) for k in range(4))
+    rows = [(1, a), (None, a), (None, a + " tail"), (None, b), (None, b), (None, b + " tail"), (2, c), (3, a), (3, d), (3, d), (7, ""), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "x", None) for k, t in rows], COLUMNS)
+    have = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    b_kept = [t for i, t in have if i is None and t]
+    assert len(b_kept) == 1 and b_kept[0].startswith(b)
+    assert sorted((x for x in have if x[1] not in b_kept), key=str) == sorted([(1, a), (2, c), (3, d), (7, ""), (None, ""), (None, "")], key=str)
+
+
 def test_empty_table_passes_every_stage(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for name, stage in cp.STAGES:
