@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from threadlens.session import builder  # noqa: E402
 
@@ -21,9 +22,3 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("OFF")
     yield s
-
-
-def rows(df, *columns):
-    """Rows as a sorted list of tuples of the named columns."""
-    out = [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
-    return sorted(out, key=str)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from threadlens.functions import text as tx
 from threadlens.operators import index, rounds, search
 from threadlens.schemas import QUERIES

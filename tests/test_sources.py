@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from threadlens.functions.text import strip_html
 from threadlens.operators.usage import describe_counts
 from threadlens.session import scratch

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from test_threads import frame, message
 from threadlens.operators import tagging
 from threadlens.schemas import CHANGES, STATE_EVENTS, USAGE_EVENTS

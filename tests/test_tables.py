@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from threadlens.operators import mutate, state, usage
 
 T = ("user_id string, thread_id string, subject string, date_first string, date_last string, "

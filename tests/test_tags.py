@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from threadlens.functions import tags as tg, values
 from threadlens.operators import tagging
 

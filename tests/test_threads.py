@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from threadlens.operators import attachments as att, threads as th
 from threadlens.schemas import MESSAGES
 
