@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import bytecnn, decontaminate, langid, ngram_join, packing, pii, reshard, rules, tokenfile, warc
+from . import bytecnn, decontaminate, langid, ngram_join, packing, pii, reshard, rules, tokencount, tokenfile, warc
 
-MODULES = (rules, packing, tokenfile, langid, decontaminate, pii, ngram_join, reshard, warc, bytecnn)
+MODULES = (rules, packing, tokenfile, langid, decontaminate, pii, ngram_join, reshard, warc, bytecnn,
+           tokencount)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
