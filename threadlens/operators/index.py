@@ -72,6 +72,23 @@ def positions(threads: DataFrame, participants: DataFrame) -> DataFrame:
     return head.unionByName(people)
 
 
+def statistics(terms: DataFrame) -> DataFrame:
+    """(user_id, token, df): in how many threads of a tenant a token occurs."""
+    return terms.groupBy("user_id", "token").agg(F.count("*").alias("df"))
+
+
+def deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(user_id, token, d): what replacing the postings ``before`` by ``after`` does to the statistics."""
+    signed = before.select("user_id", "token", F.lit(-1).cast("bigint").alias("d")).unionByName(
+        after.select("user_id", "token", F.lit(1).cast("bigint").alias("d")))
+    return signed.groupBy("user_id", "token").agg(F.sum("d").alias("d")).filter("d <> 0")
+
+
+def summed(log: DataFrame) -> DataFrame:
+    """The statistics that a log of deltas adds up to; tokens that are gone have no row."""
+    return log.groupBy("user_id", "token").agg(F.sum("d").alias("df")).filter("df > 0")
+
+
 def refresh(
     index: DataFrame, threads: DataFrame, participants: DataFrame, changed: DataFrame,
     build=terms,
@@ -86,6 +103,12 @@ def refresh(
     return kept.unionByName(fresh)
 
 
+def write_statistics(counts: DataFrame, path: str) -> None:
+    """Store the statistics ordered by token, as the index is."""
+    counts.repartitionByRange("token", "user_id").sortWithinPartitions("token", "user_id").write.option(
+        "parquet.bloom.filter.enabled#token", "true").parquet(path)
+
+
 def write(index: DataFrame, path: str) -> None:
     """Store the index ordered by token, so a search reads few row groups."""
     index.repartitionByRange("token", *KEY).sortWithinPartitions("token", *KEY).write.option(

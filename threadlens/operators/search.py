@@ -62,16 +62,18 @@ class _Index:
     ``SMALL`` rows.
     """
 
-    def __init__(self, terms: DataFrame, positions: DataFrame, units: DataFrame):
+    def __init__(self, terms: DataFrame, positions: DataFrame, units: DataFrame, statistics: DataFrame | None):
         few = units.limit(LITERALS + 1).collect()
         tokens_of_few = {t for r in few for t in r["tokens"]}
         if len(few) <= LITERALS and len(tokens_of_few) <= LITERALS:
             self.units = units.sparkSession.createDataFrame(few, units.schema)
             self.small, self.phrases = True, any(len(r["tokens"]) > 1 for r in few)
             self.needed = self.units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
-            wanted = F.col("token").isin(sorted(tokens_of_few)) & F.col("user_id").isin(
-                sorted({r["user_id"] for r in few if r["user_id"] is not None}))
+            tenants = F.col("user_id").isin(sorted({r["user_id"] for r in few if r["user_id"] is not None}))
+            wanted = tenants & F.col("token").isin(sorted(tokens_of_few))
+            self.of_tenants = terms.filter(tenants)
             self.terms, self.positions = terms.filter(wanted), positions.filter(wanted)
+            self.statistics = None if statistics is None else statistics.filter(wanted)
         else:
             self.units = materialise(units, "units")
             self.needed = self.units.select(*UNIT, "user_id", F.explode("tokens").alias("token")).distinct()
@@ -81,27 +83,55 @@ class _Index:
             on = ["user_id", "token"]
             self.terms = terms.join(tokens_of, on, "left_semi")
             self.positions = positions.join(tokens_of, on, "left_semi")
+            self.statistics = None if statistics is None else statistics.join(tokens_of, on, "left_semi")
+        self.few = len(few) <= LITERALS and len(tokens_of_few) <= LITERALS
 
     def hint(self, df: DataFrame) -> DataFrame:
         """Broadcast a table that has at most one row per token of a unit."""
         return F.broadcast(df) if self.small else df
 
 
-def _units_with_all_tokens(ix: _Index) -> DataFrame:
-    """(query_id, unit, user_id, thread_id) where every token of the unit occurs."""
-    terms, needed = ix.terms, ix.needed
-    counts = terms.groupBy("user_id", "token").agg(F.count("*").alias("df"))
-    plans = (
-        ix.hint(needed).join(counts, ["user_id", "token"], "left")
+def _plans(ix: _Index) -> DataFrame:
+    """(query_id, unit, user_id, anchor, n_tokens) of the units whose tokens all occur somewhere."""
+    counts = ix.statistics
+    if counts is None:
+        counts = ix.terms.groupBy("user_id", "token").agg(F.count("*").alias("df"))
+    return (
+        ix.hint(ix.needed).join(counts, ["user_id", "token"], "left")
         .groupBy(*UNIT, "user_id")
         .agg(
             F.min_by("token", F.struct("df", "token")).alias("anchor"),
             F.count("*").alias("n_tokens"),
             F.bool_or(F.col("df").isNull()).alias("missing"),
         )
-        .filter(~F.col("missing"))
+        .filter(~F.col("missing")).drop("missing")
     )
-    found = terms.join(
+
+
+def _units_with_all_tokens(ix: _Index) -> DataFrame:
+    """(query_id, unit, user_id, thread_id) where every token of the unit occurs.
+
+    With statistics the anchors are known before any posting is read, so the postings
+    of the anchors and those of the other tokens are two disjoint reads.
+    """
+    needed, plans = ix.needed, _plans(ix)
+    first = others = ix.terms
+    if ix.few and ix.statistics is not None:
+        # At most one row a unit, and the units were few enough to be literals.
+        known = plans.collect()
+        plans = plans.sparkSession.createDataFrame(known, plans.schema)
+        anchors = {r["anchor"] for r in known}
+        live = {(r["query_id"], r["unit"]) for r in known if r["n_tokens"] > 1}
+        anchor_of = {(r["query_id"], r["unit"]): r["anchor"] for r in known}
+        rest = {r["token"] for r in needed.collect()
+                if (r["query_id"], r["unit"]) in live and anchor_of[r["query_id"], r["unit"]] != r["token"]}
+        first = ix.of_tenants.filter(F.col("token").isin(sorted(anchors)))
+        if not live:
+            found = first.join(F.broadcast(plans.select(*UNIT, "user_id", F.col("anchor").alias("token"))),
+                               ["user_id", "token"])
+            return found.select(*UNIT, *KEY)
+        others = ix.of_tenants.filter(F.col("token").isin(sorted(rest)))
+    found = first.join(
         ix.hint(plans.select(*UNIT, "user_id", F.col("anchor").alias("token"), "n_tokens")),
         ["user_id", "token"],
     ).select(*UNIT, *KEY, "n_tokens", "token")
@@ -111,7 +141,7 @@ def _units_with_all_tokens(ix: _Index) -> DataFrame:
         .withColumnRenamed("token", "anchor")
         .join(ix.hint(needed.select(*UNIT, "token")), UNIT)
         .filter(F.col("token") != F.col("anchor"))
-        .join(terms, [*KEY, "token"])
+        .join(others, [*KEY, "token"])
         .groupBy(*UNIT, *KEY, "n_tokens").agg(F.count("*").alias("n_found"))
         .filter(F.col("n_found") == F.col("n_tokens") - 1)
         .select(*UNIT, *KEY)
@@ -144,10 +174,13 @@ def _with_phrases(found: DataFrame, ix: _Index) -> DataFrame:
     return plain.unionByName(whole)
 
 
-def match(terms: DataFrame, positions: DataFrame, queries: DataFrame) -> DataFrame:
+def match(
+    terms: DataFrame, positions: DataFrame, queries: DataFrame, statistics: DataFrame | None = None
+) -> DataFrame:
     """(query_id, user_id, thread_id) of all hits; blank queries have none.
 
-    Queries asked more than once are looked up once. The hits are stored in the
+    ``statistics`` (see :func:`index.statistics`) names the rarest token of a query;
+    without them the postings are counted. Queries asked more than once are looked up once. The hits are stored in the
     shared folder: pages, totals and merges read them, and their known size
     lets joins to the thread table choose well.
     """
@@ -157,7 +190,7 @@ def match(terms: DataFrame, positions: DataFrame, queries: DataFrame) -> DataFra
     )
     text = ["user_id", "q", "search_mode"]
     first = asked.groupBy(*text).agg(F.min("query_id").alias("first_id"))
-    ix = _Index(terms, positions, _units(first.withColumnRenamed("first_id", "query_id")))
+    ix = _Index(terms, positions, _units(first.withColumnRenamed("first_id", "query_id")), statistics)
     found = _with_phrases(_units_with_all_tokens(ix), ix)
     once = found.select(F.col("query_id").alias("first_id"), *KEY).distinct()
     copies = asked.join(first, text).select("query_id", "first_id")
@@ -199,26 +232,31 @@ def swap_reversed(queries: DataFrame) -> DataFrame:
     })
 
 
-def apply_filters(hits: DataFrame, threads: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits joined to their thread row, where the query's filters hold."""
-    wanted = queries.select(
-        "query_id", F.col("has_attachments").alias("want_attachments"), "has_multiple",
-        "date_from", "date_to", "min_attachment_kb",
-    )
-    c = F.col
+WANTED = ["has_attachments", "has_multiple", "date_from", "date_to", "min_attachment_kb"]
+
+
+def _pass(has_attachments: Column, n_messages: Column, day_min: Column, day_max: Column, size: Column) -> Column:
+    """The filters of a query, whose columns are prefixed ``want_``, on the columns of a thread."""
+    want = {c: F.col(f"want_{c}") for c in WANTED}
     return (
-        hits.join(threads, KEY).join(wanted, "query_id")
-        .filter(
-            with_attachments(c("want_attachments"), c("has_attachments"))
-            & with_replies(c("has_multiple"), c("n_messages"))
-            & some_day_from(c("date_from"), c("day_max"))
-            & some_day_to(c("date_to"), c("day_min"))
-            & some_attachment_of(c("min_attachment_kb"), c("max_attachment_size"))
-        )
-        .drop("want_attachments", "has_multiple", "date_from", "date_to", "min_attachment_kb")
+        with_attachments(want["has_attachments"], has_attachments)
+        & with_replies(want["has_multiple"], n_messages)
+        & some_day_from(want["date_from"], day_max)
+        & some_day_to(want["date_to"], day_min)
+        & some_attachment_of(want["min_attachment_kb"], size)
     )
 
 
+def _holds() -> Column:
+    return _pass(*[F.col(c) for c in ("has_attachments", "n_messages", "day_min", "day_max", "max_attachment_size")])
+
+
+def apply_filters(hits: DataFrame, threads: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits joined to their thread row, where the query's filters hold."""
+    wanted = queries.select("query_id", *[F.col(c).alias(f"want_{c}") for c in WANTED])
+    return hits.join(threads, KEY).join(wanted, "query_id").filter(_holds()).drop(*[f"want_{c}" for c in WANTED])
+
+
 def sort_keys(sort_by: str) -> list[Column]:
     """Orders by name; unknown names mean most recently synced first."""
     known = {"date_asc": F.col("date_first").asc(), "date_desc": F.col("date_last").desc()}
@@ -246,30 +284,66 @@ def pages_per_query(
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def matched_or_all(
-    threads: DataFrame, terms: DataFrame, positions: DataFrame, queries: DataFrame
-) -> DataFrame:
-    """Hits of every query; one without words selects all threads of its tenant."""
-    blank = queries.filter(F.size(words(F.coalesce("q", F.lit("")))) == 0)
-    everything = threads.select(*KEY).join(blank.select("query_id", "user_id"), "user_id")
-    return match(terms, positions, queries).unionByName(everything.select("query_id", *KEY))
+def _blank_results(threads: DataFrame, blank: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """(page keys, totals) of queries without words, which select all threads of their tenant.
+
+    Equal ones are answered once. Threads meet them in the scan: only counts and the
+    first rows of each task are shuffled, never the pairs.
+    """
+    kinds = ["user_id", *[f"want_{c}" for c in WANTED], "sort_by"]
+    asked = materialise(blank.select(
+        "query_id", "user_id", *[F.col(c).alias(f"want_{c}") for c in WANTED], "sort_by"), "blank")
+    # A kind is named by its fields, so that nulls are told apart and joins need no null-safe keys.
+    named = asked.withColumn("kind", F.to_json(F.struct(*kinds)))
+    once = named.groupBy("kind").agg(*[F.first(c).alias(c) for c in kinds])
+    if named.select("kind").distinct().count() <= SMALL:
+        once = F.broadcast(once)
+    slim = threads.select(*KEY, "has_attachments", "n_messages", "day_min", "day_max", "max_attachment_size", *ORDER)
+    pairs = slim.join(once, "user_id").filter(_holds()).withColumnRenamed("kind", "query_id")
+    page_ = pages_per_query(pairs.select("query_id", *KEY, *ORDER, "sort_by"), limit).select("query_id", *KEY, "rank")
+    totals = pairs.groupBy("query_id").agg(F.count("*").alias("total"))
+    ids = named.select("query_id", F.col("kind"))
+    back = lambda df: df.withColumnRenamed("query_id", "kind").join(ids, "kind").drop("kind")
+    return back(page_), back(totals)
+
+
+#: The columns that the orders of a page compare, besides the key.
+ORDER = ["date_first", "date_last", "last_synced"]
 
 
 def search_threads(
-    threads: DataFrame, terms: DataFrame, positions: DataFrame, queries: DataFrame,
-    limit: int | None = DEFAULT_LIMIT,
+    threads: DataFrame, terms: DataFrame | None, positions: DataFrame | None, queries: DataFrame,
+    limit: int | None = DEFAULT_LIMIT, statistics: DataFrame | None = None, substrings=None,
 ) -> DataFrame:
-    """Composed search: words, filters, order, page, and the exact ``total``."""
+    """Composed search: words, filters, order, page, and the exact ``total``.
+
+    Hits meet the thread table once, as keys with the columns that filters and orders
+    read; whole thread rows are fetched for the pages alone. Where there is no token
+    index, ``substrings`` (a :class:`substrings.Index`) finds the words anywhere instead.
+    """
     ordered = swap_reversed(queries)
-    hits = apply_filters(
-        matched_or_all(threads, terms, positions, ordered), threads, ordered
-    ).join(ordered.select("query_id", "sort_by"), "query_id")
-    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
-    return pages_per_query(hits, limit).join(totals, "query_id")
+    if substrings is not None:
+        from threadlens.operators.substrings import match as match_substrings
+
+        hits = match_substrings(substrings, ordered)
+    else:
+        hits = match(terms, positions, ordered, statistics)
+    slim = threads.select(*KEY, "has_attachments", "n_messages", "day_min", "day_max", "max_attachment_size", *ORDER)
+    kept = materialise(
+        apply_filters(hits, slim, ordered).join(ordered.select("query_id", "sort_by"), "query_id")
+        .select("query_id", *KEY, *ORDER, "sort_by"), "kept")
+    pages = pages_per_query(kept, limit).select("query_id", *KEY, "rank")
+    totals = kept.groupBy("query_id").agg(F.count("*").alias("total"))
+    blank = ordered.filter(F.size(words(F.coalesce("q", F.lit("")))) == 0)
+    if not blank.isEmpty():
+        blank_pages, blank_totals = _blank_results(threads, blank, limit)
+        pages, totals = pages.unionByName(blank_pages), totals.unionByName(blank_totals)
+    return pages.join(totals, "query_id").join(threads, KEY).join(ordered.select("query_id", "sort_by"), "query_id")
 
 
 def multi_query(
-    threads: DataFrame, terms: DataFrame, positions: DataFrame, queries: DataFrame
+    threads: DataFrame, terms: DataFrame, positions: DataFrame, queries: DataFrame,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Every hit of every query with its thread row; any-word unless told otherwise.
 
@@ -277,7 +351,7 @@ def multi_query(
     list is ``(date_last desc, thread_id)``.
     """
     asked = queries.withColumn("search_mode", F.coalesce("search_mode", F.lit("or")))
-    return apply_filters(match(terms, positions, asked), threads, asked)
+    return apply_filters(match(terms, positions, asked, statistics), threads, asked)
 
 
 def _substring_flags(threads: DataFrame, participants: DataFrame, typed: list[str]) -> DataFrame:

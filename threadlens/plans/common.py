@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlens.operators import index, threads as th
+from threadlens.operators import index, substrings, threads as th
 from threadlens.session import scratch
 from threadlens.sources import adapters
 
@@ -103,7 +105,7 @@ DOC_SQL = f"""
 """
 
 
-_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+_STORED: dict[tuple[str, str], tuple[str, ...]] = {}
 
 
 def doc_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -115,14 +117,58 @@ def doc_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     threads, people = adapters.doc_threads(spark, sf)
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
-        paths = (scratch(spark, "terms"), scratch(spark, "positions"))
+        paths = (scratch(spark, "terms"), scratch(spark, "positions"), scratch(spark, "statistics"))
         index.write(index.terms(threads, people), paths[0])
         index.write(index.positions(threads, people), paths[1])
+        index.write_statistics(index.statistics(spark.read.parquet(paths[0])), paths[2])
         _STORED[key] = paths
-    terms, positions = (spark.read.parquet(p) for p in _STORED[key])
+    terms, positions = (spark.read.parquet(p) for p in _STORED[key][:2])
     return threads, people, terms, positions
 
 
+def doc_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The term statistics stored beside :func:`doc_index`."""
+    doc_index(spark, sf)
+    return spark.read.parquet(_STORED[spark.sparkContext.applicationId, sf][2])
+
+
+_SUBSTRINGS: dict[tuple[str, str], str] = {}
+
+
+def doc_substrings(spark: SparkSession, sf: str) -> substrings.Index:
+    """The substring index over whole documents, stored once per application and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SUBSTRINGS:
+        path = scratch(spark, "substrings")
+        substrings.build(*adapters.doc_threads(spark, sf), path)
+        _SUBSTRINGS[key] = path
+    return substrings.read(spark, _SUBSTRINGS[key])
+
+
+#: Pieces of a text as substring searches: (number, SQL of the typed words, mode).
+PIECES = [
+    (0, "substring(text, 3, 9)", "and"),
+    (1, "upper(substring(text, 12, 4)) || ' ' || substring(text, 30, 2)", "or"),
+    (2, "substring(text, 5, 1) || ' ' || substring(text, 20, 3) || chr(9) || substring(text, 40, 8)", "and"),
+    (3, "'100%' || substring(text, 2, 1) || '_'", "and"),
+    (4, "'[\"' || substring(text, 1, 1)", "or"),
+    (5, "'SRC' || CAST(item_id % 7 AS STRING) || '@archive  en-desk'", "and"),
+]
+
+
+def substring_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Six substring searches per benchmark text: pieces of words, wildcard characters, tags, addresses."""
+    base = adapters.mapped(spark, sf, "saved_queries")
+    each = [base.selectExpr("user_id", f"item_id * {len(PIECES)} + {k} AS query_id", f"{q} AS q", f"'{mode}' AS search_mode")
+            for k, q, mode in PIECES]
+    return reduce(DataFrame.unionByName, each)
+
+
+SUBSTRING_SQL = " UNION ALL ".join(
+    f"SELECT user_id, item_id * {len(PIECES)} + {k} AS query_id, {q} AS q, '{mode}' AS search_mode FROM base"
+    for k, q, mode in PIECES).replace("STRING", "VARCHAR")
+
+
 def saved_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Three queries per benchmark text.
 
@@ -220,7 +266,7 @@ def multi_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
 
     threads, people, terms, positions = doc_index(spark, sf)
     queries = saved_queries(spark, sf)
-    hits = multi_query(threads, terms, positions, queries).join(
+    hits = multi_query(threads, terms, positions, queries, doc_statistics(spark, sf)).join(
         queries.select("query_id", "session_id", "round"), "query_id"
     )
     return hits, threads, queries

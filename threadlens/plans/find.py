@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions import tags as tg, text as tx
-from threadlens.operators import index, rounds, search
+from threadlens.operators import index, rounds, search, substrings
 from threadlens.plans.common import (
-    CHAT_SQL, DOC_SQL, FILTER_SQL, MULTI_SQL, QUERY_SQL, chat_threads, doc_index, multi_hits,
-    saved_queries, sql_tokens,
+    CHAT_SQL, DOC_SQL, FILTER_SQL, MULTI_SQL, QUERY_SQL, SUBSTRING_SQL, WS_SQL, chat_threads, doc_index,
+    doc_statistics, doc_substrings, multi_hits, saved_queries, sql_tokens, substring_queries,
 )
 from threadlens.plans.registry import query
 from threadlens.schemas import KEY
@@ -22,7 +22,7 @@ def typed(spark, rows: list[tuple]):
 
 def doc_hits(spark, sf, rows):
     _, _, terms, positions = doc_index(spark, sf)
-    return search.match(terms, positions, typed(spark, rows)).select(
+    return search.match(terms, positions, typed(spark, rows), doc_statistics(spark, sf)).select(
         F.col("query_id").cast("int").alias("query_id"), *KEY
     )
 
@@ -181,7 +181,71 @@ def j_index_semi(spark, sf):
     return threads.join(terms.filter("token = 'with'"), KEY, "left_semi").select(*KEY, "date_last")
 
 
-@query("search_substring", """
+_SUBSTRING_SQL = f"""
+    base AS (SELECT * FROM {{saved_queries}}),
+    qs AS ({SUBSTRING_SQL}),
+    dt AS (
+        SELECT user_id, thread_id, date_last, [
+            translate(subject, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[]',
+            CASE WHEN is_tagged = 1 THEN '["' || lang || '", "' || source || '"]' ELSE '[]' END,
+            '"' || address_1 || '"', '"' || address_2 || '"'] AS texts
+        FROM {{doc_threads}}),
+    qw AS (
+        SELECT query_id, user_id, search_mode, list_distinct(list_transform(
+            list_filter(string_split_regex(q, '{WS_SQL}+'), lambda w: w <> ''),
+            lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS ws
+        FROM qs),
+    held AS (
+        SELECT query_id, d.user_id, d.thread_id, search_mode, len(ws) AS n,
+               len(list_filter(ws, lambda w: len(list_filter(texts, lambda t: contains(t, w))) > 0)) AS hits
+        FROM qw JOIN dt d USING (user_id)),
+    found AS (
+        SELECT query_id, user_id, thread_id FROM held
+        WHERE n > 0 AND CASE search_mode WHEN 'or' THEN hits > 0 ELSE hits = n END)
+"""
+
+
+@query("search_substring", f"WITH {_SUBSTRING_SQL} SELECT query_id, user_id, thread_id FROM found")
+def search_substring(spark, sf):
+    """A table of substring searches of all tenants, through the index of character runs."""
+    return substrings.match(doc_substrings(spark, sf), substring_queries(spark, sf))
+
+
+@query("search_fallback", f"""
+    WITH {_SUBSTRING_SQL},
+    ranked AS (
+        SELECT query_id, user_id, thread_id, count(*) OVER (PARTITION BY query_id) AS total,
+               row_number() OVER (PARTITION BY query_id ORDER BY date_last DESC, thread_id) AS rank
+        FROM found JOIN dt USING (user_id, thread_id))
+    SELECT * FROM ranked WHERE rank <= 20
+""")
+def search_fallback(spark, sf):
+    """Composed searches where there is no token index: substrings, page of 20, exact total."""
+    threads, _ = adapters.doc_threads(spark, sf)
+    queries = substring_queries(spark, sf).selectExpr(
+        "*", "CAST(NULL AS BOOLEAN) AS has_attachments", "CAST(NULL AS BOOLEAN) AS has_multiple",
+        "CAST(NULL AS STRING) AS date_from", "CAST(NULL AS STRING) AS date_to",
+        "CAST(NULL AS BIGINT) AS min_attachment_kb", "'date_desc' AS sort_by")
+    found = search.search_threads(threads, None, None, queries, 20, substrings=doc_substrings(spark, sf))
+    return found.select("query_id", *KEY, "total", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("term_statistics", f"""
+    WITH {DOC_SQL}
+    SELECT user_id, token, count(*) AS df FROM (
+        SELECT user_id, thread_id, unnest(toks) AS token FROM doc_flat
+        WHERE CAST(substring(thread_id, 2) AS BIGINT) % 5 <> 2) GROUP BY ALL
+""")
+def term_statistics(spark, sf):
+    """Statistics kept by signed deltas: all threads come, then a fifth of them goes."""
+    _, _, terms, _ = doc_index(spark, sf)
+    gone = terms.filter(F.substring("thread_id", 2, 20).cast("bigint") % 5 == 2)
+    nothing = terms.limit(0)
+    log = index.deltas(nothing, terms).unionByName(index.deltas(gone, nothing))
+    return index.summed(log)
+
+
+@query("search_substring_typed", """
     SELECT user_id, thread_id FROM (
         SELECT user_id, thread_id, subject AS s, address_1 AS p1, address_2 AS p2,
                CASE WHEN is_tagged = 1 THEN '["' || lang || '", "' || source || '"]' ELSE '[]' END AS a
@@ -189,7 +253,8 @@ def j_index_semi(spark, sf):
     WHERE (s ILIKE '%thsh%' OR a ILIKE '%thsh%' OR p1 ILIKE '%thsh%' OR p2 ILIKE '%thsh%')
       AND (contains(lower(s), '["en') OR contains(a, '["en'))
 """)
-def search_substring(spark, sf):
+def search_substring_typed(spark, sf):
+    """One typed search by a scan, no index."""
     threads, people = adapters.doc_threads(spark, sf)
     return search.search_substring(threads, people, 'thSH ["en')
 
@@ -300,7 +365,8 @@ def f_date_swap(spark, sf):
 def search_total(spark, sf):
     """Every saved query over documents: a page of 200 and the exact total."""
     threads, _, terms, positions = doc_index(spark, sf)
-    found = search.search_threads(threads, terms, positions, saved_queries(spark, sf))
+    found = search.search_threads(
+        threads, terms, positions, saved_queries(spark, sf), statistics=doc_statistics(spark, sf))
     return found.select("query_id", "thread_id", "total", F.col("rank").cast("bigint").alias("rank"))
 
 

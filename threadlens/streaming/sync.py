@@ -45,6 +45,7 @@ POSTINGS = {
     "positions": "user_id string, thread_id string, pos bigint, token string",
 }
 HOLDERS = "user_id string, message_id string, thread_id string"
+TERM_COUNTS = "user_id string, token string, d bigint"
 TAGS = "user_id string, thread_id string, tags array<string>, truncated boolean, as_of bigint"
 BUCKETS = 16
 #: Room for the tag changes between two batches in the order of index entries.
@@ -142,11 +143,15 @@ def current_child(
     return rows.join(newest, [*KEY, "batch"], "left_semi").drop("batch")
 
 
+#: Tables whose bucket is not that of the thread.
+PLACED = {"holders": ["user_id", "message_id"], "term_counts": ["user_id", "token"]}
+
+
 def _append(df: DataFrame, root: str, table: str, ddl: str, batch: int, number: str = "batch") -> None:
     kept = "" if number != "batch" else ", deleted boolean, content_batch bigint, created_batch bigint"
     fields = T.StructType.fromDDL(f"{ddl}{kept}").fields
     given = {"deleted": F.lit(False), "content_batch": F.lit(batch), "created_batch": F.lit(batch)}
-    place = bucket("user_id", "message_id") if table == "holders" else bucket()
+    place = bucket(*PLACED.get(table, KEY))
     rows = df.select(*[
         (F.col(f.name) if f.name in df.columns else given.get(f.name, F.lit(None)))
         .cast(f.dataType).alias(f.name)
@@ -250,19 +255,33 @@ def _index(spark: SparkSession, root: str, changed: DataFrame, turn: int) -> Non
     buckets = _numbers(changed)
     threads = materialise(_tagged(spark, root, _rows(spark, root, None, changed, buckets), buckets), "reindexed")
     people = current_child(spark, root, "participants", None, changed, buckets)
+    before = materialise(postings(spark, root, "terms", turn, changed, buckets), "unindexed")
     for name, build in (("terms", ix.terms), ("positions", ix.positions)):
-        _append(build(threads, people), root, name, POSTINGS[name], turn, "turn")
+        rows = materialise(build(threads, people), name)
+        _append(rows, root, name, POSTINGS[name], turn, "turn")
+        if name == "terms":
+            _append(ix.deltas(before, rows), root, "term_counts", TERM_COUNTS, turn, "turn")
     _append(changed, root, "indexed", "user_id string, thread_id string", turn, "turn")
 
 
-def postings(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``terms`` or ``positions`` of all threads as last indexed."""
-    newest = _log(spark, root, "indexed", "user_id string, thread_id string", None, None, "turn").groupBy(
-        *KEY).agg(F.max("turn").alias("turn"))
-    rows = _log(spark, root, name, POSTINGS[name], None, None, "turn")
+def postings(
+    spark: SparkSession, root: str, name: str, before: int | None = None, keys: DataFrame | None = None,
+    buckets: list[int] | None = None,
+) -> DataFrame:
+    """``terms`` or ``positions`` of all threads as last indexed; ``keys`` and ``buckets`` thin the logs first."""
+    turns = _log(spark, root, "indexed", "user_id string, thread_id string", before, buckets, "turn")
+    rows = _log(spark, root, name, POSTINGS[name], before, buckets, "turn")
+    if keys is not None:
+        turns, rows = (df.join(keys.select(*KEY), KEY, "left_semi") for df in (turns, rows))
+    newest = turns.groupBy(*KEY).agg(F.max("turn").alias("turn"))
     return rows.join(newest, [*KEY, "turn"], "left_semi").drop("turn")
 
 
+def term_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """(user_id, token, df) as syncs and taggers have kept it by signed deltas."""
+    return ix.summed(_log(spark, root, "term_counts", TERM_COUNTS, None, None, "turn"))
+
+
 def start_sync(
     spark: SparkSession, changes_path: str, root: str, checkpoint: str, mailbox: Mailbox,
     synced_at: str = "", available_now: bool = True, files_per_batch: int | None = None,
