@@ -67,6 +67,33 @@ def test_mime_deeper_than_one_stretch(spark):
     assert parts.count() == 19 and rows(pr.mime_body(parts), "body") == [("deep",)]
 
 
+def test_a_mistyped_field_costs_that_field_alone(spark):
+    def deep(levels, odd):
+        tree = {**part("text/html", enc("kept")), **odd}
+        for _ in range(levels):
+            tree = part("multipart/mixed", parts=[part("text/plain", enc("other")), tree])
+        return tree
+
+    odd = {"body": {"data": enc("kept"), "size": "big"}, "headers": 3}
+    cases = [deep(0, odd), deep(1, odd), deep(11, odd), deep(1, {"body": "text"}), deep(1, {"parts": {"a": 1}}),
+             deep(2, {}), [1], None, part("multipart/mixed", parts=["no part", None, part("text/plain", enc("p"))])]
+    df = spark.createDataFrame([("u", str(i), None if c is None else json.dumps(c)) for i, c in enumerate(cases)],
+                               "user_id string, message_id string, payload string")
+    for depth in (1, 4, 8):
+        parts = pr.mime_parts(df, depth)
+        assert rows(pr.mime_body(parts), "message_id", "body") == [
+            ("0", "kept"), ("1", "kept"), ("2", "kept"), ("3", "other"), ("4", "kept"), ("5", "kept"), ("8", "p")]
+        assert rows(pr.quarantine_parts(df, parts), "message_id", "error") == [
+            ("0", "unreadable: body.size, headers"), ("1", "unreadable: body.size, headers"),
+            ("2", "unreadable: body.size, headers"), ("3", "unreadable: body"), ("4", "unreadable: parts"),
+            ("6", "malformed payload"), ("7", "no payload"), ("8", "unreadable: part")]
+    gmail = spark.createDataFrame(
+        [("u", json.dumps({"id": "m", "labelIds": "INBOX", "payload": cases[1]}), 0)],
+        "user_id string, payload string, arrival_seq bigint")
+    got = pr.normalise_gmail(gmail, spark.createDataFrame([], "user_id string, account string")).first()
+    assert (got.message_id, got.body, got.container_id) == ("m", "kept", "")
+
+
 def test_odd_bytes_become_replacement_characters(spark):
     latin = base64.urlsafe_b64encode("caf\u00e9".encode("latin-1")).decode()
     assert rows(pr.mime_body(mime(spark, part("text/plain", latin))), "body") == [("caf\ufffd",)]

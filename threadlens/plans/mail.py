@@ -171,22 +171,33 @@ def mime_attachments(spark, sf):
 
 
 def _broken(payload):
-    """Every eleventh payload cut short, every thirteenth missing."""
+    """Every eleventh payload cut short, every thirteenth missing, every seventeenth with fields of wrong types."""
     k = F.col("doc_id")
-    return F.when(k % 11 == 3, F.substring("payload", 1, 20)).when(k % 13 == 5, F.lit(None)).otherwise(payload)
+    wrong = F.replace(F.regexp_replace(payload, r'"size":\d+', '"size":"big"'), F.lit('"filename":"scan.pdf"'),
+                      F.lit('"filename":"scan.pdf","headers":"none","parts":7'))
+    return F.when(k % 11 == 3, F.substring("payload", 1, 20)).when(k % 13 == 5, F.lit(None)).when(
+        k % 17 == 4, wrong).otherwise(payload)
 
 
 @query("quarantine_mail", """
-    SELECT CASE WHEN doc_id % 11 = 3 THEN 'malformed payload' WHEN doc_id % 13 = 5 THEN 'no payload' ELSE 'read' END AS error,
-           count(*) AS messages FROM documents GROUP BY ALL
+    SELECT CASE WHEN doc_id % 11 = 3 THEN 'malformed payload' WHEN doc_id % 13 = 5 THEN 'no payload'
+                WHEN doc_id % 17 = 4 THEN 'unreadable: body.size, headers, parts' ELSE '' END AS error,
+           count(*) AS messages, count(*) FILTER (error_free) AS bodies, coalesce(sum(chars) FILTER (error_free), 0)::BIGINT AS chars
+    FROM (SELECT doc_id, NOT (doc_id % 11 = 3 OR doc_id % 13 = 5) AS error_free,
+                 CASE WHEN doc_id % 3 = 0 THEN 12 ELSE length(text) + 7 END AS chars FROM documents)
+    GROUP BY ALL
 """)
 def quarantine_mail(spark, sf):
-    """Mail of which some payloads are broken: what is read and what is put aside."""
+    """Mail of which some is broken: what is put aside, and the bodies that are read all the same."""
     raw = _part_tree(spark, sf).withColumn("doc_id", F.col("message_id").cast("long")).withColumn(
         "payload", _broken(F.col("payload")))
-    good = providers.mime_parts(raw).filter(F.size("visit") == 0).select(F.lit("read").alias("error"))
-    bad = providers.quarantine(raw, providers.PART_TREE, "user_id", "message_id").select("error")
-    return good.unionByName(bad).groupBy("error").agg(F.count("*").alias("messages"))
+    parts = providers.mime_parts(raw)
+    aside = providers.quarantine_parts(raw, parts)
+    bodies = providers.mime_body(parts)
+    return raw.select("user_id", "message_id").join(aside, ["user_id", "message_id"], "left").join(
+        bodies, ["user_id", "message_id"], "left").groupBy(F.coalesce("error", F.lit("")).alias("error")).agg(
+        F.count("*").alias("messages"), F.count("body").alias("bodies"),
+        F.coalesce(F.sum(F.length("body")), F.lit(0)).cast("long").alias("chars"))
 
 
 @query("quarantine_changes", """

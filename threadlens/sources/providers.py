@@ -23,7 +23,11 @@ GRAPH_MESSAGE = """
 GRAPH_ATTACHMENTS = """
     value array<struct<id: string, name: string, contentType: string, size: bigint>>
 """
-PART_TREE = "mimeType string, filename string, headers array<struct<name: string, value: string>>, parts string"
+# Fields of a part and the type each is read as.
+PART_FIELDS = {
+    "mimeType": "string", "filename": "string", "headers": "array<variant>", "body": "map<string, variant>",
+    "body.data": "string", "body.attachmentId": "string", "body.size": "bigint", "parts": "array<variant>",
+}
 MIME_DEPTH = 8
 ADDRESS = r"<([^<>]*)>"
 LINK = "https://mail.google.com/mail/"
@@ -38,13 +42,6 @@ def _filled(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def _part_type(depth: int) -> str:
-    body = "struct<data: string, attachmentId: string, size: bigint>"
-    head = "array<struct<name: string, value: string>>"
-    inner = f", parts: array<{_part_type(depth - 1)}>" if depth > 1 else ", parts: string"
-    return f"struct<mimeType: string, filename: string, headers: {head}, body: {body}{inner}>"
-
-
 def normalise_graph(raw: DataFrame) -> DataFrame:
     """Flat JSON messages to the message shape; rows without an id are dropped.
 
@@ -123,14 +120,36 @@ def unreadable(payload: Column, schema: str) -> Column:
     return readable(payload, schema).isNull()
 
 
+def _get(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}" if path else "$", kind)
+
+
+def _lost(part: Column) -> Column:
+    """Names of the fields that a part has but that cannot be read as what they are."""
+    whole = F.when(~F.is_variant_null(part) & _get(part, "", "map<string, variant>").isNull(), F.lit("part"))
+    fields = []
+    for name, kind in PART_FIELDS.items():
+        given = _get(part, name, "variant")
+        fields.append(F.when(given.isNotNull() & ~F.is_variant_null(given) & _get(part, name, kind).isNull(), F.lit(name)))
+    return F.array_compact(F.array(whole, *fields))
+
+
+def _headers(part: Column) -> Column:
+    return F.transform(_get(part, "headers", PART_FIELDS["headers"]), lambda h: F.struct(
+        _get(h, "name", "string").alias("name"), _get(h, "value", "string").alias("value")))
+
+
 def _flattened(part: Column, visit: Column, depth: int) -> Column:
     """array of the part and everything below it, ``depth`` levels deep."""
-    more = part["parts"]
+    get = {name: _get(part, name, kind) for name, kind in PART_FIELDS.items()}
+    more = get["parts"]
     here = F.array(F.struct(
-        visit.alias("visit"), part["mimeType"].alias("mimeType"),
-        part["filename"].alias("filename"), part["headers"].alias("headers"),
-        part["body"].alias("body"),
-        (more if depth == 1 else F.lit(None).cast("string")).alias("deeper"),
+        visit.alias("visit"), get["mimeType"].alias("mimeType"),
+        get["filename"].alias("filename"), _headers(part).alias("headers"),
+        F.struct(get["body.data"].alias("data"), get["body.attachmentId"].alias("attachmentId"),
+                 get["body.size"].alias("size")).alias("body"),
+        _lost(part).alias("lost"),
+        (more if depth == 1 else F.lit(None).cast("array<variant>")).alias("deeper"),
     ))
     if depth == 1:
         return here
@@ -140,19 +159,27 @@ def _flattened(part: Column, visit: Column, depth: int) -> Column:
     return F.concat(here, F.coalesce(F.flatten(below), F.slice(here, 1, 0)))
 
 
+def tree(payload: Column) -> Column:
+    """A payload as VARIANT; null for text that is no JSON object."""
+    parsed = F.try_parse_json(payload)
+    return F.when(_get(parsed, "", "map<string, variant>").isNotNull(), parsed)
+
+
 def mime_parts(raw: DataFrame, depth: int = MIME_DEPTH) -> DataFrame:
     """All parts of each message, root included, with their visiting order.
 
-    ``raw(user_id, message_id, payload)`` with the part tree as JSON text. The
-    last sibling is visited first, after its parent and before its earlier
+    ``raw(user_id, message_id, payload)`` with the part tree as JSON text or VARIANT.
+    The last sibling is visited first, after its parent and before its earlier
     siblings. ``visit`` is the path from the root, an array that sorts in that
-    order. A tree is flattened ``depth`` levels at a time inside its row and goes
-    on from the JSON below, as deep as it is. Unreadable trees are in
-    :func:`quarantine` with ``PART_TREE``.
+    order. A tree is flattened ``depth`` levels at a time inside its row, as deep as
+    it is. A field of another type than it should have costs that field alone, at any
+    depth; ``lost`` names such fields. :func:`quarantine_parts` lists them, and the
+    payloads that are no trees.
     """
+    text = raw.schema["payload"].dataType.simpleString() == "string"
     todo = raw.select(
         "user_id", "message_id", F.array().cast("array<int>").alias("visit"),
-        readable(F.col("payload"), _part_type(depth)).alias("part"),
+        (tree(F.col("payload")) if text else F.col("payload")).alias("part"),
     )
     out = None
     while True:
@@ -161,15 +188,29 @@ def mime_parts(raw: DataFrame, depth: int = MIME_DEPTH) -> DataFrame:
             F.explode(_flattened(F.col("part"), F.col("visit"), depth)).alias("p"),
         ).select("user_id", "message_id", "p.*"), "parts")
         out = flat.drop("deeper") if out is None else out.unionByName(flat.drop("deeper"))
-        below = flat.filter(F.col("deeper").isNotNull())
+        below = flat.filter(F.size("deeper") > 0)
         if below.isEmpty():
             return out
         todo = below.select(
-            "user_id", "message_id", F.col("visit").alias("above"),
-            F.posexplode(F.from_json("deeper", f"array<{_part_type(depth)}>")).alias("i", "part"),
+            "user_id", "message_id", F.col("visit").alias("above"), F.posexplode("deeper").alias("i", "part"),
         ).select("user_id", "message_id", F.concat("above", F.array(-F.col("i"))).alias("visit"), "part")
 
 
+def quarantine_parts(raw: DataFrame, parts: DataFrame) -> DataFrame:
+    """(user_id, message_id, error): one row for each message of which something could not be read.
+
+    ``parts`` are the :func:`mime_parts` of ``raw``, which leave out payloads that are
+    no trees and single fields of a wrong type.
+    """
+    key = ["user_id", "message_id"]
+    no_tree = raw.filter(tree(F.col("payload")).isNull()).select(
+        *key, F.when(F.col("payload").isNull(), "no payload").otherwise("malformed payload").alias("error"))
+    # There are a handful of field names, however many parts a message has.
+    fields = parts.select(*key, F.explode("lost").alias("field")).distinct().groupBy(*key).agg(
+        F.concat(F.lit("unreadable: "), F.array_join(F.array_sort(F.collect_list("field")), ", ")).alias("error"))
+    return no_tree.unionByName(fields)
+
+
 def mime_body(parts: DataFrame) -> DataFrame:
     """Best body per message: first HTML part, else first other text part."""
     # Bytes that are not UTF-8 become replacement characters.
@@ -218,21 +259,20 @@ def normalise_gmail(raw: DataFrame, accounts: DataFrame, depth: int = MIME_DEPTH
     ``accounts(user_id, account)`` gives the address that links are pinned to,
     one row per user; users without a row get the general link.
     """
-    top = "id string, threadId string, labelIds array<string>, internalDate string, payload string"
-    m = raw.select("user_id", "arrival_seq", readable(F.col("payload"), top).alias("m")).filter(
-        _or_empty(F.col("m.id")) != ""
-    ).select(
-        "user_id", "arrival_seq", F.col("m.id").alias("message_id"), "m.threadId", "m.labelIds",
-        "m.internalDate", F.col("m.payload").alias("payload"),
-    )
+    whole = raw.select("user_id", "arrival_seq", tree(F.col("payload")).alias("m"))
+    m = whole.select(
+        "user_id", "arrival_seq", _get(F.col("m"), "id", "string").alias("message_id"),
+        _get(F.col("m"), "threadId", "string").alias("threadId"),
+        _get(F.col("m"), "labelIds", "array<string>").alias("labelIds"),
+        _get(F.col("m"), "internalDate", "string").alias("internalDate"),
+        _get(F.col("m"), "payload", "variant").alias("payload"),
+    ).filter(_or_empty(F.col("message_id")) != "")
     parts = mime_parts(m.select("user_id", "message_id", "payload"), depth)
     bodies = mime_body(parts)
     flags = mime_attachments(parts).select("user_id", "message_id").distinct().withColumn(
         "has_attachments", F.lit(True)
     )
-    heads = F.from_json(
-        "payload", "struct<headers: array<struct<name: string, value: string>>>"
-    )["headers"]
+    heads = _headers(F.col("payload"))
     stamp = F.timestamp_millis(F.col("internalDate").try_cast("bigint"))
     millis = F.pmod(F.col("internalDate").try_cast("bigint"), F.lit(1000))
     date = F.concat(
