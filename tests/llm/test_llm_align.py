@@ -82,14 +82,20 @@ def test_byte_level_table_decodes_like_the_library():
         assert b"".join(bytes(of[c] for c in k) for k in tokens).decode() == ByteLevel().decode(tokens) == text
 
 
-def test_chunks_equal_whole_texts():
+def test_texts_equal_byte_ranges(monkeypatch):
     texts = [*RANDOM, "", " ", "  ", "a ", " a", BASE, prose(300, 9).replace(" ", "  "), "x" * 300, "é́" * 90]
-    own = crosstokens.Aligner(A, B)
-    for text, x, (a, b, groups, links) in zip(texts, own.align(texts), plain(texts), strict=True):
-        assert (x.n_a, x.n_b, x.n_groups, x.n_links) == (len(a), len(b), len(groups), len(links)), repr(text)
-        assert x.text == texts_of(groups), repr(text)
-        assert dict(zip(x.pairs.tolist(), x.times.tolist())) == Counter(i << 16 | j for i, j in links), repr(text)
-    assert [x.text for x in own.align(texts)] == [x.text for x in crosstokens.Aligner(A, B).align(texts)]  # from memory
+    for wide in (crosstokens.WIDE, 2):
+        monkeypatch.setattr(crosstokens, "WIDE", wide)
+        own = crosstokens.Aligner(A, B)
+        for text, x, (a, b, groups, links) in zip(texts, own.align(texts), plain(texts), strict=True):
+            assert (x.n_a, x.n_b, x.n_groups, x.n_links) == (len(a), len(b), len(groups), len(links)), repr(text)
+            assert x.text() == texts_of(groups), repr(text)
+            assert dict(zip(x.pairs.tolist(), x.times.tolist())) == Counter(i << 16 | j for i, j in links), repr(text)
+
+
+def test_shared_ends():
+    a, b = crosstokens.shared_ends([1, 4, 6, 9], [2, 4, 5, 6, 9])
+    assert a.tolist() == [2, 3, 4] and b.tolist() == [2, 4, 5]
 
 
 def test_query_columns(spark, monkeypatch):

@@ -5,14 +5,11 @@ of either list ends are the intersection of two dictionaries (end to index); in
 order they slice both lists into groups, and all tokens of a group are linked.
 Counts of linked id pairs say in how many documents of the corpus two ids meet.
 
-Neither tokenizer lets a token reach across the start of a run of spaces that
-follows other text. A text is aligned chunk by chunk between those places, and a
-worker remembers the chunks it has seen. The tests compare chunks with whole texts.
-
-Counting is done over blocks of some megabytes of text: a block names each of its
-pairs once, pairs are summed over blocks, and each block gets back the counts of the
-pairs it named, together with its texts. So nothing of the size of the vocabulary
-product is broadcast, and a pair that all documents hold is one row a block.
+Counting is done over blocks of some megabytes of text. Texts are aligned once: a
+block stores, for each text, its distinct pairs as places in the block's own list of
+pairs, and that list. The lists are summed over blocks, and each block gets back the
+counts of the pairs it named. So nothing of the size of the vocabulary product is
+broadcast, and a pair that all documents hold is one row a block.
 
 Defined results: null and empty texts, and texts that one of the tokenizers does not
 give back byte for byte (such as those holding U+2581), have no tokens: zeros and
@@ -23,11 +20,8 @@ rows. A group of many tokens is linked by its distinct ids, with their occurrenc
 
 from __future__ import annotations
 
-import os
-import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,78 +30,93 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only, slices, stored, table
+from .tokens import Encoder
 
 #: Bytes of text in a block, one text at least.
 BLOCK = 4 << 20
-#: Chunks remembered by a worker before it starts anew, and the longest one that is remembered.
-REMEMBERED, LONGEST = 100_000, 64
+#: Groups of more links than this are linked by their distinct ids.
+WIDE = 1 << 16
 
-_cut = re.compile(r"(?<=\S)(?= )")
-_odd = re.compile(r"[^\S ]")
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
-def groups(ids_a: Sequence[int], ends_a: Sequence[int], ids_b: Sequence[int], ends_b: Sequence[int]) -> list[tuple]:
-    """The slices of both id lists between offsets where a token of each ends.
+def shared_ends(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of each list lie before every offset where a token of both ends, in order.
 
-    Ends are offsets after a token, rising; the last one of both lists is equal.
+    Ends are offsets behind a token, rising; the last one of both lists is equal.
     """
-    at_a = {end: k for k, end in enumerate(ends_a, 1)}
-    at_b = {end: k for k, end in enumerate(ends_b, 1)}
-    out, a, b = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((ids_a[a:at_a[end]], ids_b[b:at_b[end]]))
-        a, b = at_a[end], at_b[end]
-    return out
-
-
-def linked(slices_: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs of the groups as a << 16 | b, and how many links each has."""
-    links: Counter[int] = Counter()
-    for a, b in slices_:
-        if len(a) == len(b) == 1:
-            links[a[0] << 16 | b[0]] += 1
-        else:
-            times_b = Counter(b).items()
-            for i, m in Counter(a).items():
-                for j, n in times_b:
-                    links[i << 16 | j] += m * n
-    return np.fromiter(links, np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-
-
-class Chunk:
-    """One chunk's alignment; ``whole`` is false if a tokenizer does not give its bytes back."""
-
-    __slots__ = ("whole", "n_a", "n_b", "n_groups", "text", "pairs", "times")
-
-    def __init__(self, chunk: bytes, ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        of_a, of_b = [bytes_a[i] for i in ids_a], [bytes_b[i] for i in ids_b]
-        self.whole = b"".join(of_a) == chunk and b"".join(of_b) == chunk
-        if self.whole:
-            parts = groups(ids_a, list(accumulate(map(len, of_a))), ids_b, list(accumulate(map(len, of_b))))
-            self.n_a, self.n_b, self.n_groups = len(ids_a), len(ids_b), len(parts)
-            self.text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in parts)
-            self.pairs, self.times = linked(parts)
+    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
+    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    common = sorted(at_a.keys() & at_b.keys())
+    return (np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)),
+            np.fromiter(map(at_b.__getitem__, common), np.int64, len(common)))
 
 
 class Aligned:
-    """A text's alignment, put together from its chunks."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "text", "pairs", "times")
-
-    def __init__(self, chunks: list[Chunk]):
-        self.n_a, self.n_b = sum(c.n_a for c in chunks), sum(c.n_b for c in chunks)
-        self.n_groups = sum(c.n_groups for c in chunks)
-        self.text = ";".join([c.text for c in chunks])
-        if chunks:
-            pairs, at = np.unique(np.concatenate([c.pairs for c in chunks]), return_inverse=True)
-            times = np.concatenate([c.times for c in chunks])
-            self.pairs = pairs
-            # Sums stay far below 2^53, where a float counts exactly.
-            self.times = np.bincount(at, times, len(pairs)).astype(np.int64)
-        else:
-            self.pairs = self.times = np.zeros(0, np.int64)
-        self.n_links = int(self.times.sum())
+    """A text's ids in groups, and its distinct linked pairs (a << 16 | b) with how many links each has."""
+
+    __slots__ = ("ids_a", "ids_b", "stops_a", "stops_b", "n_a", "n_b", "n_groups", "n_links", "pairs", "times")
+
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: list[int], ends_b: list[int]):
+        self.ids_a, self.ids_b = ids_a, ids_b
+        self.stops_a, self.stops_b = shared_ends(ends_a, ends_b)
+        self.n_a, self.n_b, self.n_groups = len(ids_a), len(ids_b), len(self.stops_a)
+        of_a, of_b = np.diff(self.stops_a, prepend=0), np.diff(self.stops_b, prepend=0)
+        links = of_a * of_b
+        self.n_links = int(links.sum())
+        self.pairs, self.times = self._expanded(of_a, of_b, links)
+
+    def _expanded(self, of_a: np.ndarray, of_b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start_a, start_b = self.stops_a - of_a, self.stops_b - of_b
+        single, wide = links == 1, links > WIDE
+        rest = np.flatnonzero(~single & ~wide)
+        of = np.repeat(rest, links[rest])
+        before = np.cumsum(links[rest]) - links[rest]
+        nth = np.arange(len(of)) - np.repeat(before, links[rest])
+        a = np.concatenate([self.ids_a[start_a[single]], self.ids_a[start_a[of] + nth // of_b[of]]])
+        b = np.concatenate([self.ids_b[start_b[single]], self.ids_b[start_b[of] + nth % of_b[of]]])
+        pairs, times = np.unique(a.astype(np.int64) << 16 | b, return_counts=True)
+        if not wide.any():
+            return pairs, times
+        found = [(pairs, times)]
+        for k in np.flatnonzero(wide):
+            a, m = np.unique(self.ids_a[start_a[k]:self.stops_a[k]], return_counts=True)
+            b, n = np.unique(self.ids_b[start_b[k]:self.stops_b[k]], return_counts=True)
+            found.append(((a.astype(np.int64)[:, None] << 16 | b).ravel(), (m[:, None] * n).ravel()))
+        pairs, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        out = np.zeros(len(pairs), np.int64)
+        np.add.at(out, at, np.concatenate([x[1] for x in found]))
+        return pairs, out
+
+    def text(self) -> str:
+        """The ids as ``a1,a2|b1;a3|b2,b3``: decimal, both sides of a group, groups in order."""
+        if self.n_a == 0:
+            return ""
+        comma, bar, semicolon = _decimals()
+        last_a, last_b = np.zeros(self.n_a, bool), np.zeros(self.n_b, bool)
+        last_a[self.stops_a - 1] = last_b[self.stops_b - 1] = True
+        # A group's ids of A come before its ids of B, and behind all of B's before it.
+        group_a = np.cumsum(last_a) - last_a
+        group_b = np.cumsum(last_b) - last_b
+        out = np.empty(self.n_a + self.n_b, object)
+        out[np.arange(self.n_a) + np.concatenate([[0], self.stops_b])[group_a]] = np.where(
+            last_a, bar[self.ids_a], comma[self.ids_a])
+        out[np.arange(self.n_b) + self.stops_a[group_b]] = np.where(
+            last_b, semicolon[self.ids_b], comma[self.ids_b])
+        return "".join(out.tolist())[:-1]
+
+
+_written: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
+def _decimals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All 16-bit ids as decimals with a comma, a bar and a semicolon behind."""
+    if not _written:
+        _written.append(tuple(np.array([f"{i}{end}" for i in range(1 << 16)], object) for end in ",|;"))
+    return _written[0]
+
+
+NOTHING = Aligned(np.zeros(0, np.int64), np.zeros(0, np.int64), [], [])
 
 
 def aligner(vocabulary: str, model: str) -> "Aligner":
@@ -132,80 +141,86 @@ class Aligner:
     """Aligns a byte-level tokenizers file (A) with a sentencepiece model (B) that puts a space before a text."""
 
     def __init__(self, vocabulary: str, model: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_file(vocabulary)
-        self._a.encode_special_tokens = True
+        self._a = Encoder(vocabulary, "leading", plain=True)
         self._b = sentencepiece.SentencePieceProcessor(model_file=model)
-        if self._a.get_vocab_size() > 1 << 16 or self._b.get_piece_size() > 1 << 16:
+        tokens, pieces = Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=False), self._b.get_piece_size()
+        if max(tokens.values()) >= 1 << 16 or pieces > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         of = byte_level()
-        self._bytes_a = [b""] * self._a.get_vocab_size()
-        for token, i in self._a.get_vocab(with_added_tokens=False).items():
-            self._bytes_a[i] = bytes(of[c] for c in token)
+        if not all(c in of for token in tokens for c in token if not token.startswith("<|")):
+            raise ValueError("not a byte-level vocabulary")
+        self._length_a = np.zeros(max(tokens.values()) + 2, np.int64)
+        for token, i in tokens.items():
+            self._length_a[i] = len(token)
         self._bytes_b = [
             bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode()
-            for i, piece in enumerate(self._b.id_to_piece(k) for k in range(self._b.get_piece_size()))]
-        self._space = self._b.piece_to_id("▁")
-        self._known: dict[str, Chunk] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The chunks of a space and ``text``, each without the space it starts with."""
-        if "  " not in text and not _odd.search(text) and text[0] != " ":
-            return text.split(" ")
-        return [c[1:] for c in _cut.split(f" {text}")]
-
-    def align(self, texts: Sequence[str | None]) -> list[Aligned]:
-        """The alignment of each text; without tokens it is empty."""
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        cut = [self.chunks(t) if t else [] for t in texts]
-        new = [c for c in dict.fromkeys(c for chunks in cut for c in chunks) if c not in self._known]
-        long: dict[str, Chunk] = {}
-        of_a = self._a.encode_batch_fast([f" {c}" for c in new], add_special_tokens=False)
-        of_b = self._b.encode(new, num_threads=1) if new else []
-        for c, a, b in zip(new, of_a, of_b, strict=True):
-            (self._known if len(c) <= LONGEST else long)[c] = Chunk(
-                f" {c}".encode(), a.ids, b if c else [self._space], self._bytes_a, self._bytes_b)
-        out = []
-        for chunks in cut:
-            found = [long[c] if c in long else self._known[c] for c in chunks]
-            out.append(Aligned(found if all(c.whole for c in found) else []))
-        return out
-
-
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """The rows with the number of their block, stored, so that later steps see the same blocks."""
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", BLOCK):
-            yield batch.append_column("block", pa.array(np.full(batch.num_rows, block, np.int64)))
-            block += 1
+            for i, piece in enumerate(self._b.id_to_piece(k) for k in range(pieces))]
+        self._length_b = np.array([len(x) for x in self._bytes_b], np.int64)
 
+    def align(self, texts: list[str | None]) -> Iterator[Aligned]:
+        """The alignment of each text; without tokens it is empty."""
+        spaced = [f" {t}" for t in texts if t]
+        of_a = iter(zip(spaced, self._a.encode(spaced), self._b.encode([t[1:] for t in spaced], num_threads=1)))
+        for text in texts:
+            if not text:
+                yield NOTHING
+                continue
+            whole, packed, listed = next(of_a)
+            ids_a, ids_b, whole = np.frombuffer(packed, "<u4"), np.array(listed, np.int64), whole.encode()
+            ends_a, ends_b = np.cumsum(self._length_a[ids_a]), np.cumsum(self._length_b[ids_b])
+            # A writes every byte as a character of its own, so it loses none; its length tells as much as its bytes.
+            if ends_a[-1] != len(whole) or ends_b[-1] != len(whole) or b"".join(
+                    map(self._bytes_b.__getitem__, listed)) != whole:
+                yield NOTHING
+                continue
+            yield Aligned(ids_a, ids_b, ends_a.tolist(), ends_b.tolist())
+
+
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def blocks(docs: DataFrame, vocabulary: str, model: str, digest: bool) -> DataFrame:
+    """The aligned texts, block by block, stored.
+
+    A row is a text, with the places of its pairs in the block's list (``at``) and
+    their links (``times``), both packed; or a block's list itself: ``pair`` and
+    ``docs``, in how many of its texts a pair is linked.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(only(docs, "doc_id", "text").mapInArrow(number, f"doc_id {kind}, text string, block long"), "blocks")
-
 
-def block_pairs(blocks: DataFrame, vocabulary: str, model: str) -> DataFrame:
-    """(block, pair, docs): in how many texts of a block an id pair is linked."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(vocabulary, model)
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = TaskContext.get().partitionId() << 32, aligner(vocabulary, model)
         for batch in slices(batches, "text", BLOCK):
-            texts, of = batch.column("text").to_pylist(), batch.column("block").to_numpy()
-            # A batch may hold the end of one block and the start of the next.
-            for block in np.unique(of):
-                rows = np.flatnonzero(of == block)
-                found = [x.pairs for x in own.align([texts[k] for k in rows]) if x.n_a]
-                if found:
-                    pairs, docs = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(docs.astype(np.int64))],
-                        names=["block", "pair", "docs"])
+            n, rows, groups = batch.num_rows, [], []
+            pairs, times = [], []
+            for x in own.align(batch.column("text").to_pylist()):
+                rows.append([getattr(x, c) for c in NUMBERS])
+                text = x.text()
+                groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and x.n_a else text)
+                pairs.append(x.pairs)
+                times.append(x.times.astype("<u4" if len(x.times) == 0 or x.times.max() < 1 << 32 else "<u8").tobytes())
+            listed, at, docs_ = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+            bounds = np.cumsum([0, *map(len, pairs)])
+            at = at.astype("<u4")
+            places = [at[bounds[k]:bounds[k + 1]].tobytes() for k in range(n)]
+            ids = batch.column("doc_id")
+            nothing = pa.nulls(1, ids.type)
+            # The list is the last row of its block.
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(n + 1, block)), pa.concat_arrays([ids, nothing]),
+                *[pa.array([r[k] for r in rows] + [None], pa.int64()) for k in range(4)],
+                pa.array(groups + [None], pa.string()), pa.array(places + [None], pa.binary()),
+                pa.array(times + [None], pa.binary()),
+                pa.array([None] * n + [listed], pa.list_(pa.int64())), pa.array([None] * n + [docs_], pa.list_(pa.int64())),
+            ], names=["block", "doc_id", *NUMBERS, "groups", "at", "times", "pair", "docs"])
+            block += 1
 
-    return stored(blocks.mapInArrow(count, "block long, pair long, docs long"), "block-pairs")
+    schema = (f"block long, doc_id {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, groups string, at binary, "
+              "times binary, pair array<long>, docs array<long>")
+    return stored(only(docs, "doc_id", "text").mapInArrow(align, schema), "aligned")
 
 
 def pair_counts(named: DataFrame) -> DataFrame:
@@ -216,35 +231,45 @@ def pair_counts(named: DataFrame) -> DataFrame:
     return ids.withColumn("highest", F.col("n_docs") == F.max("n_docs").over(Window.partitionBy("a")))
 
 
-def aligned(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
+def named_pairs(found: DataFrame) -> DataFrame:
+    """(block, place, pair, docs) of the lists of all blocks."""
+    lists = found.where("pair IS NOT NULL").select("block", F.posexplode(F.arrays_zip("pair", "docs")).alias("place", "x"))
+    return lists.select("block", "place", "x.pair", "x.docs")
+
+
+def aligned(docs: DataFrame, vocabulary: str, model: str, digest: bool = False) -> DataFrame:
     """One row a document: ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups``.
 
     ``n_best`` counts the links whose pair has its A id's highest count, ``count_sum``
-    sums the counts over all links, ``groups`` is the ids as ``a1,a2|b1;a3|b2,b3``.
+    sums the counts over all links, ``groups`` is the ids as ``a1,a2|b1;a3|b2,b3``,
+    or with ``digest`` the SHA-256 of that text (still empty for no tokens).
     """
-    blocks = in_blocks(docs)
-    named = block_pairs(blocks, vocabulary, model)
+    found = blocks(docs, vocabulary, model, digest)
+    named = named_pairs(found)
     counts = pair_counts(named).select("pair", "n_docs", "highest")
-    back = named.select("block", "pair").distinct().join(counts, "pair")
-    ids = docs.schema["doc_id"].dataType
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = f"doc_id {ids.simpleString()}, {', '.join(f'{c} long' for c in numbers)}, groups string"
-
-    def look(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        pair, n = counted.column("pair").to_numpy(), counted.column("n_docs").to_numpy()
-        order = np.argsort(pair)
-        pair, n = pair[order], n[order]
-        best = counted.column("highest").to_numpy(zero_copy_only=False)[order]
-        rows = []
-        for x in aligner(vocabulary, model).align(texts.column("text").to_pylist()):
-            at = np.searchsorted(pair, x.pairs)
-            rows.append((x.n_a, x.n_b, x.n_groups, x.n_links, int(x.times[best[at]].sum()), int((x.times * n[at]).sum()),
-                         x.text))
+    back = named.select("block", "place", "pair").join(counts, "pair").select("block", "place", "n_docs", "highest")
+    texts = found.where("pair IS NULL").drop("pair", "docs")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, n_best long, count_sum long, groups string"
+
+    def look(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        place = counted.column("place").to_numpy()
+        n, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        n[place] = counted.column("n_docs").to_numpy()
+        best[place] = counted.column("highest").to_numpy(zero_copy_only=False)
+        n_best, sums = [], []
+        for at, times in zip(rows.column("at").to_pylist(), rows.column("times").to_pylist(), strict=True):
+            at = np.frombuffer(at, "<u4")
+            times = np.frombuffer(times, "<u4" if len(times) == 4 * len(at) else "<u8").astype(np.int64)
+            n_best.append(int(times[best[at]].sum()))
+            sums.append(int((times * n[at]).sum()))
         return pa.Table.from_arrays(
-            [texts.column("doc_id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(6)],
-             pa.array([r[6] for r in rows], pa.string())], names=["doc_id", *numbers, "groups"])
+            [rows.column("doc_id"), *[rows.column(c) for c in NUMBERS], pa.array(n_best, pa.int64()), pa.array(sums, pa.int64()),
+             rows.column("groups")], names=["doc_id", *NUMBERS, "n_best", "count_sum", "groups"])
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(look, schema)
+    # Both sides come from one stored table, so the second names its key apart.
+    counted_ = back.withColumnRenamed("block", "list")
+    return texts.groupBy("block").cogroup(counted_.groupBy("list")).applyInArrow(look, schema)
 
 
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +277,8 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                  public_tokenizers.path("piece_bpe_32k.model"))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+                  public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
 
 
 QUERIES = {"op12_cross_tokenizer": op12_cross_tokenizer}

@@ -35,14 +35,16 @@ class Encoder:
     """Encodes texts to packed little-endian unsigned 32-bit ids.
 
     ``cut`` names where texts may be cut: ``"dropped"`` for vocabularies that drop
-    white space, ``"leading"`` for those whose pieces may start with one space.
+    white space, ``"leading"`` for those whose pieces may start with one space. With
+    ``plain`` the strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = plain
         self._pieces = {"dropped": self._words, "leading": self._spaced}[cut]
         self._known: dict[str, bytes] = {}
 
