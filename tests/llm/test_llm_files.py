@@ -36,6 +36,25 @@ def old_shard():
     return F.pmod(F.xxhash64("text"), F.lit(3))
 
 
+def test_equal_texts_stay_together_beside_a_large_one(spark):
+    """A block is split by text; only a text that is too large itself is torn."""
+    rows = [(2 * k + c, f"pair {k}") for k in range(500) for c in (0, 1)] + [(5000, "y" * 30_000)]
+    out, plan = reshard.resharded(docs(spark, rows), F.lit(0), 8)
+    found = out.select("text", "shard").collect()
+    shards = {}
+    for r in found:
+        shards.setdefault(r.text, set()).add(r.shard)
+    assert plan.parts and len(found) == len(rows) and all(len(s) == 1 for s in shards.values())
+    copies = rows[:200] + [(10_000 + k, "z" * 200) for k in range(400)]
+    out, plan = reshard.resharded(docs(spark, copies), F.lit(0), 8)
+    shards = {}
+    for r in out.select("text", "shard").collect():
+        shards.setdefault(r.text, set()).add(r.shard)
+    assert plan.torn and len(shards.pop("z" * 200)) > 1 and all(len(s) == 1 for s in shards.values())
+    sizes = out.groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert max(r.b for r in sizes) < 1.5 * min(r.b for r in sizes)
+
+
 def test_reshard_round_trip(spark):
     rows = DOCS + [(100 + k, prose(20 + k % 30, k)) for k in range(400)]
     out, plan = reshard.resharded(docs(spark, rows), old_shard(), 4)

@@ -85,10 +85,15 @@ def dealt(blocks: dict[tuple, int], flow: list[list[int]], home: dict) -> dict[t
 
 @dataclass
 class Plan:
-    """Which blocks go where; ``parts`` gives the pieces of a block that had to be split."""
+    """Which blocks go where.
+
+    ``parts`` gives the pieces of a block that had to be split, by text; ``torn`` the
+    first piece and the pieces of a text that is too large itself, by document.
+    """
 
     shard_of: dict[tuple[int, int, int], int]
     parts: dict[tuple[int, int], int]
+    torn: dict[tuple[int, int, int], tuple[int, int]]
     moved_bytes: int
     affected: list[int]
 
@@ -106,8 +111,16 @@ def planned(sized: DataFrame, n_new: int) -> Plan:
     bound = max(1, total // n_new // 4)
     parts = {b: -(-4 * size // bound) for b, size in whole.items() if size > bound}
     sizes = {(*b, 0): size for b, size in whole.items() if b not in parts}
+    torn: dict[tuple[int, int, int], tuple[int, int]] = {}
     if parts:
-        split = sized.where(_in(parts)).withColumn("part", _part(parts))
+        # Copies of one text that fill more than the bound: fewer than four for each new shard.
+        heavy = sized.where(_in(parts)).groupBy("old", "block", _text().alias("key")).agg(F.sum("size").alias("b"))
+        next_part = dict(parts)
+        for r in heavy.where(F.col("b") > bound).orderBy("old", "block", "key").collect():
+            pieces = -(-4 * r.b // bound)
+            torn[r.old, r.block, r.key] = (next_part[r.old, r.block], pieces)
+            next_part[r.old, r.block] += pieces
+        split = sized.where(_in(parts)).withColumn("part", _part(parts, torn))
         sizes |= total_of(split, "old", "block", "part")
     olds = sorted({b[0] for b in sizes})
     home = {old: k for k, old in enumerate(olds)}
@@ -116,17 +129,25 @@ def planned(sized: DataFrame, n_new: int) -> Plan:
     shard_of = dealt(sizes, flow, home)
     moved = {b for b, j in shard_of.items() if home[b[0]] != j}
     affected = sorted({shard_of[b] for b in moved} | {home[b[0]] for b in moved if home[b[0]] < n_new} | set(range(len(olds), n_new)))
-    return Plan(shard_of, parts, sum(sizes[b] for b in moved), affected)
+    return Plan(shard_of, parts, torn, sum(sizes[b] for b in moved), affected)
 
 
 def _in(blocks) -> Column:
     return F.concat_ws(":", "old", "block").isin([f"{o}:{b}" for o, b in blocks])
 
 
-def _part(parts: dict[tuple[int, int], int]) -> Column:
+def _text() -> Column:
+    return F.xxhash64(F.lit("part"), "text")
+
+
+def _part(parts: dict[tuple[int, int], int], torn: dict[tuple[int, int, int], tuple[int, int]]) -> Column:
+    """The piece of its block that a row is in: equal texts share one, unless the text is torn."""
     out = F.lit(0)
     for (old, block), n in parts.items():
-        out = F.when((F.col("old") == old) & (F.col("block") == block), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).otherwise(out)
+        out = F.when((F.col("old") == old) & (F.col("block") == block), F.pmod(_text(), F.lit(n)).cast("int")).otherwise(out)
+    for (old, block, key), (first, n) in torn.items():
+        this = (F.col("old") == old) & (F.col("block") == block) & (_text() == key)
+        out = F.when(this, first + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).otherwise(out)
     return out
 
 
@@ -143,7 +164,7 @@ def resharded(docs: DataFrame, old: Column, n_new: int) -> tuple[DataFrame, Plan
     places = spark.createDataFrame(
         [(*b, j) for b, j in plan.shard_of.items()], "old int, block int, part int, shard int")
     # One row a block, BLOCKS for each old shard at most.
-    placed = sized.withColumn("part", _part(plan.parts)).join(F.broadcast(places), ["old", "block", "part"])
+    placed = sized.withColumn("part", _part(plan.parts, plan.torn)).join(F.broadcast(places), ["old", "block", "part"])
     # Slots count through slices of a shard, and within a slice by id.
     n_slices = partitions(spark)
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slices)).cast("int"))
