@@ -17,13 +17,13 @@ no rows. Texts are read whole, in chunks of bounded memory.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ CHUNK = 1 << 20
 #: A text is ambiguous when its best language has less than this share of the weight.
 LEAST_SCORE = 0.6
 
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 # Letters and bytes of longer characters stay, anything else is a gap.
 _CLASS = np.full(256, 32, np.uint32)
 for _b in [*range(97, 123), *range(128, 256)]:
