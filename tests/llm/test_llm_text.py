@@ -232,3 +232,11 @@ def test_spaced_overlaps_equal_a_full_alignment():
     for t, found in zip(texts, block.overlaps(texts), strict=True):
         expected = "zz" in t and any(len(x.split()) >= 6 for x in t.split("zz"))
         assert (1 in found) == expected
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(k, w, "aa") for k, w in enumerate(["abc def ghi"] * 6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, "½ ² ①"), (2, "一"), (3, "ª"), (4, "12 _"), (5, "ⅷ"), (6, "é")]
+    have = {r.doc_id: r.lang_pred for r in langid.identified(docs(spark, asked), model, "doc_id").collect()}
+    assert have == {1: "und", 2: "aa", 3: "aa", 4: "und", 5: "und", 6: "aa"}

@@ -31,6 +31,8 @@ from .words import hashed, joined, placed, summed
 MASKS = ("111111", "11101101", "1101100011", "110010001011")
 #: Words of benchmark text that one block holds; a longer item has a block of its own.
 BLOCK_WORDS = 1_000_000
+#: Equal seeds that are laid out at once.
+_EXPANDED = 1 << 20
 _FILTER_BITS = 20
 #: Words of consecutive texts that are hashed together.
 RUN_WORDS = 1 << 15
@@ -97,19 +99,39 @@ class Block:
             h = summed(products, shape, len(w) - span + 1)
             maybe = np.flatnonzero(bits[h >> np.uint64(64 - _FILTER_BITS)])
             lows, highs = np.searchsorted(seeds, h[maybe], "left"), np.searchsorted(seeds, h[maybe], "right")
-            hit = highs > lows
-            for p, a, b in zip(maybe[hit], lows[hit], highs[hit], strict=True):
-                for s in range(a, b):
-                    # A hit that reaches into the next text has no such stretch in its own.
-                    text = int(np.searchsorted(ends, p, "right"))
+            # Equal seeds on one diagonal are one candidate: a repeated word gives as many as it has shifts.
+            for text, item, shift in self._diagonals(maybe, lows, highs, items, places, ends):
+                if (text, item, shift) not in seen:
+                    seen.add((text, item, shift))
                     start = int(ends[text - 1]) if text else 0
-                    key = (text, int(items[s]), int(p) - start - int(places[s]))
-                    if key not in seen:
-                        seen.add(key)
-                        n = self._equal_words(w[start:ends[text]], *key[1:])
-                        if n >= enough(len(self.words[key[1]])):
-                            item = self.ids[key[1]]
-                            found[text][item] = max(found[text].get(item, 0), n)
+                    n = self._equal_words(w[start:ends[text]], item, shift)
+                    if n >= enough(len(self.words[item])):
+                        found[text][self.ids[item]] = max(found[text].get(self.ids[item], 0), n)
+
+    @staticmethod
+    def _diagonals(at: np.ndarray, lows: np.ndarray, highs: np.ndarray, items: np.ndarray, places: np.ndarray,
+                   ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """The distinct (text, item, shift) of equal seeds; ``lows`` to ``highs`` are the seeds that equal place ``at``."""
+        at, lows, n = at[highs > lows], lows[highs > lows], (highs - lows)[highs > lows]
+        # A hit that reaches into the next text has no such stretch in its own.
+        text = np.searchsorted(ends, at, "right")
+        local = at - np.where(text > 0, ends[text - 1], 0)
+        parts: list[np.ndarray] = []
+        first = 0
+        sums = np.cumsum(n)
+        while first < len(at):
+            done = sums[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sums, done + _EXPANDED, "right")))
+            own = n[first:last]
+            seed = np.repeat(lows[first:last] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            rows = np.stack([np.repeat(text[first:last], own), items[seed],
+                             np.repeat(local[first:last], own) - places[seed]]).astype(np.int64)
+            order = np.lexsort(rows[::-1])
+            rows = rows[:, order]
+            new = np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)]) if rows.shape[1] else np.zeros(0, bool)
+            parts.append(rows[:, new])
+            first = last
+        return [tuple(r) for p in parts for r in p.T.tolist()]
 
     def _equal_words(self, w: np.ndarray, item: int, shift: int) -> int:
         """Equal words in the best stretch of the item laid at word ``shift`` of the text."""

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -109,6 +110,18 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
     return [shape, check, 1 if known else 0, around, alone]
 
 
+def disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what some spans cover together, in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, pattern) of the method's candidates outside the base spans.
 
@@ -118,11 +131,14 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         return []
     out, taken = [], [(s, e) for s, e, _ in base]
     for kind, pattern in (("account", _number), ("secret", _key)):
+        # Matches of one kind never overlap, so only what was taken before them counts.
+        starts, ends = disjoint(taken)
         for m in pattern.finditer(text):
             s, e = m.span()
             if kind == "secret" and (not _digit.search(m[0]) or not re.search("[A-Za-z]", m[0])):
                 continue
-            if any(s < b and a < e for a, b in taken):
+            last = bisect_left(starts, e) - 1
+            if last >= 0 and ends[last] > s:
                 continue
             code = 0
             for v in votes(text, s, e, kind):
