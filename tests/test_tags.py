@@ -1,4 +1,7 @@
+import random
+
 import pytest
+
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -131,3 +134,78 @@ def test_scalar_rules(spark):
     old = lambda v: one(spark, values.expired(F.lit(v), now))
     assert old("2024-01-31T00:00:00+00:00") and not old("2024-02-01T00:00:00") and not old("bad") and not old(None)
     assert not old("2024-01-31T00:00:01+00:00")
+
+
+def test_many_edits_against_one_after_the_other(spark):
+    rng = random.Random(8)
+    names = ["a", "B", "c ", "d", "e", ""]
+    pick = lambda: [rng.choice(names) for _ in range(rng.randint(0, 3))]
+    edits = [("u", f"t{rng.randint(0, 5)}", pick(), pick(), k) for k in range(150)]
+    start = {f"t{k}": [["a", "B"], ["C", "c"], [], None, ["d"], ["x"], ["y"]][k] for k in range(7)}
+    t = spark.createDataFrame([("u", k, v, False) for k, v in start.items()],
+                              "user_id string, thread_id string, user_tags array<string>, manually_reviewed boolean")
+    e = spark.createDataFrame(edits, "user_id string, thread_id string, add array<string>, remove array<string>, seq int")
+    want = {k: list(v or []) for k, v in start.items()}
+    clean = lambda tags: list(dict.fromkeys(x.strip().lower() for x in tags if x.strip()))
+    for _, k, add, remove, _ in edits:
+        want[k] = [x for x in want[k] if x.lower() not in clean(remove)]
+        want[k] += [x for x in clean(add) if x not in [y.lower() for y in want[k]]]
+    got = tagging.edit_tags(t, e)
+    assert {r.thread_id: r.user_tags for r in got.collect()} == want
+    assert "seq" not in got.columns and got.filter("manually_reviewed").count() == len({x[1] for x in edits})
+
+
+def test_batches_are_collected_once(spark, tmp_path):
+    from threadlens.operators import batches
+
+    root, now = str(tmp_path / "b"), F.lit("2024-03-10 00:00:00").cast("timestamp")
+    known = spark.createDataFrame(
+        [("u", "b1", "ended", "2024-03-01"), ("u", "b2", "in_progress", "2024-01-01"), ("v", "b3", "unknown", "2024-01-01"),
+         ("v", "b4", "unknown", "2024-03-09")], "user_id string, batch_id string, status string, submitted_at string")
+    places = spark.createDataFrame(
+        [("u", "b1", "g0", 0, "x"), ("u", "b1", "g0", 1, "y"), ("u", "b1", "g1", 0, "z"), ("u", "b2", "g0", 0, "w")],
+        "user_id string, batch_id string, group_id string, pos long, thread_id string")
+    replies = spark.createDataFrame(
+        [("b1", "g0", "succeeded", '[["p"], ["q"]]', 5, None, 1), ("b1", "g1", "errored", None, 9, 9, 9),
+         ("b2", "g0", "succeeded", '[["r"]]', 7, 7, 7)],
+        "batch_id string, group_id string, status string, reply string, input_tokens long, output_tokens long, "
+        "cache_read_tokens long")
+    moved = batches.collect(known, places, replies, now, root)
+    assert rows(moved, "batch_id", "state") == [("b1", "collected"), ("b2", "kept"), ("b3", "expired"), ("b4", "kept")]
+    see = lambda: [rows(batches.read(spark, root, "tags"), "thread_id", "tags"), rows(batches.read(spark, root, "left"), "thread_id"),
+                   rows(batches.read(spark, root, "usage"), "batch_id", "requests", "input_tokens", "output_tokens")]
+    once = [[("x", ["p"]), ("y", ["q"])], [("z",)], [("b1", 1, 5, 0)]]
+    assert see() == once
+    # Again: only what is still open moves.
+    assert rows(batches.collect(known, places, replies, now, root), "batch_id", "state") == [("b2", "kept"), ("b4", "kept")]
+    assert see() == once
+    later = known.withColumn("status", F.lit("ended"))
+    assert rows(batches.collect(later, places, replies, now, root), "batch_id", "state")[0] == ("b2", "collected")
+    assert see()[0] == [("w", ["r"]), ("x", ["p"]), ("y", ["q"])] and len(see()[2]) == 2
+
+
+def test_a_collection_that_died_before_its_ledger_is_repeated_in_place(spark, tmp_path, monkeypatch):
+    from threadlens.operators import batches
+
+    root, now = str(tmp_path / "b"), F.lit("2024-03-10 00:00:00").cast("timestamp")
+    known = spark.createDataFrame([("u", "b1", "ended", "2024-03-01")],
+                                  "user_id string, batch_id string, status string, submitted_at string")
+    places = spark.createDataFrame([("u", "b1", "g0", 0, "x")],
+                                   "user_id string, batch_id string, group_id string, pos long, thread_id string")
+    replies = spark.createDataFrame(
+        [("b1", "g0", "succeeded", '[["p"]]', 5, 6, 1)], "batch_id string, group_id string, status string, reply string, "
+        "input_tokens long, output_tokens long, cache_read_tokens long")
+    write = batches._write
+
+    def dies(df, folder, table):
+        if table == "ledger":
+            raise RuntimeError("lost")
+        write(df, folder, table)
+
+    monkeypatch.setattr(batches, "_write", dies)
+    with pytest.raises(RuntimeError):
+        batches.collect(known, places, replies, now, root)
+    monkeypatch.setattr(batches, "_write", write)
+    assert rows(batches.collect(known, places, replies, now, root), "state") == [("collected",)]
+    assert rows(batches.read(spark, root, "tags"), "thread_id", "tags") == [("x", ["p"])]
+    assert rows(batches.read(spark, root, "usage"), "requests", "input_tokens") == [(1, 5)]

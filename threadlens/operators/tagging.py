@@ -220,9 +220,14 @@ def set_tags(threads: DataFrame, tags: DataFrame, order: str = "seq") -> DataFra
 def edit_tags(threads: DataFrame, edits: DataFrame, order: str = "seq") -> DataFrame:
     """Apply ``edits(user_id, thread_id, add, remove)`` to own tags.
 
-    Several edits of a thread are applied one after the other, by ``order``.
-    Requests with more than twenty tags are refused as a whole; tags are cut at
-    sixty characters. Edits of unknown threads have no effect.
+    Several edits of a thread are applied one after the other, by ``order``; of one
+    edit the removals come first. Requests with more than twenty tags are refused as
+    a whole; tags are cut at sixty characters. Edits of unknown threads have no effect.
+
+    What an edit does to one tag is a row of its own. A tag stays that was there and
+    never removed; a tag comes that was added in or after its last removal, at the
+    place of the first such edit. Both are aggregates per (thread, tag), combined
+    before the shuffle, so a thread with any number of edits is no list of them.
     """
     empty = F.array().cast("array<string>")
     cut = lambda col: F.transform(F.coalesce(col, empty), lambda t: F.substring(t, 1, EDIT_LENGTH))
@@ -230,23 +235,35 @@ def edit_tags(threads: DataFrame, edits: DataFrame, order: str = "seq") -> DataF
         F.size("add") + F.size("remove") <= EDIT_LIMIT
     )
     first = F.col(order) if order in edits.columns else F.lit(0)
-    given = valid.select(
-        *KEY, F.struct(
-            first.alias("at"), clean_tags(F.col("add"), EDIT_LIMIT).alias("plus"),
-            clean_tags(F.col("remove"), EDIT_LIMIT).alias("minus"),
-        ).alias("edit"),
-    ).groupBy(*KEY).agg(F.array_sort(F.collect_list("edit")).alias("edits"))
-
-    def step(tags, edit):
-        left = F.filter(tags, lambda t: ~F.array_contains(edit["minus"], F.lower(t)))
-        return F.concat(left, F.filter(edit["plus"], lambda t: ~F.exists(left, lambda x: F.lower(x) == t)))
-
-    own = F.coalesce("user_tags", empty)
-    hit = F.col("edits").isNotNull()
-    return threads.join(given, KEY, "left").withColumns({
-        "user_tags": F.when(hit, F.aggregate("edits", own, step)).otherwise(own),
-        "manually_reviewed": F.when(hit, F.lit(True)).otherwise(F.col("manually_reviewed")),
-    }).drop("edits")
+    acts = valid.select(
+        *KEY, first.alias("at"), clean_tags(F.col("add"), EDIT_LIMIT).alias("plus"),
+        clean_tags(F.col("remove"), EDIT_LIMIT).alias("minus"),
+    ).withColumn("at", F.struct("at", "plus", "minus"))  # edits of one order are settled by their content
+    tag_key = [*KEY, "tag"]
+    removed = acts.select(*KEY, "at", F.explode("minus").alias("tag")).groupBy(*tag_key).agg(F.max("at").alias("gone"))
+    removed = materialise(removed, "removed")
+    added = (
+        acts.select(*KEY, "at", F.posexplode("plus").alias("i", "tag")).groupBy(*tag_key, "at").agg(F.min("i").alias("i"))
+        .join(removed, tag_key, "left").filter(F.col("gone").isNull() | (F.col("at") >= F.col("gone")))
+        .groupBy(*tag_key).agg(F.min(F.struct("at", "i")).alias("since"))
+    )
+    own = threads.select(*KEY, F.posexplode(F.coalesce("user_tags", empty)).alias("i", "own")).withColumn(
+        "tag", F.lower("own"))
+    kept = own.join(removed.select(*tag_key), tag_key, "left_anti")
+    new = added.join(kept.select(*tag_key).distinct(), tag_key, "left_anti")
+    listed = lambda df, by, tag: df.groupBy(*KEY).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.col(tag).alias("tag")))), lambda x: x["tag"]))
+    kept_lists = listed(kept, "i", "own").toDF(*KEY, "kept")
+    new_lists = listed(new, "since", "tag").toDF(*KEY, "new")
+    touched = acts.select(*KEY).distinct().withColumn("touched", F.lit(True))
+    hit = F.coalesce("touched", F.lit(False))
+    return (
+        threads.join(touched, KEY, "left").join(kept_lists, KEY, "left").join(new_lists, KEY, "left").withColumns({
+            "user_tags": F.when(hit, F.concat(F.coalesce("kept", empty), F.coalesce("new", empty))).otherwise(
+                F.coalesce("user_tags", empty)),
+            "manually_reviewed": F.when(hit, F.lit(True)).otherwise(F.col("manually_reviewed")),
+        }).drop("touched", "kept", "new")
+    )
 
 
 def cleanup(threads: DataFrame) -> DataFrame:

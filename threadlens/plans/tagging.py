@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions import tags as tg, text as tx
-from threadlens.operators import tagging, threads as th
+from threadlens.operators import batches, tagging, threads as th
 from threadlens.plans.common import (
     CHAT_SQL, chat_threads, kept_messages, sql_tokens,
 )
 from threadlens.plans.mail import body_sql
 from threadlens.plans.registry import query
 from threadlens.schemas import KEY
+from threadlens.session import scratch
 from threadlens.sources import adapters
 
 
@@ -344,3 +345,78 @@ def edit_user_tags(spark, sf):
         "thread_id", F.array_join("user_tags", "|").alias("tags"),
         F.col("manually_reviewed").alias("reviewed"),
     )
+
+
+@query("edit_user_tags_many", """
+    WITH e AS (
+        SELECT CASE WHEN l_linenumber <= 3 THEN 'd0' ELSE 'd' || CAST(l_orderkey % 50 AS VARCHAR) END AS thread_id,
+               l_orderkey * 10 + l_linenumber AS seq, 't' || CAST(l_partkey % 50 AS VARCHAR) AS plus,
+               't' || CAST(l_suppkey % 53 AS VARCHAR) AS minus FROM lineitem),
+    gone AS (SELECT thread_id, minus AS tag, max(seq) AS last_seq FROM e GROUP BY ALL),
+    since AS (
+        SELECT thread_id, plus AS tag, min(seq) AS first_seq FROM e
+        WHERE seq >= coalesce((SELECT last_seq FROM gone g WHERE g.thread_id = e.thread_id AND g.tag = e.plus), 0) GROUP BY ALL),
+    docs AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS thread_id, lang FROM documents)
+    SELECT thread_id, 'kept|' || lang || coalesce('|' || t.tags, '') AS tags,
+           thread_id IN (SELECT thread_id FROM e) AS reviewed
+    FROM docs LEFT JOIN (SELECT thread_id, string_agg(tag, '|' ORDER BY first_seq) AS tags FROM since GROUP BY ALL) t
+    USING (thread_id)
+""")
+def edit_user_tags_many(spark, sf):
+    """Every order line as an edit; nearly half of them edit one thread."""
+    threads = _docs_as_tags(spark, sf).withColumn("manually_reviewed", F.lit(False))
+    n = adapters.table(spark, sf, "lineitem")
+    tag = lambda c, m: F.array(F.concat(F.lit("t"), (F.col(c) % m).cast("string")))
+    edits = n.select(
+        F.lit("u").alias("user_id"),
+        F.when(F.col("l_linenumber") <= 3, "d0").otherwise(F.concat(F.lit("d"), F.col("l_orderkey") % 50)).alias("thread_id"),
+        tag("l_partkey", 50).alias("add"), tag("l_suppkey", 53).alias("remove"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    return tagging.edit_tags(threads, edits).select(
+        "thread_id", F.array_join("user_tags", "|").alias("tags"), F.col("manually_reviewed").alias("reviewed"))
+
+
+@query("collect_batches", f"""
+    WITH {_BATCH_SQL},
+    b AS (
+        SELECT DISTINCT g // 10 AS n, CASE (g // 10) % 4 WHEN 1 THEN 'in_progress' WHEN 2 THEN 'unknown' ELSE 'ended' END AS status,
+               CASE WHEN (g // 10) % 8 = 2 THEN 'expired' WHEN (g // 10) % 4 IN (1, 2) THEN 'kept' ELSE 'collected' END AS state
+        FROM d),
+    tagged AS (SELECT g // 10 AS n, count(*) AS tags FROM done GROUP BY ALL),
+    paid AS (
+        SELECT g // 10 AS n, count(*) AS requests, sum(cost)::BIGINT AS input_tokens
+        FROM (SELECT g, sum(length(text)) AS cost FROM d GROUP BY g) WHERE g % 7 <> 3 GROUP BY ALL),
+    members AS (SELECT g // 10 AS n, count(*) AS m FROM d GROUP BY ALL)
+    SELECT 'b' || CAST(b.n AS VARCHAR) AS batch_id, state,
+           CASE WHEN state = 'collected' THEN coalesce(tags, 0) ELSE 0 END AS tags,
+           CASE WHEN state = 'collected' THEN m - coalesce(tags, 0) ELSE 0 END AS untagged,
+           CASE WHEN state = 'collected' THEN coalesce(requests, 0) ELSE 0 END AS requests,
+           CASE WHEN state = 'collected' THEN coalesce(input_tokens, 0) ELSE 0 END AS input_tokens
+    FROM b LEFT JOIN tagged USING (n) LEFT JOIN paid USING (n) LEFT JOIN members USING (n)
+""")
+def collect_batches(spark, sf):
+    """Open batches collected, and collected again; tags and usage of each count once."""
+    mapping, replies = _batches(spark, sf)
+    d = adapters.table(spark, sf, "documents")
+    g = F.floor(F.col("doc_id") / 10)
+    cost = d.groupBy(F.concat(F.lit("b"), F.floor(g / 10)).alias("batch_id"), F.when(g % 13 == 12, "unknown group").otherwise(
+        F.concat(F.lit("g"), g % 10)).alias("group_id"), g.alias("g")).agg(F.sum(F.length("text")).alias("input_tokens"))
+    replies = replies.join(cost.drop("g"), ["batch_id", "group_id"]).withColumns({
+        "output_tokens": F.lit(None).cast("bigint"), "cache_read_tokens": F.lit(0).cast("bigint")})
+    n = F.substring("batch_id", 2, 20).cast("bigint")
+    known = mapping.select("user_id", "batch_id").distinct().withColumns({
+        "status": F.when(n % 4 == 1, "in_progress").when(n % 4 == 2, "unknown").otherwise("ended"),
+        "submitted_at": F.when(n % 8 == 2, "2023-11-01T00:00:00").otherwise("2024-02-01T00:00:00")})
+    root, now = scratch(spark, "batches"), F.lit("2024-02-10 00:00:00").cast("timestamp")
+    first = batches.collect(known, mapping, replies, now, root)
+    batches.collect(known, mapping, replies, now, root)
+    count = lambda name, what: batches.read(spark, root, name).groupBy("batch_id").agg(*what)
+    none = F.lit(0).cast("bigint")
+    return (
+        first.select("batch_id", "state")
+        .join(count("tags", [F.count("*").alias("tags")]), "batch_id", "left")
+        .join(count("left", [F.count("*").alias("untagged")]), "batch_id", "left")
+        .join(count("usage", [F.sum("requests").alias("requests"), F.sum("input_tokens").alias("input_tokens")]), "batch_id", "left")
+        .select("batch_id", "state", *[F.coalesce(c, none).alias(c) for c in ("tags", "untagged", "requests", "input_tokens")])
+    )
