@@ -350,7 +350,7 @@ def edit_user_tags(spark, sf):
 @query("edit_user_tags_many", """
     WITH e AS (
         SELECT CASE WHEN l_linenumber <= 3 THEN 'd0' ELSE 'd' || CAST(l_orderkey % 50 AS VARCHAR) END AS thread_id,
-               l_orderkey * 10 + l_linenumber AS seq, 't' || CAST(l_partkey % 50 AS VARCHAR) AS plus,
+               ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, 't' || CAST(l_partkey % 50 AS VARCHAR) AS plus,
                't' || CAST(l_suppkey % 53 AS VARCHAR) AS minus FROM lineitem),
     gone AS (SELECT thread_id, minus AS tag, max(seq) AS last_seq FROM e GROUP BY ALL),
     since AS (
@@ -371,7 +371,7 @@ def edit_user_tags_many(spark, sf):
         F.lit("u").alias("user_id"),
         F.when(F.col("l_linenumber") <= 3, "d0").otherwise(F.concat(F.lit("d"), F.col("l_orderkey") % 50)).alias("thread_id"),
         tag("l_partkey", 50).alias("add"), tag("l_suppkey", 53).alias("remove"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.expr("((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey").alias("seq"),
     )
     return tagging.edit_tags(threads, edits).select(
         "thread_id", F.array_join("user_tags", "|").alias("tags"), F.col("manually_reviewed").alias("reviewed"))
