@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from test_threads import frame, message
-from threadlens.operators import tagging
+from threadlens.operators import index, tagging
 from threadlens.schemas import CHANGES, STATE_EVENTS, USAGE_EVENTS
 from threadlens.session import scratch
 from threadlens.streaming import sync, usage
@@ -124,6 +124,9 @@ def test_index_follows_syncs_and_tags(box, spark):
     box.run("two", index=True)
     assert found("beta") == [] and found("gamma") == [("t1",)] and found("paid") == [("t1",)]
     assert sync.postings(spark, box.root, "positions").filter("token = 'paid'").count() == 1
+    # The statistics kept by signed deltas are those of the postings, after new, changed and tagged threads.
+    kept = rows(sync.term_statistics(spark, box.root))
+    assert kept == rows(index.statistics(sync.postings(spark, box.root, "terms"))) and kept
 
 
 def test_a_batch_reads_only_its_buckets(box, spark):
