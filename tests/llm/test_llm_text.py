@@ -240,3 +240,31 @@ def test_numbers_are_no_letters(spark):
     asked = [(1, "½ ² ①"), (2, "一"), (3, "ª"), (4, "12 _"), (5, "ⅷ"), (6, "é")]
     have = {r.doc_id: r.lang_pred for r in langid.identified(docs(spark, asked), model, "doc_id").collect()}
     assert have == {1: "und", 2: "aa", 3: "aa", 4: "und", 5: "und", 6: "aa"}
+
+
+def test_training_chunks_cover_the_text_as_scoring_does():
+    rng = np.random.default_rng(3)
+    net = bytecnn.Network.fresh()
+    pairs = net.paired()
+    step = bytecnn.STRIDE
+    for n in (0, 1, step - 1, step, step + 1, 3 * step, 40 * step + 7):
+        text = rng.integers(0, 256, n).astype(np.uint8).tobytes()
+        bag = bytecnn.chunks(text)
+        assert b"".join([c[:step] for c in bag]) == text and len(bag) == max(1, -(-n // step))
+        assert all(len(c) <= bytecnn.CHUNK for c in bag)
+        seen = [net.pooled([c[:step]], pairs, c[step:])[0] for c in bag]
+        assert np.allclose(np.mean(seen, 0), net.pooled_whole(text, pairs), atol=1e-5)
+
+
+def test_quality_is_learned_from_the_end_of_long_texts(spark):
+    """Texts of many chunks that differ in one chunk only, at a place that moves."""
+
+    def long_text(k):
+        head, tail = prose(400 + 31 * (k % 13), k), prose(900, k + 10_000)
+        return f"{head} {'#$%&|<>' * 70 if k % 2 else prose(80, k + 20_000)} {tail}"
+
+    table = spark.createDataFrame([(k, long_text(k)) for k in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(120)], "doc_id long, quality int")
+    net = bytecnn.fit(table, labels)
+    have = {r.doc_id: r.score >= 0.3 for r in bytecnn.scored(table, net, "doc_id").collect()}
+    assert sum(have[k] == (k % 2 == 0) for k in range(120, 160)) >= 38

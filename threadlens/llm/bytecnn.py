@@ -5,8 +5,9 @@ within chunks of 512 bytes that overlap so that no window is lost; the pooled
 vectors of all chunks are averaged and a logistic output gives one probability.
 
 The network is trained on a bounded sample of labelled rows (``most_rows``, drawn
-by a hash of the id, ``CHUNKS`` chunks spread evenly over each text). Scoring
-reads every byte of every text.
+by a hash of the id) and on all chunks of their texts, cut as scoring cuts them, so
+that the threshold is set on scores of whole texts. Scoring reads every byte of
+every text.
 
 Defined results: a null or empty text has no windows and gets the score of a zero
 vector, as any other score in 0 to 1; without a labelled row every score is 0.5;
@@ -28,12 +29,12 @@ from .common import in_training_part, only, slices, table
 
 WIDTH, FILTERS, CHUNK = 4, 16, 512
 STRIDE = CHUNK - WIDTH + 1
-#: Chunks of a text that training sees, and the rows it sees at most.
-CHUNKS, MOST_ROWS = 4, 4000
+#: Labelled rows that training sees at most.
+MOST_ROWS = 4000
 #: Steps that training takes at least, for small samples.
 LEAST_STEPS = 300
-#: Bytes of text whose responses are in memory at once.
-RUN_BYTES = 1 << 20
+#: Bytes of text whose responses are in memory at once, and chunks in training.
+RUN_BYTES, RUN_CHUNKS = 1 << 20, 512
 
 
 @dataclass
@@ -81,6 +82,15 @@ class Network:
             np.add.at(total, owner[filled], np.maximum(best, 0))
         return total / chunks[:, None]
 
+    def pooled_whole(self, text: bytes, pairs: list[np.ndarray]) -> np.ndarray:
+        """The pooled vector of one text, read in pieces that overlap like chunks."""
+        step, parts, weights = RUN_BYTES // STRIDE * STRIDE, [], []
+        for a in range(0, max(1, len(text)), step):
+            piece = text[a:a + step]
+            parts.append(self.pooled([piece], pairs, text[a + step:a + step + WIDTH - 1])[0])
+            weights.append(max(1, -(-len(piece) // STRIDE)))
+        return np.average(parts, axis=0, weights=weights)
+
     def scores(self, texts: list[bytes], pairs: list[np.ndarray]) -> np.ndarray:
         """A probability for each text; long ones are read in pieces that overlap like chunks."""
         out = np.zeros((len(texts), FILTERS))
@@ -88,12 +98,7 @@ class Network:
         size = 0
         for k, t in enumerate(texts):
             if len(t) > RUN_BYTES:
-                step, parts, weights = RUN_BYTES // STRIDE * STRIDE, [], []
-                for a in range(0, len(t), step):
-                    piece = t[a:a + step]
-                    parts.append(self.pooled([piece], pairs, t[a + step:a + step + WIDTH - 1])[0])
-                    weights.append(-(-len(piece) // STRIDE))
-                out[k] = np.average(parts, axis=0, weights=weights)
+                out[k] = self.pooled_whole(t, pairs)
                 continue
             if group and size + len(t) > RUN_BYTES:
                 out[group] = self.pooled([texts[g] for g in group], pairs)
@@ -123,7 +128,7 @@ def trained(bags: list[list[bytes]], labels: np.ndarray, epochs: int = 14, batch
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     for k, c in enumerate(c for b in bags for c in b):
         rows[k, :len(c)] = np.frombuffer(c, np.uint8)
-        valid[k] = len(c)
+        valid[k] = min(len(c), STRIDE)
     begins = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     epochs = max(epochs, -(-LEAST_STEPS * batch // len(bags)))
     params[3][0] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
@@ -137,10 +142,13 @@ def trained(bags: list[list[bytes]], labels: np.ndarray, epochs: int = 14, batch
             local = np.searchsorted(np.sort(docs), owner[use])
             rank = np.sort(docs)
             x = rows[use]
-            response = sum(params[0][w][x[:, w:w + CHUNK]] for w in range(WIDTH))
-            response[places[None] >= valid[use][:, None]] = -np.inf
-            best = response.argmax(1)
-            top = np.take_along_axis(response, best[:, None], 1)[:, 0] + params[1]
+            best, top = np.zeros((len(use), FILTERS), np.int64), np.zeros((len(use), FILTERS), np.float32)
+            for a in range(0, len(use), RUN_CHUNKS):
+                run = slice(a, a + RUN_CHUNKS)
+                response = sum(params[0][w][x[run, w:w + CHUNK]] for w in range(WIDTH))
+                response[places[None] >= valid[use[run]][:, None]] = -np.inf
+                best[run] = response.argmax(1)
+                top[run] = np.take_along_axis(response, best[run][:, None], 1)[:, 0] + params[1]
             h = np.maximum(np.where(np.isfinite(top), top, 0), 0)
             n = np.bincount(local, minlength=len(rank))
             mean = np.stack([np.bincount(local, h[:, f], len(rank)) for f in range(FILTERS)], 1) / n[:, None]
@@ -164,9 +172,9 @@ def trained(bags: list[list[bytes]], labels: np.ndarray, epochs: int = 14, batch
 
 def _moved_threshold(net: Network, bags: list[list[bytes]], labels: np.ndarray, decide_at: float) -> float:
     """What to add to the logit so that ``decide_at`` is where fewest sample rows are judged wrong."""
-    pairs, pooled = net.paired(), []
-    for bag in bags:
-        pooled.append(net.pooled([b"".join(bag)] if len(bag) == 1 else bag, pairs).mean(0))
+    pairs = net.paired()
+    # A chunk's own windows end where the next chunk begins, so the chunks join to the text.
+    pooled = [net.pooled_whole(b"".join([*[c[:STRIDE] for c in bag[:-1]], bag[-1]]), pairs) for bag in bags]
     logit = np.array(pooled) @ net.out + net.shift
     order = np.argsort(logit)
     wrong = np.concatenate([[0], np.cumsum(labels[order] == 1)]) + np.concatenate([np.cumsum((labels[order] == 0)[::-1])[::-1], [0]])
@@ -177,11 +185,9 @@ def _moved_threshold(net: Network, bags: list[list[bytes]], labels: np.ndarray,
     return float(np.clip(np.log(decide_at / (1 - decide_at)) - cut, -4, 4))
 
 
-def spread_chunks(data: bytes, most: int = CHUNKS) -> list[bytes]:
-    """At most ``most`` chunks at even distances; one at least."""
-    last = max(0, len(data) - CHUNK)
-    n = min(most, last // STRIDE + 1 + (last % STRIDE > 0))
-    return [data[a:a + CHUNK] for a in np.linspace(0, last, n).astype(int)]
+def chunks(data: bytes) -> list[bytes]:
+    """All chunks of a text as scoring cuts it; one at least. Neighbours share ``WIDTH - 1`` bytes."""
+    return [data[a:a + CHUNK] for a in range(0, max(1, len(data)), STRIDE)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> Network:
@@ -193,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            bags = [spread_chunks(t.encode()) for t in batch.column("text").to_pylist()]
+            bags = [chunks(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.list_(pa.binary()))], names=["doc_id", "y", "bag"])
 
