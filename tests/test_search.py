@@ -213,3 +213,18 @@ def test_match_subjects_against_brute_force(spark):
 
     expected = sorted(((i, first(" ".join(c.lower().split()))) for _, i, c in cited), key=str)
     assert rows(got, "cite_id", "thread_id") == expected
+
+
+def test_samples_of_a_text_are_samples_of_what_contains_it(spark):
+    """Every part of 12 characters or more has a subset of the samples, however the text is cut into chunks."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdé 😀z") for _ in range(700)) + "a" * 90 + "\n tail of it"
+    parts = [(1, "whole", text)] + [
+        (1, f"{a}-{n}", text[a:a + n]) for a in range(0, len(text) - 12, 29) for n in (12, 13, 64, 77, 300)]
+    got = rounds._samples(spark.createDataFrame(parts, "session_id bigint, id string, text string"), "id")
+    held = {}
+    for _, name, sample in got.collect():
+        held.setdefault(name, set()).add(sample)
+    assert set(held) == {name for _, name, t in parts if len(t) >= 12}
+    assert all(v <= held["whole"] for v in held.values())
+    assert len(held["whole"]) < len(text) / 2

@@ -12,6 +12,8 @@ from threadlens.session import materialise, spread_if_small
 LIST_BELOW = 100
 SHOWN = 5
 MIN_CONTAINED = 12
+#: Characters of the runs that are sampled from texts.
+RUN = 8
 # ------------------------------------------------------------------------
 
 ROUND = ["session_id", "round"]
@@ -113,9 +115,9 @@ def match_subjects(cited: DataFrame, found: DataFrame) -> DataFrame:
     ``cited(session_id, cite_id, cited)`` against
     ``found(session_id, thread_id, subject, found_pos)``. Folded subjects are
     equal, or one contains the other and the shorter has at least 12
-    characters. The shorter one is looked up by a 12-character window of its
-    own, the one rarest among the windows of the longer side, so only subjects
-    that share such a window are compared. Equal subjects are folded into one
+    characters. The shorter one is looked up by a sampled run of its own, the
+    one rarest among those of the longer side, so only subjects that share such
+    a run are compared (:func:`_samples`). Equal subjects are folded into one
     row, with their first position, before that.
     """
     wanted = cited.select("session_id", "cite_id", "cited", fold_subject(F.col("cited")).alias("w"))
@@ -152,29 +154,35 @@ def match_subjects(cited: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _windows(texts: DataFrame, name: str) -> DataFrame:
-    """(session_id, name, window): hashes of all 12-character windows.
+def _samples(texts: DataFrame, name: str) -> DataFrame:
+    """(session_id, name, sample): the least hash among the runs of each 12-character window.
 
-    Texts are cut into overlapping chunks first: a position inside a short
-    chunk is found quickly, one inside a long text is not.
+    A run has 8 characters, so a window holds five. Which one is least depends on
+    the window alone: a text that contains another also has all its samples. About
+    a third of the runs are samples.
+
+    Texts are cut into overlapping chunks first, in one pass: a position inside
+    a short chunk is found quickly, one inside a long text is not.
     """
-    n, chunk = MIN_CONTAINED, 256
+    n, chunk = MIN_CONTAINED, 64
     texts = spread_if_small(texts, "session_id", "id").select("session_id", F.col("id").alias(name), "text")
-    starts = F.sequence(F.lit(1), F.length("text"), F.lit(chunk))
-    chunks = texts.select("session_id", name, "text", F.explode(starts).alias("at")).select(
-        "session_id", name, F.col("text").substr(F.col("at"), F.lit(chunk + n - 1)).alias("chunk")
-    ).filter(F.length("chunk") >= n)
-    places = F.sequence(F.lit(1), F.length("chunk") - n + 1)
-    return chunks.select("session_id", name, "chunk", F.explode(places).alias("at")).select(
-        "session_id", name,
-        F.xxhash64(F.col("chunk").substr(F.col("at"), F.lit(n))).alias("window"),
-    )
+    cut = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{chunk + n - 1}}})).{{1,{chunk}}}"), F.lit(1))
+    chunks = texts.select("session_id", name, F.explode(cut).alias("chunk")).filter(F.length("chunk") >= n)
+    run = lambda at: F.xxhash64(F.col("chunk").substr(at, F.lit(RUN)))
+    hashed = chunks.select(
+        "session_id", name, F.transform(F.sequence(F.lit(1), F.length("chunk") - RUN + 1), run).alias("runs"))
+    held = n - RUN + 1
+    at = hashed.select("session_id", name, "runs", F.explode(F.sequence(F.lit(0), F.size("runs") - held)).alias("at"))
+    least = lambda first: F.least(*[F.get("runs", F.col("at") + first + k) for k in range(held)])
+    # Neighbouring windows mostly have the same least run.
+    return at.filter((F.col("at") == 0) | (least(0) != least(-1))).select(
+        "session_id", name, least(0).alias("sample"))
 
 
 def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
     """(session_id, short_id, long_id) where a short text occurs in a longer one.
 
-    Both sides are ``(session_id, id, text)``. Window rows carry ids only;
+    Both sides are ``(session_id, id, text)``. Sample rows carry ids only;
     texts come back for the candidate pairs.
     """
     shorts = shorts.filter(F.length("text") >= MIN_CONTAINED)
@@ -184,18 +192,18 @@ def _contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
     shortest = shorts.groupBy("session_id").agg(F.min(F.length("text")).alias("bound"))
     shorts = shorts.join(longest, "session_id").filter(F.length("text") < F.col("bound"))
     longs = longs.join(shortest, "session_id").filter(F.length("text") > F.col("bound"))
-    key = ["session_id", "window"]
-    # Stored, so their sizes are known and small ones are broadcast to the windows.
-    short_windows = materialise(_windows(shorts, "short_id"), "windows")
-    # Windows that no short text has are gone before anything is stored or counted.
+    key = ["session_id", "sample"]
+    # Stored, so their sizes are known and small ones are broadcast to the samples.
+    short_samples = materialise(_samples(shorts, "short_id"), "samples")
+    # Samples that no short text has are gone before anything is stored or counted.
     shared = materialise(
-        _windows(longs, "long_id").join(short_windows.select(*key).distinct(), key, "left_semi"), "shared")
+        _samples(longs, "long_id").join(short_samples.select(*key).distinct(), key, "left_semi"), "shared")
     counts = shared.groupBy(*key).agg(F.count("*").alias("df"))
     anchors = materialise(
-        short_windows.join(counts, key, "left")
+        short_samples.join(counts, key, "left")
         .groupBy("session_id", "short_id")
         .agg(
-            F.min_by("window", F.struct("df", "window")).alias("window"),
+            F.min_by("sample", F.struct("df", "sample")).alias("sample"),
             F.bool_or(F.col("df").isNull()).alias("missing"),
         )
         .filter(~F.col("missing")).drop("missing"), "anchors",
