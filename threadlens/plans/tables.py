@@ -9,9 +9,9 @@ from threadlens.operators import mutate, state, usage
 from threadlens.plans.common import CHAT_SQL, EXCLUDED, chat_threads, header_sql, sql_tokens
 from threadlens.plans.registry import query
 from threadlens.schemas import CHANGES, KEY, THREADS
-from threadlens.session import scratch
+from threadlens.session import materialise, scratch
 from threadlens.sources import adapters, store
-from threadlens.streaming import sync, usage as usage_streams
+from threadlens.streaming import feeds, sync, usage as usage_streams
 
 SHOW = ["user_id", "thread_id", "subject", "date_first", "date_last", "tags", "own_tags", "reviewed"]
 
@@ -707,3 +707,68 @@ def clear_cursors(spark, sf):
     run(None, checkpoint=scratch(spark, "cursor"))
     return sync.current(spark, root).join(before, KEY, "full").select(
         *KEY, "n_messages", F.coalesce(F.col("kept") & (F.col("n") == F.col("n_messages")), F.lit(False)).alias("kept"))
+
+
+_POISON_SQL = """
+    poison AS (SELECT user_id, source_id, min(seq) AS held_at FROM {changes} WHERE seq % 61 = 2 GROUP BY ALL)
+"""
+
+
+def _pages_sync(spark, sf):
+    """An empty archive, the delta pages of all sources, and a function that delivers pages and syncs them."""
+    folder, root, box, cursor = (scratch(spark, n) for n in ("pages", "archive", "mailbox", "cursor"))
+    sync.store_mailbox(adapters.messages(spark, sf, "line_messages"), box)
+    mailbox = sync.Mailbox(lambda s: s.read.parquet(box), excluded=tuple(EXCLUDED))
+    item = F.to_json(F.struct(F.array(F.struct(
+        F.coalesce("removed_message_id", F.concat(F.lit("m"), "seq")).alias("id"),
+        F.col("thread_id").alias("conversationId"),
+        F.when(F.col("removed_message_id").isNotNull(), F.struct(F.lit("deleted").alias("reason"))).alias("@removed"),
+    )).alias("value")))
+    pages = _feed(spark, sf).select("user_id", "source_id", item.alias("payload"), "seq")
+
+    def run(delivered):
+        delivered.write.mode("append").parquet(folder)
+        feeds.start_feed_sync(spark, folder, root, cursor, mailbox, "2024-02-01").awaitTermination()
+
+    return root, pages, run
+
+
+def _poisoned(pages):
+    """The pages with some cut short: every source that has such a page is held at its first one."""
+    return pages.withColumn("payload", F.when(F.col("seq") % 61 == 2, F.substring("payload", 1, 12)).otherwise(
+        F.col("payload")))
+
+
+@query("cursor_commit", f"""
+    WITH {_POISON_SQL}
+    SELECT c.user_id, c.source_id, max(CASE WHEN held_at IS NULL OR seq < held_at THEN seq END) AS position,
+           max(held_at) AS held_at, max(seq) AS later_position, CAST(NULL AS BIGINT) AS later_held_at
+    FROM {{changes}} c LEFT JOIN poison USING (user_id, source_id) GROUP BY ALL
+""")
+def cursor_commit(spark, sf):
+    """Positions of all sources after two deliveries with bad pages, and after held sources are asked again."""
+    root, pages, run = _pages_sync(spark, sf)
+    bad = _poisoned(pages)
+    half = pages.agg(F.max("seq")).first()[0] // 2
+    run(bad.filter(F.col("seq") <= half))
+    run(bad.filter(F.col("seq") > half))
+    before = materialise(feeds.positions(spark, root), "before")
+    run(pages.join(feeds.ask_again(spark, root), feeds.SOURCE).filter("seq >= held_at").drop("held_at"))
+    after = feeds.positions(spark, root).select(
+        *feeds.SOURCE, F.col("position").alias("later_position"), F.col("held_at").alias("later_held_at"))
+    return before.join(after, feeds.SOURCE)
+
+
+@query("held_sources", f"""
+    WITH {header_sql('line_messages')}, {_POISON_SQL},
+    named AS (
+        SELECT DISTINCT c.user_id, c.thread_id FROM {{changes}} c LEFT JOIN poison USING (user_id, source_id)
+        WHERE thread_id IS NOT NULL AND (held_at IS NULL OR seq < held_at))
+    SELECT h.user_id, h.thread_id, h.subject, h.date_first, h.date_last, h.n_messages, h.has_attachments
+    FROM head h JOIN named USING (user_id, thread_id)
+""")
+def held_sources(spark, sf):
+    """The threads of a delivery with bad pages: what lies behind one is not stored, all else is."""
+    root, pages, run = _pages_sync(spark, sf)
+    run(_poisoned(pages))
+    return sync.current(spark, root).select(*_SYNCED)

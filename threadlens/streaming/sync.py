@@ -47,6 +47,8 @@ POSTINGS = {
 HOLDERS = "user_id string, message_id string, thread_id string"
 TERM_COUNTS = "user_id string, token string, d bigint"
 TAGS = "user_id string, thread_id string, tags array<string>, truncated boolean, as_of bigint"
+CURSORS = "user_id string, source_id string, position bigint, held_at bigint"
+QUARANTINE = "user_id string, source_id string, payload string, seq bigint, error string"
 BUCKETS = 16
 #: Room for the tag changes between two batches in the order of index entries.
 TURNS = 1 << 31
@@ -144,7 +146,10 @@ def current_child(
 
 
 #: Tables whose bucket is not that of the thread.
-PLACED = {"holders": ["user_id", "message_id"], "term_counts": ["user_id", "token"]}
+PLACED = {
+    "holders": ["user_id", "message_id"], "term_counts": ["user_id", "token"],
+    "cursors": ["user_id", "source_id"], "quarantine": ["user_id", "source_id"],
+}
 
 
 def _append(df: DataFrame, root: str, table: str, ddl: str, batch: int, number: str = "batch") -> None:
@@ -320,7 +325,9 @@ def _next_batch(spark: SparkSession, root: str, checkpoint: str) -> int:
     row = known.filter(F.col("checkpoint") == checkpoint).agg(F.min("start")).first()
     if row[0] is not None:
         return row[0]
-    start = _last_batch(spark, root) + 1
+    # A batch in which every source was held stored positions alone.
+    last = _log(spark, root, "cursors", CURSORS, None, None, "at").agg(F.max("at")).first()[0]
+    start = max(_last_batch(spark, root), -1 if last is None else last) + 1
     spark.createDataFrame([(checkpoint, start)], "checkpoint string, start bigint").coalesce(
         1
     ).write.mode("append").parquet(path)
@@ -335,6 +342,11 @@ def stop_sync(query: StreamingQuery) -> None:
 def compact(spark: SparkSession, root: str, target: str) -> None:
     """Fold the log into ``target`` as one base batch; switch readers to it after."""
     last = max(0, _last_batch(spark, root))
+    if _exists(spark, f"{root}/cursors"):
+        cursors = _log(spark, root, "cursors", CURSORS, None, None, "at")
+        _append(last_rows(cursors, PLACED["cursors"], "at"), target, "cursors", CURSORS, last, "at")
+        _append(_log(spark, root, "quarantine", QUARANTINE, None, None, "at"), target, "quarantine", QUARANTINE,
+                last, "at")
     for name, ddl in CHILDREN.items():
         _append(current_child(spark, root, name), target, name, ddl, last)
     held = current_child(spark, root, "thread_messages").select("user_id", "message_id", "thread_id")
