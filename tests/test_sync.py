@@ -136,7 +136,7 @@ def test_a_batch_reads_only_its_buckets(box, spark):
     box.report(*[(f"t{k}", None) for k in range(60)])
     box.run("one")
     assert len(box.stored("thread_id")) == 60
-    log = sync._log(spark, box.root, "threads", sync.THREADS, None, [3])
+    log = sync._log(spark, box.root, "threads", None, [3])
     scan = log._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1].split("]")[0]
     assert {r[0].split("bucket=")[1][0] for r in log.select(F.input_file_name()).collect()} <= {"3"}

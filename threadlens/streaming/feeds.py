@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from threadlens.session import materialise
 from threadlens.sources import changes as feed
 from threadlens.sources.providers import unreadable
-from threadlens.streaming import sync
+from threadlens.streaming import runs, sync
 
 PAGES = "user_id string, source_id string, payload string, seq bigint"
 SOURCE = sync.PLACED["cursors"]
@@ -42,7 +42,7 @@ def positions(spark: SparkSession, root: str, before: int | None = None, sources
     ``sources`` thins the log before rows are grouped; only its buckets are read.
     """
     buckets = None if sources is None else sync._numbers(sources, *SOURCE)
-    rows = sync._log(spark, root, "cursors", sync.CURSORS, before, buckets, "at")
+    rows = sync._log(spark, root, "cursors", before, buckets)
     if sources is not None:
         rows = rows.join(sources.select(*SOURCE), SOURCE, "left_semi")
     newest = rows.groupBy(*SOURCE).agg(F.max_by(F.struct("position", "held_at"), "at").alias("c"))
@@ -56,7 +56,7 @@ def ask_again(spark: SparkSession, root: str) -> DataFrame:
 
 def quarantined(spark: SparkSession, root: str) -> DataFrame:
     """(user_id, source_id, payload, seq, error, at): pages put aside, with the batch that did it."""
-    return sync._log(spark, root, "quarantine", sync.QUARANTINE, None, None, "at")
+    return sync._log(spark, root, "quarantine")
 
 
 def judged(pages: DataFrame, schema: str, failing: DataFrame | None = None) -> DataFrame:
@@ -113,9 +113,10 @@ def apply_pages(
     after = materialise(stops(pages, known), "positions")
     ready = materialise(parsed(_applied(pages.filter("error IS NULL"), after)), "changes")
     sync.apply_batch(ready, batch, root, mailbox, synced_at, index)
-    sync._append(pages.filter("error IS NOT NULL"), root, "quarantine", sync.QUARANTINE, batch, "at")
     # Last: positions cover stored rows only.
-    sync._append(after, root, "cursors", sync.CURSORS, batch, "at")
+    runs.commit(spark, root, [
+        sync._store(pages.filter("error IS NOT NULL"), root, "quarantine", batch),
+        sync._store(after, root, "cursors", batch)])
 
 
 def start_feed_sync(

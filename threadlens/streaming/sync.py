@@ -2,14 +2,17 @@
 
 Change rows arrive as a stream; its checkpoint is the cursor of every source.
 A micro-batch rebuilds the touched threads from the mailbox and appends their
-new rows to a log under ``<root>/<table>/batch=<id>/bucket=<k>``. The batch
-folder is overwritten, so a replayed batch leaves the same rows. If anything
-fails the batch raises and the checkpoint does not move.
+new rows to logs, one run of files a table (:mod:`threadlens.streaming.runs`). All
+tables of a batch become visible by one change of the manifest. A replayed batch
+replaces its own runs, so it leaves the same rows. If anything fails the batch
+raises and the checkpoint does not move.
 
 Buckets are hash ranges of ``(user_id, thread_id)``. A batch collects the numbers
-of its buckets (at most ``BUCKETS``) and reads only their folders.
+of its buckets (at most ``BUCKETS``) and reads only their folders of the live runs.
+Each batch first folds runs of earlier ones where a tier is full, so the number of
+folders a batch meets does not grow with the number of batches before it.
 
-Tags are a log of their own (``tags/seq=<n>``) that no sync writes, so syncs and
+Tags are a log of their own, numbered by ``seq``, that no sync writes, so syncs and
 taggers never take each other's numbers. A tag row names the last batch that its
 tagger saw; it counts for the thread as long as the thread was not deleted and
 created anew after that batch.
@@ -24,8 +27,10 @@ costs what it changes; :func:`compact` folds the log into a new base.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,6 +41,7 @@ from threadlens.operators.tagging import last_rows
 from threadlens.schemas import ATTACHMENTS, CHANGES, KEY, PARTICIPANTS, THREAD_MESSAGES, THREADS
 from threadlens.session import materialise
 from threadlens.sources.changes import read_changes
+from threadlens.streaming import runs
 
 CHILDREN = {
     "thread_messages": THREAD_MESSAGES, "participants": PARTICIPANTS, "attachments": ATTACHMENTS,
@@ -74,10 +80,16 @@ class Mailbox:
 
 def store_mailbox(messages: DataFrame, path: str) -> None:
     """Messages in bucket folders, so that a sync scans those of its threads."""
-    messages.withColumn("bucket", bucket()).repartition(BUCKETS, "bucket").write.partitionBy(
+    messages.withColumn("bucket", bucket()).hint("rebalance", "bucket").write.partitionBy(
         "bucket").mode("append").parquet(path)
 
 
+def _together(spark: SparkSession, *jobs: Callable):
+    """Run jobs that do not need each other at the same time; their results in order."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -88,19 +100,19 @@ def _numbers(keys: DataFrame, *columns: str) -> list[int]:
     return [r[0] for r in keys.select(bucket(*columns)).distinct().collect()]
 
 
+def _schema(table: str) -> T.StructType:
+    ddl, number, _ = LOGS[table]
+    kept = "" if number != "batch" else ", deleted boolean, content_batch bigint, created_batch bigint"
+    return T.StructType.fromDDL(f"{ddl}{kept}, {number} bigint, bucket int")
+
+
 def _log(
-    spark: SparkSession, root: str, table: str, ddl: str, before: int | None,
-    buckets: list[int] | None = None, number: str = "batch",
+    spark: SparkSession, root: str, table: str, before: int | None = None, buckets: list[int] | None = None,
 ) -> DataFrame:
-    path = f"{root}/{table}"
-    kept = "" if number != "batch" else ", deleted boolean, content_batch bigint, created_batch bigint"
-    schema = T.StructType.fromDDL(f"{ddl}{kept}, {number} bigint, bucket int")
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
-    if buckets is not None:
-        rows = rows.filter(F.col("bucket").isin(buckets))
-    return (rows if before is None else rows.filter(F.col(number) < before)).drop("bucket")
+    """The rows of a log, of numbers below ``before`` and of some buckets only where given."""
+    live = [r for r in runs.live(spark, root, table) if before is None or r.lo < before]
+    rows = runs.read(spark, root, table, _schema(table), live, buckets).drop("bucket")
+    return rows if before is None else rows.filter(F.col(LOGS[table][1]) < before)
 
 
 def _rows(
@@ -108,7 +120,7 @@ def _rows(
     buckets: list[int] | None = None,
 ) -> DataFrame:
     """Newest thread rows. ``keys`` and ``buckets`` thin the log before rows are grouped."""
-    rows = _log(spark, root, "threads", THREADS, before, buckets)
+    rows = _log(spark, root, "threads", before, buckets)
     if keys is not None:
         rows = rows.join(keys.select(*KEY), KEY, "left_semi")
     rest = [c for c in rows.columns if c not in (*KEY, "batch")]
@@ -118,7 +130,7 @@ def _rows(
 
 def _tagged(spark: SparkSession, root: str, rows: DataFrame, buckets: list[int] | None = None) -> DataFrame:
     """Thread rows with their newest tags."""
-    log = _log(spark, root, "tags", TAGS, None, buckets, "seq")
+    log = _log(spark, root, "tags", None, buckets)
     newest = last_rows(log, KEY, "seq")
     hit = F.coalesce(F.col("as_of") >= F.col("created_batch"), F.lit(False))
     return rows.join(newest, KEY, "left").withColumns({
@@ -137,7 +149,7 @@ def current_child(
     buckets: list[int] | None = None,
 ) -> DataFrame:
     """A child table: the rows of the batch that last rebuilt each thread."""
-    rows = _log(spark, root, table, CHILDREN[table], before, buckets).drop(
+    rows = _log(spark, root, table, before, buckets).drop(
         "deleted", "content_batch", "created_batch")
     if keys is not None:
         rows = rows.join(keys.select(*KEY), KEY, "left_semi")
@@ -152,25 +164,81 @@ PLACED = {
 }
 
 
-def _append(df: DataFrame, root: str, table: str, ddl: str, batch: int, number: str = "batch") -> None:
-    kept = "" if number != "batch" else ", deleted boolean, content_batch bigint, created_batch bigint"
-    fields = T.StructType.fromDDL(f"{ddl}{kept}").fields
-    given = {"deleted": F.lit(False), "content_batch": F.lit(batch), "created_batch": F.lit(batch)}
+def _newest(number: str, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Folds rows to those of the highest number of each key."""
+    def merge(rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy(*keys).agg(F.max(number).alias(number))
+        return rows.join(newest, [*keys, number], "left_semi")
+    return merge
+
+
+def _folded_holders(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id", "message_id", "thread_id", "bucket").agg(F.max("at").alias("at"))
+
+
+def _folded_counts(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy("user_id", "token", "bucket").agg(F.sum("d").alias("d"), F.max("turn").alias("turn"))
+    return sums.filter("d <> 0")
+
+
+#: The logs: columns, the column that numbers them, and how runs of earlier numbers are folded.
+LOGS = {
+    "threads": (THREADS, "batch", _newest("batch", KEY)),
+    **{name: (ddl, "batch", _newest("batch", KEY)) for name, ddl in CHILDREN.items()},
+    "holders": (HOLDERS, "at", _folded_holders),
+    "tags": (TAGS, "seq", _newest("seq", KEY)),
+    **{name: (ddl, "turn", _newest("turn", KEY)) for name, ddl in POSTINGS.items()},
+    "indexed": ("user_id string, thread_id string", "turn", _newest("turn", KEY)),
+    "term_counts": (TERM_COUNTS, "turn", _folded_counts),
+    "cursors": (CURSORS, "at", _newest("at", PLACED["cursors"])),
+    "quarantine": (QUARANTINE, "at", lambda rows: rows),
+}
+
+
+def _store(df: DataFrame, root: str, table: str, number: int) -> runs.Run:
+    """Rows as the run of a number, which is not visible before it is committed."""
+    named = LOGS[table][1]
+    given = {
+        "deleted": F.lit(False), "content_batch": F.lit(number), "created_batch": F.lit(number),
+    }
     place = bucket(*PLACED.get(table, KEY))
     rows = df.select(*[
-        (F.col(f.name) if f.name in df.columns else given.get(f.name, F.lit(None)))
-        .cast(f.dataType).alias(f.name)
-        for f in fields
-    ], place.alias("bucket"))
-    rows.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{root}/{table}/{number}={batch}")
+        place.alias("bucket") if f.name == "bucket" else
+        (F.lit(number) if f.name == named else F.col(f.name) if f.name in df.columns
+         else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in _schema(table).fields
+    ])
+    return runs.write(rows, root, table, str(number), number, number)
+
+
+def _append(df: DataFrame, root: str, table: str, number: int) -> None:
+    runs.commit(df.sparkSession, root, [_store(df, root, table, number)])
+
+
+def _stored(spark: SparkSession, root: str, run: runs.Run) -> DataFrame:
+    """The rows of one run, visible or not."""
+    return runs.read(spark, root, run.table, _schema(run.table), [run]).drop("bucket")
+
+
+def fold(spark: SparkSession, root: str, batch: int) -> int:
+    """Fold full tiers of every log, of numbers that a sync at ``batch`` can no longer write again.
+
+    The newest tags stay apart as well: their call may be repeated.
+    """
+    below = {"batch": batch, "at": batch, "turn": batch * TURNS, "seq": runs.last(spark, root, "tags") or 0}
+    due = {r.table for r in runs.live(spark, root)}
+    return sum(
+        runs.fold(spark, root, table, _schema(table), below[number], merge)
+        for table, (_, number, merge) in LOGS.items() if table in due)
 
 
 def _holders(spark: SparkSession, root: str, removed: DataFrame, batch: int) -> DataFrame:
     """The current child rows of removed messages, found through their bucketed message ids."""
-    found = _log(
-        spark, root, "holders", HOLDERS, batch, _numbers(removed, "user_id", "message_id"), "at"
-    ).join(removed, ["user_id", "message_id"], "left_semi").select(*KEY).distinct()
+    buckets = _numbers(removed, "user_id", "message_id") if runs.live(spark, root, "holders") else []
+    if not buckets:
+        return spark.createDataFrame([], "user_id string, message_id string, thread_id string")
+    found = _log(spark, root, "holders", batch, buckets).join(
+        removed, ["user_id", "message_id"], "left_semi").select(*KEY).distinct()
     keys = materialise(found, "holders")
     rows = current_child(spark, root, "thread_messages", batch, keys, _numbers(keys))
     return rows.join(removed, ["user_id", "message_id"], "left_semi")
@@ -185,6 +253,7 @@ def apply_batch(
     written to the shared folder once.
     """
     spark = changes.sparkSession
+    fold(spark, root, batch)
     removed = changes.filter("removed_message_id is not null").select(
         "user_id", F.col("removed_message_id").alias("message_id")
     ).distinct()
@@ -193,48 +262,63 @@ def apply_batch(
     source = mailbox.messages(spark)
     if "bucket" in source.columns:
         source = source.filter(F.col("bucket").isin(buckets)).drop("bucket")
-    mail = materialise(
-        th.drop_containers(source, list(mailbox.excluded)).join(touched.select(*KEY), KEY, "left_semi"), "mail",
-    )
-    known = materialise(_rows(spark, root, batch, touched, buckets), "known")
+    held = th.drop_containers(source, list(mailbox.excluded)).join(touched.select(*KEY), KEY, "left_semi")
+    mail, known = _together(
+        spark, lambda: materialise(held, "mail"),
+        lambda: materialise(_rows(spark, root, batch, touched, buckets), "known"))
     rebuilt = th.build_threads(mail)
     changed = materialise(th.changed_threads(known, rebuilt, touched.filter("forced")), "changed")
     keys = changed.select(*KEY)
     gone = known.select(*KEY).join(mail.select(*KEY), KEY, "left_anti")
     kept_mail = mail.join(keys, KEY, "left_semi")
-    child = materialise(th.thread_messages(kept_mail), "child")
-    rows = changed.join(th.thread_content(kept_mail).drop("body_text"), KEY, "left")
-    if mailbox.meta is not None:
-        files = materialise(
-            att.storage_columns(att.attach(child, mailbox.meta(spark), mailbox.texts(spark))), "files"
-        )
-        rows = rows.join(att.per_thread(files), KEY, "left")
-        _append(files, root, "attachments", ATTACHMENTS, batch)
-    else:
+    old = known.drop("content_batch").join(keys, KEY, "left_semi")
+
+    def store_threads(files: DataFrame | None = None) -> runs.Run:
+        rows = changed.join(th.thread_content(kept_mail).drop("body_text"), KEY, "left")
+        if files is not None:
+            rows = rows.join(att.per_thread(files), KEY, "left")
+        else:
+            rows = rows.withColumns({
+                "max_attachment_size": F.lit(None).cast("bigint"),
+                "attachments_incomplete": F.lit(None).cast("boolean"),
+            })
         rows = rows.withColumns({
-            "max_attachment_size": F.lit(None).cast("bigint"),
-            "attachments_incomplete": F.lit(None).cast("boolean"),
+            "ai_tags": F.array().cast("array<string>"), "user_tags": F.array().cast("array<string>"),
+            "manually_reviewed": F.lit(False), "tags_truncated": F.lit(False),
+            "last_synced": F.lit(synced_at),
         })
-    rows = rows.withColumns({
-        "ai_tags": F.array().cast("array<string>"), "user_tags": F.array().cast("array<string>"),
-        "manually_reviewed": F.lit(False), "tags_truncated": F.lit(False),
-        "last_synced": F.lit(synced_at),
-    })
-    old = known.drop("content_batch").join(keys, KEY, "left_semi")
-    stored = mutate.store_untagged(old, rows).withColumns({
-        "deleted": F.lit(False), "created_batch": F.coalesce("created_batch", F.lit(batch))})
-    out = stored.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
-    _append(child.select("user_id", "message_id", "thread_id"), root, "holders", HOLDERS, batch, "at")
-    _append(child, root, "thread_messages", THREAD_MESSAGES, batch)
-    _append(th.participants(kept_mail), root, "participants", PARTICIPANTS, batch)
-    # The thread rows go last: they make the batch visible.
-    _append(out, root, "threads", THREADS, batch)
+        stored = mutate.store_untagged(old, rows).withColumns({
+            "deleted": F.lit(False), "created_batch": F.coalesce("created_batch", F.lit(batch))})
+        out = stored.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+        return _store(out, root, "threads", batch)
+
+    def store_files(child: DataFrame) -> list[runs.Run]:
+        """Attachments, and the thread rows that count them."""
+        found = att.storage_columns(att.attach(child, mailbox.meta(spark), mailbox.texts(spark)))
+        files = _store(found, root, "attachments", batch)
+        return [files, store_threads(_stored(spark, root, files))]
+
+    def store_child() -> list[runs.Run]:
+        """Messages, and what is derived from them."""
+        messages = _store(th.thread_messages(kept_mail), root, "thread_messages", batch)
+        child = _stored(spark, root, messages)
+        later = [lambda: [_store(child, root, "holders", batch)]]
+        if mailbox.meta is not None:
+            later.append(lambda: store_files(child))
+        return [messages, *[run for done in _together(spark, *later) for run in done]]
+
+    jobs = [store_child, lambda: [_store(th.participants(kept_mail), root, "participants", batch)]]
+    if mailbox.meta is None:
+        jobs.append(lambda: [store_threads()])
+    done = _together(spark, *jobs)
+    # All tables of the batch become visible at once.
+    runs.commit(spark, root, [run for stored in done for run in stored])
     if index:
         _index(spark, root, keys.unionByName(gone), batch * TURNS)
 
 
 def _last_batch(spark: SparkSession, root: str) -> int:
-    last = _log(spark, root, "threads", THREADS, None).agg(F.max("batch")).first()[0]
+    last = runs.last(spark, root, "threads")
     return -1 if last is None else last
 
 
@@ -243,12 +327,12 @@ def append_tags(
 ) -> int:
     """Store tagger results; returns their number, under which a failed call can be repeated."""
     if seq is None:
-        last = _log(spark, root, "tags", TAGS, None, None, "seq").agg(F.max("seq")).first()[0]
+        last = runs.last(spark, root, "tags")
         seq = 0 if last is None else last + 1
     as_of = _last_batch(spark, root)
     kept = tags.select(*KEY, "tags", "truncated", *[c for c in ("seq",) if c in tags.columns])
     rows = materialise(last_rows(kept, KEY, "seq").withColumn("as_of", F.lit(as_of)), "tags")
-    _append(rows, root, "tags", TAGS, seq, "seq")
+    _append(rows, root, "tags", seq)
     if index:
         _index(spark, root, rows, as_of * TURNS + seq + 1)
     return seq
@@ -261,12 +345,18 @@ def _index(spark: SparkSession, root: str, changed: DataFrame, turn: int) -> Non
     threads = materialise(_tagged(spark, root, _rows(spark, root, None, changed, buckets), buckets), "reindexed")
     people = current_child(spark, root, "participants", None, changed, buckets)
     before = materialise(postings(spark, root, "terms", turn, changed, buckets), "unindexed")
-    for name, build in (("terms", ix.terms), ("positions", ix.positions)):
-        rows = materialise(build(threads, people), name)
-        _append(rows, root, name, POSTINGS[name], turn, "turn")
-        if name == "terms":
-            _append(ix.deltas(before, rows), root, "term_counts", TERM_COUNTS, turn, "turn")
-    _append(changed, root, "indexed", "user_id string, thread_id string", turn, "turn")
+
+    def store(name: str, build: Callable) -> list[runs.Run]:
+        run = _store(build(threads, people), root, name, turn)
+        if name != "terms":
+            return [run]
+        counts = ix.deltas(before, _stored(spark, root, run).drop("turn"))
+        return [run, _store(counts, root, "term_counts", turn)]
+
+    done = _together(
+        spark, lambda: store("terms", ix.terms), lambda: store("positions", ix.positions),
+        lambda: [_store(changed, root, "indexed", turn)])
+    runs.commit(spark, root, [run for stored in done for run in stored])
 
 
 def postings(
@@ -274,8 +364,8 @@ def postings(
     buckets: list[int] | None = None,
 ) -> DataFrame:
     """``terms`` or ``positions`` of all threads as last indexed; ``keys`` and ``buckets`` thin the logs first."""
-    turns = _log(spark, root, "indexed", "user_id string, thread_id string", before, buckets, "turn")
-    rows = _log(spark, root, name, POSTINGS[name], before, buckets, "turn")
+    turns = _log(spark, root, "indexed", before, buckets)
+    rows = _log(spark, root, name, before, buckets)
     if keys is not None:
         turns, rows = (df.join(keys.select(*KEY), KEY, "left_semi") for df in (turns, rows))
     newest = turns.groupBy(*KEY).agg(F.max("turn").alias("turn"))
@@ -284,7 +374,7 @@ def postings(
 
 def term_statistics(spark: SparkSession, root: str) -> DataFrame:
     """(user_id, token, df) as syncs and taggers have kept it by signed deltas."""
-    return ix.summed(_log(spark, root, "term_counts", TERM_COUNTS, None, None, "turn"))
+    return ix.summed(_log(spark, root, "term_counts"))
 
 
 def start_sync(
@@ -326,7 +416,7 @@ def _next_batch(spark: SparkSession, root: str, checkpoint: str) -> int:
     if row[0] is not None:
         return row[0]
     # A batch in which every source was held stored positions alone.
-    last = _log(spark, root, "cursors", CURSORS, None, None, "at").agg(F.max("at")).first()[0]
+    last = runs.last(spark, root, "cursors")
     start = max(_last_batch(spark, root), -1 if last is None else last) + 1
     spark.createDataFrame([(checkpoint, start)], "checkpoint string, start bigint").coalesce(
         1
@@ -340,22 +430,23 @@ def stop_sync(query: StreamingQuery) -> None:
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Fold the log into ``target`` as one base batch; switch readers to it after."""
+    """All logs as one base batch under ``target``, without rows that no longer count; switch readers to it after."""
     last = max(0, _last_batch(spark, root))
-    if _exists(spark, f"{root}/cursors"):
-        cursors = _log(spark, root, "cursors", CURSORS, None, None, "at")
-        _append(last_rows(cursors, PLACED["cursors"], "at"), target, "cursors", CURSORS, last, "at")
-        _append(_log(spark, root, "quarantine", QUARANTINE, None, None, "at"), target, "quarantine", QUARANTINE,
-                last, "at")
-    for name, ddl in CHILDREN.items():
-        _append(current_child(spark, root, name), target, name, ddl, last)
-    held = current_child(spark, root, "thread_messages").select("user_id", "message_id", "thread_id")
-    _append(held, target, "holders", HOLDERS, last, "at")
-    tags = last_rows(_log(spark, root, "tags", TAGS, None, None, "seq"), KEY, "seq")
-    _append(tags, target, "tags", TAGS, 0, "seq")
-    if _exists(spark, f"{root}/indexed"):
+    there = {r.table for r in runs.live(spark, root)}
+    child = current_child(spark, root, "thread_messages")
+    base = [(name, current_child(spark, root, name), last) for name in CHILDREN]
+    base += [("holders", child.select("user_id", "message_id", "thread_id"), last)]
+    if "cursors" in there:
+        base += [("cursors", last_rows(_log(spark, root, "cursors"), PLACED["cursors"], "at"), last)]
+    if "quarantine" in there:
+        base += [("quarantine", _log(spark, root, "quarantine"), last)]
+    if "tags" in there:
+        base += [("tags", last_rows(_log(spark, root, "tags"), KEY, "seq"), 0)]
+    if "indexed" in there:
         turn = last * TURNS
-        for name, ddl in POSTINGS.items():
-            _append(postings(spark, root, name), target, name, ddl, turn, "turn")
-        _append(current(spark, root).select(*KEY), target, "indexed", "user_id string, thread_id string", turn, "turn")
-    _append(_rows(spark, root).drop("content_batch"), target, "threads", THREADS, last)
+        base += [(name, postings(spark, root, name), turn) for name in POSTINGS]
+        base += [("indexed", current(spark, root).select(*KEY), turn),
+                 ("term_counts", _log(spark, root, "term_counts").groupBy("user_id", "token").agg(
+                     F.sum("d").alias("d")).filter("d <> 0"), turn)]
+    base += [("threads", _rows(spark, root).drop("content_batch"), last)]
+    runs.commit(spark, target, [_store(rows, target, name, number) for name, rows, number in base])
