@@ -211,8 +211,9 @@ def test_export_and_import(spark):
     assert rows(store.read_export(spark, bad, "me"), "thread_id", "subject", "n_messages") == [("a", "", 0)]
     none = scratch(spark, "none")
     spark.createDataFrame([('{"format":2}',)], "value string").write.text(f"{none}/threads")
-    with pytest.raises(ValueError):
-        store.check_export(spark, none)
+    for refused in (store.check_export, lambda s, path: store.read_export(s, path, "me")):
+        with pytest.raises(ValueError):
+            refused(spark, none)
 
 
 def test_describe_counts_of_empty_tables(spark):

@@ -724,8 +724,12 @@ def snapshot(spark, sf):
     version = store.snapshot(
         spark, {"threads": threads, "users": adapters.mapped(spark, sf, "users")}, root
     )
+    opened = store.verify(spark, root, version)
+    same = F.lit(True)
+    for name, n in opened.items():
+        same = same & (F.col(name) == F.lit(n))
     return store.versions(spark, root).filter(F.col("version") == version).select(
-        "threads", "tagged", "users", F.lit(True).alias("verified")
+        "threads", "tagged", "users", same.alias("verified")
     )
 
 

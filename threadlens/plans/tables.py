@@ -94,7 +94,8 @@ def import_threads(spark, sf):
     filled = lines.select(*[
         (F.col(c) if c in lines.columns else F.lit(None).cast(kind)).alias(c) for c, kind in whole.items()
     ], "at", F.lit(None).cast("boolean").alias("attachments_scanned"))
-    store.export_threads({"threads": filled.coalesce(1).sortWithinPartitions("at").drop("at")}, path)
+    ordered = filled.repartitionByRange("at", "thread_id").sortWithinPartitions("at", "thread_id")
+    store.export_threads({"threads": ordered.drop("at")}, path)
     rows = store.read_export(spark, path, "c1")
     return mutate.import_file(current, rows, "c1").select(*KEY, "subject")
 

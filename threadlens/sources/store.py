@@ -149,13 +149,15 @@ def read_export(
 ) -> DataFrame:
     """Rows of an export for one tenant; malformed rows are skipped.
 
-    A row counts when it is an object of a known format with a thread id.
+    Threads without any row of a known format are refused (:func:`check_export`). A row counts when it is an object of a known format with a thread id.
     Missing values get their defaults. ``row_no`` orders repeated rows by file
     and line.
     """
     ddl = ", ".join(
         c.strip() for c in TABLES[table].split(",\n") if c.strip()
     ).replace("\n", " ")
+    if table == "threads":
+        check_export(spark, path)
     raw = spark.read.schema(f"{ddl}, format int, _corrupt_record string").json(
         f"{path}/{table}", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"
     )
