@@ -6,6 +6,10 @@ phrases. Positions run over AI tags, own tags, subject and the sorted
 participants, in that order; they are negative up to the end of the subject
 and count from zero through the participants, so either part is numbered
 without knowing the other.
+
+Texts are dealt by thread while they are still lists of tokens, a shuffle of about the
+size of the texts; postings are made, and put in order of their tokens, after it. So
+every file of the index holds the postings of some threads, ordered by token.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from threadlens.functions.text import tokens
 from threadlens.schemas import KEY
+from threadlens.session import by_key, rows_of
 
 POSTING = ["user_id", "thread_id", "token"]
 
@@ -23,13 +28,20 @@ def _head(threads: DataFrame) -> DataFrame:
     return threads.select(*KEY, tokens(text).alias("tokens"))
 
 
-def terms(threads: DataFrame, participants: DataFrame) -> DataFrame:
-    """Distinct tokens of each thread."""
-    head = _head(threads).select(*KEY, F.explode(F.array_distinct("tokens")).alias("token"))
-    people = participants.select(
-        *KEY, F.explode(F.array_distinct(tokens(F.col("address")))).alias("token")
-    )
-    return head.unionByName(people).distinct()
+def terms(threads: DataFrame, participants: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct tokens of each thread, dealt by thread over ``parts`` partitions and ordered by token."""
+    texts = _head(threads).select(*KEY, F.array_distinct("tokens").alias("tokens")).unionByName(
+        participants.select(*KEY, F.array_distinct(tokens(F.col("address"))).alias("tokens")))
+    return ordered_once(rows_of(by_key(texts, KEY, parts), *KEY, name="token", lists="tokens"), "token")
+
+
+def ordered_once(postings: DataFrame, name: str) -> DataFrame:
+    """Distinct ``(user_id, thread_id, name)`` of postings dealt by thread, in order of ``name``.
+
+    Rows have to be in this order where they are stored, so the same sort finds the equal ones.
+    """
+    equal = Window.partitionBy(name, *KEY).orderBy(name)
+    return postings.withColumn("nth", F.row_number().over(equal)).filter("nth = 1").drop("nth")
 
 
 def _address_offsets(participants: DataFrame) -> DataFrame:
@@ -59,11 +71,12 @@ def _address_offsets(participants: DataFrame) -> DataFrame:
     )
 
 
-def positions(threads: DataFrame, participants: DataFrame) -> DataFrame:
+def positions(threads: DataFrame, participants: DataFrame, parts: int | None = None) -> DataFrame:
     """Every token occurrence with its place in the thread's indexed text."""
-    head = _head(threads).select(
-        *KEY, F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token")
-    ).select(*KEY, (F.col("i") - F.col("n")).cast("bigint").alias("pos"), "token")
+    # Not a plain posexplode, for the reason that rows_of names.
+    head = by_key(_head(threads), KEY, parts).select(
+        *KEY, F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("i", "token")
+    ).filter(F.col("token").isNotNull()).select(*KEY, (F.col("i") - F.col("n")).cast("bigint").alias("pos"), "token")
     people = (
         _address_offsets(participants)
         .select(*KEY, "offset", F.posexplode("tokens").alias("i", "token"))
@@ -110,7 +123,7 @@ def write_statistics(counts: DataFrame, path: str) -> None:
 
 
 def write(index: DataFrame, path: str) -> None:
-    """Store the index ordered by token, so a search reads few row groups."""
-    index.repartitionByRange("token", *KEY).sortWithinPartitions("token", *KEY).write.option(
+    """Store each partition of the index ordered by token, so a search reads few pages of a file."""
+    index.sortWithinPartitions("token", *KEY).write.option(
         "parquet.bloom.filter.enabled#token", "true"
     ).parquet(path)

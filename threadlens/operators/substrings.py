@@ -18,8 +18,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadlens.functions.text import ascii_lower, words
+from threadlens.operators.index import ordered_once
 from threadlens.schemas import KEY
-from threadlens.session import materialise
+from threadlens.session import by_key, materialise, rows_of
 
 # Bounds of this library: runs pushed down as literals, rows broadcast
 LITERALS = 500
@@ -51,21 +52,21 @@ def fields(threads: DataFrame, participants: DataFrame) -> DataFrame:
 
 def runs(text: Column, lengths: range = range(1, LONGEST + 1)) -> Column:
     """The distinct runs of so many characters in ``text``."""
-    # Runs of n + 1 are runs of n zipped with the characters n places on: the text is split a few times, not per place.
-    chars = F.split(text, "")
+    # One pass finds the longest run at every place; shorter runs are beginnings of those, once each.
+    longest = max(lengths)
+    whole = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))."), F.lit(1)))
 
     def of(n: int) -> Column:
-        out = chars
-        for k in range(1, n):
-            out = F.zip_with(out, F.slice(chars, k + 1, F.length(text)), lambda a, b: F.concat(a, b))
-        return F.array_compact(out)
+        held = F.filter(whole, lambda r: F.length(r) >= n)
+        return held if n == longest else F.array_distinct(F.transform(held, lambda r: F.left(r, F.lit(n))))
 
-    return F.array_remove(F.array_distinct(F.flatten(F.array(*[of(n) for n in lengths]))), "")
+    return F.concat(*[of(n) for n in lengths])
 
 
-def grams(texts: DataFrame) -> DataFrame:
-    """Distinct (user_id, thread_id, gram)."""
-    return texts.select(*KEY, F.explode(runs(F.col("text"))).alias("gram")).distinct()
+def grams(texts: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct (user_id, thread_id, gram): texts dealt by thread, their runs in order after that."""
+    dealt = by_key(texts, KEY, parts).select(*KEY, runs(F.col("text")).alias("grams"))
+    return ordered_once(rows_of(dealt, *KEY, name="gram", lists="grams"), "gram")
 
 
 def statistics(postings: DataFrame) -> DataFrame:
@@ -73,13 +74,13 @@ def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("user_id", "gram").agg(F.count("*").alias("df"))
 
 
-def build(threads: DataFrame, participants: DataFrame, path: str) -> Index:
+def build(threads: DataFrame, participants: DataFrame, path: str, parts: int | None = None) -> Index:
     """Write the three tables below ``path``, ordered for look-ups, and read them back."""
     texts = fields(threads, participants)
     texts.write.parquet(f"{path}/fields")
     spark = threads.sparkSession
-    grams(spark.read.parquet(f"{path}/fields")).repartitionByRange("gram", *KEY).sortWithinPartitions(
-        "gram", *KEY).write.option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/grams")
+    grams(spark.read.parquet(f"{path}/fields"), parts).sortWithinPartitions("gram", *KEY).write.option(
+        "parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/grams")
     statistics(spark.read.parquet(f"{path}/grams")).repartitionByRange("gram", "user_id").sortWithinPartitions(
         "gram", "user_id").write.parquet(f"{path}/statistics")
     return read(spark, path)

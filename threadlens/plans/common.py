@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlens.operators import index, substrings, threads as th
-from threadlens.session import scratch
+from threadlens.session import parts_of, scratch
 from threadlens.sources import adapters
 
 EXCLUDED = ["junkemail", "drafts"]
@@ -118,8 +118,9 @@ def doc_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
         paths = (scratch(spark, "terms"), scratch(spark, "positions"), scratch(spark, "statistics"))
-        index.write(index.terms(threads, people), paths[0])
-        index.write(index.positions(threads, people), paths[1])
+        parts = parts_of(adapters.table(spark, sf, "documents"))
+        index.write(index.terms(threads, people, parts), paths[0])
+        index.write(index.positions(threads, people, parts), paths[1])
         index.write_statistics(index.statistics(spark.read.parquet(paths[0])), paths[2])
         _STORED[key] = paths
     terms, positions = (spark.read.parquet(p) for p in _STORED[key][:2])
@@ -140,7 +141,8 @@ def doc_substrings(spark: SparkSession, sf: str) -> substrings.Index:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SUBSTRINGS:
         path = scratch(spark, "substrings")
-        substrings.build(*adapters.doc_threads(spark, sf), path)
+        parts = parts_of(adapters.table(spark, sf, "documents"))
+        substrings.build(*adapters.doc_threads(spark, sf), path, parts)
         _SUBSTRINGS[key] = path
     return substrings.read(spark, _SUBSTRINGS[key])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -71,6 +71,26 @@ def spread(df, *keys: str):
     return df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def parts_of(df, each: int = 8 << 20) -> int:
+    """How many partitions of about ``each`` stored bytes the files behind ``df`` make, one per core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // each))
+
+
+def rows_of(df, *keep: str, name: str, lists: str):
+    """``df`` with one row per element of its column ``lists``, whose elements are never null.
+
+    A plain ``explode`` makes Spark test the size of the list first, which computes the list
+    once more, before any shuffle.
+    """
+    return df.select(*keep, F.explode_outer(lists).alias(name)).filter(F.col(name).isNotNull())
+
+
+def by_key(df, keys: list[str], parts: int | None = None):
+    """Hash ``df`` by ``keys``: over ``parts`` partitions, or as many as the session finds fit."""
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
 def spread_if_small(df, *keys: str, below: int = 1 << 30):
     """:func:`spread` for inputs of few row groups; larger scans split themselves."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
