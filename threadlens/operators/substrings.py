@@ -50,23 +50,32 @@ def fields(threads: DataFrame, participants: DataFrame) -> DataFrame:
     return own.unionByName(people).filter(F.length("text") > 0).select(*KEY, ascii_lower(F.col("text")).alias("text"))
 
 
-def runs(text: Column, lengths: range = range(1, LONGEST + 1)) -> Column:
-    """The distinct runs of so many characters in ``text``."""
-    # One pass finds the longest run at every place; shorter runs are beginnings of those, once each.
-    longest = max(lengths)
-    whole = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))."), F.lit(1)))
+def _starts(text: Column, longest: int) -> Column:
+    """The distinct runs that start at each place of ``text``, cut at ``longest`` characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))."), F.lit(1)))
+
+
+def _runs_of(starts: Column, lengths: range) -> Column:
+    """The runs of each length: shorter ones are beginnings of the longest."""
 
     def of(n: int) -> Column:
-        held = F.filter(whole, lambda r: F.length(r) >= n)
-        return held if n == longest else F.array_distinct(F.transform(held, lambda r: F.left(r, F.lit(n))))
+        held = F.filter(starts, lambda r: F.length(r) >= n)
+        return held if n == max(lengths) else F.array_distinct(F.transform(held, lambda r: F.left(r, F.lit(n))))
 
     return F.concat(*[of(n) for n in lengths])
 
 
+def runs(text: Column, lengths: range = range(1, LONGEST + 1)) -> Column:
+    """The distinct runs of so many characters in ``text``."""
+    return _runs_of(_starts(text, max(lengths)), lengths)
+
+
 def grams(texts: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct (user_id, thread_id, gram): texts dealt by thread, their runs in order after that."""
-    dealt = by_key(texts, KEY, parts).select(*KEY, runs(F.col("text")).alias("grams"))
-    return ordered_once(rows_of(dealt, *KEY, name="gram", lists="grams"), "gram")
+    # A column of its own, so that the three lengths share one pass over the text.
+    dealt = by_key(texts, KEY, parts).select(*KEY, _starts(F.col("text"), LONGEST).alias("starts"))
+    listed = dealt.select(*KEY, _runs_of(F.col("starts"), range(1, LONGEST + 1)).alias("grams"))
+    return ordered_once(rows_of(listed, *KEY, name="gram", lists="grams"), "gram")
 
 
 def statistics(postings: DataFrame) -> DataFrame:
