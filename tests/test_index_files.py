@@ -1,7 +1,10 @@
 """How the index is built: each text is cut once and dealt as one row."""
 
+from pyspark.sql import functions as F
+
 from helpers import rows
 from test_search import setup, thread
+from threadlens.functions import text
 from threadlens.operators import index, substrings
 
 
@@ -19,6 +22,23 @@ def test_postings_are_not_shuffled(spark):
     assert "size(" not in plan(index.positions(t, p, 3)).split("Generate")[1].replace("size(tokens", "")
 
 
+def test_texts_are_dealt_before_they_are_cut(spark):
+    t, p, _, _ = setup(spark, [thread("a", ["x"], "one two one"), thread("b")], [("u", "a", "two@x")])
+    # Lists of tokens take twice the bytes of the text in a shuffle.
+    assert "split(" not in plan(index.terms(t, p, 3)).split("Exchange")[1]
+    positions = plan(index.positions(t, p, 3))
+    assert positions.index("split(") < positions.index("Exchange")
+
+
+def test_ascii_texts_are_cut_as_others_are(spark):
+    texts = ["", None, " ", "One_two-THREE 4", "x\u0301y \u00c9COLE", "\u0130stanbul \u212a 1\u00bd", "a\x00b\tc", "\u00e9"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    plain = F.array_remove(F.split(text.fold(F.col("x")), text.TOKEN_BREAK), "")
+    got = df.select("k", text.tokens(F.col("x")).alias("got"), plain.alias("plain")).orderBy("k").collect()
+    assert [r.got for r in got] == [r.plain for r in got]
+    assert got[3].got == ["one", "two", "three", "4"] and got[1].got is None
+
+
 def test_equal_rows_and_nulls_fold(spark):
     twice = [thread("a", ["x"], "one two one"), thread("a", ["x"], "one two one"), thread(None, [], "n", user=None),
              thread(None, [], "n m", user=None)]

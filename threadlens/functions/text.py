@@ -11,6 +11,8 @@ TEXT_CAP = 5000
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 MARKUP = r"<[^>]+>"
 TOKEN_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
+#: The same for text that is ASCII and lower case.
+ASCII_BREAK = "[^a-z0-9]+"
 COMBINING = "".join(map(chr, range(0x0300, 0x0332)))
 # ------------------------------------------------------------------------
 
@@ -56,12 +58,15 @@ def cap(col: Column, limit: int = TEXT_CAP) -> Column:
 def fold(col: Column) -> Column:
     """Lower case without Latin diacritics, as the index compares words."""
     # translate drops the characters that have no counterpart: combining marks
-    return F.translate(F.lower(F.translate(col, "İ", "I")), _MARKED + COMBINING, _PLAIN)
+    return F.translate(F.lower(F.replace(col, F.lit("İ"), F.lit("I"))), _MARKED + COMBINING, _PLAIN)
 
 
 def tokens(col: Column) -> Column:
     """Folded runs of letters and digits, in order."""
-    return F.array_remove(F.split(fold(col), TOKEN_BREAK), "")
+    # ASCII texts have nothing to fold but case; translate costs more than the split itself.
+    ascii_only = F.length(col) == F.octet_length(col)
+    return F.array_remove(
+        F.when(ascii_only, F.split(F.lower(col), ASCII_BREAK)).otherwise(F.split(fold(col), TOKEN_BREAK)), "")
 
 
 def words(col: Column) -> Column:

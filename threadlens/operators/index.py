@@ -7,9 +7,9 @@ participants, in that order; they are negative up to the end of the subject
 and count from zero through the participants, so either part is numbered
 without knowing the other.
 
-Texts are dealt by thread while they are still lists of tokens, a shuffle of about the
-size of the texts; postings are made, and put in order of their tokens, after it. So
-every file of the index holds the postings of some threads, ordered by token.
+Texts are dealt by thread as they are, a shuffle of the size of the texts (lists of
+tokens take twice that); they are cut, and postings put in order of their tokens, after
+it. So every file of the index holds the postings of some threads, ordered by token.
 """
 
 from __future__ import annotations
@@ -24,15 +24,14 @@ POSTING = ["user_id", "thread_id", "token"]
 
 
 def _head(threads: DataFrame) -> DataFrame:
-    text = F.concat_ws(" ", "ai_tags", "user_tags", "subject")
-    return threads.select(*KEY, tokens(text).alias("tokens"))
+    return threads.select(*KEY, F.concat_ws(" ", "ai_tags", "user_tags", "subject").alias("text"))
 
 
 def terms(threads: DataFrame, participants: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct tokens of each thread, dealt by thread over ``parts`` partitions and ordered by token."""
-    texts = _head(threads).select(*KEY, F.array_distinct("tokens").alias("tokens")).unionByName(
-        participants.select(*KEY, F.array_distinct(tokens(F.col("address"))).alias("tokens")))
-    return ordered_once(rows_of(by_key(texts, KEY, parts), *KEY, name="token", lists="tokens"), "token")
+    texts = _head(threads).unionByName(participants.select(*KEY, F.col("address").alias("text")))
+    cut = by_key(texts, KEY, parts).select(*KEY, F.array_distinct(tokens(F.col("text"))).alias("tokens"))
+    return ordered_once(rows_of(cut, *KEY, name="token", lists="tokens"), "token")
 
 
 def ordered_once(postings: DataFrame, name: str) -> DataFrame:
@@ -74,7 +73,7 @@ def _address_offsets(participants: DataFrame) -> DataFrame:
 def positions(threads: DataFrame, participants: DataFrame, parts: int | None = None) -> DataFrame:
     """Every token occurrence with its place in the thread's indexed text."""
     # Not a plain posexplode, for the reason that rows_of names.
-    head = by_key(_head(threads), KEY, parts).select(
+    head = by_key(_head(threads), KEY, parts).select(*KEY, tokens(F.col("text")).alias("tokens")).select(
         *KEY, F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("i", "token")
     ).filter(F.col("token").isNotNull()).select(*KEY, (F.col("i") - F.col("n")).cast("bigint").alias("pos"), "token")
     people = (
@@ -124,6 +123,6 @@ def write_statistics(counts: DataFrame, path: str) -> None:
 
 def write(index: DataFrame, path: str) -> None:
     """Store each partition of the index ordered by token, so a search reads few pages of a file."""
-    index.sortWithinPartitions("token", *KEY).write.option(
+    index.sortWithinPartitions("token").write.option(
         "parquet.bloom.filter.enabled#token", "true"
     ).parquet(path)

@@ -114,7 +114,7 @@ def doc_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     The index is a stored table, as a running archive has it: built once per
     application and input, then read by every search.
     """
-    threads, people = adapters.doc_threads(spark, sf)
+    threads, people = adapters.doc_threads(spark, sf, spread=False)
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
         paths = (scratch(spark, "terms"), scratch(spark, "positions"), scratch(spark, "statistics"))

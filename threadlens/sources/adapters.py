@@ -181,16 +181,17 @@ _INPUTS = {
 _SPREAD = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_partkey"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A driver table; where what follows deals its rows anyway, ``spread`` is off."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_if_small(df, _SPREAD[name]) if name in _SPREAD else df
+    return spread_if_small(df, _SPREAD[name]) if spread and name in _SPREAD else df
 
 
-def mapped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def mapped(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A driver table seen through one of the mappings above."""
     source = _INPUTS[name]
     text = MAPPINGS[name].replace("//", "DIV") if name == "saved_queries" else MAPPINGS[name]
-    return spark.sql(text, **{source: table(spark, sf_dir, source)})
+    return spark.sql(text, **{source: table(spark, sf_dir, source, spread)})
 
 
 def mapping_sql(name: str) -> str:
@@ -204,9 +205,9 @@ def messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return raw.withColumn("to_addrs", F.array("to_1", "to_2")).drop("to_1", "to_2")
 
 
-def doc_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def doc_threads(spark: SparkSession, sf_dir: str, spread: bool = True) -> tuple[DataFrame, DataFrame]:
     """(threads, participants) over ``documents``."""
-    raw = mapped(spark, sf_dir, "doc_threads")
+    raw = mapped(spark, sf_dir, "doc_threads", spread)
     threads = raw.select(
         "user_id", "thread_id", "subject", "date_first", "date_last", "n_messages",
         F.substring("date_first", 1, 10).alias("day_min"),
