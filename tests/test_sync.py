@@ -7,7 +7,7 @@ from helpers import rows
 from test_threads import frame, message
 from threadlens.operators import index, tagging
 from threadlens.schemas import CHANGES, STATE_EVENTS, USAGE_EVENTS
-from threadlens.session import scratch
+from threadlens.session import among, scratch
 from threadlens.streaming import sync, usage
 
 
@@ -142,6 +142,28 @@ def test_a_batch_reads_only_its_buckets(box, spark):
     assert {r[0].split("bucket=")[1][0] for r in log.select(F.input_file_name()).collect()} <= {"3"}
 
 
+def test_a_mailbox_is_stored_without_a_shuffle(spark):
+    stored = scratch(spark, "box")
+    mail = frame(spark, *[message(str(k), f"t{k}", seq=k) for k in range(60)]).coalesce(1)
+    sync.store_mailbox(mail, stored)
+    read = spark.read.parquet(stored)
+    assert read.count() == 60 and read.filter(F.col("bucket") != sync.bucket()).isEmpty()
+    # One task wrote them, a file a bucket.
+    names = [r[0].split("/")[-1].split("-")[1] for r in read.select(F.input_file_name()).distinct().collect()]
+    assert set(names) == {"00000"}
+
+
+def test_rows_of_many_keys_are_thinned_before_the_join(spark):
+    rows_ = spark.range(40000).selectExpr("if(id % 5 = 0, null, concat('u', id % 7)) user_id", "concat('t', id) thread_id", "id")
+    keys = rows_.filter("id % 40 = 3 OR id % 800 = 0").select("user_id", "thread_id")
+    few = among(rows_, keys, ["user_id", "thread_id"])
+    many = among(rows_, keys, ["user_id", "thread_id"], few=10)
+    assert many.columns == few.columns and rows(many) == rows(few) and many.count() == 1000
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    # The filter by the broadcast bitmap lies below the exact join.
+    assert plan.index("thread_id") >= 0 and plan.count("Join") == 2 and "getbit" in plan.split("Join")[2]
+
+
 def test_removed_message_forces_and_deletes(box, spark):
     box.messages = [message("a", "t1", date="2020-01-01", seq=1), message("b", "t1", date="2020-02-02", seq=2),
                     message("c", "t2", seq=3)]

@@ -625,7 +625,7 @@ def _feed(spark, sf):
 def _sync(spark, sf):
     """An empty archive, and a function that reports changes and syncs them on one checkpoint."""
     folder, root, box, cursor = (scratch(spark, n) for n in ("changes", "archive", "mailbox", "cursor"))
-    sync.store_mailbox(adapters.messages(spark, sf, "line_messages"), box)
+    sync.store_mailbox(adapters.messages(spark, sf, "line_messages", spread=16 << 20), box)
     mailbox = sync.Mailbox(lambda s: s.read.parquet(box), excluded=tuple(EXCLUDED))
 
     def run(feed, checkpoint=cursor, files=4, index=False):
@@ -718,7 +718,7 @@ _POISON_SQL = """
 def _pages_sync(spark, sf):
     """An empty archive, the delta pages of all sources, and a function that delivers pages and syncs them."""
     folder, root, box, cursor = (scratch(spark, n) for n in ("pages", "archive", "mailbox", "cursor"))
-    sync.store_mailbox(adapters.messages(spark, sf, "line_messages"), box)
+    sync.store_mailbox(adapters.messages(spark, sf, "line_messages", spread=16 << 20), box)
     mailbox = sync.Mailbox(lambda s: s.read.parquet(box), excluded=tuple(EXCLUDED))
     item = F.to_json(F.struct(F.array(F.struct(
         F.coalesce("removed_message_id", F.concat(F.lit("m"), "seq")).alias("id"),

@@ -91,6 +91,33 @@ def by_key(df, keys: list[str], parts: int | None = None):
     return df.repartition(parts, *keys) if parts else df.repartition(*keys)
 
 
+#: Keys below this number are few enough for Spark to broadcast them; bits of a filter for each of
+#: more keys, and the most bits of a filter (32 MB).
+FEW_KEYS, BITS_A_KEY, MOST_BITS = 100_000, 16, 1 << 28
+
+
+def among(df, keys, on: list[str], few: int = FEW_KEYS):
+    """The rows of ``df`` whose ``on`` is among ``keys``, which hold each key once and are read twice.
+
+    Where the keys are too many to broadcast, a semi-join shuffles all of ``df``. A bitmap
+    of hashed keys is broadcast instead and drops most other rows before the exact join:
+    one in sixteen passes it, more only beyond ``MOST_BITS``.
+    """
+    n = keys.count()
+    if n <= few:
+        return df.join(keys.select(*on), on, "left_semi")
+    bits = min(MOST_BITS, max(1 << 15, 1 << (n * BITS_A_KEY - 1).bit_length()))
+    at = F.pmod(F.xxhash64(*on), F.lit(bits))
+    page, place = F.shiftright(at, 15).alias("_page"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("_place")
+    pages = keys.select(page, place).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.expr("substring(_bits, CAST(_place DIV 8 AS INT) + 1, 1)")
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_place") % 8) == 1
+    likely = df.withColumns({"_page": page, "_place": place}).join(
+        F.broadcast(pages), "_page").filter(held).drop("_page", "_place", "_bits")
+    # Not a semi-join, which Spark would move below the filter.
+    return likely.join(keys.select(*on), on)
+
+
 def spread_if_small(df, *keys: str, below: int = 1 << 30):
     """:func:`spread` for inputs of few row groups; larger scans split themselves."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlens.session import spread_if_small
+from threadlens.session import parts_of, spread_if_small
 
 MAPPINGS = {
     # messages of chat conversations
@@ -181,13 +181,19 @@ _INPUTS = {
 _SPREAD = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_partkey"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A driver table; where what follows deals its rows anyway, ``spread`` is off."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | int = True) -> DataFrame:
+    """A driver table.
+
+    ``spread`` is off where what follows deals its rows anyway, and a number where they
+    are to lie in partitions of about so many stored bytes, however large the table.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_if_small(df, _SPREAD[name]) if spread and name in _SPREAD else df
+    if not spread or name not in _SPREAD:
+        return df
+    return spread_if_small(df, _SPREAD[name]) if spread is True else df.repartition(parts_of(df, spread), _SPREAD[name])
 
 
-def mapped(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def mapped(spark: SparkSession, sf_dir: str, name: str, spread: bool | int = True) -> DataFrame:
     """A driver table seen through one of the mappings above."""
     source = _INPUTS[name]
     text = MAPPINGS[name].replace("//", "DIV") if name == "saved_queries" else MAPPINGS[name]
@@ -199,9 +205,9 @@ def mapping_sql(name: str) -> str:
     return MAPPINGS[name].replace("{" + _INPUTS[name] + "}", _INPUTS[name]).strip()
 
 
-def messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, name: str, spread: bool | int = True) -> DataFrame:
     """``chat_messages`` or ``line_messages`` in the message shape."""
-    raw = mapped(spark, sf_dir, name)
+    raw = mapped(spark, sf_dir, name, spread)
     return raw.withColumn("to_addrs", F.array("to_1", "to_2")).drop("to_1", "to_2")
 
 

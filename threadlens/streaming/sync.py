@@ -39,7 +39,7 @@ from threadlens.operators import index as ix
 from threadlens.operators import mutate, threads as th
 from threadlens.operators.tagging import last_rows
 from threadlens.schemas import ATTACHMENTS, CHANGES, KEY, PARTICIPANTS, THREAD_MESSAGES, THREADS
-from threadlens.session import materialise
+from threadlens.session import among, materialise
 from threadlens.sources.changes import read_changes
 from threadlens.streaming import runs
 
@@ -79,9 +79,12 @@ class Mailbox:
 
 
 def store_mailbox(messages: DataFrame, path: str) -> None:
-    """Messages in bucket folders, so that a sync scans those of its threads."""
-    messages.withColumn("bucket", bucket()).hint("rebalance", "bucket").write.partitionBy(
-        "bucket").mode("append").parquet(path)
+    """Messages in bucket folders, so that a sync scans those of its threads.
+
+    They are not shuffled for it: each task sorts its rows by bucket and writes a file a
+    bucket, so messages should come in partitions that fit into memory.
+    """
+    messages.withColumn("bucket", bucket()).write.partitionBy("bucket").mode("append").parquet(path)
 
 
 def _together(spark: SparkSession, *jobs: Callable):
@@ -262,7 +265,7 @@ def apply_batch(
     source = mailbox.messages(spark)
     if "bucket" in source.columns:
         source = source.filter(F.col("bucket").isin(buckets)).drop("bucket")
-    held = th.drop_containers(source, list(mailbox.excluded)).join(touched.select(*KEY), KEY, "left_semi")
+    held = among(th.drop_containers(source, list(mailbox.excluded)), touched, KEY)
     mail, known = _together(
         spark, lambda: materialise(held, "mail"),
         lambda: materialise(_rows(spark, root, batch, touched, buckets), "known"))
