@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from threadlens.functions.values import expired
 from threadlens.operators.tagging import join_replies, remainder
 from threadlens.schemas import KEY
-from threadlens.session import materialise
+from threadlens.session import materialise, spread
 
 BATCH = ["user_id", "batch_id"]
 TABLES = {
@@ -43,9 +43,13 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def _write(df: DataFrame, root: str, table: str) -> None:
-    """Replace the folders of the batches in ``df``."""
+    """Replace the folders of the batches in ``df``.
+
+    Rows are dealt by batch, so that a batch is one file and not one of each task. Their
+    bytes are few and their folders many, so tasks are not merged by size.
+    """
     names = [f.name for f in T.StructType.fromDDL(TABLES[table]).fields]
-    df.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    spread(df.select(*names), "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "batch_id").parquet(f"{root}/{table}")
 
 
