@@ -94,6 +94,18 @@ def test_a_mistyped_field_costs_that_field_alone(spark):
     assert (got.message_id, got.body, got.container_id) == ("m", "kept", "")
 
 
+def test_payloads_are_parsed_and_bodies_decoded_once(spark):
+    df = raw(spark, part("multipart/mixed", parts=[part("text/plain", enc("p")), part("text/html", "")]))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().lower()
+    trees = df.select(pr.tree(F.col("payload")).alias("part")).filter("part IS NOT NULL")
+    assert plan(df.filter(pr.tree(F.col("payload")).isNull())).count("parsejson") == 1
+    assert plan(trees).count("parsejson") == 2  # the filter and the value
+    bodies = pr.mime_body(mime(spark, part("multipart/mixed", parts=[part("text/plain", enc("p")), part("text/html", "")])))
+    assert plan(bodies).count("tobinary") + plan(bodies).count("unbase64") == 1 and plan(bodies).count("min_by(") == 1
+    assert rows(bodies, "body") == [("p",)]
+    assert rows(pr.mime_body(mime(spark, part("text/html", ""))), "body") == []
+
+
 def test_odd_bytes_become_replacement_characters(spark):
     latin = base64.urlsafe_b64encode("caf\u00e9".encode("latin-1")).decode()
     assert rows(pr.mime_body(mime(spark, part("text/plain", latin))), "body") == [("caf\ufffd",)]

@@ -57,6 +57,14 @@ def normalise_graph(spark, sf):
     ).drop("to_addrs")
 
 
+def _url64(col):
+    """Unpadded base64url of a text, on one line."""
+    out = F.base64(F.encode(col, "UTF-8"))
+    for was, now in [("\r\n", ""), ("+", "-"), ("/", "_")]:
+        out = F.replace(out, F.lit(was), F.lit(now))
+    return F.rtrim(out, F.lit("="))
+
+
 @query("normalise_gmail", """
     SELECT user_id, message_id, thread_id, subject, from_addr,
            CASE WHEN to_2 = '' THEN to_1 ELSE to_1 || ',' || to_2 END AS to_list,
@@ -72,15 +80,14 @@ def normalise_graph(spark, sf):
 """)
 def normalise_gmail(spark, sf):
     m = adapters.mapped(spark, sf, "chat_messages")
-    url64 = lambda c: F.rtrim(F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
     part = lambda mime, name, data, aid: F.concat(
         F.lit(f'{{"mimeType":"{mime}","filename":"{name}","body":{{"size":9'),
         F.coalesce(F.concat(F.lit(',"data":"'), data, F.lit('"')), F.lit("")),
         F.coalesce(F.concat(F.lit(',"attachmentId":"'), aid, F.lit('"')), F.lit("")), F.lit("}}"),
     )
     none = F.lit(None).cast("string")
-    plain = part("text/plain", "", url64(F.lit("plain only")), none)
-    html = part("Text/HTML", "", url64(F.col("body")), none)
+    plain = part("text/plain", "", _url64(F.lit("plain only")), none)
+    html = part("Text/HTML", "", _url64(F.col("body")), none)
     file = part("application/pdf", "scan.pdf", none, F.when(F.col("has_attachments"), "att-1"))
     pair = lambda name, value: F.concat(F.lit(f'{{"name":"{name}","value":"'), value, F.lit('"}'))
     to = F.when(F.col("to_2") == "", F.concat(F.lit("Team <"), "to_1", F.lit(">"))).otherwise(
@@ -112,21 +119,20 @@ def normalise_gmail(spark, sf):
 def _part_tree(spark, sf):
     """Documents as part trees: text parts, a nested pair, a file."""
     d = adapters.table(spark, sf, "documents")
-    url64 = lambda c: F.rtrim(F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
     leaf = lambda mime, name, data: F.concat(
         F.lit(f'{{"mimeType":"{mime}","filename":"{name}","body":{{"data":"'), data,
         F.lit('","attachmentId":"'), F.lit("a1" if name else ""), F.lit('","size":'),
         F.col("n_chars").cast("string"), F.lit("}}"),
     )
     html = F.when(F.col("doc_id") % 3 != 0, F.concat(
-        F.lit(","), leaf("TEXT/html", "", url64(F.concat(F.lit("<p>"), "text", F.lit("</p>"))))
+        F.lit(","), leaf("TEXT/html", "", _url64(F.concat(F.lit("<p>"), "text", F.lit("</p>"))))
     )).otherwise("")
     payload = F.concat(
         F.lit('{"mimeType":"multipart/mixed","headers":[{"name":"sUBJECT","value":"Document '),
         F.col("doc_id").cast("string"),
         F.lit('"}],"parts":[{"mimeType":"multipart/alternative","parts":['),
-        leaf("text/plain", "", url64(F.col("text"))), html, F.lit("]},"),
-        leaf("text/csv", "", url64(F.lit("first,second"))), F.lit(","),
+        leaf("text/plain", "", _url64(F.col("text"))), html, F.lit("]},"),
+        leaf("text/csv", "", _url64(F.lit("first,second"))), F.lit(","),
         leaf("application/pdf", "scan.pdf", F.lit("")), F.lit("]}"),
     )
     return d.select(F.lit("u").alias("user_id"), F.col("doc_id").cast("string").alias("message_id"),
@@ -193,11 +199,12 @@ def quarantine_mail(spark, sf):
         "payload", _broken(F.col("payload")))
     parts = providers.mime_parts(raw)
     aside = providers.quarantine_parts(raw, parts)
-    bodies = providers.mime_body(parts)
+    # Lengths are joined, not texts.
+    bodies = providers.mime_body(parts).select("user_id", "message_id", F.length("body").alias("chars"))
     return raw.select("user_id", "message_id").join(aside, ["user_id", "message_id"], "left").join(
         bodies, ["user_id", "message_id"], "left").groupBy(F.coalesce("error", F.lit("")).alias("error")).agg(
-        F.count("*").alias("messages"), F.count("body").alias("bodies"),
-        F.coalesce(F.sum(F.length("body")), F.lit(0)).cast("long").alias("chars"))
+        F.count("*").alias("messages"), F.count("chars").alias("bodies"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("chars"))
 
 
 @query("quarantine_changes", """

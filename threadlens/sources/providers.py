@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadlens.session import materialise
+from threadlens.session import materialise, rows_of
 
 # Fixed values -----------------------------------------------------------
 EXCLUDED_LABELS = ["SPAM", "TRASH", "DRAFT"]
@@ -80,8 +80,9 @@ def normalise_attachments(raw: DataFrame) -> DataFrame:
 
 def decode_b64(col: Column) -> Column:
     """Bytes of base64 or unpadded base64url text; null when undecodable or empty."""
-    plain = F.translate(col, "-_", "+/")
-    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+    # Bytes are replaced, since translate makes a string of every character.
+    plain = F.replace(F.replace(col, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    padded = F.rpad(plain, (F.ceil(F.length(col) / 4) * 4).cast("int"), F.lit("="))
     return F.when(F.length(col) > 0, F.try_to_binary(padded, F.lit("base64")))
 
 
@@ -126,11 +127,13 @@ def _get(value: Column, path: str, kind: str) -> Column:
 
 def _lost(part: Column) -> Column:
     """Names of the fields that a part has but that cannot be read as what they are."""
-    whole = F.when(~F.is_variant_null(part) & _get(part, "", "map<string, variant>").isNull(), F.lit("part"))
+    # Tests that hold for good parts come first: the others copy all that lies below.
+    whole = F.when(_get(part, "mimeType", "string").isNull() & ~F.is_variant_null(part)
+                   & _get(part, "", "map<string, variant>").isNull(), F.lit("part"))
     fields = []
     for name, kind in PART_FIELDS.items():
         given = _get(part, name, "variant")
-        fields.append(F.when(given.isNotNull() & ~F.is_variant_null(given) & _get(part, name, kind).isNull(), F.lit(name)))
+        fields.append(F.when(_get(part, name, kind).isNull() & given.isNotNull() & ~F.is_variant_null(given), F.lit(name)))
     return F.array_compact(F.array(whole, *fields))
 
 
@@ -156,13 +159,14 @@ def _flattened(part: Column, visit: Column, depth: int) -> Column:
     below = F.transform(
         more, lambda p, i: _flattened(p, F.concat(visit, F.array(-i)), depth - 1)
     )
-    return F.concat(here, F.coalesce(F.flatten(below), F.slice(here, 1, 0)))
+    return F.flatten(F.concat(F.array(here), F.coalesce(below, F.array())))
 
 
 def tree(payload: Column) -> Column:
     """A payload as VARIANT; null for text that is no JSON object."""
-    parsed = F.try_parse_json(payload)
-    return F.when(_get(parsed, "", "map<string, variant>").isNotNull(), parsed)
+    # A list of one is filtered: when() would parse for its test and once more for its value.
+    objects = F.filter(F.array(F.try_parse_json(payload)), lambda v: _get(v, "", "map<string, variant>").isNotNull())
+    return F.get(objects, F.lit(0))
 
 
 def mime_parts(raw: DataFrame, depth: int = MIME_DEPTH) -> DataFrame:
@@ -183,9 +187,11 @@ def mime_parts(raw: DataFrame, depth: int = MIME_DEPTH) -> DataFrame:
     )
     out = None
     while True:
-        flat = materialise(todo.filter(F.col("part").isNotNull()).select(
-            "user_id", "message_id",
-            F.explode(_flattened(F.col("part"), F.col("visit"), depth)).alias("p"),
+        # No filter on ``part``: Spark would move it below the parsing, which it then repeats.
+        lists = F.when(F.col("part").isNotNull(), _flattened(F.col("part"), F.col("visit"), depth))
+        flat = materialise(rows_of(
+            todo.select("user_id", "message_id", lists.alias("lists")),
+            "user_id", "message_id", name="p", lists="lists",
         ).select("user_id", "message_id", "p.*"), "parts")
         out = flat.drop("deeper") if out is None else out.unionByName(flat.drop("deeper"))
         below = flat.filter(F.size("deeper") > 0)
@@ -218,14 +224,14 @@ def mime_body(parts: DataFrame) -> DataFrame:
     mime = F.lower(_or_empty(F.col("mimeType")))
     bodies = (
         parts.filter(_or_empty(F.col("filename")) == "")
+        .filter(F.startswith(mime, F.lit("text/")))
         .select("user_id", "message_id", "visit", mime.alias("mime"), text.alias("text"))
-        .filter((_or_empty(F.col("text")) != "") & F.startswith("mime", F.lit("text/")))
     )
-    html = F.col("mime") == "text/html"
-    first = lambda keep: F.min_by("text", F.when(keep, F.col("visit")))
+    # One text a message is kept; empty ones are left out here, where they are decoded already.
+    rank = F.struct((F.col("mime") != "text/html").alias("other"), "visit")
     return bodies.groupBy("user_id", "message_id").agg(
-        first(html).alias("html"), first(~html).alias("plain")
-    ).select("user_id", "message_id", F.coalesce("html", "plain").alias("body"))
+        F.min_by("text", F.when(F.col("text") != "", rank)).alias("body")
+    ).filter(F.col("body").isNotNull())
 
 
 def mime_attachments(parts: DataFrame) -> DataFrame:
