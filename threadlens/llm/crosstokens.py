@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only, slices, stored, table
-from .tokens import Encoder
+from .tokens import Encoder, byte_level
 
 #: Bytes of text in a block, one text at least.
 BLOCK = 4 << 20
@@ -126,17 +126,6 @@ def aligner(vocabulary: str, model: str) -> "Aligner":
     return _aligners[vocabulary, model]
 
 
-def byte_level() -> dict[str, int]:
-    """The bytes that the characters of a byte-level vocabulary stand for.
-
-    Printable Latin-1 characters stand for themselves; the other bytes, in order, are
-    written as the characters from U+0100 on.
-    """
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 class Aligner:
     """Aligns a byte-level tokenizers file (A) with a sentencepiece model (B) that puts a space before a text."""
 
