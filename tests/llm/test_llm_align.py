@@ -98,6 +98,27 @@ def test_shared_ends():
     assert a.tolist() == [2, 3, 4] and b.tolist() == [2, 4, 5]
 
 
+def test_texts_are_aligned_together(monkeypatch):
+    texts = [*RANDOM[:200], None, "a▁b", BASE, "a▁b", "", "x" * 300, "▁"]
+    own, called, once = crosstokens.Aligner(A, B), [], crosstokens.shared_ends
+    monkeypatch.setattr(crosstokens, "shared_ends", lambda *ends: called.append(1) or once(*ends))
+    have = [(*x[:4], x.pairs.tolist(), x.times.tolist(), x.text()) for x in own.align(texts)]
+    assert len(called) == 1
+    for run, links, wide in ((1, 1, 1 << 16), (700, 1 << 21, 2), (1 << 18, 50, 1 << 16)):
+        for name, value in (("RUN", run), ("LINKS", links), ("WIDE", wide)):
+            monkeypatch.setattr(crosstokens, name, value)
+        assert [(*x[:4], x.pairs.tolist(), x.times.tolist(), x.text()) for x in own.align(texts)] == have
+    for x, (a, b, groups, links) in zip(have, plain(texts), strict=True):
+        assert x[:4] == (len(a), len(b), len(groups), len(links)) and x[6] == texts_of(groups)
+    assert [x[0] > 0 for x in have[-7:]] == [False, False, True, False, False, True, False]
+
+
+def test_runs_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(crosstokens, "RUN", 5)
+    assert list(crosstokens.runs(["abc", "de", "f", "ghijklm", "n"])) == [["abc", "de"], ["f"], ["ghijklm"], ["n"]]
+    assert list(crosstokens.runs([])) == []
+
+
 def test_query_columns(spark, monkeypatch):
     monkeypatch.setattr(crosstokens, "BLOCK", 700)
     rows = DOCS + list(enumerate(RANDOM[:60], 100)) + [(300, "▁"), (301, "copy"), (301, "copy")]

@@ -1,8 +1,9 @@
 """Alignment of two tokenizers' ids over the same bytes.
 
 Both id lists of a text are laid over its bytes. The byte offsets at which a token
-of either list ends are the intersection of two dictionaries (end to index); in
-order they slice both lists into groups, and all tokens of a group are linked.
+of either list ends are the intersection of two bitmaps of ends; in order they slice
+both lists into groups, and all tokens of a group are linked. Many texts are laid out
+one behind the other and aligned together, since each of them ends with a shared end.
 Counts of linked id pairs say in how many documents of the corpus two ids meet.
 
 Counting is done over blocks of some megabytes of text. Texts are aligned once: a
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,87 +39,130 @@ from .tokens import Encoder, byte_level
 BLOCK = 4 << 20
 #: Groups of more links than this are linked by their distinct ids.
 WIDE = 1 << 16
+#: Characters of text that are aligned together, one text at least, and links that are expanded together.
+RUN, LINKS = 1 << 18, 1 << 21
 
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
-def shared_ends(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of each list lie before every offset where a token of both ends, in order.
 
     Ends are offsets behind a token, rising; the last one of both lists is equal.
     """
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return (np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)),
-            np.fromiter(map(at_b.__getitem__, common), np.int64, len(common)))
+    if len(ends_a) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of_a, of_b = np.zeros((2, ends_a[-1] + 1), bool)
+    of_a[ends_a] = of_b[ends_b] = True
+    return np.flatnonzero(of_b[ends_a]) + 1, np.flatnonzero(of_a[ends_b]) + 1
 
 
-class Aligned:
+def within(values: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """The sums of ``values`` from each of the rising places ``until`` back to the one before."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[until], prepend=0)
+
+
+class Aligned(NamedTuple):
     """A text's ids in groups, and its distinct linked pairs (a << 16 | b) with how many links each has."""
 
-    __slots__ = ("ids_a", "ids_b", "stops_a", "stops_b", "n_a", "n_b", "n_groups", "n_links", "pairs", "times")
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    pairs: np.ndarray
+    times: np.ndarray
+    written: bytes
+
+    def text(self) -> str:
+        """The ids as ``a1,a2|b1;a3|b2,b3``: decimal, both sides of a group, groups in order."""
+        return self.written.decode("ascii")
+
+
+class Run:
+    """Texts aligned together: their ids and the ends of these lie behind one another.
 
-    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: list[int], ends_b: list[int]):
-        self.ids_a, self.ids_b = ids_a, ids_b
+    Both lists cover the bytes of each text, so that its end is a shared one and no
+    group reaches beyond it. ``n_a`` and ``n_b`` are the numbers of ids of each text.
+    """
+
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray,
+                 n_a: np.ndarray, n_b: np.ndarray):
+        self.ids_a, self.ids_b, self.n_a, self.n_b = ids_a, ids_b, n_a, n_b
         self.stops_a, self.stops_b = shared_ends(ends_a, ends_b)
-        self.n_a, self.n_b, self.n_groups = len(ids_a), len(ids_b), len(self.stops_a)
-        of_a, of_b = np.diff(self.stops_a, prepend=0), np.diff(self.stops_b, prepend=0)
-        links = of_a * of_b
-        self.n_links = int(links.sum())
-        self.pairs, self.times = self._expanded(of_a, of_b, links)
-
-    def _expanded(self, of_a: np.ndarray, of_b: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start_a, start_b = self.stops_a - of_a, self.stops_b - of_b
+        self.of_a, self.of_b = np.diff(self.stops_a, prepend=0), np.diff(self.stops_b, prepend=0)
+        self.links = self.of_a * self.of_b
+        self.until = np.searchsorted(self.stops_a, np.cumsum(n_a), "right")  # groups before each text's end
+        self.n_groups, self.n_links = np.diff(self.until, prepend=0), within(self.links, self.until)
+
+    def __iter__(self) -> Iterator[Aligned]:
+        written = self._written()
+        # Texts are expanded together as long as few links lie before the last one.
+        firsts = np.flatnonzero(np.diff((np.cumsum(self.n_links) - self.n_links) // LINKS, prepend=-1)).tolist()
+        for first, end in zip(firsts, [*firsts[1:], len(self.n_a)]):
+            keys, times = self._expanded(first, end)
+            bounds = np.searchsorted(keys, np.arange(end - first + 1) << 32)
+            pairs = keys & 0xFFFFFFFF
+            for k in range(first, end):
+                own = slice(bounds[k - first], bounds[k - first + 1])
+                yield Aligned(int(self.n_a[k]), int(self.n_b[k]), int(self.n_groups[k]), int(self.n_links[k]),
+                              pairs[own], times[own], written[k])
+
+    def _expanded(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text (counted from ``first``) << 32 | pair, sorted and distinct, with its links."""
+        groups = slice(self.until[first] - self.n_groups[first], self.until[end - 1])
+        of_a, of_b, links = self.of_a[groups], self.of_b[groups], self.links[groups]
+        start_a, start_b = self.stops_a[groups] - of_a, self.stops_b[groups] - of_b
+        text = np.repeat(np.arange(end - first) << 32, self.n_groups[first:end])
         single, wide = links == 1, links > WIDE
         rest = np.flatnonzero(~single & ~wide)
         of = np.repeat(rest, links[rest])
-        before = np.cumsum(links[rest]) - links[rest]
-        nth = np.arange(len(of)) - np.repeat(before, links[rest])
-        a = np.concatenate([self.ids_a[start_a[single]], self.ids_a[start_a[of] + nth // of_b[of]]])
-        b = np.concatenate([self.ids_b[start_b[single]], self.ids_b[start_b[of] + nth % of_b[of]]])
-        pairs, times = np.unique(a.astype(np.int64) << 16 | b, return_counts=True)
+        nth_a, nth_b = np.divmod(np.arange(len(of)) - np.repeat(np.cumsum(links[rest]) - links[rest], links[rest]), of_b[of])
+        keys, times = np.unique(np.concatenate([
+            text[single] | self.ids_a[start_a[single]] << 16 | self.ids_b[start_b[single]],
+            text[of] | self.ids_a[start_a[of] + nth_a] << 16 | self.ids_b[start_b[of] + nth_b]]), return_counts=True)
         if not wide.any():
-            return pairs, times
-        found = [(pairs, times)]
+            return keys, times
+        found = [(keys, times)]
         for k in np.flatnonzero(wide):
-            a, m = np.unique(self.ids_a[start_a[k]:self.stops_a[k]], return_counts=True)
-            b, n = np.unique(self.ids_b[start_b[k]:self.stops_b[k]], return_counts=True)
-            found.append(((a.astype(np.int64)[:, None] << 16 | b).ravel(), (m[:, None] * n).ravel()))
-        pairs, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-        out = np.zeros(len(pairs), np.int64)
+            a, m = np.unique(self.ids_a[start_a[k]:start_a[k] + of_a[k]], return_counts=True)
+            b, n = np.unique(self.ids_b[start_b[k]:start_b[k] + of_b[k]], return_counts=True)
+            found.append((text[k] | (a[:, None] << 16 | b).ravel(), (m[:, None] * n).ravel()))
+        keys, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        out = np.zeros(len(keys), np.int64)
         np.add.at(out, at, np.concatenate([x[1] for x in found]))
-        return pairs, out
+        return keys, out
 
-    def text(self) -> str:
-        """The ids as ``a1,a2|b1;a3|b2,b3``: decimal, both sides of a group, groups in order."""
-        if self.n_a == 0:
-            return ""
-        comma, bar, semicolon = _decimals()
-        last_a, last_b = np.zeros(self.n_a, bool), np.zeros(self.n_b, bool)
-        last_a[self.stops_a - 1] = last_b[self.stops_b - 1] = True
+    def _written(self) -> list[bytes]:
+        decimals, width = _decimals()
+        last_a, last_b = np.zeros(len(self.ids_a), np.int64), np.zeros(len(self.ids_b), np.int64)
+        last_a[self.stops_a - 1], last_b[self.stops_b - 1] = 1 << 16, 2 << 16
+        out = np.empty(len(last_a) + len(last_b), "<u8")
         # A group's ids of A come before its ids of B, and behind all of B's before it.
-        group_a = np.cumsum(last_a) - last_a
-        group_b = np.cumsum(last_b) - last_b
-        out = np.empty(self.n_a + self.n_b, object)
-        out[np.arange(self.n_a) + np.concatenate([[0], self.stops_b])[group_a]] = np.where(
-            last_a, bar[self.ids_a], comma[self.ids_a])
-        out[np.arange(self.n_b) + self.stops_a[group_b]] = np.where(
-            last_b, semicolon[self.ids_b], comma[self.ids_b])
-        return "".join(out.tolist())[:-1]
+        out[np.arange(len(last_a)) + np.repeat(self.stops_b - self.of_b, self.of_a)] = decimals[last_a | self.ids_a]
+        out[np.arange(len(last_b)) + np.repeat(self.stops_a, self.of_b)] = decimals[last_b | self.ids_b]
+        characters = out.view(np.uint8)
+        whole = characters[characters != 0].tobytes()
+        sizes = (within(width[self.ids_a], np.cumsum(self.n_a)) + within(width[self.ids_b], np.cumsum(self.n_b))).tolist()
+        # The semicolon behind a text's last group is left out.
+        return [whole[end - n:max(end - 1, end - n)] for end, n in zip(accumulate(sizes), sizes)]
+
 
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
-_written: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    """All 16-bit ids as decimals with a comma, then with a bar, then with a semicolon behind, in eight bytes
 
-def _decimals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All 16-bit ids as decimals with a comma, a bar and a semicolon behind."""
-    if not _written:
-        _written.append(tuple(np.array([f"{i}{end}" for i in range(1 << 16)], object) for end in ",|;"))
-    return _written[0]
+    filled up with zeros; and how many bytes an id takes with what is behind it.
+    """
+    if not _tables:
+        ids = [str(i).encode() for i in range(1 << 16)]
+        _tables.append((np.array([i + end for end in (b",", b"|", b";") for i in ids], "S8").view("<u8"),
+                        np.array([len(i) + 1 for i in ids])))
+    return _tables[0]
 
 
-NOTHING = Aligned(np.zeros(0, np.int64), np.zeros(0, np.int64), [], [])
+NOTHING = Aligned(0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), b"")
 
 
 def aligner(vocabulary: str, model: str) -> "Aligner":
@@ -144,28 +190,54 @@ class Aligner:
         self._length_a = np.zeros(max(tokens.values()) + 2, np.int64)
         for token, i in tokens.items():
             self._length_a[i] = len(token)
-        self._bytes_b = [
+        bytes_b = [
             bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(self._b.id_to_piece(k) for k in range(pieces))]
-        self._length_b = np.array([len(x) for x in self._bytes_b], np.int64)
+        self._length_b = np.array([len(x) for x in bytes_b], np.int64)
+        self._start_b = np.cumsum(self._length_b) - self._length_b
+        self._bytes_b = np.frombuffer(b"".join(bytes_b), np.uint8)
 
     def align(self, texts: list[str | None]) -> Iterator[Aligned]:
         """The alignment of each text; without tokens it is empty."""
-        spaced = [f" {t}" for t in texts if t]
-        of_a = iter(zip(spaced, self._a.encode(spaced), self._b.encode([t[1:] for t in spaced], num_threads=1)))
+        found = chain.from_iterable(map(self._together, runs([t for t in texts if t])))
         for text in texts:
-            if not text:
-                yield NOTHING
-                continue
-            whole, packed, listed = next(of_a)
-            ids_a, ids_b, whole = np.frombuffer(packed, "<u4"), np.array(listed, np.int64), whole.encode()
-            ends_a, ends_b = np.cumsum(self._length_a[ids_a]), np.cumsum(self._length_b[ids_b])
-            # A writes every byte as a character of its own, so it loses none; its length tells as much as its bytes.
-            if ends_a[-1] != len(whole) or ends_b[-1] != len(whole) or b"".join(
-                    map(self._bytes_b.__getitem__, listed)) != whole:
-                yield NOTHING
-                continue
-            yield Aligned(ids_a, ids_b, ends_a.tolist(), ends_b.tolist())
+            yield next(found) if text else NOTHING
+
+    def _spelled(self, ids_b: np.ndarray) -> np.ndarray:
+        """The bytes of B's ids, one behind the other."""
+        length = self._length_b[ids_b]
+        back = self._start_b[ids_b] - (np.cumsum(length) - length)
+        return self._bytes_b[np.arange(length.sum()) + np.repeat(back, length)]
+
+    def _together(self, texts: list[str]) -> Run:
+        spaced = [f" {t}" for t in texts]
+        packed, listed = self._a.encode(spaced), self._b.encode(texts, num_threads=1)
+        wholes = [t.encode() for t in spaced]
+        n_a, n_b, sizes = (np.array([len(x) for x in of], np.int64) for of in (packed, listed, wholes))
+        n_a //= 4
+        ids_a = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        ids_b = np.fromiter(chain.from_iterable(listed), np.int64, n_b.sum())
+        # A writes every byte as a character of its own, so it loses none; its length tells as much as its bytes.
+        right = ((within(self._length_a[ids_a], np.cumsum(n_a)) == sizes)
+                 & (within(self._length_b[ids_b], np.cumsum(n_b)) == sizes))
+        given = np.frombuffer(b"".join(compress(wholes, right)), np.uint8)
+        differs = np.flatnonzero(self._spelled(ids_b[np.repeat(right, n_b)]) != given)
+        right[np.flatnonzero(right)[np.searchsorted(np.cumsum(sizes[right]), differs, "right")]] = False
+        ids_a, ids_b = ids_a[np.repeat(right, n_a)], ids_b[np.repeat(right, n_b)]
+        return Run(ids_a, ids_b, np.cumsum(self._length_a[ids_a]), np.cumsum(self._length_b[ids_b]), n_a * right, n_b * right)
+
+
+def runs(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most ``RUN`` characters, one text at least."""
+    out, n = [], 0
+    for text in texts:
+        if out and n + len(text) > RUN:
+            yield out
+            out, n = [], 0
+        out.append(text)
+        n += len(text)
+    if out:
+        yield out
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
