@@ -81,7 +81,9 @@ def fold_subject(col: Column) -> Column:
 
 def ascii_lower(col: Column) -> Column:
     """Fold A-Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # translate makes a string of every character; ASCII texts have no other letters to keep.
+    return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(
+        F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def date_label(first: Column, last: Column) -> Column:

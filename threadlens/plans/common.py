@@ -142,7 +142,7 @@ def doc_substrings(spark: SparkSession, sf: str) -> substrings.Index:
     if key not in _SUBSTRINGS:
         path = scratch(spark, "substrings")
         parts = parts_of(adapters.table(spark, sf, "documents"))
-        substrings.build(*adapters.doc_threads(spark, sf), path, parts)
+        substrings.build(*adapters.doc_threads(spark, sf, spread=False), path, parts)
         _SUBSTRINGS[key] = path
     return substrings.read(spark, _SUBSTRINGS[key])
 
