@@ -29,9 +29,19 @@ def _head(threads: DataFrame) -> DataFrame:
 
 def terms(threads: DataFrame, participants: DataFrame, parts: int | None = None) -> DataFrame:
     """Distinct tokens of each thread, dealt by thread over ``parts`` partitions and ordered by token."""
+    return ordered_once(_token_rows(threads, participants, parts), "token")
+
+
+def unordered_terms(threads: DataFrame, participants: DataFrame) -> DataFrame:
+    """The rows of :func:`terms` for places that put them in an order of their own."""
+    return _token_rows(threads, participants, None).distinct()
+
+
+def _token_rows(threads: DataFrame, participants: DataFrame, parts: int | None) -> DataFrame:
+    """The tokens of each text, dealt by thread."""
     texts = _head(threads).unionByName(participants.select(*KEY, F.col("address").alias("text")))
     cut = by_key(texts, KEY, parts).select(*KEY, F.array_distinct(tokens(F.col("text"))).alias("tokens"))
-    return ordered_once(rows_of(cut, *KEY, name="token", lists="tokens"), "token")
+    return rows_of(cut, *KEY, name="token", lists="tokens")
 
 
 def ordered_once(postings: DataFrame, name: str) -> DataFrame:
@@ -43,17 +53,32 @@ def ordered_once(postings: DataFrame, name: str) -> DataFrame:
     return postings.withColumn("nth", F.row_number().over(equal)).filter("nth = 1").drop("nth")
 
 
+#: Addresses of a thread that one task may put in order.
+MANY = 100_000
+
+
 def _address_offsets(participants: DataFrame) -> DataFrame:
     """Tokens of the addresses sorted before each address of the same thread.
 
-    The sum is taken in two levels: within ``(thread, first letters)`` and
-    over the few letter groups of a thread, so the addresses of a very large
-    thread are never sorted by one task.
+    The few threads with very many addresses are summed up in two levels, so these are
+    never sorted by one task.
     """
-    people = participants.select(
-        *KEY, "address", F.substring("address", 1, 3).alias("lead"),
-        tokens(F.col("address")).alias("tokens"),
-    ).withColumn("n", F.size("tokens").cast("bigint"))
+    people = participants.filter(" AND ".join(f"{c} IS NOT NULL" for c in (*KEY, "address"))).select(*KEY, "address")
+    large = F.broadcast(people.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select(*KEY))
+    before = Window.partitionBy(*KEY).orderBy("address").rowsBetween(Window.unboundedPreceding, -1)
+    usual = _counted(people.join(large, KEY, "left_anti")).withColumn(
+        "offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return usual.select(*KEY, "tokens", "offset").unionByName(
+        _two_levels(_counted(people.join(large, KEY, "left_semi"))))
+
+
+def _counted(people: DataFrame) -> DataFrame:
+    return people.withColumn("tokens", tokens(F.col("address"))).withColumn("n", F.size("tokens").cast("bigint"))
+
+
+def _two_levels(people: DataFrame) -> DataFrame:
+    """The offsets within ``(thread, first letters)`` and over the few letter groups of a thread."""
+    people = people.withColumn("lead", F.substring("address", 1, 3))
     in_lead = (
         Window.partitionBy(*KEY, "lead").orderBy("address")
         .rowsBetween(Window.unboundedPreceding, -1)

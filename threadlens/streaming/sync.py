@@ -39,7 +39,7 @@ from threadlens.operators import index as ix
 from threadlens.operators import mutate, threads as th
 from threadlens.operators.tagging import last_rows
 from threadlens.schemas import ATTACHMENTS, CHANGES, KEY, PARTICIPANTS, THREAD_MESSAGES, THREADS
-from threadlens.session import among, materialise
+from threadlens.session import FEW_KEYS, among, materialise
 from threadlens.sources.changes import read_changes
 from threadlens.streaming import runs
 
@@ -142,6 +142,21 @@ def _tagged(spark: SparkSession, root: str, rows: DataFrame, buckets: list[int]
     }).drop("tags", "truncated", "as_of")
 
 
+def _of_few(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """The rows of some threads where these are few; others are left to the join that follows."""
+    if keys is None or keys.count() > FEW_KEYS:
+        return rows
+    return rows.join(keys.select(*KEY), KEY, "left_semi")
+
+
+def _numbered(rows: DataFrame, newest: DataFrame, number: str) -> DataFrame:
+    """The rows whose ``number`` is that of their thread in ``newest``, which holds each thread once."""
+    newest = newest.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col(number).alias("_number"))
+    same = [F.col(c) == F.col(f"_{c}") for c in KEY]
+    # A difference is no join key, so both sides are dealt by thread, as grouped numbers already are.
+    return rows.join(newest, [*same, F.col(number) - F.col("_number") == 0], "left_semi").drop(number)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The threads table: newest row per key with its tags, deleted keys left out."""
     return _tagged(spark, root, _rows(spark, root)).drop("content_batch", "created_batch")
@@ -152,12 +167,17 @@ def current_child(
     buckets: list[int] | None = None,
 ) -> DataFrame:
     """A child table: the rows of the batch that last rebuilt each thread."""
-    rows = _log(spark, root, table, before, buckets).drop(
-        "deleted", "content_batch", "created_batch")
-    if keys is not None:
-        rows = rows.join(keys.select(*KEY), KEY, "left_semi")
-    newest = _rows(spark, root, before, keys, buckets).select(*KEY, F.col("content_batch").alias("batch"))
-    return rows.join(newest, [*KEY, "batch"], "left_semi").drop("batch")
+    return _child(spark, root, table, _rows(spark, root, before, keys, buckets), before, buckets, keys)
+
+
+def _child(
+    spark: SparkSession, root: str, table: str, threads: DataFrame, before: int | None = None,
+    buckets: list[int] | None = None, keys: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of a child table that belong to some thread rows."""
+    rows = _log(spark, root, table, before, buckets).drop("deleted", "content_batch", "created_batch")
+    rows = _of_few(rows, keys)
+    return _numbered(rows, threads.select(*KEY, F.col("content_batch").alias("batch")), "batch")
 
 
 #: Tables whose bucket is not that of the thread.
@@ -346,7 +366,8 @@ def _index(spark: SparkSession, root: str, changed: DataFrame, turn: int) -> Non
     changed = materialise(changed.select(*KEY).distinct(), "reindexed")
     buckets = _numbers(changed)
     threads = materialise(_tagged(spark, root, _rows(spark, root, None, changed, buckets), buckets), "reindexed")
-    people = current_child(spark, root, "participants", None, changed, buckets)
+    # Terms and positions read them several times.
+    people = materialise(_child(spark, root, "participants", threads, None, buckets), "reindexed")
     before = materialise(postings(spark, root, "terms", turn, changed, buckets), "unindexed")
 
     def store(name: str, build: Callable) -> list[runs.Run]:
@@ -357,7 +378,7 @@ def _index(spark: SparkSession, root: str, changed: DataFrame, turn: int) -> Non
         return [run, _store(counts, root, "term_counts", turn)]
 
     done = _together(
-        spark, lambda: store("terms", ix.terms), lambda: store("positions", ix.positions),
+        spark, lambda: store("terms", ix.unordered_terms), lambda: store("positions", ix.positions),
         lambda: [_store(changed, root, "indexed", turn)])
     runs.commit(spark, root, [run for stored in done for run in stored])
 
@@ -368,11 +389,10 @@ def postings(
 ) -> DataFrame:
     """``terms`` or ``positions`` of all threads as last indexed; ``keys`` and ``buckets`` thin the logs first."""
     turns = _log(spark, root, "indexed", before, buckets)
-    rows = _log(spark, root, name, before, buckets)
     if keys is not None:
-        turns, rows = (df.join(keys.select(*KEY), KEY, "left_semi") for df in (turns, rows))
+        turns = turns.join(keys.select(*KEY), KEY, "left_semi")
     newest = turns.groupBy(*KEY).agg(F.max("turn").alias("turn"))
-    return rows.join(newest, [*KEY, "turn"], "left_semi").drop("turn")
+    return _numbered(_of_few(_log(spark, root, name, before, buckets), keys), newest, "turn")
 
 
 def term_statistics(spark: SparkSession, root: str) -> DataFrame:
