@@ -86,3 +86,26 @@ def test_letters_are_lowered_as_before(spark):
     plain = F.translate("x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     got = df.select(ascii_lower(F.col("x")).alias("got"), plain.alias("plain")).collect()
     assert [r.got for r in got] == [r.plain for r in got]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_candidates_are_kept_if_each_word_is_in_some_text(batch):
+    # Two threads of one place, rows in any order; a word does not reach from one text into the next.
+    table = [(1, "u", "s", None, "ab cd"), (1, "u", "s", "xab", None), (1, "u", "s", "cdx", None), (1, "u", "s", None, "bc"),
+             (1, "u", "t", "bc", None), (1, "u", "t", None, "bc"), (1, "u", "t", None, "ab"), (2, "u", "v", None, "a"),
+             (3, "v", "s", None, "é 🙂"), (3, "v", "s", "🙂é", None), (3, "v", "s", None, "x é")]
+    schema = pa.schema([("place", pa.int64()), *((c, pa.string()) for c in ("user_id", "thread_id", "text", "unit"))])
+    rows_ = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in table], schema)
+    got = [tuple(r.values()) for b in runlists.holding(rows_.to_batches(batch)) for r in b.to_pylist()]
+    assert got == [("u", "s", "ab cd"), ("u", "t", "bc"), ("v", "s", "é 🙂")]
+
+
+def test_texts_and_candidates_meet_without_a_join(spark):
+    texts = spark.createDataFrame([("u", "s", "x needle"), ("u", "s", "far"), ("u", "t", "needle"), (None, "s", "far needle")],
+                                  "user_id string, thread_id string, text string")
+    asked = spark.createDataFrame([("u", "s", "far needle"), ("u", "t", "far needle"), (None, "s", "far"), ("u", None, "far")],
+                                  "user_id string, thread_id string, unit string")
+    got = substrings._checked(texts, asked, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert rows(got) == [("u", "s", "far needle")]

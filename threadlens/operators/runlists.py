@@ -1,4 +1,4 @@
-"""Posting lists of character runs, made from texts that lie in order of their thread.
+"""Posting lists of character runs, and the texts that hold words, for rows in order of their thread.
 
 The runs of many texts are cut as numbers: each character is its place in the alphabet
 of these texts, a run is up to three places, and the number of the thread stands behind
@@ -8,6 +8,7 @@ they are stored, so no row exists for a single posting.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -29,9 +30,9 @@ def lists(batches: Iterable[pa.RecordBatch], longest: int = 3) -> Iterator[pa.Re
     """(user_id, gram, n, threads) of (user_id, thread_id, text) rows, equal keys side by side."""
     keys, of, texts, size = [], [], [], 0
     for batch in batches:
-        users, threads, bodies = (batch.column(k) for k in range(3))
-        for key, raw in zip(zip(users.to_pylist(), threads.to_pylist()), bodies.cast(pa.binary()), strict=True):
-            text = raw.as_py().decode("utf-8", "replace")
+        users, threads, bodies = (batch.column(k).cast(pa.binary()).to_pylist() for k in range(3))
+        for key, raw in zip(zip(users, threads), bodies, strict=True):
+            text = raw.decode("utf-8", "replace")
             if not keys or keys[-1] != key:
                 if size >= CHARACTERS:
                     yield from _listed(keys, of, texts, longest)
@@ -94,8 +95,8 @@ def _batches(
 ) -> Iterator[pa.RecordBatch]:
     """Sorted numbers of runs and threads as rows of one list each."""
     user = np.cumsum([0, *[int(a[0] != b[0]) for a, b in pairwise(keys)]])
-    users = pa.array([keys[k][0] for k in np.flatnonzero(np.diff(user, prepend=-1))], pa.string())
-    ids = pa.array([k[1] for k in keys], pa.string())
+    users = _strings([keys[k][0] for k in np.flatnonzero(np.diff(user, prepend=-1))])
+    ids = _strings([k[1] for k in keys])
     thread = (postings & ((1 << low) - 1)).astype(np.int32)
     runs = postings >> low
     part = user[thread] * ((len(keys) >> LIST_BITS) + 1) + (thread >> LIST_BITS)
@@ -115,6 +116,13 @@ def _batches(
         at = to
 
 
+def _strings(raw: list[bytes | None]) -> pa.Array:
+    """Bytes as strings, as they are."""
+    array = pa.array(raw, pa.binary())
+    valid, offsets, data = array.buffers()
+    return pa.StringArray.from_buffers(len(array), offsets, data, valid)
+
+
 def _names(runs: np.ndarray, alphabet: np.ndarray, width: int, longest: int) -> tuple[pa.Array, np.ndarray]:
     """The distinct runs of sorted numbers as strings, and which of them each number is."""
     new = np.concatenate([[True], runs[1:] != runs[:-1]])
@@ -125,3 +133,50 @@ def _names(runs: np.ndarray, alphabet: np.ndarray, width: int, longest: int) ->
     sizes = (places > 0).sum(1)
     names = [text[k:k + n] for k, n in zip(range(0, longest * len(once), longest), sizes.tolist(), strict=True)]
     return pa.array(names, pa.string()), np.cumsum(new) - 1
+
+
+HELD = "user_id string, thread_id string, unit string"
+
+
+def holding(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of which each word is in some text of their thread.
+
+    Rows (place, user_id, thread_id, text, unit) are a text or a candidate, whose unit is its
+    words joined by blanks. Those of one thread have the same place and lie side by side.
+    """
+    at, texts, units = None, defaultdict(list), []
+    for batch in batches:
+        columns = [batch.column(0).to_pylist(), *(batch.column(k).cast(pa.binary()).to_pylist() for k in range(1, 5))]
+        found = []
+        for place, user, thread, text, unit in zip(*columns, strict=True):
+            if place != at:
+                found += _held(texts, units)
+                at, texts, units = place, defaultdict(list), []
+            if unit is None:
+                texts[user, thread].append(text)
+            else:
+                units.append((user, thread, unit))
+        yield _candidates(found)
+    yield _candidates(list(_held(texts, units)))
+
+
+def _held(texts: dict[tuple, list[bytes]], units: list[tuple]) -> Iterator[tuple]:
+    whole, known = {}, {}
+    for user, thread, unit in units:
+        key = user, thread
+        if key not in whole:
+            # No word has whitespace, so none reaches from one text into the next.
+            whole[key], known[key] = b"\n".join(texts.get(key, ())), {}
+        text, seen = whole[key], known[key]
+        for word in unit.split(b" "):
+            if word not in seen:
+                seen[word] = word in text
+            if not seen[word]:
+                break
+        else:
+            yield user, thread, unit
+
+
+def _candidates(found: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ([], [], [])
+    return pa.RecordBatch.from_arrays([_strings(list(c)) for c in columns], names=["user_id", "thread_id", "unit"])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadlens.functions.text import ascii_lower, words
 from threadlens.operators import runlists
 from threadlens.schemas import KEY
-from threadlens.session import by_key, materialise
+from threadlens.session import by_key, materialise, parts_of
 
 # Bounds of this library: runs pushed down as literals, rows broadcast
 LITERALS = 500
@@ -162,15 +162,21 @@ def found_units(index: Index, asked: DataFrame) -> DataFrame:
         return opened(postings.join(hint(some), ["user_id", "gram"]))
 
     known = candidates(anchors.filter(F.size("open") == 0)).select(*KEY, "unit")
-    unsure = candidates(anchors.filter(F.size("open") > 0)).select(
-        *KEY, "unit", F.size("open").alias("n"), F.explode("open").alias("word"))
-    # The texts of a thread are compared where they lie, one row a candidate and word.
-    checked = (
-        texts.join(unsure, KEY).filter(F.contains("text", F.col("word")))
-        .select(*KEY, "unit", "n", "word").distinct()
-        .groupBy(*KEY, "unit", "n").agg(F.count("*").alias("held")).filter("held = n")
-    )
-    return known.unionByName(checked.select(*KEY, "unit"))
+    unsure = candidates(anchors.filter(F.size("open") > 0)).select(*KEY, "unit")
+    return known.unionByName(_checked(texts, unsure, parts_of(index.fields)))
+
+
+def _checked(texts: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
+    """The candidates of which each word is in some text of their thread.
+
+    Both are dealt by thread as one table and put in order of a number, which is cheaper than
+    a join on the keys.
+    """
+    rows = texts.select(*KEY, "text", F.lit(None).cast("string").alias("unit")).unionByName(
+        candidates.select(*KEY, F.lit(None).cast("string").alias("text"), "unit"))
+    dealt = by_key(rows.filter("user_id IS NOT NULL AND thread_id IS NOT NULL"), KEY, parts)
+    return dealt.select(F.xxhash64(*KEY).alias("place"), *KEY, "text", "unit").sortWithinPartitions("place").mapInArrow(
+        runlists.holding, runlists.HELD)
 
 
 def match(index: Index, queries: DataFrame) -> DataFrame:
