@@ -98,6 +98,7 @@ def test_candidates_are_kept_if_each_word_is_in_some_text(batch):
     rows_ = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in table], schema)
     got = [tuple(r.values()) for b in runlists.holding(rows_.to_batches(batch)) for r in b.to_pylist()]
     assert got == [("u", "s", "ab cd"), ("u", "t", "bc"), ("v", "s", "é 🙂")]
+    assert [b.num_rows for b in runlists.holding([])] == [0]
 
 
 def test_texts_and_candidates_meet_without_a_join(spark):

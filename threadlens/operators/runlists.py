@@ -144,39 +144,66 @@ def holding(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows (place, user_id, thread_id, text, unit) are a text or a candidate, whose unit is its
     words joined by blanks. Those of one thread have the same place and lie side by side.
     """
-    at, texts, units = None, defaultdict(list), []
+    held: list[tuple] = []
+    last = None
+    words: dict[bytes, list[bytes]] = {}
     for batch in batches:
-        columns = [batch.column(0).to_pylist(), *(batch.column(k).cast(pa.binary()).to_pylist() for k in range(1, 5))]
+        if not batch.num_rows:
+            continue
+        places = batch.column(0).to_numpy()
+        columns = [batch.column(k).cast(pa.binary()).to_pylist() for k in range(1, 5)]
+        ends = [*(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
         found = []
-        for place, user, thread, text, unit in zip(*columns, strict=True):
-            if place != at:
-                found += _held(texts, units)
-                at, texts, units = place, defaultdict(list), []
-            if unit is None:
-                texts[user, thread].append(text)
+        if held and places[0] != last:
+            found, held = _held(held, words), []
+        for start, end in pairwise([0, *ends]):
+            rows = [c[start:end] for c in columns]
+            if end == len(places):
+                # The next batch may go on with this thread.
+                held.append(rows)
             else:
-                units.append((user, thread, unit))
+                found += _held([*held, rows], words)
+                held = []
+        last = places[-1]
         yield _candidates(found)
-    yield _candidates(list(_held(texts, units)))
-
-
-def _held(texts: dict[tuple, list[bytes]], units: list[tuple]) -> Iterator[tuple]:
-    whole, known = {}, {}
-    for user, thread, unit in units:
-        key = user, thread
-        if key not in whole:
-            # No word has whitespace, so none reaches from one text into the next.
-            whole[key], known[key] = b"\n".join(texts.get(key, ())), {}
-        text, seen = whole[key], known[key]
-        for word in unit.split(b" "):
+    yield _candidates(_held(held, words))
+
+
+#: Units whose words are remembered.
+REMEMBERED = 100_000
+
+
+def _held(parts: list[list[list]], words: dict[bytes, list[bytes]]) -> list[tuple]:
+    """(user_id, thread_id, units) of the candidates among the rows of one place."""
+    users, threads, texts, units = ([x for part in parts for x in part[k]] for k in range(4)) if len(parts) != 1 else parts[0]
+    if len(set(threads)) > 1 or len(set(users)) > 1:
+        # Threads that share a place by chance.
+        by_key = defaultdict(list)
+        for row in zip(users, threads, texts, units, strict=True):
+            by_key[row[:2]].append(row)
+        return [x for rows in by_key.values() for x in _held([[list(c) for c in zip(*rows, strict=True)]], words)]
+    # No word has whitespace, so none reaches from one text into the next.
+    text = b"\n".join([t for t in texts if t is not None])
+    seen, kept = {}, []
+    for unit in units:
+        if unit is None:
+            continue
+        if unit not in words:
+            if len(words) >= REMEMBERED:
+                words.clear()
+            words[unit] = unit.split(b" ")
+        for word in words[unit]:
             if word not in seen:
                 seen[word] = word in text
             if not seen[word]:
                 break
         else:
-            yield user, thread, unit
+            kept.append(unit)
+    return [(users[0], threads[0], kept)] if kept else []
 
 
 def _candidates(found: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*found, strict=True) if found else ([], [], [])
-    return pa.RecordBatch.from_arrays([_strings(list(c)) for c in columns], names=["user_id", "thread_id", "unit"])
+    users = [user for user, _, units in found for _ in units]
+    threads = [thread for _, thread, units in found for _ in units]
+    columns = [users, threads, [unit for _, _, units in found for unit in units]]
+    return pa.RecordBatch.from_arrays([_strings(c) for c in columns], names=["user_id", "thread_id", "unit"])

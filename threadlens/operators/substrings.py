@@ -92,10 +92,10 @@ def statistics(lists: DataFrame) -> DataFrame:
 def build(threads: DataFrame, participants: DataFrame, path: str, parts: int | None = None) -> Index:
     """Write the three tables below ``path``, ordered for look-ups, and read them back."""
     texts = fields(threads, participants)
-    texts.write.parquet(f"{path}/fields")
+    texts.write.option("compression", "zstd").parquet(f"{path}/fields")
     spark = threads.sparkSession
     posting_lists(spark.read.parquet(f"{path}/fields"), parts).write.option(
-        "parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/grams")
+        "parquet.bloom.filter.enabled#gram", "true").option("compression", "zstd").parquet(f"{path}/grams")
     statistics(spark.read.parquet(f"{path}/grams")).repartitionByRange("gram", "user_id").sortWithinPartitions(
         "gram", "user_id").write.parquet(f"{path}/statistics")
     return read(spark, path)
